@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.llm import simhash
+from factloom.llm import bpe, simhash
 
 QUERIES = {
+    "op6_bpe": bpe.op6_bpe,
     "op7_simhash": simhash.op7_simhash,
 }
 
