@@ -79,7 +79,7 @@ class MergeAutomaton:
             self.cuts.append({})
             self.sharers.append(1)
             state = self.target[u] = len(self.parent) - 1
-        self.cuts[state][v] = k
+        self.cuts[state].setdefault(v, k)  # an arc that is gone stays gone since its first cut
         self.target[w] = after
         self.sharers[after] += 1
         self.rank[w], self.first[w] = k, u
