@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, simhash
+from factloom.llm import bpe, packing, simhash
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op6_bpe": bpe.op6_bpe,
     "op7_simhash": simhash.op7_simhash,
 }
