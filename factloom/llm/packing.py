@@ -8,11 +8,14 @@ place by rank: the r-th piece of a length takes the r-th slot of that length amo
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +29,28 @@ END_ID = 1
 RUN = 256
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
+    """A compiled encoder for the vocabulary file, one per worker; ids as little-endian unsigned 32-bit integers.
+
+    Its pattern matcher gives up on some million-character runs of white space; those texts go to the automaton.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    letters = bpe.byte_letters()
+    ranks = {bytes(letters[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in special}
+    compiled = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(text: str) -> bytes:
+        try:
+            return np.array(compiled.encode(text, allowed_special="all"), dtype="<u4").tobytes()
+        except ValueError:
+            return bpe.load(path, pattern).encode(text)
+
+    return encode
+
+
 def pieces(
     docs: DataFrame, path: str, pattern: str, sequence: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False
 ) -> DataFrame:
@@ -35,7 +60,7 @@ def pieces(
     """
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = bpe.load(path, pattern).encode
+        encode = encoder(path, pattern)
         end = np.uint32(end_id).tobytes()
         for batch in rows:
             ids = [encode(t) + end for t in batch.column(1).to_pylist()]
