@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, packing, simhash
+from factloom.llm import bpe, packing, simhash, toxicity
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
     "op7_simhash": simhash.op7_simhash,
 }
