@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, packing, simhash, toxicity
+from factloom.llm import bpe, packing, simhash, toxicity, winnow
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
     "op7_simhash": simhash.op7_simhash,
+    "op9_winnowing": winnow.op9_winnowing,
 }
 
 ORACLES: dict[str, str] = {}
