@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, packing, simhash, toxicity, winnow
+from factloom.llm import bpe, licenses, packing, simhash, toxicity, winnow
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
     "op7_simhash": simhash.op7_simhash,
+    "op8_licenses": licenses.op8_licenses,
     "op9_winnowing": winnow.op9_winnowing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_licenses": licenses.oracle()}
 
 
 def queries() -> dict:
