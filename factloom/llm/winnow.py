@@ -117,11 +117,14 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     and a row with a null id has itself as the next.
     """
     texts = docs.select("doc_id", clean_text().alias("text"))
-    links = successors(texts.where("doc_id is not null")).select(F.col("doc_id").alias("_from"), F.col("next_id").alias("_to"))
-    dealt = texts.repartition("doc_id")  # dealt once; every use below reads the same exchange
+    known = texts.where("doc_id is not null")
+    links = successors(known).select(F.col("doc_id").alias("_from"), F.col("next_id").alias("_to"))
+    dealt = known.repartition("doc_id")  # dealt once; both uses below read the same exchange
     first = dealt.groupBy("doc_id").agg(F.min("text").alias("next_text"))
     following = first.join(links, F.col("doc_id") == F.col("_to")).select(F.col("_from").alias("doc_id"), "next_text")
-    paired = dealt.join(following, "doc_id", "left")
+    paired = dealt.join(following, "doc_id", "left").unionByName(
+        texts.where("doc_id is null").withColumn("next_text", F.col("text"))
+    )
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     paired = paired.withColumn("next_text", F.coalesce("next_text", "text")).withColumn("n_chars", n.cast("long"))
