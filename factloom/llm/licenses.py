@@ -19,8 +19,9 @@ from factloom.llm.common import clean_text, table
 
 #: What counts as a word once A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Diagonals this far apart are one span; a span needs this share of its template's word pairs.
-NEIGHBOUR, ENOUGH = 2, 0.75
+#: Diagonals this far apart are one span; a span needs this share of its template's word pairs
+#: and the last of them, which tells versions apart.
+NEIGHBOUR, ENOUGH = 2, 0.85
 
 #: Phrases that alone decide a base label.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -111,6 +112,7 @@ def spans(found: DataFrame) -> DataFrame:
         F.min(F.when(whole, F.col("diagonal"))).alias("first_whole"),
         F.max(F.when(whole, F.col("diagonal"))).alias("last_whole"),
         (F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.col("pairs")).alias("coverage"),
+        F.bool_or(F.array_contains("places", F.col("pairs") - 1)).alias("ended"),
     )
 
 
@@ -118,7 +120,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per row of documents: its words, base places and labels. Null texts are empty; other columns go."""
     merged = spans(votes(docs).repartition("row"))  # the one shuffle; all later groups are parts of a row
     base = F.coalesce("is_base", F.lit(False))
-    verified = ~base & (F.col("coverage") >= ENOUGH)
+    verified = ~base & F.col("ended") & (F.col("coverage") >= ENOUGH)
     name = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")
     hit = base & (F.col("whole") > 0)
     return merged.groupBy("row").agg(
@@ -157,9 +159,10 @@ def oracle() -> str:
                  count(*) filter (where len(places) = pairs) as whole,
                  min(diagonal) filter (where len(places) = pairs) as first_whole,
                  max(diagonal) filter (where len(places) = pairs) as last_whole,
-                 len(list_distinct(flatten(list(places)))) / pairs::double as coverage
+                 len(list_distinct(flatten(list(places)))) / pairs::double as coverage,
+                 bool_or(list_contains(places, pairs - 1)) as ended
           from i group by row_no, template, label, is_base, pairs, island),
-    f as (select *, is_base and whole > 0 as hit, not is_base and coverage >= {ENOUGH} as verified from s),
+    f as (select *, is_base and whole > 0 as hit, not is_base and ended and coverage >= {ENOUGH} as verified from s),
     r as (select row_no, sum(case when hit then whole else 0 end) as n_base,
                  min(first_whole) filter (where hit) as first_word, max(last_whole) filter (where hit) as last_word,
                  string_agg(distinct label, ',' order by label) filter (where hit) as base_labels,
