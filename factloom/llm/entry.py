@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, licenses, packing, simhash, toxicity, winnow
+from factloom.llm import bpe, html, licenses, packing, simhash, toxicity, winnow
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_licenses": licenses.op8_licenses,
     "op9_winnowing": winnow.op9_winnowing,
+    "op10_html": html.op10_html,
 }
 
 ORACLES: dict[str, str] = {"op8_licenses": licenses.oracle()}
