@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, html, licenses, packing, simhash, toxicity, winnow
+from factloom.llm import bpe, html, licenses, neighbours, packing, simhash, toxicity, winnow
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op3_neighbours": neighbours.op3_neighbours,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
     "op7_simhash": simhash.op7_simhash,
