@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, html, language, licenses, neighbours, packing, simhash, toxicity, winnow
+from factloom.llm import bpe, html, language, licenses, neighbours, packing, pii, simhash, toxicity, winnow
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
     "op1_language_id_pages": language.op1_language_id_pages,
     "op2_packing": packing.op2_packing,
     "op3_neighbours": neighbours.op3_neighbours,
+    "op4_surrogates": pii.op4_surrogates,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
     "op7_simhash": simhash.op7_simhash,

@@ -209,8 +209,8 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """Documents, with their own columns, whose text is in a language known here."""
-    rows = document_evidence(docs)
-    return identify(rows, docs.columns).where("_known").select(*docs.columns)
+    rows = document_evidence(docs.select(F.struct("*").alias("_row"), "text", "lang", "source"))
+    return identify(rows, ["_row"]).where("_known").select("_row.*")
 
 
 def op1_language_id(spark, sf_dir):

@@ -59,7 +59,7 @@ def test_other_evidence_decides_short_texts(spark):
 def test_unknown_languages_go_and_columns_stay(spark):
     rows = [(*r[:4], "x", 1) for r in corpus(200, 3)]
     odd = [(2000, "Это совсем другой язык и другие буквы " * 3, "aa", "s", "x", 1), (2001, "短い", "aa", "s", "x", 1), (3, rows[3][1], "aa", "s", "x", 1)]
-    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string, host string, _n int")
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string, _text string, _n int")
     kept = language.keep_known(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted([r[0] for r in rows] + [2001, 3])
