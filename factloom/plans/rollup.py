@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factloom.operators.picks import first_per
 from factloom.plans.registry import query
 from factloom.sources.tables import table
 
@@ -44,3 +45,303 @@ def dashboard_counts(spark, sf_dir):
             F.when(F.col("n_candidate") > 0, "RED").when(F.col("n_clarify") > 0, "YELLOW").otherwise("GREEN"),
         )
     )
+
+
+@query(
+    "object_list",
+    """
+    select c_custkey, count(o_orderkey) as n_inspections, cast(max(o_orderdate) as date) as updated
+    from customer left join orders on c_custkey = o_custkey
+    group by c_custkey order by max(o_orderdate) desc nulls last, c_custkey limit 50 offset 20
+    """,
+)
+def object_list(spark, sf_dir):
+    """Objects with their inspections, latest first and those without last; the third page of a paged list."""
+    joined = table(spark, sf_dir, "customer").join(
+        table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left"
+    )
+    grouped = joined.groupBy("c_custkey").agg(F.count("o_orderkey").alias("n_inspections"), F.max("o_orderdate").alias("updated"))
+    page = grouped.orderBy(F.desc_nulls_last("updated"), "c_custkey").offset(20).limit(50)
+    return page.withColumn("updated", F.col("updated").cast("date"))
+
+
+@query(
+    "latest_per_key",
+    """
+    select o_custkey, o_orderkey, o_orderstatus from (
+      select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rn from orders) t
+    where rn = 1
+    """,
+)
+def latest_per_key(spark, sf_dir):
+    """DISTINCT ON: the latest order of each customer, ties to the larger key."""
+    latest = first_per(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    return latest.select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query(
+    "latest_per_composite_key",
+    """
+    select user_id, event_type, event_id, value from (
+      select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as rn from events) t
+    where rn = 1
+    """,
+)
+def latest_per_composite_key(spark, sf_dir):
+    latest = first_per(table(spark, sf_dir, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")])
+    return latest.select("user_id", "event_type", "event_id", "value")
+
+
+@query(
+    "reasons_ordered",
+    """
+    select event_type, count(*) as n from events
+    where ts >= timestamp '2024-01-03' and ts < timestamp '2024-01-20'
+    group by event_type order by n desc, event_type asc nulls last
+    """,
+)
+def reasons_ordered(spark, sf_dir):
+    """Counts by reason in a half-open interval, most frequent first."""
+    ts = F.col("ts").cast("timestamp_ntz")
+    inside = (ts >= F.lit("2024-01-03").cast("timestamp_ntz")) & (ts < F.lit("2024-01-20").cast("timestamp_ntz"))
+    counted = table(spark, sf_dir, "events").where(inside).groupBy("event_type").agg(F.count("*").alias("n"))
+    return counted.orderBy(F.desc("n"), F.asc_nulls_last("event_type"))
+
+
+@query(
+    "distinct_files_by_stage",
+    """
+    select n_name, l_returnflag, count(distinct l_partkey) as files, count(*) as mentions,
+           count(distinct coalesce(cast(l_partkey as varchar), l_linestatus)) as distinct_values
+    from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
+    group by n_name, l_returnflag
+    """,
+)
+def distinct_files_by_stage(spark, sf_dir):
+    """Three-way inner join with distinct counts, one of them over a coalesced cast."""
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    joined = table(spark, sf_dir, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    joined = joined.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    return joined.groupBy("n_name", "l_returnflag").agg(
+        F.countDistinct("l_partkey").alias("files"),
+        F.count("*").alias("mentions"),
+        F.countDistinct(F.coalesce(F.col("l_partkey").cast("string"), "l_linestatus")).alias("distinct_values"),
+    )
+
+
+@query(
+    "stages_of_param",
+    """
+    select l_partkey, string_agg(distinct l_returnflag, ',' order by l_returnflag) as stages,
+           bool_or(l_linestatus = 'O') as any_open, min(l_discount) as least_confidence,
+           round(avg(l_tax), 9) as mean_tax, max(l_quantity) as most
+    from lineitem group by l_partkey
+    """,
+)
+def stages_of_param(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
+        F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("stages"),
+        F.bool_or(F.col("l_linestatus") == "O").alias("any_open"),
+        F.min("l_discount").alias("least_confidence"),
+        F.round(F.avg("l_tax"), 9).alias("mean_tax"),
+        F.max("l_quantity").alias("most"),
+    )
+
+
+@query(
+    "annotation_quality",
+    """
+    with ops(op) as (values ('A'), ('N'), ('R'), ('X')),
+    params as (select distinct p_brand from part),
+    totals as (select p_brand, l_returnflag, count(*) as labels, count(distinct l_orderkey) as tasks,
+                      count(*) filter (where l_linestatus = 'O') as agreed
+               from lineitem join part on l_partkey = p_partkey group by p_brand, l_returnflag),
+    latest as (select p_brand, l_returnflag, l_orderkey as last_task from (
+                 select p_brand, l_returnflag, l_orderkey,
+                        row_number() over (partition by p_brand, l_returnflag order by l_shipdate desc, l_orderkey desc, l_linenumber desc) as rn
+                 from lineitem join part on l_partkey = p_partkey) t where rn = 1)
+    select params.p_brand, ops.op, coalesce(labels, 0) as labels, coalesce(tasks, 0) as tasks, last_task,
+           case when labels > 0 then round(agreed * 1.0 / labels, 9) end as agreement
+    from params cross join ops
+    left join totals on totals.p_brand = params.p_brand and totals.l_returnflag = ops.op
+    left join latest on latest.p_brand = params.p_brand and latest.l_returnflag = ops.op
+    """,
+)
+def annotation_quality(spark, sf_dir):
+    """Quality report over every parameter and operation, also those nobody annotated."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    rows = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    by = ["p_brand", "l_returnflag"]
+    totals = rows.groupBy(*by).agg(
+        F.count("*").alias("labels"),
+        F.countDistinct("l_orderkey").alias("tasks"),
+        F.count_if(F.col("l_linestatus") == "O").alias("agreed"),
+    )
+    last = F.max_by("l_orderkey", F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("last_task")
+    latest = rows.groupBy(*by).agg(last)
+    grid = part.select("p_brand").distinct().select("p_brand", F.explode(F.array(*map(F.lit, "ANRX"))).alias("op"))
+    found = grid.join(totals.withColumnRenamed("l_returnflag", "op"), ["p_brand", "op"], "left")
+    found = found.join(latest.withColumnRenamed("l_returnflag", "op"), ["p_brand", "op"], "left")
+    return found.select(
+        "p_brand",
+        "op",
+        F.coalesce("labels", F.lit(0)).alias("labels"),
+        F.coalesce("tasks", F.lit(0)).alias("tasks"),
+        "last_task",
+        F.when(F.col("labels") > 0, F.round(F.col("agreed") / F.col("labels"), 9)).alias("agreement"),
+    )
+
+
+@query(
+    "reviews_open",
+    """
+    select o_orderkey, bool_or(l_linestatus = 'F') as any_final, count(*) as n
+    from orders join lineitem on o_orderkey = l_orderkey
+    where not exists (select 1 from events where user_id = o_custkey and event_type = 'error')
+      and not exists (select 1 from lineitem x where x.l_orderkey = o_orderkey and x.l_returnflag = 'R' and x.l_discount > 0.09)
+      and exists (select 1 from customer where c_custkey = o_custkey and c_acctbal > 0)
+    group by o_orderkey
+    """,
+)
+def reviews_open(spark, sf_dir):
+    """Stacked anti joins and a semi join before an aggregate."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    own = table(spark, sf_dir, "events").where("event_type = 'error'").select("user_id")
+    judged = lines.where("l_returnflag = 'R' and l_discount > 0.09").select("l_orderkey")
+    payers = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey")
+    open_orders = (
+        orders.join(own, F.col("o_custkey") == F.col("user_id"), "left_anti")
+        .join(judged, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
+        .join(payers, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    )
+    return (
+        open_orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+        .groupBy("o_orderkey")
+        .agg(F.bool_or(F.col("l_linestatus") == "F").alias("any_final"), F.count("*").alias("n"))
+    )
+
+
+@query(
+    "json_batch",
+    """
+    select event_id, cast(json_extract_string(props, '$.k') as bigint) as k,
+           '{"k":' || json_extract_string(props, '$.k') || '}' as canonical
+    from events where cast(json_extract_string(props, '$.k') as bigint) % 10 = 3
+    """,
+)
+def json_batch(spark, sf_dir):
+    """Typed rows from JSON text, and the canonical JSON of the typed row."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long").alias("p"))
+    return rows.where("p.k % 10 = 3").select("event_id", "p.k", F.to_json("p").alias("canonical"))
+
+
+@query(
+    "union_distinct",
+    """
+    select l_partkey as sha from lineitem where l_quantity >= 49
+    union select p_partkey from part where p_size = 1
+    """,
+)
+def union_distinct(spark, sf_dir):
+    files = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("sha"))
+    fragments = table(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").alias("sha"))
+    return files.unionAll(fragments).distinct()
+
+
+@query(
+    "null_safe_match",
+    """
+    with f as (select l_orderkey, nullif(l_linenumber, 3) as page from lineitem where l_orderkey < 2000),
+         g as (select distinct l_orderkey, nullif(l_linenumber, 3) as page from lineitem where l_orderkey < 2000 and l_returnflag = 'R')
+    select f.l_orderkey, f.page, count(*) as n from f join g on f.l_orderkey = g.l_orderkey and f.page is not distinct from g.page
+    group by f.l_orderkey, f.page
+    """,
+)
+def null_safe_match(spark, sf_dir):
+    """Join on a page that may be unknown on both sides."""
+    page = F.nullif("l_linenumber", F.lit(3)).alias("page")
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
+    f = lines.select("l_orderkey", page).alias("f")
+    g = lines.where("l_returnflag = 'R'").select("l_orderkey", page).distinct().alias("g")
+    met = f.join(g, (F.col("f.l_orderkey") == F.col("g.l_orderkey")) & F.col("f.page").eqNullSafe(F.col("g.page")))
+    return met.groupBy(F.col("f.l_orderkey").alias("l_orderkey"), F.col("f.page").alias("page")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "first_fragment",
+    """
+    select o_orderkey, n_fragments, first_line, first_flag, changed
+    from (select l_orderkey, count(*) as n_fragments, min(l_linenumber) as first_line,
+                 arg_min(l_returnflag, l_linenumber * 1000000 + l_partkey) as first_flag,
+                 count(distinct l_returnflag) > 1 as changed from lineitem group by l_orderkey) t
+    join orders on o_orderkey = l_orderkey where o_orderstatus is distinct from 'P'
+    """,
+)
+def first_fragment(spark, sf_dir):
+    """Correlated scalar subqueries as one aggregate: count, first by id, and whether anything changed."""
+    first = F.min_by("l_returnflag", F.struct("l_linenumber", "l_partkey"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.count("*").alias("n_fragments"),
+        F.min("l_linenumber").alias("first_line"),
+        first.alias("first_flag"),
+        (F.countDistinct("l_returnflag") > 1).alias("changed"),
+    )
+    kept = table(spark, sf_dir, "orders").where(~F.col("o_orderstatus").eqNullSafe("P"))
+    return kept.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        "o_orderkey", "n_fragments", "first_line", "first_flag", "changed"
+    )
+
+
+@query(
+    "file_search",
+    r"""
+    select p_partkey, case when length(p_name) > 8 then left(p_name, 8) || '…' else p_name end as clipped,
+           starts_with(p_type, 'ECON') as economy
+    from part where (p_name ilike '%ED\_%' escape '\' or p_name ilike '%RED w%') and regexp_matches(p_brand, '^Brand#[0-9]{1,2}$')
+      and cast(substring(p_brand, 7) as integer) between 5 and 20 and p_type in ('ECONOMY', 'PROMO', 'LARGE')
+    """,
+)
+def file_search(spark, sf_dir):
+    """Case-blind search with escaped wildcards, a code range, a list, and clipped names."""
+    found = F.col("p_name").ilike("%ED\\_%") | F.col("p_name").ilike("%RED w%")
+    code = F.col("p_brand").rlike("^Brand#[0-9]{1,2}$") & F.substring("p_brand", 7, 9).cast("int").between(5, 20)
+    return table(spark, sf_dir, "part").where(found & code & F.col("p_type").isin("ECONOMY", "PROMO", "LARGE")).select(
+        "p_partkey",
+        F.when(F.length("p_name") > 8, F.concat(F.left("p_name", F.lit(8)), F.lit("…"))).otherwise(F.col("p_name")).alias("clipped"),
+        F.startswith("p_type", F.lit("ECON")).alias("economy"),
+    )
+
+
+@query(
+    "rollup_quality",
+    """
+    select source, count(*) as pages, round(avg(n_chars), 6) as mean_chars,
+           count(*) filter (where n_chars < 500) as low_quality
+    from documents group by rollup (source)
+    """,
+)
+def rollup_quality(spark, sf_dir):
+    """Quality shares per file with a grand total."""
+    return table(spark, sf_dir, "documents").rollup("source").agg(
+        F.count("*").alias("pages"), F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.count_if(F.col("n_chars") < 500).alias("low_quality")
+    )
+
+
+@query(
+    "set_difference",
+    """
+    select part, status from (
+      (select l_partkey as part, 'missing' as status from lineitem where l_returnflag = 'A'
+       except select l_partkey, 'missing' from lineitem where l_returnflag = 'R' and l_quantity > 20)
+      union all
+      (select l_partkey, 'added' from lineitem where l_returnflag = 'R' and l_quantity > 20
+       except select l_partkey, 'added' from lineitem where l_returnflag = 'A')) t
+    """,
+)
+def set_difference(spark, sf_dir):
+    """Sealed set against the present one: what is missing and what was added."""
+    lines = table(spark, sf_dir, "lineitem")
+    sealed = lines.where("l_returnflag = 'A'").select(F.col("l_partkey").alias("part")).distinct()
+    present = lines.where("l_returnflag = 'R' and l_quantity > 20").select(F.col("l_partkey").alias("part")).distinct()
+    missing = sealed.join(present, "part", "left_anti").withColumn("status", F.lit("missing"))
+    return missing.unionAll(present.join(sealed, "part", "left_anti").withColumn("status", F.lit("added")))
