@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import compare, registry, rollup  # noqa: F401
+from factloom.plans import compare, registry, rollup, rules, stats, totals  # noqa: F401
 
 
 def plans() -> dict[str, registry.Plan]:
