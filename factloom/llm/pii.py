@@ -13,6 +13,7 @@ import hashlib
 import hmac
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -35,17 +36,19 @@ SPELLED = [w for t in GENDER for w in (t[:1].upper() + t[1:], t.upper())]
 _TITLE = "|".join(sorted(map(regex.escape, SPELLED), key=len, reverse=True))
 
 ENTITY = regex.compile(
-    r"(?P<email>[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+)"
-    r"|(?i:(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)[\"']?\s*[:=]\s*[\"']?)(?P<secret>[A-Za-z0-9+/_-]{8,}={0,2})"
+    r"(?P<email>(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+)"
+    r"|(?i:(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)[\"']?[^\S\n]*[:=][^\S\n]*[\"']?)(?P<secret>[A-Za-z0-9+/_-]{8,}={0,2})"
     r"|(?<![\p{L}\p{N}])(?P<hex>(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,128})(?![\p{L}\p{N}])"
     r"|(?<![\p{L}\p{N}.])(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?!\.?\d)(?!\p{L})"
     r"|(?<![\p{L}\p{N}])(?P<phone>\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}]|\.\d)"
     r"|(?<![\p{L}\p{N}-])(?P<account>\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?)(?![\p{L}\p{N}-])"
     r"|(?<![\p{L}\p{N}-])(?P<local>\d{3}-\d{4})(?![\p{L}\p{N}-])"
-    rf"|(?<![\p{{L}}\p{{N}}])(?P<title>{_TITLE})\.?\s+(?P<name>\p{{Lu}}[\p{{L}}'’-]+(?:\s\p{{Lu}}[\p{{L}}'’-]+){{0,2}})"
+    rf"|(?<![\p{{L}}\p{{N}}])(?P<title>{_TITLE})\.?[^\S\n]+(?P<name>\p{{Lu}}[\p{{L}}'’-]+(?:[^\S\n]\p{{Lu}}[\p{{L}}'’-]+){{0,2}})"
 )
 SECRETS = ("key", "token", "secret", "password", "passwd", "pwd")
 NUMBER = re.compile(r"\d")
+ADDRESSED = re.compile("|".join(map(re.escape, SPELLED)))
+SIGN = re.compile(rf"[@\d]|{ADDRESSED.pattern}")
 WORD = regex.compile(r"[\p{L}][\p{L}'’-]*")
 DIGIT = regex.compile(r"\d")
 CYRILLIC = regex.compile(r"\p{Cyrillic}")
@@ -57,14 +60,15 @@ def _script(text: str) -> str:
     return "cyrillic" if CYRILLIC.search(text) else "latin"
 
 
-def may_have_any(text: str) -> bool:
-    """A quick look that misses nothing: most texts have no digit, no @, no form of address and no assignment."""
-    if "@" in text or NUMBER.search(text) or any(t in text for t in SPELLED):
-        return True
-    if "=" in text or ":" in text:
-        low = text.lower()
-        return any(w in low for w in SECRETS)
-    return False
+def lines_with_signs(text: str) -> Iterator[tuple[int, int]]:
+    """Lines that have a digit, an @, a form of address or an assignment to a secret; no entity is without."""
+    if "@" not in text and not NUMBER.search(text) and not ADDRESSED.search(text) and "=" not in text and ":" not in text:
+        return
+    at = 0
+    for line in text.split("\n"):
+        if SIGN.search(line) or (("=" in line or ":" in line) and any(w in line.lower() for w in SECRETS)):
+            yield at, at + len(line)
+        at += len(line) + 1
 
 
 def find(text: str) -> list[Found]:
@@ -72,11 +76,9 @@ def find(text: str) -> list[Found]:
 
     Once an address has named a person, the names alone count too in the rest of the text.
     """
-    if not may_have_any(text):
-        return []
     out: list[Found] = []
     names: dict[str, str] = {}
-    for m in ENTITY.finditer(text):
+    for m in chain.from_iterable(ENTITY.finditer(text, *line) for line in lines_with_signs(text)):
         kind = next(k for k, v in m.groupdict().items() if v is not None and k != "title")
         start, stop = m.span(kind)
         raw = m[kind]
@@ -222,17 +224,10 @@ def replace(text: str, found: list[Found], fresh: dict[str, str]) -> str:
     return "".join([*out, text[at:]])
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """Distinct (kind, canonical) of all texts."""
-
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            seen = sorted({(k, c) for t in batch.column(0).to_pylist() if t for _, _, k, c in find(t)})
-            kinds, names = zip(*seen) if seen else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(names, pa.string())], names=["kind", "canonical"])
-
-    text_batches(docs.sparkSession)
-    return docs.select("text").mapInArrow(batches, "kind string, canonical string").distinct()
+def entities(lists: DataFrame, column: str = "entities") -> DataFrame:
+    """Distinct (kind, canonical) of rows that list theirs."""
+    parts = F.split(F.col("entity"), "\x1f", 2)
+    return lists.select(F.explode(column).alias("entity")).distinct().select(parts[0].alias("kind"), parts[1].alias("canonical"))
 
 
 def surrogates(known: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -270,10 +265,10 @@ def surrogates(known: DataFrame, key: bytes = KEY) -> DataFrame:
 def protect(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """The rows with their own columns, every entity in ``text`` replaced; null texts stay null.
 
-    Texts without entities aren't shuffled. The others meet their own few surrogates by a join on the row, after those
+    Texts without entities aren't written or shuffled before the end. The others are written once, with what was found,
+    and meet their own few surrogates by a join on the row, after those
     were joined to entities: no table of surrogates is gathered anywhere.
     """
-    fresh = surrogates(materialise(entities(docs)), key)
     at, columns = docs.columns.index("text"), docs.columns
     mark = "_"
     while any(c.startswith(mark) for c in columns):
@@ -298,7 +293,8 @@ def protect(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string()))
 
     text_batches(docs.sparkSession)
-    marked = docs.mapInArrow(listed, T.StructType([*docs.schema.fields, T.StructField(listed_as, T.ArrayType(T.StringType()))]))
+    marked = materialise(docs.mapInArrow(listed, T.StructType([*docs.schema.fields, T.StructField(listed_as, T.ArrayType(T.StringType()))])))
+    fresh = surrogates(materialise(entities(marked, listed_as)), key)
     uses = marked.select(*key_of_row, F.explode(listed_as).alias("entity")).distinct()
     names = fresh.select(F.concat_ws("\x1f", "kind", "canonical").alias("entity"), "surrogate")
     own = uses.join(names, "entity").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias(fresh_as))
