@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import compare, match, registry, rollup, rules, series, stats, text, totals  # noqa: F401
+from factloom.plans import compare, geometry, ingest, match, registry, rollup, rules, series, stats, streams, text, totals  # noqa: F401
 
 
 def plans() -> dict[str, registry.Plan]:
