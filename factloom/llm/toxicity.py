@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import clean_text, table, text_batches
 
 #: Labelled documents that the sentence scorer is fitted on, about, and the longest of them in characters.
-LABELLED = 8_000
+LABELLED = 6_000
 LONGEST = 20_000
 #: Features kept after screening, and the least number of documents that have one.
 FEATURES = 500
@@ -107,29 +107,35 @@ def fit(texts: list[str], labels: list[int]) -> Scorer:
     if not 0 < positive < n:
         rate = min(0.99, max(0.01, positive / n)) if n else 0.01
         return Scorer({}, float(np.log(rate / (1 - rate))))
-    words = [TOKEN.findall(t.lower()) for t in texts]
+    number: dict[str, int] = {}
+    words = [np.array([number.setdefault(t, len(number)) for t in TOKEN.findall(text.lower())], dtype=np.int32) for text in texts]
+    vocabulary = list(number)
+    is_word = np.array([bool(WORD.match(t)) for t in vocabulary], dtype=bool)
+    own = [features(t) if w else [] for t, w in zip(vocabulary, is_word)]
     toxic, clean = Counter(), Counter()
     for tokens, label in zip(words, labels):
-        (toxic if label else clean).update({f for w in set(tokens) if WORD.match(w) for f in features(w)})
+        (toxic if label else clean).update({f for w in np.unique(tokens) for f in own[w]})
     seen = [f for f, k in (toxic + clean).items() if k >= LEAST_DOCUMENTS]
     a = np.array([toxic[f] for f in seen], dtype=np.float64)
     b = np.array([clean[f] for f in seen], dtype=np.float64)
     lean = (a * n - (a + b) * positive) ** 2 / ((a + b) * (n - a - b) + 1.0)
     order = np.lexsort((seen, -lean))[:FEATURES]
     index = {seen[i]: k for k, i in enumerate(order)}
+    del toxic, clean
+    chosen = [[index[f] for f in fs if f in index] for fs in own]
     cols, rows, owner, at = [], [], [], 0
     for doc, tokens in enumerate(words):
-        starts, stops = stretches(np.array([not WORD.match(t) for t in tokens], dtype=bool))
+        starts, stops = stretches(~is_word[tokens])
         if not len(starts):
             owner.append(doc)
             at += 1
         for s, e in zip(starts, stops):
-            ids = [index[f] for w in tokens[s:e] for f in features(w) if f in index]
-            cols.append(np.array(ids, dtype=np.int64))
-            rows.append(np.full(len(ids), at, dtype=np.int64))
+            ids = [k for w in tokens[s:e] for k in chosen[w]]
+            cols.append(np.array(ids, dtype=np.int32))
+            rows.append(np.full(len(ids), at, dtype=np.int32))
             owner.append(doc)
             at += 1
-    cols, rows, owner = np.concatenate(cols), np.concatenate(rows), np.array(owner)
+    cols, rows, owner = np.concatenate(cols), np.concatenate(rows), np.array(owner, dtype=np.int32)
     weights, bias = np.zeros(len(index) + 1), np.log(positive / n / (at / n))
     weights[-1] = bias
     m, v = np.zeros_like(weights), np.zeros_like(weights)
