@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.sources.shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table; projection and filters reach the scan through Catalyst."""
+    ship(spark.sparkContext)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
