@@ -8,16 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.sources.shipping import ship
+from factloom.sources.tables import table  # noqa: F401
+
 #: Rows of whole texts handed to a Python worker at once; long texts make a larger batch dangerous.
 TEXT_ROWS_PER_BATCH = 256
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def text_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small enough for a worker's memory."""
+    """Keep Arrow batches of whole texts small enough for a worker's memory, and let workers find this package."""
+    ship(spark.sparkContext)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS_PER_BATCH)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialise, table
+from factloom.llm.common import materialise, ship, table
 
 #: Vectors that the parts and the network are fitted on, at most about so many.
 SAMPLE = 6_000
@@ -191,6 +191,7 @@ def search(vectors: DataFrame, queries: DataFrame, probes: int | None = None) ->
     at its nearest vector. Vectors of another length than most have no part in it.
     """
     spark = vectors.sparkSession
+    ship(spark.sparkContext)
     sound = usable(vectors)
     sizes = sound.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim, n = (sizes[0].dim, sizes[0]["count"]) if sizes else (1, 0)
