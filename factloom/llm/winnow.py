@@ -61,6 +61,8 @@ def fingerprint(df: DataFrame, text: str, out: str, gram: int = GRAM, window: in
 
     Words are runs between white space, letters lower-cased. A text of fewer than ``gram`` words has one gram of all
     of them; a text without words has no fingerprint (an empty array). Fewer grams than a window make one window.
+    Texts too short for the guarantee to reach across an edit of half of them, those of fewer than
+    2 * (gram + window - 1) words, have their single words too, after the selected grams.
     """
     kept = df.columns
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
@@ -76,7 +78,9 @@ def fingerprint(df: DataFrame, text: str, out: str, gram: int = GRAM, window: in
     smallest = F.when(F.size("_k_rolled") > 0, F.array_distinct("_k_rolled")).when(
         F.size("_k") > 0, F.array(F.array_min("_k"))
     ).otherwise(F.col("_k_rolled"))
-    return df.withColumn(out, smallest).select(*kept, out)
+    short = F.size("_h") < 2 * (gram + window - 1)
+    full = F.when(short, F.array_distinct(F.concat(smallest, F.transform("_h", key)))).otherwise(smallest)
+    return df.withColumn(out, full).select(*kept, out)
 
 
 def hash_of(key: Column) -> Column:
