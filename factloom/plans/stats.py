@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from factloom.operators.components import components
 from factloom.operators.stats import auc, hash_share, nearest_rank, ratio, robust_model, wilson, zero_error_bound
 from factloom.plans.registry import query
 from factloom.sources.tables import table
@@ -166,6 +167,23 @@ def hash_split(spark, sf_dir):
     return rows.groupBy("source", "split").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
+@query(
+    "component_split",
+    """
+    with recursive e as (select distinct l_orderkey as a, 1000000 + l_partkey as b from lineitem where l_quantity = 50 and l_discount > 0.08),
+    both_ways as (select a, b from e union select b, a from e), n as (select distinct a as node from both_ways),
+    reach(node, other) as (select node, node from n union select reach.node, both_ways.b from reach join both_ways on both_ways.a = reach.other),
+    r as (select node, min(other) as root from reach group by 1)
+    select node, root, case when ('0x' || substring(sha256('7:' || root), 1, 8))::bigint / 4294967295.0 < 0.8 then 'train' else 'test' end as split from r where node < 1000000
+    """,
+)
+def component_split(spark, sf_dir):
+    """Tasks that share content, directly or by way of others, are on one side of a split."""
+    e = table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount > 0.08").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b")).distinct()
+    split = F.when(hash_share(F.concat(F.lit("7:"), F.col("root").cast("string"))) < 0.8, "train").otherwise("test")
+    return components(e).where("node < 1000000").select("node", "root", split.alias("split"))
+
+
 @query(
     "stratified_sample",
     """

@@ -215,3 +215,24 @@ def test_stream_status_and_affected_keys(spark, event_files):
     )
     writer.option("checkpointLocation", str(work / "c2")).trigger(availableNow=True).start().awaitTermination()
     assert results == {0: 80, 1: 80, 2: 80}
+
+
+def test_components_against_a_search(spark):
+    from factloom.operators.components import components
+
+    rng = random.Random(9)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(55)] + [(100 + i, 101 + i) for i in range(40)] + [(5, 5), (None, 3)]
+    near = {}
+    for a, b in edges:
+        if a is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for node in near:
+        seen, front = {node}, [node]
+        while front:
+            front = [y for x in front for y in near[x] if y not in seen and not seen.add(y)]
+        want[node] = min(seen)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
