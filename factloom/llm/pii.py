@@ -42,6 +42,8 @@ ENTITY = regex.compile(
     r"|(?<![\p{L}\p{N}.])(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?!\.?\d)(?!\p{L})"
     r"|(?<![\p{L}\p{N}])(?P<phone>\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}]|\.\d)"
     r"|(?<![\p{L}\p{N}-])(?P<account>\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?)(?![\p{L}\p{N}-])"
+    r"|(?<![\p{L}\p{N}-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\p{L}\p{N}-])"
+    r"|(?<![\p{L}\p{N}])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![\p{L}\p{N}])"
     r"|(?<![\p{L}\p{N}-])(?P<local>\d{3}-\d{4})(?![\p{L}\p{N}-])"
     rf"|(?<![\p{{L}}\p{{N}}])(?P<title>{_TITLE})\.?[^\S\n]+(?P<name>\p{{Lu}}[\p{{L}}'’-]+(?:[^\S\n]\p{{Lu}}[\p{{L}}'’-]+){{0,2}})"
 )
@@ -95,6 +97,8 @@ def find(text: str) -> list[Found]:
         elif kind in ("secret", "hex"):
             hexadecimal = all(c in "0123456789abcdefABCDEF" for c in raw)
             out.append((start, stop, "hex" if hexadecimal else "secret", raw.lower() if hexadecimal else raw))
+        elif kind == "iban":
+            out.append((start, stop, "iban", raw.replace(" ", "")))
         elif kind == "ip":
             octets = [int(o) for o in raw.split(".")]
             if max(octets) < 256 and octets not in ([0] * 4, [127, 0, 0, 1], [255] * 4):
@@ -191,6 +195,13 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
         if rest[3:6] == "555" and attempt < 3:  # numbers kept free for fiction
             fresh = fresh[:3] + "555" + fresh[6:]
         return "+" * plus + digits[:country] + fresh
+    if kind == "ssn":
+        return number(9)
+    if kind == "iban":
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        body = "".join(str(draw.below(10)) if c.isdigit() else draw.pick(letters) for c in canonical[4:])
+        value = int("".join(str(int(c, 36)) for c in body + canonical[:2] + "00"))
+        return f"{canonical[:2]}{98 - value % 97:02d}{body}"
     if kind == "local":
         return canonical[:3] + number(4) if canonical[:3] == "555" and attempt < 3 else number(7)
     if kind == "account":
@@ -204,9 +215,12 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
 
 def dressed(raw: str, kind: str, fresh: str) -> str:
     """A canonical surrogate in the spelling of the original: its separators and letter case."""
-    if kind in ("phone", "account", "local"):
+    if kind in ("phone", "account", "local", "ssn"):
         digits = iter(fresh.lstrip("+"))
         return DIGIT.sub(lambda m: next(digits), raw)
+    if kind == "iban":
+        signs = iter(fresh)
+        return "".join(c if c == " " else next(signs) for c in raw)
     if kind == "secret":
         return fresh
     if raw.isupper():

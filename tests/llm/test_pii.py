@@ -45,6 +45,17 @@ def test_spelling_check_digit_and_country_stay():
     assert pii.surrogate(b"k", "email", "a@b.org") != pii.surrogate(b"other", "email", "a@b.org")
 
 
+def test_social_and_bank_numbers():
+    text = "SSN 123-45-6789, account DE89 3704 0044 0532 0130 00 or DE89370400440532013000."
+    found = spans(text)
+    assert [(k, c) for _, k, c in found] == [("ssn", "123456789"), ("iban", "DE89370400440532013000"), ("iban", "DE89370400440532013000")]
+    fresh = {f"{k}\x1f{c}": pii.surrogate(b"k", k, c) for _, k, c in found}
+    out = pii.replace(text, pii.find(text), fresh)
+    iban = fresh["iban\x1fDE89370400440532013000"]
+    assert iban.startswith("DE") and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert out.count(iban) == 1 and " ".join(iban[i : i + 4] for i in range(0, 22, 4)) in out and "123-45-6789" not in out
+
+
 def test_a_quick_look_misses_nothing():
     rng = random.Random(3)
     bits = [*(w for w in TEXT.split() if w != "127.0.0.1,"), "the", "of", "Mr", "MRS", "secret:", "abcdefgh", "Ordinary", "\n"]
