@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.sources.shared import checkpointed, materialise, shared_dir  # noqa: F401
 from factloom.sources.shipping import ship
 from factloom.sources.tables import table  # noqa: F401
 
@@ -21,30 +19,6 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS_PER_BATCH)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's, or one of our own where it names none."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if context.getCheckpointDir() is None:
-        named = named or tempfile.mkdtemp(prefix="factloom-checkpoint-")
-        context.setCheckpointDir(named)
-    return named
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends here and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/factloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small table inside a loop; Spark removes the files when nobody refers to them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def clean_text(column: str = "text"):
     """Null texts count as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
