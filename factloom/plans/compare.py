@@ -164,6 +164,7 @@ def evaluate_quantity_objects(spark, sf_dir):
            greatest(coalesce(rd - pd, 0), coalesce(id - pd, 0)) as drop_steps
     from w
     """,
+    {"drop_steps": "bigint"},
 )
 def evaluate_class(spark, sf_dir):
     """Ordinal classes: on ties the best of the design and the worst of later stages; off the scale is incomparable."""
@@ -367,6 +368,7 @@ def stage_score(spark, sf_dir):
     select l_orderkey, seq, case when coalesce(sum(case when pages is null then 1 else 0 end) over w, 0) = 0 then coalesce(sum(pages) over w, 0) end as first_page
     from p window w as (partition by l_orderkey order by seq rows between unbounded preceding and 1 preceding)
     """,
+    {"seq": "integer", "first_page": "bigint"},
 )
 def page_offsets(spark, sf_dir):
     """Cumulative page offsets of a document's parts, unknown after a part of unknown length."""
@@ -384,6 +386,7 @@ def page_offsets(spark, sf_dir):
     i as (select *, sum(step) over (partition by l_orderkey order by seq) as run from c)
     select l_orderkey, run, material, sum(l_quantity) as thickness, count(*) as n from i group by l_orderkey, run, material
     """,
+    {"run": "bigint"},
 )
 def merge_runs(spark, sf_dir):
     """Consecutive layers of one material are one layer."""
@@ -401,6 +404,7 @@ def merge_runs(spark, sf_dir):
     with v as (select distinct param, stage, supplier % 20 as variant from {MENTIONS_SQL} m)
     select a.param, min(a.variant) as variant, count(distinct a.variant) as shared from v a join v b on a.param = b.param and a.variant = b.variant and a.stage = 'PD' and b.stage <> 'PD' group by a.param
     """,
+    {"shared": "integer"},
 )
 def common_variant(spark, sf_dir):
     """The first variant that the design and a later stage share."""

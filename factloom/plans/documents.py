@@ -19,6 +19,7 @@ from factloom.sources.tables import table
     r as (select *, sum(step) over (partition by page order by y, x, word) as row_no from g)
     select page, row_no, string_agg(word, ' ' order by x, y, word) as line, count(*) as words from r group by 1, 2
     """,
+    {"row_no": "bigint"},
 )
 def group_rows(spark, sf_dir):
     """Words of a page grouped into lines by the gaps between their heights."""
@@ -38,6 +39,7 @@ def group_rows(spark, sf_dir):
     m as (select *, min(dist) over (partition by p_partkey) as best from d where dist <= 2), k as (select p_partkey, min(code) as code, min(dist) as dist, count(*) as n from m where dist = best group by 1)
     select p_partkey, case when n = 1 then code end as code, dist from k
     """,
+    {"dist": "integer"},
 )
 def code_repair(spark, sf_dir):
     """Misread codes against the registry: the one nearest within two edits, if it is the only one.
@@ -189,6 +191,7 @@ def ranker_training(spark, sf_dir):
     s as (select l_orderkey, disc, sum(n) as n from m join d using (mark) group by 1, 2)
     select l_orderkey, arg_max(disc, n * 1000 - ascii(disc) - ascii(substring(disc, 2)) / 1000.0) as disc, max(n) as votes from s group by 1
     """,
+    {"votes": "bigint"},
 )
 def discipline_fit(spark, sf_dir):
     """The discipline most marks of a document fit; marks of none don't vote."""

@@ -63,6 +63,7 @@ def batch_plan(spark, sf_dir):
     """
     select o_orderkey as doc, first, least(first + 19, pages) as last from (select o_orderkey, cast(floor(o_totalprice / 5000) as integer) as pages, unnest(range(1, cast(floor(o_totalprice / 5000) as integer) + 1, 20)) as first from orders) t
     """,
+    {"first": "integer", "last": "integer"},
 )
 def page_parts(spark, sf_dir):
     """Page ranges of documents, a row each, so that long documents spread over tasks."""

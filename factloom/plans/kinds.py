@@ -36,6 +36,7 @@ def sentences(spark, sf_dir):
     select p_partkey, i, case i when 0 then p_size + 0.5 when 1 then p_size % 7 when 2 then p_size else 50.0 end as num, case when i < 2 then 'm' else 'mm' end as unit, case i when 0 then 'MIN' end as qualifier
     from {SENTENCE_SQL} t cross join range(4) r(i)
     """,
+    {"i": "integer", "num": "double"},
 )
 def mention_quantities(spark, sf_dir):
     """Values with units and qualifiers, a row each."""
@@ -49,6 +50,7 @@ def mention_quantities(spark, sf_dir):
     select p_partkey, p_size % 4 as exits, case when p_size % 3 = 0 then 'ABSENT' else 'PRESENT' end as alarm, case p_size % 5 when 0 then 'OUT' when 1 then 'IN' end as door, 'E' || (p_size % 3) as class,
            2 as n_layers, cast(p_size as double) as first_mm from {SENTENCE_SQL} t
     """,
+    {"exits": "bigint"},
 )
 def mention_facts(spark, sf_dir):
     """Counts, presence, direction, class and layers of one text."""
@@ -163,6 +165,7 @@ def change_legitimacy(spark, sf_dir):
     select coalesce(s.k, c.k) as k, coalesce(s.item, c.item) as item, specified, counted, case when specified is null then 'NOT_IN_SPEC' when counted is null then 'NOT_DRAWN' else 'DIFFERS' end as kind
     from s full outer join c on s.k = c.k and s.item = c.item where specified is null or counted is null or abs(specified - counted) > 30
     """,
+    {"counted": "double"},
 )
 def spec_vs_count(spark, sf_dir):
     """What a specification lists against what drawings show, across documents."""
@@ -233,6 +236,7 @@ def integrity_report(spark, sf_dir):
     select prev, next, gap from (select o_orderkey as next, lag(o_orderkey) over w as prev, datediff('day', lag(o_orderdate) over w, o_orderdate) as gap from orders window w as (partition by o_custkey, o_orderstatus order by o_orderdate, o_orderkey)) t
     where prev is not null and gap <= 30
     """,
+    {"gap": "integer"},
 )
 def revision_pairs(spark, sf_dir):
     """Each revision with the one before, to compare sheet by sheet."""

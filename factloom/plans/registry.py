@@ -12,8 +12,13 @@ PLANS: dict[str, Plan] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
-    """Register a plan under a name; ``sql`` is ANSI SQL with the same columns and rows."""
+def query(name: str, sql: str | None = None, casts: dict[str, str] | None = None) -> Callable[[Plan], Plan]:
+    """Register a plan under a name; ``sql`` is SQL with the same columns and rows.
+
+    ``casts`` gives columns of it the plan's types, where the other engine computes in wider ones.
+    """
+    if sql is not None and casts:
+        sql = f"select * replace ({', '.join(f'cast({c} as {t}) as {c}' for c, t in casts.items())}) from ({sql}) uncast"
 
     def add(plan: Plan) -> Plan:
         if name in PLANS:

@@ -109,6 +109,7 @@ def semantic_rooms(spark, sf_dir):
     select method, case when strlen(dedup_key) <= 512 then dedup_key else left(dedup_key, 111) || ':' || sha256(dedup_key) end as dedup_key, confidence, ordinal
     from (select *, row_number() over (partition by dedup_key order by confidence desc, ordinal) as rn from h) t where rn = 1
     """,
+    {"confidence": "double"},
 )
 def hypotheses(spark, sf_dir):
     """Hypotheses of all methods together, one for each bounded key."""

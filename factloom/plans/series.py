@@ -159,6 +159,7 @@ def idempotent_intake(spark, sf_dir):
     select user_id, h, sum(s) over (partition by user_id order by h range between 5 preceding and current row) as score from m
     qualify score >= 12
     """,
+    {"score": "bigint"},
 )
 def sliding_scores(spark, sf_dir):
     """Scores of the last six hours by user, where they reach the alarm level."""

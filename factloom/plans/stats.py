@@ -190,6 +190,7 @@ def component_split(spark, sf_dir):
     with s as (select doc_id, lang, source, row_number() over (partition by lang, source order by sha256('3:' || doc_id), doc_id) as round_no, sha256('3:' || doc_id) as h from documents)
     select doc_id, lang, source, round_no from s order by round_no, h, doc_id limit 60
     """,
+    {"round_no": "integer"},
 )
 def stratified_sample(spark, sf_dir):
     """Round-robin over strata in a seeded order."""

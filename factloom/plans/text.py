@@ -14,7 +14,7 @@ QUERY_TERMS = ["license", "public", "general", "thing"]
 FOLD_SQL = r"trim(regexp_replace(regexp_replace(translate(lower({0}), 'ё', 'е'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query("fold_text", f"select doc_id, md5({FOLD_SQL.format('text')}) as folded, length({FOLD_SQL.format('text')}) as n from documents")
+@query("fold_text", f"select doc_id, md5({FOLD_SQL.format('text')}) as folded, length({FOLD_SQL.format('text')}) as n from documents", {"n": "integer"})
 def fold_text(spark, sf_dir):
     folded = fold(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(folded.cast("binary")).alias("folded"), F.length(folded).alias("n"))
@@ -42,6 +42,7 @@ def code_keys(spark, sf_dir):
     t as (select *, 'total ' || (whole // 1000) || ' ' || lpad(cast(whole % 1000 as varchar), 3, '0') || ',5 kg' as written from v where whole >= 1000)
     select o_orderkey, whole + 0.5 as parsed, (whole + 0.5) * 1.0 as base, replace(regexp_replace(regexp_replace(printf('%.2f', floor(o_totalprice * 100 + 0.5) / 100), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', ''), '.', ',') as shown from t
     """,
+    {"parsed": "double", "base": "double"},
 )
 def numbers_and_units(spark, sf_dir):
     """Numbers written with grouped thousands and a decimal comma, their unit's factor, and the other way round."""
@@ -58,6 +59,7 @@ def numbers_and_units(spark, sf_dir):
     with w as (select source, unnest(string_split({FOLD_SQL.format('text')}, ' ')) as word from documents)
     select source, count(*) as n, count(distinct word) as vocabulary, max(length(word)) as longest from w where length(word) >= 3 group by 1
     """,
+    {"longest": "integer"},
 )
 def token_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("source", F.explode(words(F.col("text"), 3)).alias("word"))
@@ -97,6 +99,7 @@ def bm25_search(spark, sf_dir):
     c as (select conv_id, turn, a, lead(a) over (partition by conv_id order by turn) as b from x)
     select conv_id, sum(levenshtein(a, b)) as errors, sum(length(a)) as total, round(1 - sum(levenshtein(a, b)) / sum(length(a)), 9) as accuracy from c where b is not null and length(a) > 0 group by 1
     """,
+    {"errors": "bigint", "total": "bigint"},
 )
 def edit_distances(spark, sf_dir):
     """Character accuracy pooled over the pairs of a conversation."""
@@ -202,6 +205,7 @@ def stem_overlap(spark, sf_dir):
     s as (select doc_id, param, no, 1.0 * length(anchor) / length(line) as score from l join a on contains(lower(line), anchor))
     select doc_id, param, no, round(score, 9) as score from (select *, row_number() over (partition by doc_id, param order by score desc, no) as rn from s) t where rn = 1
     """,
+    {"no": "integer"},
 )
 def best_anchor_line(spark, sf_dir):
     """The line of a document where a parameter's anchor says most."""

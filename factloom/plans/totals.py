@@ -106,6 +106,7 @@ def stage_composition(spark, sf_dir):
     s as (select *, sum(case when header then 1 else 0 end) over (partition by l_suppkey order by seq) as section from o)
     select l_suppkey, section, count(*) as n_rows, sum(l_quantity) as subtotal, sum(sum(l_quantity)) over (partition by l_suppkey) as grand from s group by 1, 2
     """,
+    {"section": "bigint"},
 )
 def section_totals(spark, sf_dir):
     """Sub-totals of the sections of a table and its grand total."""
@@ -145,6 +146,7 @@ def quantity_conflict(spark, sf_dir):
     select *, case when complete = 0 then 'EMPTY' when complete < documents then 'PARTIAL' else 'FULL' end as load,
            floor(100.0 * complete / documents + 0.5) as percent from loads
     """,
+    {"parts": "bigint"},
 )
 def document_counts(spark, sf_dir):
     """Parts roll up to documents and documents to objects, with the load code and its rounded share."""
