@@ -91,5 +91,5 @@ def test_a_large_group_gives_no_pairs_of_all(spark):
 def test_sketch_of_a_short_text_is_exact(spark):
     a, b = (" ".join(random.Random(s).choices("abcd", k=60)) for s in (1, 2))
     x, y = shingles(a), shingles(b)
-    df = spark.createDataFrame([(dedup.sketch(words_of(a)).tolist(), dedup.sketch(words_of(b)).tolist())], "a array<long>, b array<long>")
+    df = spark.createDataFrame([(dedup.sketch(words_of(a)).tolist(), dedup.sketch(words_of(b)).tolist())], "a array<int>, b array<int>")
     assert df.select(dedup.similarity(F.col("a"), F.col("b"))).first()[0] == len(x & y) / len(x | y)
