@@ -30,18 +30,21 @@ def mutual_best(pairs: DataFrame, keys: list[str], left: str, right: str, score:
 
 
 def greedy_pairs(pairs: DataFrame, keys: list[str], left: str, right: str, distance: str) -> DataFrame:
-    """Closest first, each side used once; the candidate pairs of a key are few by the tolerance that made them."""
-
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        taken_l, taken_r, keep = set(), set(), []
-        for i, row in group.sort_values([distance, left, right], kind="stable").iterrows():
-            if row[left] not in taken_l and row[right] not in taken_r:
-                taken_l.add(row[left])
-                taken_r.add(row[right])
-                keep.append(i)
-        return group.loc[keep]
-
-    return pairs.groupBy(*keys).applyInPandas(match, pairs.schema)
+    """Closest first, each side used once: a fold over a key's candidate pairs in order of distance.
+
+    The candidates of a key are an array, few by the tolerance that made them.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    listed = F.array_sort(F.collect_list(F.struct(distance, left, right)))
+    item = f"struct<{distance}:{kinds[distance]},{left}:{kinds[left]},{right}:{kinds[right]}>"
+    none = F.array().cast(f"array<{item}>")
+
+    def step(kept: Column, pair: Column) -> Column:
+        used = F.exists(kept, lambda k: (k[left] == pair[left]) | (k[right] == pair[right]))
+        return F.when(used, kept).otherwise(F.concat(kept, F.array(pair)))
+
+    matched = pairs.groupBy(*keys).agg(listed.alias("_pairs")).select(*keys, F.aggregate("_pairs", none, step).alias("_kept"))
+    return matched.select(*keys, F.inline("_kept")).select(*pairs.columns)
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
