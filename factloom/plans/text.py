@@ -79,9 +79,11 @@ def token_counts(spark, sf_dir):
 )
 def bm25_search(spark, sf_dir):
     """BM25 top-20: document frequencies and mean length by aggregates; one row of corpus statistics is broadcast."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(fold(F.col("text")), " ").alias("ws"))
-    counts = [F.size("ws") - F.size(F.array_remove("ws", term)) for term in QUERY_TERMS]
-    rows = docs.select("doc_id", F.size("ws").alias("len"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
+    low = F.lower("text")
+    edge = r"[\p{L}\p{N}]"
+    counts = [F.regexp_count(low, F.lit(f"(?<!{edge}){term}(?!{edge})")) for term in QUERY_TERMS]
+    length = F.greatest(F.regexp_count(low, F.lit(f"{edge}+")), F.lit(1))
+    rows = table(spark, sf_dir, "documents").select("doc_id", length.alias("len"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(counts))])
     scored = rows.where(" or ".join(f"tf{i} > 0" for i in range(len(counts)))).join(F.broadcast(stats), how="cross")
     score = F.lit(0.0)
