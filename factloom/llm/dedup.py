@@ -1,8 +1,11 @@
-"""Near-duplicate removal by SimHash with covering tables, verified on five-word shingles.
+"""Near-duplicate removal by SimHash with covering tables and by rare shingles, verified on five-word shingles.
 
 Texts of the same words are one node. Each node has six SimHash fingerprints of its word set under independent seeds;
-the covering tables of the `simhash` module find every pair of nodes that any fingerprint brings within three bits.
-Pairs so found are links if their five-word shingles are similar enough, and of each linked group one row stays.
+the covering tables of the `simhash` module find every pair of nodes that any fingerprint brings within four bits.
+Fingerprints can't reach all texts of similar shingles, so nodes meet by a prefix filter too (Chaudhuri and others,
+2006): in any common order of all shingles, two sets of a similarity of 0.8 share one of the first fifth of each. The
+order is rarest first. Pairs so found are links if their five-word shingles are similar enough, and of each linked
+group one row stays.
 """
 
 from __future__ import annotations
@@ -21,10 +24,13 @@ from factloom.operators.components import components
 from factloom.llm.simhash import BITS, BLOCK, covering_masks, words_of
 
 SHINGLE, SIMILAR = 5, 0.8
-FINGERPRINTS, RADIUS = 6, 3
+FINGERPRINTS, RADIUS = 6, 4
 #: Smallest shingle hashes kept of a text: all of them up to so many, else a sample of the whole text's shingles whose
 #: similarity has a standard error of 0.0125 at 0.8.
 SKETCH = 1024
+#: Rows whose shingles are counted, about, to put common ones last; the fewest rows of a common one, and how many of
+#: those are kept. They order the prefixes: any order finds the same links, a good one with fewer pairs.
+COUNTED, LEAST, COMMON = 10_000, 3, 200_000
 
 
 def marks(words: list[bytes]) -> list[int]:
@@ -39,62 +45,115 @@ def marks(words: list[bytes]) -> list[int]:
     return [int.from_bytes(packed[i : i + 8], "big", signed=True) for i in range(0, width, 8)]
 
 
-def sketch(words: list[bytes]) -> np.ndarray:
-    """The smallest distinct 32-bit hashes of the shingles, as signed ints; a shorter text is one shingle, none without words."""
+def hashes(words: list[bytes]) -> np.ndarray:
+    """The distinct 64-bit hashes of the shingles, ascending; a shorter text is one shingle, none without words."""
     n = len(words) - SHINGLE + 1 if len(words) >= SHINGLE else min(1, len(words))
-    kept = np.empty(0, dtype=np.int32)
+    found = [np.empty(0, dtype=np.int64)]
     for at in range(0, n, BLOCK):
         part = words[at : at + BLOCK + SHINGLE - 1]
         grams = zip(*(part[i:] for i in range(SHINGLE))) if len(part) >= SHINGLE else [part]
-        raw = np.frombuffer(b"".join([xxhash.xxh32_digest(b" ".join(g)) for g in grams]), dtype=">u4")
-        kept = np.union1d(kept, raw.astype("<u4").view(np.int32))[:SKETCH]
-    return kept
+        raw = np.frombuffer(b"".join([xxhash.xxh64_digest(b" ".join(g)) for g in grams]), dtype=">u8")
+        found.append(np.unique(raw.astype("<u8").view(np.int64)))
+    return np.unique(np.concatenate(found))
+
+
+def sketch(words: list[bytes]) -> np.ndarray:
+    """The smallest distinct hashes of the shingles, cut to 32 bits."""
+    return _short(hashes(words))
+
+
+def _short(found: np.ndarray) -> np.ndarray:
+    return np.unique((found >> 32).astype(np.int32))[:SKETCH]
+
+
+def prefix(found: np.ndarray, common: np.ndarray, holders: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a text, so many that no similar text is without all of them.
+
+    ``common`` are ascending hashes of known frequency ``holders``; other shingles come before them, in order of hash.
+    Similar sets of n and m shingles share 0.8 max(n, m) at least, and so one of the first n // 5 + 1 and m // 5 + 1.
+    """
+    if not len(found):
+        return found
+    rank = np.zeros(len(found), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        rank = np.where(common[at] == found, holders[at], 0)
+    return found[np.lexsort((found, rank))[: len(found) // 5 + 1]]
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and frequencies of shingles that many of a bounded sample of rows have."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(hashes(words_of(text)), pa.int64())], names=["hash"])
+
+    text_batches(docs.sparkSession)
+    share = min(1.0, COUNTED / max(1, docs.count()))
+    drawn = F.pmod(F.xxhash64("doc_id", clean_text()), F.lit(1 << 20)) < int(share * (1 << 20))
+    counts = docs.where(drawn).select(clean_text().alias("text")).mapInArrow(batches, "hash long").groupBy("hash").count()
+    rows = sorted(counts.where(F.col("count") >= LEAST).orderBy(F.desc("count"), "hash").limit(COMMON).collect())
+    return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, fps, sketch) of each row."""
+    """(doc_id, text_hash, node, fps, rare, sketch) of each row."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             words = [words_of(t) for t in batch.column(2).to_pylist()]
+            found = [hashes(w) for w in words]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:2],
                     pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
                     pa.array([marks(w) for w in words], pa.list_(pa.int64())),
-                    pa.array([sketch(w) for w in words], pa.list_(pa.int32())),
+                    pa.array([prefix(h, *shared.value) for h in found], pa.list_(pa.int64())),
+                    pa.array([_short(h) for h in found], pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "text_hash", "node", "fps", "sketch"],
+                names=["doc_id", "text_hash", "node", "fps", "rare", "sketch"],
             )
 
     text_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(clean_text()).alias("text_hash"), clean_text().alias("text"))
-    return rows.mapInArrow(batches, f"doc_id {kind}, text_hash long, node binary, fps array<long>, sketch array<int>")
+    return rows.mapInArrow(batches, f"doc_id {kind}, text_hash long, node binary, fps array<long>, rare array<long>, sketch array<int>")
+
+
+def members(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, number) whose bucket has other nodes too. Nearly all buckets hold one node."""
+    ends = rows.groupBy("bucket").agg(F.min("number").alias("low"), F.max("number").alias("high"))
+    shared = materialise(ends.where("low < high").select("bucket"))
+    return materialise(rows.join(shared, "bucket"))
+
+
+def with_leaders(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of each bucket with its leaders: its oldest node and that of the largest number.
+
+    A bucket of any size gives two pairs a member at most and no group is compared with itself.
+    """
+    aged = met.join(nodes.select("number", "first_id"), "number")
+    leaders = aged.groupBy("bucket").agg(F.min_by("number", F.struct("first_id", "number")).alias("oldest"), F.max("number").alias("last"))
+    pairs = met.join(leaders, "bucket").select("number", F.explode(F.array("oldest", "last")).alias("leader")).where("number <> leader")
+    return pairs.select(F.least("number", "leader").alias("a"), F.greatest("number", "leader").alias("b")).distinct()
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of node numbers that share a bucket with one of its two leaders, within the radius.
+    """Pairs (a, b) of node numbers that share a bucket of a covering table with one of its two leaders.
 
-    ``nodes`` has number, first_id and fps. A bucket's leaders are its oldest node and that of the largest number, so a
-    bucket of any size gives two pairs a member at most and no group is compared with itself. Nearly all buckets hold
-    one node: which are shared is found on two longs a row, and only members of those meet their fingerprints again.
+    ``nodes`` has number, first_id and fps. Each fingerprint has its own pass, so that the disk holds the tables of one.
     """
     masks = covering_masks(RADIUS)
-    tables = F.array(*[F.struct(F.lit(i).alias("which"), F.lit(i * len(masks) + j).alias("table"), F.lit(m).cast("long").alias("mask")) for i in range(FINGERPRINTS) for j, m in enumerate(masks)])
-    rows = nodes.select("number", "fps", F.explode(tables).alias("t"))
-    key = F.col("fps")[F.col("t.which")].bitwiseAND(F.col("t.mask"))
-    rows = rows.select(F.xxhash64("t.table", key).alias("bucket"), "number")
-    ends = rows.groupBy("bucket").agg(F.min("number").alias("low"), F.max("number").alias("high"))
-    shared = materialise(ends.where("low < high").select("bucket"))
-    members = materialise(rows.join(shared, "bucket").join(nodes, "number"))
-    leader = F.struct("number", "fps")
-    leaders = members.groupBy("bucket").agg(F.min_by(leader, F.struct("first_id", "number")).alias("oldest"), F.max_by(leader, "number").alias("last"))
-    leaders = materialise(leaders.select("bucket", F.explode(F.array("oldest", "last")).alias("leader")).distinct())
-    met = members.join(leaders, "bucket").where("number <> leader.number")
-    apart = F.zip_with("fps", "leader.fps", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    near = met.where(F.array_min(apart) <= RADIUS).select("number", F.col("leader.number").alias("leader"))
-    return near.select(F.least("number", "leader").alias("a"), F.greatest("number", "leader").alias("b")).distinct()
+    found = None
+    for i in range(FINGERPRINTS):
+        tables = F.array(*[F.struct(F.lit(j).alias("table"), F.lit(m).cast("long").alias("mask")) for j, m in enumerate(masks)])
+        rows = nodes.select("number", F.col("fps")[i].alias("fp"), F.explode(tables).alias("t"))
+        rows = rows.select(F.xxhash64("t.table", F.col("fp").bitwiseAND(F.col("t.mask"))).alias("bucket"), "number")
+        pairs = materialise(with_leaders(members(rows), nodes))
+        found = pairs if found is None else found.unionAll(pairs)
+    return found.distinct()
 
 
 def similarity(a, b):
@@ -111,10 +170,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     found = materialise(signatures(docs).withColumn("number", F.monotonically_increasing_id()))
     age = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "number")
-    nodes = found.groupBy("node").agg(F.min(age).alias("age"), F.min("fps").alias("fps"))
+    nodes = found.groupBy("node").agg(F.min(age).alias("age"), F.min("fps").alias("fps"), F.min("rare").alias("rare"))
     first = F.coalesce(F.col("age.id").try_cast("long"), F.lit((1 << 63) - 1))
-    nodes = materialise(nodes.select(F.col("age.number").alias("number"), first.alias("first_id"), "age", "fps"))
-    pairs = materialise(candidates(nodes.select("number", "first_id", "fps")))
+    nodes = materialise(nodes.select(F.col("age.number").alias("number"), first.alias("first_id"), "age", "fps", "rare"))
+    met = members(nodes.select(F.explode("rare").alias("bucket"), "number"))
+    pairs = candidates(nodes.select("number", "first_id", "fps")).unionAll(with_leaders(met, nodes))
+    pairs = materialise(pairs.distinct())
     needed = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
     sketches = materialise(found.select("number", "sketch").join(needed, "number", "left_semi"))
     left = pairs.join(sketches.toDF("a", "sketch_a"), "a")

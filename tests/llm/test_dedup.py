@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,29 @@ def test_sketch_of_a_short_text_is_exact(spark):
     x, y = shingles(a), shingles(b)
     df = spark.createDataFrame([(dedup.sketch(words_of(a)).tolist(), dedup.sketch(words_of(b)).tolist())], "a array<int>, b array<int>")
     assert df.select(dedup.similarity(F.col("a"), F.col("b"))).first()[0] == len(x & y) / len(x | y)
+
+
+def test_similar_texts_out_of_reach_of_fingerprints_are_found(spark):
+    rng = random.Random(17)
+    vocabulary = [f"w{i}" for i in range(3_000)]
+    rows = []
+    for _ in range(40):
+        base = rng.choices(vocabulary, k=rng.randrange(150, 500))
+        scattered = list(base)
+        for at in range(25, len(base), 50):
+            scattered[at] = rng.choice(vocabulary)
+        rows += [base, base[: round(0.83 * len(base))], base + rng.choices(vocabulary, k=len(base) // 6), scattered]
+    rows = list(enumerate(" ".join(r) for r in rows))
+    got = sorted(r.doc_id for r in dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(i for i, _ in brute(rows))
+
+
+def test_prefixes_of_similar_sets_meet_in_any_order():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        pool = np.sort(rng.choice(1_000, rng.integers(1, 60), replace=False))
+        a, b = (pool[rng.random(len(pool)) < 0.95] for _ in range(2))
+        common = np.sort(rng.choice(pool, rng.integers(0, len(pool) + 1), replace=False))
+        holders = rng.integers(3, 9, len(common))
+        if len(a) and len(b) and len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8:
+            assert len(np.intersect1d(dedup.prefix(a, common, holders), dedup.prefix(b, common, holders)))
