@@ -140,6 +140,22 @@ def with_leaders(met: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select(F.least("number", "leader").alias("a"), F.greatest("number", "leader").alias("b")).distinct()
 
 
+def across(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of each bucket that no links connect so far, by (node, root) of those that have any.
+
+    Groups of a bucket are paired before their members, so a large group of connected nodes isn't compared with itself.
+    """
+    rooted = met.join(roots.withColumnRenamed("node", "number"), "number", "left")
+    rooted = materialise(rooted.select("bucket", "number", F.coalesce("root", "number").alias("root")))
+    groups = rooted.select("bucket", "root").distinct()
+    ends = groups.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    groups = materialise(groups.join(ends.where("low < high").select("bucket"), "bucket"))
+    sides = groups.toDF("bucket", "root_a").join(groups.toDF("bucket", "root_b"), "bucket").where("root_a < root_b")
+    one = sides.join(rooted.toDF("bucket", "x", "root_a"), ["bucket", "root_a"])
+    both = one.join(rooted.toDF("bucket", "y", "root_b"), ["bucket", "root_b"])
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of node numbers that share a bucket of a covering table with one of its two leaders.
 
@@ -163,6 +179,15 @@ def similarity(a, b):
     return F.when(F.size(least) > 0, shared / F.size(least)).otherwise(1.0)
 
 
+def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose shingles are similar enough."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
+    sketches = materialise(found.select("number", "sketch").join(needed, "number", "left_semi"))
+    left = pairs.join(sketches.toDF("a", "sketch_a"), "a")
+    both = left.join(sketches.toDF("b", "sketch_b"), "b")
+    return materialise(both.where(similarity(F.col("sketch_a"), F.col("sketch_b")) >= SIMILAR).select("a", "b"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows, with their own columns, that are the first of their group: of smallest doc_id, null ids last.
 
@@ -176,12 +201,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     met = members(nodes.select(F.explode("rare").alias("bucket"), "number"))
     pairs = candidates(nodes.select("number", "first_id", "fps")).unionAll(with_leaders(met, nodes))
     pairs = materialise(pairs.distinct())
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
-    sketches = materialise(found.select("number", "sketch").join(needed, "number", "left_semi"))
-    left = pairs.join(sketches.toDF("a", "sketch_a"), "a")
-    both = left.join(sketches.toDF("b", "sketch_b"), "b")
-    links = both.where(similarity(F.col("sketch_a"), F.col("sketch_b")) >= SIMILAR).select("a", "b")
-    roots = materialise(components(links))
+    links = verified(pairs, found)
+    rest = materialise(across(met, components(links)).join(pairs, ["a", "b"], "left_anti"))
+    roots = materialise(components(links.unionAll(verified(rest, found))))
     rooted = nodes.select(F.col("number").alias("node"), "age").join(roots, "node", "left")
     firsts = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("age").alias("age"))
     firsts = materialise(firsts.select(F.coalesce(F.col("age.id").cast("string"), F.lit("")).alias("id"), F.col("age.hash").alias("hash")).distinct())

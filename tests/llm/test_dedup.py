@@ -120,3 +120,23 @@ def test_prefixes_of_similar_sets_meet_in_any_order():
         holders = rng.integers(3, 9, len(common))
         if len(a) and len(b) and len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8:
             assert len(np.intersect1d(dedup.prefix(a, common, holders), dedup.prefix(b, common, holders)))
+
+
+def test_members_of_a_bucket_that_no_links_connect_all_meet(spark):
+    met = spark.createDataFrame([(1, n) for n in range(7)] + [(2, 0), (2, 1)], "bucket long, number long")
+    roots = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (4, 3), (3, 3)], "node long, root long")
+    group = {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 6}
+    want = {(a, b) for b in group for a in range(b) if group[a] != group[b]}
+    got = [(r.a, r.b) for r in dedup.across(met, roots).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_similar_texts_behind_unrelated_leaders_are_found(spark):
+    rng = random.Random(29)
+    bases = [[f"v{rng.randrange(10**6)}" for _ in range(200)] for _ in range(4)]
+    oldest = [b[at : at + 5] for b in bases for at in range(196)]
+    last = [b[at : at + 6] for b in bases for at in range(195)]
+    rows = list(enumerate(" ".join(r) for r in [*oldest, *bases, *(b[:166] for b in bases), *last]))
+    cut = {len(oldest) + len(bases) + i for i in range(len(bases))}
+    got = {r.doc_id for r in dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i for i, _ in rows} - cut
