@@ -25,9 +25,6 @@ from factloom.llm.simhash import BITS, BLOCK, covering_masks, words_of
 
 SHINGLE, SIMILAR = 5, 0.8
 FINGERPRINTS, RADIUS = 6, 4
-#: Smallest shingle hashes kept of a text: all of them up to so many, else a sample of the whole text's shingles whose
-#: similarity has a standard error of 0.0125 at 0.8.
-SKETCH = 1024
 #: Rows whose shingles are counted, about, to put common ones last; the fewest rows of a common one, and how many of
 #: those are kept. They order the prefixes: any order finds the same links, a good one with fewer pairs.
 COUNTED, LEAST, COMMON = 10_000, 3, 200_000
@@ -58,12 +55,12 @@ def hashes(words: list[bytes]) -> np.ndarray:
 
 
 def sketch(words: list[bytes]) -> np.ndarray:
-    """The smallest distinct hashes of the shingles, cut to 32 bits."""
+    """The distinct hashes of all shingles, cut to 32 bits."""
     return _short(hashes(words))
 
 
 def _short(found: np.ndarray) -> np.ndarray:
-    return np.unique((found >> 32).astype(np.int32))[:SKETCH]
+    return np.unique((found >> 32).astype(np.int32))
 
 
 def prefix(found: np.ndarray, common: np.ndarray, holders: np.ndarray) -> np.ndarray:
@@ -173,10 +170,10 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 
 def similarity(a, b):
-    """Jaccard similarity of two sketches: the share of the union's smallest hashes that both have."""
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    shared = F.size(F.array_intersect(least, F.array_intersect(a, b)))
-    return F.when(F.size(least) > 0, shared / F.size(least)).otherwise(1.0)
+    """Jaccard similarity of two sets of hashes; two empty ones are alike."""
+    shared = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - shared
+    return F.when(union > 0, shared / union).otherwise(1.0)
 
 
 def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:

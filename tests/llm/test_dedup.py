@@ -140,3 +140,16 @@ def test_similar_texts_behind_unrelated_leaders_are_found(spark):
     cut = {len(oldest) + len(bases) + i for i in range(len(bases))}
     got = {r.doc_id for r in dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i for i, _ in rows} - cut
+
+
+def test_long_texts_near_the_bound_are_decided_exactly(spark):
+    rng = random.Random(31)
+    rows, cut = [], set()
+    for i in range(24):
+        base = [f"u{rng.randrange(10**7)}" for _ in range(2_504)]
+        share = 0.79 if i % 2 else 0.81
+        cut |= {2 * i + 1} if share > 0.8 else set()
+        rows += [base, base[: round(share * 2_500) + 4]]
+    rows = list(enumerate(" ".join(r) for r in rows))
+    got = {r.doc_id for r in dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i for i, _ in rows} - cut
