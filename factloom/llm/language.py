@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 from factloom.llm.common import materialise, table, text_batches
 from factloom.llm.html import Page, host_of
 
-#: Documents that the trigram models are fitted on, about, the longest of them, and the fewest for a language.
-SAMPLE, LONGEST, LEAST = 6_000, 20_000, 5
+#: Documents that the trigram models are fitted on, about, the longest of them, and the fewest for a language; and how
+#: many texts of a language are drawn at least, about, or all that it has.
+SAMPLE, LONGEST, LEAST, EACH = 6_000, 20_000, 5, 100
 BINS = 1 << 16
 #: A text's trigrams count as so many independent ones at most, since neighbours repeat each other.
 INDEPENDENT = 60
@@ -94,10 +95,17 @@ def evidence(docs: DataFrame, text: str, declared: Column, host: Column, suffix:
 
 
 def train(rows: DataFrame) -> Trigrams:
-    """Fit on a bounded sample of the rows that declare a language, drawn by a hash of the text."""
+    """Fit on a bounded sample of each language's rows, drawn by a hash of the text.
+
+    Which languages there are is counted over all rows that declare one, so a rare one has its model in any corpus.
+    """
     known = rows.where("_declared <> ''").select("_text", "_declared").where(F.length("_text") <= LONGEST)
-    share = min(1.0, SAMPLE / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < int(share * (1 << 20))).distinct().collect()
+    texts = known.groupBy("_declared").agg(F.count("*").alias("rows"), F.approx_count_distinct(F.xxhash64("_text")).alias("texts")).collect()
+    share = SAMPLE / max(1, sum(r["rows"] for r in texts))
+    rates = [(r["_declared"], int(min(1.0, max(share, EACH / max(1, r["texts"]))) * (1 << 20))) for r in texts]
+    rates = rows.sparkSession.createDataFrame(rates, "_declared string, _rate int")
+    drawn = known.join(F.broadcast(rates), "_declared")  # a row for each language
+    drawn = drawn.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < F.col("_rate")).select("_text", "_declared").distinct().collect()
     drawn.sort()
     return fit([r[0] for r in drawn], [r[1] for r in drawn])
 

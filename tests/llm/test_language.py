@@ -87,3 +87,14 @@ def test_trigrams_in_blocks(monkeypatch):
     monkeypatch.setattr(language, "BLOCK", 37)
     assert (np.concatenate(list(language.trigrams(text))) == whole).all()
     assert sum(map(len, language.trigrams(""))) == 0
+
+
+def test_a_rare_declared_language_of_a_large_table_is_known(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 300)
+    rng = random.Random(8)
+    rows = [(i, text_in("aa", rng), "aa", "s") for i in range(4_000)]
+    rows += [(4_000 + i, " ".join("".join(rng.choices("жщыюбд", k=4)) for _ in range(12)), "rr", "s") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert language.keep_known(docs).count() == len(rows)
+    got = language.identify(language.document_evidence(docs), ["doc_id"]).where("doc_id >= 4000").collect()
+    assert {r._lang for r in got} == {"rr"}
