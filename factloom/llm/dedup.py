@@ -28,6 +28,8 @@ FINGERPRINTS, RADIUS = 6, 4
 #: Rows whose shingles are counted, about, to put common ones last; the fewest rows of a common one, and how many of
 #: those are kept. They order the prefixes: any order finds the same links, a good one with fewer pairs.
 COUNTED, LEAST, COMMON = 10_000, 3, 200_000
+#: Parts that shingles are dealt in by hash; their counts bound how similar two texts can be.
+PARTS = 128
 
 
 def marks(words: list[bytes]) -> list[int]:
@@ -63,6 +65,11 @@ def _short(found: np.ndarray) -> np.ndarray:
     return np.unique((found >> 32).astype(np.int32))
 
 
+def parts(short: np.ndarray) -> np.ndarray:
+    """How many of the hashes fall in each part."""
+    return np.bincount(short & (PARTS - 1), minlength=PARTS).astype(np.int32)
+
+
 def prefix(found: np.ndarray, common: np.ndarray, holders: np.ndarray) -> np.ndarray:
     """The rarest shingles of a text, so many that no similar text is without all of them.
 
@@ -95,28 +102,30 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, fps, rare, sketch) of each row."""
+    """(doc_id, text_hash, node, fps, rare, parts, sketch) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             words = [words_of(t) for t in batch.column(2).to_pylist()]
             found = [hashes(w) for w in words]
+            short = [_short(h) for h in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:2],
                     pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
                     pa.array([marks(w) for w in words], pa.list_(pa.int64())),
                     pa.array([prefix(h, *shared.value) for h in found], pa.list_(pa.int64())),
-                    pa.array([_short(h) for h in found], pa.list_(pa.int32())),
+                    pa.array([parts(h) for h in short], pa.list_(pa.int32())),
+                    pa.array(short, pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "text_hash", "node", "fps", "rare", "sketch"],
+                names=["doc_id", "text_hash", "node", "fps", "rare", "parts", "sketch"],
             )
 
     text_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(clean_text()).alias("text_hash"), clean_text().alias("text"))
-    return rows.mapInArrow(batches, f"doc_id {kind}, text_hash long, node binary, fps array<long>, rare array<long>, sketch array<int>")
+    return rows.mapInArrow(batches, f"doc_id {kind}, text_hash long, node binary, fps array<long>, rare array<long>, parts array<int>, sketch array<int>")
 
 
 def members(rows: DataFrame) -> DataFrame:
@@ -159,6 +168,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     ``nodes`` has number, first_id and fps. Each fingerprint has its own pass, so that the disk holds the tables of one.
     """
     masks = covering_masks(RADIUS)
+    collect_garbage = nodes.sparkSession.sparkContext._jvm.System.gc  # Spark removes shuffles that nobody refers to
     found = None
     for i in range(FINGERPRINTS):
         tables = F.array(*[F.struct(F.lit(j).alias("table"), F.lit(m).cast("long").alias("mask")) for j, m in enumerate(masks)])
@@ -166,6 +176,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
         rows = rows.select(F.xxhash64("t.table", F.col("fp").bitwiseAND(F.col("t.mask"))).alias("bucket"), "number")
         pairs = materialise(with_leaders(members(rows), nodes))
         found = pairs if found is None else found.unionAll(pairs)
+        collect_garbage()
     return found.distinct()
 
 
@@ -176,13 +187,29 @@ def similarity(a, b):
     return F.when(union > 0, shared / union).otherwise(1.0)
 
 
+def possible(a, b):
+    """False only for texts that can't be similar: their counts by part differ by more than similar sets may.
+
+    Sets of n and m with s shared are similar if s >= 0.8 (n + m - s), that is if n + m - 2 s <= (n + m) / 9; and what
+    the counts differ by is n + m - 2 s at most.
+    """
+    total = lambda x: F.aggregate(x, F.lit(0), lambda p, q: p + q)
+    return 9 * total(F.zip_with(a, b, lambda x, y: F.abs(x - y))) <= total(a) + total(b)
+
+
 def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose shingles are similar enough."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
-    sketches = materialise(found.select("number", "sketch").join(needed, "number", "left_semi"))
-    left = pairs.join(sketches.toDF("a", "sketch_a"), "a")
-    both = left.join(sketches.toDF("b", "sketch_b"), "b")
-    return materialise(both.where(similarity(F.col("sketch_a"), F.col("sketch_b")) >= SIMILAR).select("a", "b"))
+    """The pairs whose shingles are similar enough. Most others are told apart by their counts, without the shingles."""
+
+    def sides(pairs: DataFrame, column: str) -> DataFrame:
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
+        held = materialise(found.select("number", column).join(needed, "number", "left_semi"))
+        return pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+
+    sizes = found.select("number", F.aggregate("parts", F.lit(0), lambda x, y: x + y).alias("size"))
+    sized = pairs.join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b")
+    alike = materialise(sized.where(5 * F.least("n", "m") >= 4 * F.greatest("n", "m")).select("a", "b"))
+    alike = materialise(sides(alike, "parts").where(possible(F.col("x"), F.col("y"))).select("a", "b"))
+    return materialise(sides(alike, "sketch").where(similarity(F.col("x"), F.col("y")) >= SIMILAR).select("a", "b"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
