@@ -45,9 +45,9 @@ def by_hand(rows, labels):
     model = language.fit([t for t, _ in pairs], [x for _, x in pairs])
     rows = [r for r in rows if not ((s := model.score(r[1] or ""))[1] >= language.JUDGED and s[2] > language.UNSEEN)]
     rows = list(brute(rows))
-    real = {(k, c) for r in rows for _, _, k, c in pii.find(r[1] or "")}
-    fresh = {f"{k}\x1f{c}": pii.surrogate(pii.KEY, k, c) for k, c in real}
-    assert len(set(fresh.values())) == len(fresh) and not set(fresh.values()) & {c for _, c in real}
+    real = {f[2:] for r in rows for f in pii.find(r[1] or "")}
+    fresh = {f"{k}\x1f{c}": pii.surrogate(pii.TEST_KEY, k, c, r) for k, c, r in real}
+    assert len(set(fresh.values())) == len(fresh) and not set(fresh.values()) & {c for _, c, _ in real}
     return [(r[0], pii.replace(r[1], pii.find(r[1]), fresh) if r[1] else r[1]) for r in rows]
 
 
