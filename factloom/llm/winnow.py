@@ -99,6 +99,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(shared / F.greatest(F.size(x) + F.size(y) - shared, F.lit(1)))
 
 
+def spelled(keys: Column) -> Column:
+    """A fingerprint as a string: 16 hexadecimal digits for each selected key, in order, joined by commas."""
+    return F.array_join(F.transform(keys, lambda k: F.lower(F.lpad(F.hex(k), 16, "0"))), ",")
+
+
 def successors(ids: DataFrame) -> DataFrame:
     """(doc_id, next_id) of distinct ids: the next larger one, and after the last the first.
 
@@ -136,6 +141,12 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 
 
 def op9_winnowing(spark, sf_dir):
+    """Every row with its fingerprint, that of its edit, and how alike both and the next document's are.
+
+    The next document's fingerprint is taken again from the text that the edit needs anyway: an array of longs is about
+    as large as the text that it comes from and doesn't compress, so sending fingerprints along would double the shuffle.
+    Texts may be of any length; equal texts have equal fingerprints, and repeated rows stay.
+    """
     pairs = edited_pairs(table(spark, sf_dir, "documents"))
     found = pairs.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     for text, out in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next_text", "next_fingerprint")):
@@ -145,8 +156,8 @@ def op9_winnowing(spark, sf_dir):
         "doc_id",
         "n_chars",
         "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
+        spelled(F.col("fingerprint")).alias("fingerprint"),
+        spelled(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(hashes["fingerprint"], hashes["edited_fingerprint"]).alias("near_edited"),
         likeness(hashes["fingerprint"], hashes["next_fingerprint"]).alias("near_next"),
     )

@@ -1,6 +1,8 @@
 import hashlib
 import random
+import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from factloom.llm import winnow
@@ -35,6 +37,38 @@ def gram_keys(spark, words):
     return keys[: len(rolled)], keys[len(rolled) :]
 
 
+def plain(text):
+    """Fingerprint by the definition in plain Python: (hash, position), selected grams first, then those of short texts."""
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
+    base, mask = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words], 2**64 - 1
+    k = min(winnow.GRAM, len(base))
+    grams = []
+    for i in range(len(base) - k + 1 if base else 0):
+        h = 0
+        for x in base[i : i + k]:
+            h = (h << 1 | h >> 63) & mask ^ x
+        grams.append(h)
+    mixed = lambda h: xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42) >> 32
+    out, keys = [], [mixed(h) for h in grams]
+    w = min(winnow.WINDOW, len(keys))
+    for i in range(len(keys) - w + 1 if keys else 0):
+        h, p = min((keys[j], -j) for j in range(i, i + w))
+        if not out or out[-1] != (h, -p):
+            out.append((h, -p))
+    if len(words) < 2 * (winnow.GRAM + winnow.WINDOW - 1):
+        out += [x for i, h in enumerate(map(mixed, base)) if (x := (h, i)) not in out]
+    return out
+
+
+def plain_string(text):
+    return ",".join(f"{(h << 31) + (2**31 - 1 - p):016x}" for h, p in plain(text))
+
+
+def plain_likeness(a, b):
+    x, y = ({h for h, _ in plain(t)} for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
 def test_fingerprint_is_that_of_the_definition(spark):
     rng = random.Random(8)
     texts = ["", "  \n", "one", "one two", "a b c", "a b c d", "a a a a a a a a a a", "x y x y x y x y x y"]
@@ -67,11 +101,15 @@ def test_pairs_and_edits(spark, tmp_path):
     rng = random.Random(6)
     texts = {i * 7 - 40: " ".join(rng.choices(["un", "deux", "très", "日本", "x"], k=rng.randrange(40))) for i in range(60)}
     texts[1000], texts[1001], texts[1002] = None, "", "same words here again and again to the end"
+    texts[1003] = texts[1004] = " ".join(rng.choices("abcdefgh", k=60_000))
     rows = [(i, t, "clash", 1) for i, t in texts.items()]
     rng.shuffle(rows)
     docs = spark.createDataFrame([*rows, (None, "no id at all", "c", 2)], "doc_id long, text string, edited string, n_chars int")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r.doc_id: r for r in winnow.op9_winnowing(spark, str(tmp_path)).collect()}
+    out = winnow.op9_winnowing(spark, str(tmp_path))
+    kinds = dict(out.dtypes)
+    assert kinds["fingerprint"] == kinds["edited_fingerprint"] == "string" and kinds["near_edited"] == kinds["near_next"] == "double"
+    found = {r.doc_id: r for r in out.collect()}
     ids = sorted(texts)
     assert len(found) == len(ids) + 1
     for i, nxt in zip(ids, ids[1:] + ids[:1]):
@@ -80,7 +118,9 @@ def test_pairs_and_edits(spark, tmp_path):
         edited = text[: len(text) - half] + other[:half]
         assert found[i].n_chars == len(text)
         assert found[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= found[i].near_edited <= 1 and 0 <= found[i].near_next <= 1
+        assert found[i].fingerprint == plain_string(text) and found[i].edited_fingerprint == plain_string(edited)
+        assert abs(found[i].near_edited - plain_likeness(text, edited)) < 1e-12
+        assert abs(found[i].near_next - plain_likeness(text, other)) < 1e-12
         if edited == text:
             assert found[i].fingerprint == found[i].edited_fingerprint and found[i].near_edited == 1
 
