@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from factloom.plans.registry import query
+from factloom.sources.shared import shared_dir
 from factloom.sources.tables import table
 from factloom.streaming import events as streams
 
 
 def _work_dir(spark):
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _run(spark, sf_dir, transform):
