@@ -1,11 +1,11 @@
 """Near-duplicate removal by SimHash with covering tables and by rare shingles, verified on five-word shingles.
 
-Texts of the same words are one node. Each node has six SimHash fingerprints of its word set under independent seeds;
-the covering tables of the `simhash` module find every pair of nodes that any fingerprint brings within four bits.
-Fingerprints can't reach all texts of similar shingles, so nodes meet by a prefix filter too (Chaudhuri and others,
-2006): in any common order of all shingles, two sets of a similarity of 0.8 share one of the first fifth of each. The
-order is rarest first. Pairs so found are links if their five-word shingles are similar enough, and of each linked
-group one row stays.
+Texts of the same words are one node. Each node has a SimHash fingerprint of its word set; the covering tables of the
+`simhash` module bring together every pair of nodes within four bits. Fingerprints can't reach all texts of similar
+shingles, so nodes meet by a prefix filter too (Chaudhuri and others, 2006): in any common order of all shingles, two
+sets of a similarity of 0.8 share one of the first fifth of each. The order is rarest first. Pairs so found are links
+if their five-word shingles are similar enough, and of each linked group one row stays. What is written for every row
+is small: whole sets of shingles are taken, again from the texts, of those alone whose counts leave a pair possible.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm.common import clean_text, materialise, text_batches
+from factloom.llm.common import clean_text, forget, materialise, text_batches
 from factloom.operators.components import components
 from factloom.llm.simhash import BITS, BLOCK, covering_masks, words_of
 
 SHINGLE, SIMILAR = 5, 0.8
-FINGERPRINTS, RADIUS = 6, 4
+RADIUS = 4
 #: Rows whose shingles are counted, about, to put common ones last; the fewest rows of a common one, and how many of
 #: those are kept. They order the prefixes: any order finds the same links, a good one with fewer pairs.
 COUNTED, LEAST, COMMON = 10_000, 3, 200_000
@@ -32,16 +32,14 @@ COUNTED, LEAST, COMMON = 10_000, 3, 200_000
 PARTS = 128
 
 
-def marks(words: list[bytes]) -> list[int]:
-    """Independent SimHash fingerprints of the set of words, as signed longs."""
+def mark(words: list[bytes]) -> int:
+    """SimHash fingerprint of the set of words, as a signed long."""
     vocabulary = sorted(set(words))
-    ones, width = np.zeros(FINGERPRINTS * BITS, dtype=np.int64), BITS * FINGERPRINTS // 8
+    ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(vocabulary), BLOCK):
-        part = vocabulary[at : at + BLOCK]
-        raw = b"".join([xxhash.xxh3_128_digest(w, seed) for w in part for seed in range(FINGERPRINTS // 2)])
-        ones += np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(-1, width), axis=1).sum(axis=0, dtype=np.int32)
-    packed = np.packbits(2 * ones > len(vocabulary)).tobytes()
-    return [int.from_bytes(packed[i : i + 8], "big", signed=True) for i in range(0, width, 8)]
+        raw = b"".join(map(xxhash.xxh3_64_digest, vocabulary[at : at + BLOCK]))
+        ones += np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(-1, BITS // 8), axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * ones > len(vocabulary)).tobytes(), "big", signed=True)
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
@@ -101,38 +99,57 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
 
 
+def row_keys(docs: DataFrame) -> list:
+    """The row's doc_id as a string and the hash of its text: rows of equal keys have equal texts."""
+    return [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64(clean_text()).alias("text_hash")]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, fps, rare, parts, sketch) of each row."""
+    """(doc_id, id, text_hash, node, fp, rare, parts) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            words = [words_of(t) for t in batch.column(2).to_pylist()]
+            words = [words_of(t) for t in batch.column(3).to_pylist()]
             found = [hashes(w) for w in words]
-            short = [_short(h) for h in found]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[:2],
+                    *batch.columns[:3],
                     pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
-                    pa.array([marks(w) for w in words], pa.list_(pa.int64())),
+                    pa.array([mark(w) for w in words], pa.int64()),
                     pa.array([prefix(h, *shared.value) for h in found], pa.list_(pa.int64())),
-                    pa.array([parts(h) for h in short], pa.list_(pa.int32())),
-                    pa.array(short, pa.list_(pa.int32())),
+                    pa.array([parts(_short(h)) for h in found], pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "text_hash", "node", "fps", "rare", "parts", "sketch"],
+                names=["doc_id", "id", "text_hash", "node", "fp", "rare", "parts"],
             )
 
     text_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64(clean_text()).alias("text_hash"), clean_text().alias("text"))
-    return rows.mapInArrow(batches, f"doc_id {kind}, text_hash long, node binary, fps array<long>, rare array<long>, parts array<int>, sketch array<int>")
+    rows = docs.select("doc_id", *row_keys(docs), clean_text().alias("text"))
+    return rows.mapInArrow(batches, f"doc_id {kind}, id string, text_hash long, node binary, fp long, rare array<long>, parts array<int>")
+
+
+def sketches(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(number, sketch) of the needed nodes (number, id, text_hash), from a row of each; other texts reach no worker."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            found = [sketch(words_of(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["number", "sketch"])
+
+    text_batches(docs.sparkSession)
+    texts = docs.select(*row_keys(docs), clean_text().alias("text")).join(needed, ["id", "text_hash"])
+    return texts.select("number", "text").mapInArrow(batches, "number long, sketch array<int>").dropDuplicates(["number"])
 
 
 def members(rows: DataFrame) -> DataFrame:
-    """The rows (bucket, number) whose bucket has other nodes too. Nearly all buckets hold one node."""
-    ends = rows.groupBy("bucket").agg(F.min("number").alias("low"), F.max("number").alias("high"))
-    shared = materialise(ends.where("low < high").select("bucket"))
-    return materialise(rows.join(shared, "bucket"))
+    """The rows (bucket, number) whose bucket has other nodes too. Nearly all buckets hold one node.
+
+    The rows are dealt once, and both their ends and the join are taken from that one exchange.
+    """
+    dealt = rows.repartition("bucket")
+    ends = dealt.groupBy("bucket").agg(F.min("number").alias("low"), F.max("number").alias("high"))
+    return materialise(dealt.join(ends.where("low < high").select("bucket"), "bucket"))
 
 
 def with_leaders(met: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -146,38 +163,34 @@ def with_leaders(met: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select(F.least("number", "leader").alias("a"), F.greatest("number", "leader").alias("b")).distinct()
 
 
-def across(met: DataFrame, roots: DataFrame) -> DataFrame:
+def across(met: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
     """Pairs (a, b) of the members of each bucket that no links connect so far, by (node, root) of those that have any.
 
-    Groups of a bucket are paired before their members, so a large group of connected nodes isn't compared with itself.
+    Groups of a bucket are paired before their members, so a large group of connected nodes isn't compared with itself;
+    and only where the numbers of shingles, (number, size), let members be similar.
     """
-    rooted = met.join(roots.withColumnRenamed("node", "number"), "number", "left")
-    rooted = materialise(rooted.select("bucket", "number", F.coalesce("root", "number").alias("root")))
-    groups = rooted.select("bucket", "root").distinct()
-    ends = groups.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    groups = materialise(groups.join(ends.where("low < high").select("bucket"), "bucket"))
-    sides = groups.toDF("bucket", "root_a").join(groups.toDF("bucket", "root_b"), "bucket").where("root_a < root_b")
-    one = sides.join(rooted.toDF("bucket", "x", "root_a"), ["bucket", "root_a"])
-    both = one.join(rooted.toDF("bucket", "y", "root_b"), ["bucket", "root_b"])
+    alike = lambda low, high, other_low, other_high: (5 * F.col(high) >= 4 * F.col(other_low)) & (5 * F.col(other_high) >= 4 * F.col(low))
+    rooted = met.join(roots.withColumnRenamed("node", "number"), "number", "left").join(sizes, "number")
+    rooted = materialise(rooted.select("bucket", "number", F.coalesce("root", "number").alias("root"), "size"))
+    groups = rooted.groupBy("bucket", "root").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    ends = groups.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last"))
+    groups = materialise(groups.join(ends.where("first < last").select("bucket"), "bucket"))
+    sides = groups.toDF("bucket", "root_a", "low_a", "high_a").join(groups.toDF("bucket", "root_b", "low_b", "high_b"), "bucket")
+    sides = sides.where("root_a < root_b").where(alike("low_a", "high_a", "low_b", "high_b")).select("bucket", "root_a", "root_b")
+    one = sides.join(rooted.toDF("bucket", "x", "root_a", "n"), ["bucket", "root_a"])
+    both = one.join(rooted.toDF("bucket", "y", "root_b", "m"), ["bucket", "root_b"]).where(alike("n", "n", "m", "m"))
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of node numbers that share a bucket of a covering table with one of its two leaders.
 
-    ``nodes`` has number, first_id and fps. Each fingerprint has its own pass, so that the disk holds the tables of one.
+    ``nodes`` has number, first_id and fp.
     """
-    masks = covering_masks(RADIUS)
-    collect_garbage = nodes.sparkSession.sparkContext._jvm.System.gc  # Spark removes shuffles that nobody refers to
-    found = None
-    for i in range(FINGERPRINTS):
-        tables = F.array(*[F.struct(F.lit(j).alias("table"), F.lit(m).cast("long").alias("mask")) for j, m in enumerate(masks)])
-        rows = nodes.select("number", F.col("fps")[i].alias("fp"), F.explode(tables).alias("t"))
-        rows = rows.select(F.xxhash64("t.table", F.col("fp").bitwiseAND(F.col("t.mask"))).alias("bucket"), "number")
-        pairs = materialise(with_leaders(members(rows), nodes))
-        found = pairs if found is None else found.unionAll(pairs)
-        collect_garbage()
-    return found.distinct()
+    tables = F.array(*[F.struct(F.lit(j).alias("table"), F.lit(m).cast("long").alias("mask")) for j, m in enumerate(covering_masks(RADIUS))])
+    rows = nodes.select("number", "fp", F.explode(tables).alias("t"))
+    rows = rows.select(F.xxhash64("t.table", F.col("fp").bitwiseAND(F.col("t.mask"))).alias("bucket"), "number")
+    return with_leaders(members(rows), nodes)
 
 
 def similarity(a, b):
@@ -197,40 +210,52 @@ def possible(a, b):
     return 9 * total(F.zip_with(a, b, lambda x, y: F.abs(x - y))) <= total(a) + total(b)
 
 
-def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose shingles are similar enough. Most others are told apart by their counts, without the shingles."""
 
-    def sides(pairs: DataFrame, column: str) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
-        held = materialise(found.select("number", column).join(needed, "number", "left_semi"))
+    def sides(pairs: DataFrame, held: DataFrame) -> DataFrame:
         return pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
 
-    sizes = found.select("number", F.aggregate("parts", F.lit(0), lambda x, y: x + y).alias("size"))
-    sized = pairs.join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b")
-    alike = materialise(sized.where(5 * F.least("n", "m") >= 4 * F.greatest("n", "m")).select("a", "b"))
-    alike = materialise(sides(alike, "parts").where(possible(F.col("x"), F.col("y"))).select("a", "b"))
-    return materialise(sides(alike, "sketch").where(similarity(F.col("x"), F.col("y")) >= SIMILAR).select("a", "b"))
+    sizes = nodes.select("number", "size")
+    alike = sides(pairs, sizes).where(5 * F.least("x", "y") >= 4 * F.greatest("x", "y")).select("a", "b")
+    possible_ones = materialise(sides(alike, nodes.select("number", "parts")).where(possible(F.col("x"), F.col("y"))).select("a", "b"))
+    needed = possible_ones.select(F.explode(F.array("a", "b")).alias("number")).distinct()
+    needed = materialise(nodes.join(needed, "number", "left_semi").select("number", "id", "text_hash"))
+    held = materialise(sketches(docs, needed))
+    links = materialise(sides(possible_ones, held).where(similarity(F.col("x"), F.col("y")) >= SIMILAR).select("a", "b"))
+    forget(possible_ones, needed, held)
+    return links
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows, with their own columns, that are the first of their group: of smallest doc_id, null ids last.
 
     Texts of the same words are a group whatever their white space and letter case; null and empty texts are one such.
+    Of rows that repeat both doc_id and text one stays. Texts may be of any length; other columns may have any name.
     """
     found = materialise(signatures(docs).withColumn("number", F.monotonically_increasing_id()))
-    age = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "number")
-    nodes = found.groupBy("node").agg(F.min(age).alias("age"), F.min("fps").alias("fps"), F.min("rare").alias("rare"))
-    first = F.coalesce(F.col("age.id").try_cast("long"), F.lit((1 << 63) - 1))
-    nodes = materialise(nodes.select(F.col("age.number").alias("number"), first.alias("first_id"), "age", "fps", "rare"))
+    age = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), "id", "text_hash", "number")
+    firsts = materialise(found.groupBy("node").agg(F.min(age).alias("age")).select("age", F.col("age.number").alias("number")))
+    own = found.select("number", "id", "text_hash", "fp", "rare", "parts", F.aggregate("parts", F.lit(0), lambda x, y: x + y).alias("size"))
+    own = own.join(firsts.select("number", "age"), "number")
+    first = F.coalesce(F.col("age.doc_id").try_cast("long"), F.lit((1 << 63) - 1))
+    nodes = materialise(own.withColumn("first_id", first))
+    forget(found, firsts)
     met = members(nodes.select(F.explode("rare").alias("bucket"), "number"))
-    pairs = candidates(nodes.select("number", "first_id", "fps")).unionAll(with_leaders(met, nodes))
-    pairs = materialise(pairs.distinct())
-    links = verified(pairs, found)
-    rest = materialise(across(met, components(links)).join(pairs, ["a", "b"], "left_anti"))
-    roots = materialise(components(links.unionAll(verified(rest, found))))
+    pairs = materialise(candidates(nodes.select("number", "first_id", "fp")).unionAll(with_leaders(met, nodes)).distinct())
+    links = verified(pairs, nodes, docs)
+    rest = materialise(across(met, components(links), nodes.select("number", "size")).join(pairs, ["a", "b"], "left_anti"))
+    forget(met, pairs)
+    roots = materialise(components(links.unionAll(verified(rest, nodes, docs))))
+    forget(links, rest)
     rooted = nodes.select(F.col("number").alias("node"), "age").join(roots, "node", "left")
-    firsts = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("age").alias("age"))
-    firsts = materialise(firsts.select(F.coalesce(F.col("age.id").cast("string"), F.lit("")).alias("id"), F.col("age.hash").alias("hash")).distinct())
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64(clean_text()).alias("hash"))
-    kept = rows.join(firsts, ["id", "hash"]).withColumn("copy", F.row_number().over(W.partitionBy("id", "hash").orderBy("id")))
-    return kept.where("copy = 1").select("row.*")
+    kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("age").alias("age"))
+    kept = materialise(kept.select("age.id", "age.text_hash").distinct())
+    forget(nodes, roots)
+    keys = row_keys(docs)
+    rows = docs.select(F.struct("*").alias("row"), *keys).join(kept, ["id", "text_hash"])
+    again = docs.select(*keys).join(kept, ["id", "text_hash"], "left_semi").groupBy("id", "text_hash").count()
+    again = materialise(again.where("count > 1").select("id", "text_hash"))
+    copy = F.row_number().over(W.partitionBy("id", "text_hash").orderBy("id"))
+    repeated = rows.join(again, ["id", "text_hash"], "left_semi").withColumn("copy", copy).where("copy = 1").select("row.*")
+    return rows.join(again, ["id", "text_hash"], "left_anti").select("row.*").unionAll(repeated)

@@ -62,8 +62,7 @@ def test_one_of_each_group_stays(spark, seed):
     kept = dedup.one_of_each(docs)
     assert kept.columns == docs.columns
     got, want = sorted(r.doc_id for r in kept.collect()), sorted(i for i, _ in brute(rows))
-    assert set(want) <= set(got) <= set(range(len(rows)))  # what goes is a duplicate, and the first of a group stays
-    assert len(got) - len(want) <= 0.05 * (len(rows) - len(want))  # few duplicates differ too much in all fingerprints
+    assert got == want
 
 
 def test_nulls_empties_and_repeated_rows(spark):
@@ -83,9 +82,9 @@ def test_a_large_group_gives_no_pairs_of_all(spark):
         copy[rng.randrange(300)] = f"x{i}"
         rows.append((i, " ".join(copy)))
     found = dedup.signatures(spark.createDataFrame(rows, "doc_id long, text string"))
-    nodes = found.select(F.col("doc_id").alias("number"), F.col("doc_id").alias("first_id"), "fps")
+    nodes = found.select(F.col("doc_id").alias("number"), F.col("doc_id").alias("first_id"), "fp")
     n = dedup.candidates(nodes).count()
-    assert n <= 2 * 150 * dedup.FINGERPRINTS * (2 ** (dedup.RADIUS + 1) - 1) and n < 150 * 149 / 2
+    assert 149 <= n <= 2 * 150 * (2 ** (dedup.RADIUS + 1) - 1) and n < 150 * 149 / 2
     assert dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 1
 
 
@@ -127,8 +126,11 @@ def test_members_of_a_bucket_that_no_links_connect_all_meet(spark):
     roots = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (4, 3), (3, 3)], "node long, root long")
     group = {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 6}
     want = {(a, b) for b in group for a in range(b) if group[a] != group[b]}
-    got = [(r.a, r.b) for r in dedup.across(met, roots).collect()]
+    sizes = spark.createDataFrame([(n, 100) for n in range(7)], "number long, size int")
+    got = [(r.a, r.b) for r in dedup.across(met, roots, sizes).collect()]
     assert set(got) == want and len(got) == len(want)
+    sizes = spark.createDataFrame([(n, 100 if n != 6 else 70) for n in range(7)], "number long, size int")
+    assert {(r.a, r.b) for r in dedup.across(met, roots, sizes).collect()} == {p for p in want if 6 not in p}
 
 
 def test_similar_texts_behind_unrelated_leaders_are_found(spark):
