@@ -205,7 +205,7 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            texts = [Page(h or "").text() for h in batch.column(2).to_pylist()]
+            texts = [Page(h or "").plain_text() for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["page_id", "url", "html", "main_text"])
 
     text_batches(pages.sparkSession)
