@@ -3,7 +3,9 @@
 Four kinds of evidence give one posterior: the likelihood of the text's byte trigrams, the declared language, the
 suffix of the address, and a prior for the host. How far declarations and suffixes can be trusted and what a host
 writes in is counted over the whole corpus by grouped aggregation; a host's prior is smoothed towards that of its site,
-and the site's towards the corpus. Counts are expected ones, from the text alone, so nothing is believed twice.
+and the site's towards the corpus. Counts are expected ones, from the text alone and without the row itself, so nothing
+is believed twice. One class stands for no language known here: its texts are made of trigrams that the models haven't
+seen. A text for which it is the most probable class after all evidence is of language "und".
 """
 
 from __future__ import annotations
@@ -20,16 +22,19 @@ from pyspark.sql import types as T
 from factloom.llm.common import materialise, table, text_batches
 from factloom.llm.html import Page, host_of
 
-#: Documents that the trigram models are fitted on, about, the longest of them, and the fewest for a language; and how
-#: many texts of a language are drawn at least, about, or all that it has.
-SAMPLE, LONGEST, LEAST, EACH = 6_000, 20_000, 5, 100
+#: Documents that the trigram models are fitted on, about, and the fewest for a language; and how many texts of a
+#: language are drawn at least, about, or all that it has. Of a text longer than LONGEST, STRETCHES from all over it.
+SAMPLE, LEAST, EACH = 6_000, 5, 100
+LONGEST, STRETCHES = 20_000, 8
 BINS = 1 << 16
 #: A text's trigrams count as so many independent ones at most, since neighbours repeat each other.
 INDEPENDENT = 60
 #: Weight of what a level inherits from the level above, in documents.
 INHERITED = 20.0
-#: Texts of so many trigrams are no language known here if this share of them was seen in no two texts.
-JUDGED, UNSEEN = 40, 0.6
+#: Shares of unseen trigrams in a language known here and in others; of so many trigrams one counts, for neighbours are
+#: unseen together; and how often a text is in another language, before anything is counted.
+UNSEEN_KNOWN, UNSEEN_OTHER, TOGETHER, OTHER = 0.3, 0.9, 4, 1e-3
+UNKNOWN = "und"
 BLOCK = 1 << 20
 
 _LETTERS = np.full(256, 32, dtype=np.uint32)
@@ -57,15 +62,19 @@ class Trigrams:
     table: np.ndarray
     unseen: np.ndarray
 
-    def score(self, text: str) -> tuple[list[float], int, float]:
-        """Tempered log likelihoods, the number of trigrams and the share never seen."""
+    def score(self, text: str) -> list[float]:
+        """Tempered log likelihoods of the languages, and of none of them, above the likeliest language's."""
         total, n, odd = np.zeros(len(self.languages)), 0, 0
         for bins in trigrams(text):
             total += self.table[:, bins].sum(axis=1)
             n += len(bins)
             odd += int(self.unseen[bins].sum())
-        total *= min(1.0, INDEPENDENT / n) if n else 0.0
-        return (total - total.max() if len(total) else total).tolist(), n, odd / n if n else 0.0
+        if not n:
+            return [0.0] * (len(total) + 1)
+        total *= min(1.0, INDEPENDENT / n)
+        share = odd / n
+        told = share * np.log(UNSEEN_OTHER / UNSEEN_KNOWN) + (1 - share) * np.log((1 - UNSEEN_OTHER) / (1 - UNSEEN_KNOWN))
+        return [*(total - total.max()).tolist(), float(min(n / TOGETHER, INDEPENDENT) * told)]
 
 
 def fit(texts: list[str], languages: list[str]) -> Trigrams:
@@ -94,24 +103,32 @@ def evidence(docs: DataFrame, text: str, declared: Column, host: Column, suffix:
     })
 
 
+def stretches(text: Column) -> Column:
+    """The text, or of a long one as much as LONGEST in stretches at equal distances."""
+    n, size = F.length(text), LONGEST // STRETCHES
+    parts = [F.substring(text, (n * i / STRETCHES).cast("int") + 1, F.lit(size)) for i in range(STRETCHES)]
+    return F.when(n <= LONGEST, text).otherwise(F.concat_ws(" ", *parts))
+
+
 def train(rows: DataFrame) -> Trigrams:
     """Fit on a bounded sample of each language's rows, drawn by a hash of the text.
 
     Which languages there are is counted over all rows that declare one, so a rare one has its model in any corpus.
     """
-    known = rows.where("_declared <> ''").select("_text", "_declared").where(F.length("_text") <= LONGEST)
+    known = rows.where("_declared <> ''").select("_text", "_declared")
     texts = known.groupBy("_declared").agg(F.count("*").alias("rows"), F.approx_count_distinct(F.xxhash64("_text")).alias("texts")).collect()
     share = SAMPLE / max(1, sum(r["rows"] for r in texts))
     rates = [(r["_declared"], int(min(1.0, max(share, EACH / max(1, r["texts"]))) * (1 << 20))) for r in texts]
     rates = rows.sparkSession.createDataFrame(rates, "_declared string, _rate int")
     drawn = known.join(F.broadcast(rates), "_declared")  # a row for each language
-    drawn = drawn.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < F.col("_rate")).select("_text", "_declared").distinct().collect()
+    drawn = drawn.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < F.col("_rate"))
+    drawn = drawn.select(stretches(F.col("_text")).alias("_text"), "_declared").distinct().collect()
     drawn.sort()
     return fit([r[0] for r in drawn], [r[1] for r in drawn])
 
 
 def scored(rows: DataFrame, model: Trigrams, kept: list[str]) -> DataFrame:
-    """The kept columns and the evidence, the text replaced by _scores, _trigrams and _unseen."""
+    """The kept columns and the evidence, the text replaced by _scores: of the languages, and of none of them."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast((model.languages, model.table, model.unseen))
     columns = [*kept, "_declared", "_host", "_site", "_suffix"]
@@ -119,13 +136,11 @@ def scored(rows: DataFrame, model: Trigrams, kept: list[str]) -> DataFrame:
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Trigrams(*shared.value)
         for batch in parts:
-            found = [own.score(t) for t in batch.column(len(columns)).to_pylist()]
-            scores, n, odd = zip(*found) if found else ([], [], [])
-            arrays = [pa.array(scores, pa.list_(pa.float64())), pa.array(n, pa.int64()), pa.array(odd, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *arrays], names=[*columns, "_scores", "_trigrams", "_unseen"])
+            scores = pa.array([own.score(t) for t in batch.column(len(columns)).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], scores], names=[*columns, "_scores"])
 
     text_batches(spark)
-    schema = rows.select(*columns).schema.add("_scores", T.ArrayType(T.DoubleType())).add("_trigrams", T.LongType()).add("_unseen", T.DoubleType())
+    schema = rows.select(*columns).schema.add("_scores", T.ArrayType(T.DoubleType()))
     return rows.select(*columns, "_text").mapInArrow(batches, schema)
 
 
@@ -144,54 +159,54 @@ def _plus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
-def beliefs(found: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Host priors, and how likely each declaration and suffix is in each language, as log arrays.
+def _minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: F.greatest(x - y, F.lit(0.0)))
 
-    ``found`` has expected counts by host, site, declaration and suffix: a hot host is one row of them per task before
-    the shuffle.
-    """
-    total = F.aggregate("_n", F.lit(0.0), lambda a, b: a + b)
-    corpus = found.agg(_added(size, "_n").alias("_all"))
-    flat = F.transform(F.col("_all"), lambda x: (x + 1.0) / (F.aggregate("_all", F.lit(0.0), lambda a, b: a + b) + size))
-    smooth = lambda above: F.zip_with("_n", above, lambda n, p: (n + INHERITED * p) / (total + INHERITED))
-    sites = found.groupBy("_site").agg(_added(size, "_n").alias("_n")).join(F.broadcast(corpus), how="cross")
-    sites = materialise(sites.select("_site", smooth(flat).alias("_site_prior")))  # the corpus is one row
-    hosts = found.groupBy("_host", "_site").agg(_added(size, "_n").alias("_n")).join(sites, "_site")
-    hosts = hosts.select("_host", "_site", F.transform(smooth(F.col("_site_prior")), lambda x: F.log(x)).alias("_prior"))
 
-    def trust(key: str) -> DataFrame:
-        """log P(value | language); a value seldom seen says little, and an empty one says nothing."""
-        by = found.groupBy(key).agg(_added(size, "_n").alias("_n")).join(F.broadcast(corpus), how="cross")
-        likely = F.zip_with("_n", "_all", lambda n, a: F.log((n + 0.5) / (a + 1.0)))
-        return by.select(key, F.when(F.col(key) == "", F.array_repeat(F.lit(0.0), size)).otherwise(likely).alias(f"_trust{key}"))
-
-    return materialise(hosts), materialise(trust("_declared")), materialise(trust("_suffix"))
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
 
 def identify(rows: DataFrame, kept: list[str], model: Trigrams | None = None) -> DataFrame:
-    """The kept columns with _lang, _posterior and _known of each row of evidence().
+    """The kept columns with _lang and _posterior of each row of evidence(); repeated rows stay.
 
-    _known is false where the text has enough trigrams and most are in no two texts of the sample; _lang is null where
-    no language could be learned. Rows are never shuffled with their texts: each belief is a table of one row per host,
-    declaration or suffix, and Spark broadcasts it if its written size is small.
+    Every text is scored once and its scores are written; from then on no text moves. Expected counts by host, site,
+    declaration and suffix are summed per task before the shuffle, so a hot host is one row of them per task, and each
+    row meets those of its own values without its own share. _lang is null where no language could be learned; empty
+    texts are what their other evidence says; of classes equally probable the first by name is taken, "und" last.
     """
     model = model or train(rows)
-    size = len(model.languages)
-    if not size:
-        return rows.select(*kept, F.lit(None).cast("string").alias("_lang"), F.lit(0.0).alias("_posterior"), F.lit(True).alias("_known"))
-    by_text = scored(rows, model, []).withColumn("_p", _normal(F.col("_scores")))
-    counts = materialise(by_text.groupBy("_host", "_site", "_declared", "_suffix").agg(_added(size, "_p").alias("_n")))
-    hosts, declared, suffixes = beliefs(counts, size)
-    full = scored(rows, model, kept).join(hosts, ["_host", "_site"], "left").join(declared, "_declared", "left").join(suffixes, "_suffix", "left")
-    none = F.array_repeat(F.lit(0.0), size)
-    logs = F.col("_scores")
-    for name in ("_prior", "_trust_declared", "_trust_suffix"):
-        logs = _plus(logs, F.coalesce(name, none))
-    full = full.withColumn("_posteriors", _normal(logs)).withColumn("_posterior", F.array_max("_posteriors"))
-    names = F.array(*map(F.lit, model.languages))
-    known = ~((F.col("_trigrams") >= JUDGED) & (F.col("_unseen") > UNSEEN))
-    lang = F.element_at(names, F.array_position("_posteriors", F.col("_posterior")).cast("int"))
-    return full.select(*kept, lang.alias("_lang"), "_posterior", known.alias("_known"))
+    names = [*model.languages, UNKNOWN]
+    if len(names) == 1:
+        return rows.select(*kept, F.lit(None).cast("string").alias("_lang"), F.lit(0.0).alias("_posterior"))
+    size = len(names)
+    start = F.array(*[F.lit(0.0)] * (size - 1), F.lit(float(np.log(OTHER))))
+    found = materialise(scored(rows, model, kept).withColumn("_p", _normal(_plus(F.col("_scores"), start))))
+    counts = materialise(found.groupBy("_host", "_site", "_declared", "_suffix").agg(_added(size, "_p").alias("_n")))
+    corpus = counts.agg(_added(size, "_n").alias("n")).first().n  # a row of as many numbers as languages
+    overall = F.array(*[F.lit(float(x or 0.0)) for x in corpus])
+    by = lambda name, *keys: counts.groupBy(*keys).agg(_added(size, "_n").alias(name))
+    hosts = by("_host_n", "_host", "_site").join(by("_site_n", "_site"), "_site")
+    full = found.join(materialise(hosts), ["_host", "_site"])
+    for key in ("_declared", "_suffix"):
+        full = full.join(materialise(by(f"{key}_n", key)), key)
+    own = F.col("_p")
+    rest = _minus(overall, own)
+    smooth = lambda n, above: F.zip_with(n, above, lambda x, q: (x + INHERITED * q) / (_total(n) + INHERITED))
+    flat = F.transform(rest, lambda x: (x + 1.0) / (_total(rest) + size))
+    full = full.withColumn("_logs", F.col("_scores")).withColumn("_flat", flat)
+    full = full.withColumn("_site_prior", smooth(_minus(F.col("_site_n"), own), F.col("_flat")))
+    full = full.withColumn("_logs", _plus(F.col("_logs"), F.transform(smooth(_minus(F.col("_host_n"), own), F.col("_site_prior")), lambda x: F.log(x))))
+    for key in ("_declared", "_suffix"):
+        value = _minus(F.col(f"{key}_n"), own)
+        share = _total(F.col(f"{key}_n")) / float(sum(x or 0.0 for x in corpus) or 1.0)
+        # log P(value | language): a value seldom seen says little, and an empty one nothing
+        weight = F.when(F.col(key) == "", 0.0).otherwise(_total(value) / (_total(value) + INHERITED))
+        likely = F.zip_with(value, rest, lambda n, a: weight * F.log((n + INHERITED * share) / (a + INHERITED)))
+        full = full.withColumn("_logs", _plus(F.col("_logs"), likely))
+    full = full.withColumn("_posteriors", _normal(F.col("_logs"))).withColumn("_posterior", F.array_max("_posteriors"))
+    lang = F.element_at(F.array(*map(F.lit, names)), F.array_position("_posteriors", F.col("_posterior")).cast("int"))
+    return full.select(*kept, lang.alias("_lang"), "_posterior")
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:
@@ -215,17 +230,34 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return evidence(found, "main_text", declared, host_of(), F.regexp_extract(host_of(), r"\.([a-z]+)$", 1))
 
 
+def row_key() -> Column:
+    """A hash of what the verdict on a document depends on."""
+    return F.xxhash64("text", "lang", "source")
+
+
 def keep_known(docs: DataFrame) -> DataFrame:
-    """Documents, with their own columns, whose text is in a language known here."""
-    rows = document_evidence(docs.select(F.struct("*").alias("_row"), "text", "lang", "source"))
-    return identify(rows, ["_row"]).where("_known").select("_row.*")
+    """Documents, with their own columns, unless the fused posterior says that they are in no language known here.
+
+    Only the keys of those that go meet the documents again. Null and empty texts stay unless all other evidence is of
+    unknown languages; repeated rows stay or go together.
+    """
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    verdicts = identify(document_evidence(docs.select(row_key().alias("_key"), "text", "lang", "source")), ["_key"])
+    gone = materialise(verdicts.where(F.col("_lang") == UNKNOWN).select(F.col("_key").alias(key)).distinct())
+    return docs.withColumn(key, row_key()).join(gone, key, "left_anti").select(*docs.columns)
 
 
 def op1_language_id(spark, sf_dir):
     found = identify(document_evidence(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")), ["doc_id"])
-    return found.select("doc_id", F.col("_lang").alias("language"), F.col("_posterior").alias("posterior"), F.col("_known").alias("kept"))
+    return _verdicts(found, "doc_id")
 
 
 def op1_language_id_pages(spark, sf_dir):
-    found = identify(page_evidence(table(spark, sf_dir, "pages")), ["page_id", "url"])
-    return found.select("page_id", "url", F.col("_lang").alias("language"), F.col("_posterior").alias("posterior"), F.col("_known").alias("kept"))
+    return _verdicts(identify(page_evidence(table(spark, sf_dir, "pages")), ["page_id", "url"]), "page_id", "url")
+
+
+def _verdicts(found: DataFrame, *ids: str) -> DataFrame:
+    known = F.coalesce(F.col("_lang") != UNKNOWN, F.lit(True))
+    return found.select(*ids, F.col("_lang").alias("language"), F.col("_posterior").alias("posterior"), known.alias("kept"))

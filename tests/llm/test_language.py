@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from factloom.llm import language
 
@@ -28,22 +29,23 @@ def test_fused_posterior_is_that_of_bayes_by_hand(spark):
     found = language.document_evidence(docs)
     model = language.train(found)
     got = {r.doc_id: r for r in language.identify(found, ["doc_id"], model).collect()}
-    size = len(model.languages)
-    scores = {r[0]: np.array(model.score(r[1])[0]) for r in rows}
-    soft = {i: np.exp(s) / np.exp(s).sum() for i, s in scores.items()}
-    n = lambda keep: sum((soft[r[0]] for r in rows if keep(r)), np.zeros(size))
-    total = n(lambda r: True)
-    flat = (total + 1) / (total.sum() + size)
-    smooth = lambda c, p: (c + language.INHERITED * p) / (c.sum() + language.INHERITED)
+    names, kappa = [*model.languages, "und"], language.INHERITED
+    scores = {r[0]: np.array(model.score(r[1])) for r in rows}
+    start = np.append(np.zeros(len(names) - 1), np.log(language.OTHER))
+    soft = {i: np.exp(s + start) / np.exp(s + start).sum() for i, s in scores.items()}
     for i, _, declared, host, truth in rows[:60]:
+        n = lambda keep: sum((soft[r[0]] for r in rows if keep(r) and r[0] != i), np.zeros(len(names)))
+        total = n(lambda r: True)
+        flat = (total + 1) / (total.sum() + len(names))
+        smooth = lambda c, p: (c + kappa * p) / (c.sum() + kappa)
         site = smooth(n(lambda r: r[3].split(".", 1)[1] == host.split(".", 1)[1]), flat)
-        prior = np.log(smooth(n(lambda r: r[3] == host), site))
-        trust = np.log((n(lambda r: r[2] == declared) + 0.5) / (total + 1))
-        suffix = np.log((n(lambda r: r[3].rsplit(".", 1)[1] == host.rsplit(".", 1)[1]) + 0.5) / (total + 1))
-        logs = scores[i] + prior + trust + suffix
+        logs = scores[i] + np.log(smooth(n(lambda r: r[3] == host), site))
+        for same in (lambda r: r[2] == declared, lambda r: r[3].rsplit(".", 1)[1] == host.rsplit(".", 1)[1]):
+            c, share = n(same), sum(map(same, rows)) / len(rows)
+            logs = logs + c.sum() / (c.sum() + kappa) * np.log((c + kappa * share) / (total + kappa))
         p = np.exp(logs - logs.max())
         p /= p.sum()
-        assert got[i]._lang == model.languages[int(p.argmax())] == truth
+        assert got[i]._lang == names[int(p.argmax())] == truth
         assert math.isclose(got[i]._posterior, p.max(), rel_tol=1e-9)
 
 
@@ -53,7 +55,7 @@ def test_other_evidence_decides_short_texts(spark):
     got = {r.doc_id: r for r in language.identify(language.document_evidence(docs), ["doc_id"]).collect()}
     assert len(got) == len(rows)
     assert got[1000]._lang == "bb" and got[1001]._lang == "cc"
-    assert got[1002]._known and got[1002]._lang == "aa"  # the commonest one of the corpus
+    assert got[1002]._lang == "aa"  # the commonest one of the corpus
 
 
 def test_unknown_languages_go_and_columns_stay(spark):
@@ -65,10 +67,37 @@ def test_unknown_languages_go_and_columns_stay(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted([r[0] for r in rows] + [2001, 3])
 
 
+def test_the_posterior_decides_what_stays(spark):
+    """The same doubtful text stays at a host that writes known languages and goes at one that doesn't."""
+    rng = random.Random(4)
+    odd = lambda n: "".join(rng.choices("жщыюбдлкм", k=n))
+    rows = [(*r[:3], "known.example", "") for r in corpus(300, 3)]
+    rows += [(1000 + i, " ".join(odd(5) for _ in range(60)), None, "other.example", "") for i in range(80)]
+    doubtful = f"{text_in('aa', random.Random(2), 3)} {odd(8)} {odd(9)}"
+    rows += [(2000, doubtful, None, "known.example", ""), (2001, doubtful, None, "other.example", "")]
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in language.keep_known(docs).collect()}
+    assert 2000 in kept and 2001 not in kept and not kept & set(range(1000, 1080)) and set(range(300)) <= kept
+
+
+def test_long_texts_ties_and_repeats(spark):
+    rows = [(r[0], r[1], r[2], r[3]) for r in corpus(200, 6)]
+    long = " ".join(text_in("bb", random.Random(i), 50) for i in range(4_000))
+    rows += [(900, long, "bb", "h"), (900, long, "bb", "h"), (901, long[: language.LONGEST + 1], "bb", "h"), (902, "", None, None), (902, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert len(long) > 20 * language.LONGEST
+    got = language.identify(language.document_evidence(docs), ["doc_id"]).collect()
+    assert [r._lang for r in got if r.doc_id in (900, 901)] == ["bb"] * 3
+    assert len(got) == len(rows) and len({r._lang for r in got if r.doc_id == 902}) == 1
+    (part,) = docs.where("doc_id = 900").limit(1).select(language.stretches(F.col("text"))).first()
+    step = language.LONGEST // language.STRETCHES
+    assert part == " ".join(long[i * len(long) // language.STRETCHES :][:step] for i in range(language.STRETCHES))
+
+
 def test_no_rows_and_no_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None, None)], "doc_id long, text string, lang string, source string")
     (r,) = language.identify(language.document_evidence(docs), ["doc_id"]).collect()
-    assert r._lang is None and r._known
+    assert r._lang is None
     assert language.keep_known(docs.limit(0)).count() == 0
 
 

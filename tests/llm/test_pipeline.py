@@ -34,6 +34,28 @@ def documents():
     return rows, labels
 
 
+def fused(rows, model):
+    """The rows for which no class is more probable than that of unknown languages, by Bayes' rule in plain loops."""
+    kappa, size = language.INHERITED, len(model.languages) + 1
+    scores = [np.array(model.score(r[1] or "")) for r in rows]
+    start = np.append(np.zeros(size - 1), np.log(language.OTHER))
+    soft = [np.exp(s + start) / np.exp(s + start).sum() for s in scores]
+    kept = []
+    for i, r in enumerate(rows):
+        n = lambda at: sum((p for k, p in enumerate(soft) if k != i and (rows[k][at] or "") == (r[at] or "")), np.zeros(size))  # noqa: E731, B023
+        total = sum(p for k, p in enumerate(soft) if k != i)
+        prior = (total + 1) / (total.sum() + size)
+        for _ in ("site", "host"):  # both are the source here
+            prior = (n(3) + kappa * prior) / (n(3).sum() + kappa)
+        logs = scores[i] + np.log(prior)
+        if r[2]:
+            c, share = n(2), sum(q[2] == r[2] for q in rows) / len(rows)
+            logs = logs + c.sum() / (c.sum() + kappa) * np.log((c + kappa * share) / (total + kappa))
+        if logs.argmax() < size - 1:
+            kept.append(r)
+    return kept
+
+
 def by_hand(rows, labels):
     """The stages as plain loops: what packing is given."""
     truth = {i: t for i, _, t in labels}
@@ -43,7 +65,7 @@ def by_hand(rows, labels):
     rows = [r for r in rows if scorer.score(r[1] or "") < 0.5]
     pairs = sorted({(r[1] or "", r[2]) for r in rows if r[2]})
     model = language.fit([t for t, _ in pairs], [x for _, x in pairs])
-    rows = [r for r in rows if not ((s := model.score(r[1] or ""))[1] >= language.JUDGED and s[2] > language.UNSEEN)]
+    rows = fused(rows, model)
     rows = list(brute(rows))
     real = {f[2:] for r in rows for f in pii.find(r[1] or "")}
     fresh = {f"{k}\x1f{c}": pii.surrogate(pii.TEST_KEY, k, c, r) for k, c, r in real}
