@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import clean_text, table, text_batches
 
-#: Labelled documents that the sentence scorer is fitted on, about, and the longest of them in characters.
-LABELLED = 6_000
-LONGEST = 20_000
-#: Features kept after screening, and the least number of documents that have one.
-FEATURES = 500
-LEAST_DOCUMENTS = 4
+#: Labelled documents that the sentence scorer is fitted on, about, and their characters; of a text longer than LONGEST
+#: as much in STRETCHES from all over it.
+LABELLED, CHARACTERS = 6_000, 60_000_000
+LONGEST, STRETCHES = 200_000, 40
+#: What a feature must tell of the labels (chi-squared on one degree of freedom), and the fewest documents that have it.
+TELLING, LEAST_DOCUMENTS = 6.63, 4
 BEGINNINGS = (3, 4, 5, 6)
 ROUNDS, RATE, DECAY = 500, 0.05, 5e-5
 CACHED_WORDS = 500_000
@@ -56,7 +56,7 @@ class Scorer:
             if len(self.known) >= CACHED_WORDS:
                 self.known.clear()
             if WORD.match(word):
-                w = sum(self.weights.get(f, 0.0) for f in features(word))
+                w = sum(self.weights.get(f, 0.0) for f in features(word.lower()))
             else:
                 w = np.nan  # ends a sentence
             self.known[word] = w
@@ -65,7 +65,7 @@ class Scorer:
     def sentences(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each sentence that has words: the first token, the token after its last, its log(1 - p)."""
         word = self.word
-        values = np.array([word(t) for t in TOKEN.findall(text.lower())], dtype=np.float64)
+        values = np.array([word(t) for t in TOKEN.findall(text)], dtype=np.float64)
         starts, stops = stretches(np.isnan(values))
         sums = np.concatenate([[0.0], np.cumsum(np.nan_to_num(values))])
         logit = self.bias + sums[stops] - sums[starts]
@@ -84,7 +84,7 @@ class Scorer:
         p = -np.expm1(clean)
         chosen = np.flatnonzero(p >= least)
         chosen = chosen if len(chosen) else [int(p.argmax())]
-        spans = [m.span() for m in TOKEN.finditer(text.lower())]
+        spans = [m.span() for m in TOKEN.finditer(text)]
         return [{"start": spans[starts[i]][0], "stop": spans[stops[i] - 1][1], "p": float(p[i])} for i in chosen]
 
 
@@ -108,7 +108,7 @@ def fit(texts: list[str], labels: list[int]) -> Scorer:
         rate = min(0.99, max(0.01, positive / n)) if n else 0.01
         return Scorer({}, float(np.log(rate / (1 - rate))))
     number: dict[str, int] = {}
-    words = [np.array([number.setdefault(t, len(number)) for t in TOKEN.findall(text.lower())], dtype=np.int32) for text in texts]
+    words = [np.array([number.setdefault(t, len(number)) for t in map(str.lower, TOKEN.findall(text))], dtype=np.int32) for text in texts]
     vocabulary = list(number)
     is_word = np.array([bool(WORD.match(t)) for t in vocabulary], dtype=bool)
     own = [features(t) if w else [] for t, w in zip(vocabulary, is_word)]
@@ -119,8 +119,8 @@ def fit(texts: list[str], labels: list[int]) -> Scorer:
     a = np.array([toxic[f] for f in seen], dtype=np.float64)
     b = np.array([clean[f] for f in seen], dtype=np.float64)
     lean = (a * n - (a + b) * positive) ** 2 / ((a + b) * (n - a - b) + 1.0)
-    order = np.lexsort((seen, -lean))[:FEATURES]
-    index = {seen[i]: k for k, i in enumerate(order)}
+    lean *= n / (positive * (n - positive))
+    index = {seen[i]: k for k, i in enumerate(np.lexsort((seen, -lean))) if lean[i] >= TELLING}
     del toxic, clean
     chosen = [[index[f] for f in fs if f in index] for fs in own]
     cols, rows, owner, at = [], [], [], 0
@@ -160,29 +160,35 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Scorer:
     """Fit on a bounded sample of the labelled documents outside the held-out fold.
 
-    The sample is drawn by a hash of the id, so its expected size is ``labelled`` at most whatever the table's size;
-    its rows of labels are few enough to broadcast for the same reason. Contradicting labels count as toxic.
+    The sample is drawn by a hash of the id, so its expected size is ``labelled`` rows and CHARACTERS at most whatever
+    the table's size; texts of any length are in it. Contradicting labels count as toxic.
     """
     known = (
         labels.where("doc_id is not null and toxic is not null").where(~held_out())
         .groupBy("doc_id").agg(F.max("toxic").alias("label_of_it"))
     )
-    share = min(1.0, labelled / max(1, known.count()))
+    texts = docs.select("doc_id", clean_text().alias("text"))
+    size = F.sum(F.least(F.length("text"), F.lit(LONGEST)).cast("long"))
+    n, characters = texts.join(known, "doc_id").agg(F.count("*"), size).first()
+    share = min(1.0, labelled / max(1, n), CHARACTERS / max(1, characters or 0))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = (
-        docs.select("doc_id", clean_text().alias("text"))
-        .where(F.length("text") <= LONGEST)
-        .join(F.broadcast(drawn), "doc_id")
-        .collect()
-    )
+    rows = texts.join(drawn, "doc_id").select("doc_id", stretched(F.col("text")).alias("text"), "label_of_it").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return fit([r.text for r in rows], [int(r.label_of_it > 0) for r in rows])
 
 
+def stretched(text):
+    """The text, or of a long one as much as LONGEST in stretches at equal distances."""
+    n, size = F.length(text), LONGEST // STRETCHES
+    parts = [F.substring(text, (n * i / STRETCHES).cast("int") + 1, F.lit(size)) for i in range(STRETCHES)]
+    return F.when(n <= LONGEST, text).otherwise(F.concat_ws("\n", *parts))
+
+
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, held_out, score, predicted and the offending sentences of those predicted toxic, for every row.
 
-    Null and empty texts are scored as one empty sentence.
+    Null and empty texts are scored as one empty sentence; repeated rows stay and score alike. A score of exactly a half
+    counts as toxic. Offsets are code points of the text as it is.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((scorer.weights, scorer.bias))

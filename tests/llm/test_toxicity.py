@@ -1,7 +1,10 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from factloom.llm import toxicity
 
@@ -77,3 +80,68 @@ def test_held_out_labels_are_not_read(spark):
     a = spark.createDataFrame([(i, y) for i, y in enumerate(labels)], "doc_id long, toxic int")
     b = spark.createDataFrame([(i, flip(i, y)) for i, y in enumerate(labels)], "doc_id long, toxic int")
     assert toxicity.train(docs, a).weights == toxicity.train(docs, b).weights
+
+
+def plain_score(weights, bias, text):
+    """Noisy-or over the sentences, one word at a time."""
+    sentences, words = [], []
+    for m in re.finditer(r"[^\W\d_]+|[.!?;|\n。！？।]", text):
+        if m[0].isalpha():
+            words.append(m[0].lower())
+        elif words:
+            sentences, words = [*sentences, words], []
+    sentences += [words] if words else []
+    sentences = [s[i : i + toxicity.STRETCH] for s in sentences for i in range(0, len(s), toxicity.STRETCH)] or [[]]
+    clean = 1.0
+    for s in sentences:
+        logit = bias + sum(weights.get(f, 0.0) for w in s for f in [w, *(w[:n] + "*" for n in toxicity.BEGINNINGS if len(w) >= n)])
+        clean *= 1 / (1 + math.exp(logit))
+    return 1 - clean
+
+
+def test_the_whole_query_against_plain_loops(spark, tmp_path):
+    texts, labels = corpus(400, 9)
+    rows = list(enumerate(texts)) + [(1000, None), (1001, ""), (1002, "x. " * 70_000 + "zorgle was here"), (0, texts[0]), (1003, "İİİ zorgle")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, y in enumerate(labels)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    known = sorted((i, t or "") for i, t in rows if i < 400 and not held(i))
+    scorer = toxicity.fit([t for _, t in known], [labels[i] for i, _ in known])
+    got = sorted((r.doc_id, r.held_out, r.predicted, r.score) for r in toxicity.op5_toxicity(spark, str(tmp_path)).collect())
+    want = sorted((i, held(i), plain_score(scorer.weights, scorer.bias, t or "")) for i, t in rows)
+    assert len(got) == len(want)
+    for (i, h, predicted, score), (j, k, s) in zip(got, want):
+        assert (i, h) == (j, k) and abs(score - s) < 1e-9 and predicted == int(s >= 0.5)
+
+
+def test_training_ends_where_the_likelihood_is_flat(monkeypatch):
+    monkeypatch.setattr(toxicity, "ROUNDS", 4000)
+    texts, labels = corpus(300, 11)
+    scorer = toxicity.fit(texts, labels)
+
+    def loss(weights, bias):
+        total = 0.0
+        for t, y in zip(texts, labels):
+            p = min(max(plain_score(weights, bias, t), 1e-12), 1 - 1e-12)
+            total -= math.log(p if y else 1 - p)
+        return total / len(texts) + toxicity.DECAY / 2 * sum(w * w for w in weights.values())
+
+    base = loss(scorer.weights, scorer.bias)
+    names = sorted(scorer.weights, key=lambda f: -abs(scorer.weights[f]))[:6]
+    for name in names:
+        for step in (0.2, -0.2):
+            assert loss(scorer.weights | {name: scorer.weights[name] + step}, scorer.bias) > base - 1e-4
+    assert loss({}, scorer.bias) > base
+
+
+def test_offsets_are_those_of_the_text_itself():
+    scorer = toxicity.Scorer({"bad": 9.0}, -4.0)
+    (hit,) = scorer.offending("İİİİ. bad thing. fine")
+    assert "İİİİ. bad thing. fine"[hit["start"] : hit["stop"]] == "bad thing"
+
+
+def test_long_texts_teach_by_stretches_from_all_over(spark):
+    text = "".join(f"{i:07d} " for i in range(60_000))
+    (part,) = spark.createDataFrame([(text,)], "text string").select(toxicity.stretched(F.col("text"))).first()
+    step = toxicity.LONGEST // toxicity.STRETCHES
+    assert part == "\n".join(text[len(text) * i // toxicity.STRETCHES :][:step] for i in range(toxicity.STRETCHES))
