@@ -3,11 +3,14 @@
 The neighbour graph of a bounded sample is cut into balanced parts by spectral bisection. A small network learns to
 tell a vector's part from the vector, with the parts of its neighbours as soft targets. Every row is put into its most
 probable part; a query is sent to its several most probable ones and ranked there by exact distances. How many those
-are is measured on the sample. Parts are dealt in blocks, so one that holds most of the rows is many tasks' work.
+are is measured on vectors of the sample that taught the network nothing. Parts that are still large are cut again in
+the same way, each by a network of its own that a task fits on a sample of that part, until none is large: so parts
+grow in number with the table and not in size. One that can't be cut, of equal vectors, is dealt in blocks.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,15 +25,17 @@ from factloom.llm.common import materialise, ship, table
 
 #: Vectors that the parts and the network are fitted on, at most about so many.
 SAMPLE = 6_000
-#: Rows of a part that a part is made for, and the most parts.
+#: Rows of a part that a part is made for, and the most parts that one network tells apart.
 PART_ROWS, MOST_PARTS = 1_500, 256
+#: Of the sample one vector in so many measures how many parts a query visits.
+MEASURING = 5
 #: Neighbours in the graph, and those searched for.
 GRAPH, NEAREST = 10, 10
 #: Share of a sample vector's neighbours that the probed parts must hold.
 AIM = 0.97
 HIDDEN, EPOCHS, BATCH = 128, 60, 256
-#: Candidates and queries of a block.
-BLOCK_ROWS, BLOCK_QUERIES = 512, 1_024
+#: Candidates and queries of a block, and queries whose distances are held at once.
+BLOCK_ROWS, BLOCK_QUERIES, AT_ONCE = 8_192, 4_096, 256
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -96,6 +101,9 @@ class Router:
 def train(x: np.ndarray, parts: int, seed: int = 7) -> Router:
     """Fit the parts and the network on a sample of vectors; equal vectors count once."""
     x = np.unique(x, axis=0) if len(x) else x
+    x = x[np.random.default_rng(seed).permutation(len(x))]
+    apart = len(x) // MEASURING
+    asked, x = x[:apart], x[apart:]
     n, dim = x.shape
     parts = 1 << int(np.log2(max(1, min(parts, n // 16))))
     mean = x.mean(0) if n else np.zeros(dim)
@@ -132,15 +140,23 @@ def train(x: np.ndarray, parts: int, seed: int = 7) -> Router:
                 v[i] = 0.999 * v[i] + 0.001 * grad**2
                 weights[i] -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
     router.w1, router.b1, router.w2, router.b2 = weights
-    ranked = router.order(x)
-    place = np.empty_like(ranked)
-    np.put_along_axis(place, ranked, np.arange(parts)[None], axis=1)
-    held = place[np.repeat(np.arange(n), graph.shape[1]), ranked[graph.ravel(), 0]]  # the probe that finds a neighbour
-    share = np.cumsum(np.bincount(held, minlength=parts)) / len(held)
-    router.probes = min(parts, int(np.searchsorted(share, AIM)) + 1)
+    router.probes = measured(router, x, asked if len(asked) else x[:1])
     return router
 
 
+def measured(router: Router, x: np.ndarray, asked: np.ndarray) -> int:
+    """How many parts to visit for AIM of the neighbours that the asked vectors have among x."""
+    parts, home = len(router.b2), router.order(x)[:, 0]
+    ranked, place, norms = router.order(asked), np.empty((len(asked), parts), dtype=np.int64), (x * x).sum(1)
+    np.put_along_axis(place, ranked, np.arange(parts)[None], axis=1)
+    counts, k = np.zeros(parts), min(GRAPH, len(x))
+    for at in range(0, len(asked), 512):
+        q = asked[at : at + 512]
+        near = np.argpartition(norms[None] - 2 * q @ x.T, k - 1, axis=1)[:, :k]
+        counts += np.bincount(np.take_along_axis(place[at : at + 512], home[near], axis=1).ravel(), minlength=parts)
+    return min(parts, int(np.searchsorted(np.cumsum(counts) / counts.sum(), AIM)) + 1)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding (doubles) of rows that take part: no null, zero or non-finite vectors, no null ids."""
     x = F.col("embedding").cast("array<double>")
@@ -157,38 +173,110 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _nearest(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    """The block's NEAREST rows of each of its queries, by distance, then smaller id; equal rows count once."""
+FOUND = "query_id long, vec_id long, score double"
+
+
+def _nearest(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """The block's NEAREST ids for each of its queries, by distance, then smaller id; an id counts at its nearest row."""
     out = []
     if len(queries) and len(rows):
         ids, q_ids = rows.vec_id.to_numpy(), queries.vec_id.to_numpy()
         x, q = np.stack(rows.embedding.to_numpy()), np.stack(queries.embedding.to_numpy())
         x_norm, q_norm = (x * x).sum(1), (q * q).sum(1)
-        d = q_norm[:, None] + x_norm[None] - 2 * q @ x.T
-        d[q_ids[:, None] == ids[None]] = np.inf
-        k = min(NEAREST, len(ids))
         slack = 1e-9 * (q_norm + x_norm.max())
-        limit = np.partition(d, k - 1, axis=1)[:, k - 1] + slack
-        for i in range(len(q)):
-            near = np.flatnonzero((d[i] <= limit[i]) & np.isfinite(d[i]))
-            exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
-            order = np.lexsort((ids[near], exact))
-            found, seen = [], set()
-            for j in order:
-                if (v := int(ids[near[j]])) not in seen:
-                    seen.add(v)
-                    found.append((int(q_ids[i]), v, float(exact[j])))
-                    if len(found) == NEAREST:
-                        break
-            out += found
+        for at in range(0, len(q), AT_ONCE):
+            d = q_norm[at : at + AT_ONCE, None] + x_norm[None] - 2 * q[at : at + AT_ONCE] @ x.T
+            d[q_ids[at : at + AT_ONCE, None] == ids[None]] = np.inf
+            for i, near in enumerate(d, at):
+                out += [(int(q_ids[i]), v, s) for v, s in _best(near, ids, x, q[i], slack[i])]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 
+def _best(d: np.ndarray, ids: np.ndarray, x: np.ndarray, q: np.ndarray, slack: float) -> list[tuple[int, float]]:
+    """NEAREST different ids of one query; rows that repeat an id don't crowd others out."""
+    take = NEAREST
+    while True:
+        k = min(take, len(d))
+        near = np.flatnonzero((d <= np.partition(d, k - 1)[k - 1] + slack) & np.isfinite(d))
+        if k == len(d) or len(np.unique(ids[near])) >= NEAREST:
+            break
+        take *= 4
+    exact = np.sqrt(((x[near] - q) ** 2).sum(1))
+    order = np.lexsort((ids[near], exact))
+    _, first = np.unique(ids[near][order], return_index=True)
+    return [(int(ids[near[j]]), float(exact[j])) for j in order[np.sort(first)[:NEAREST]]]
+
+
+class Levels:
+    """Rows and queries in parts, named by the numbers of the parts on the way; a part that can't be cut ends in '!'."""
+
+    ROWS, QUERIES = "vec_id long, embedding array<double>, part string", "vec_id long, embedding array<double>, part string"
+
+    def __init__(self, rows: DataFrame, asked: DataFrame, dim: int, probes: int | None):
+        self.rows, self.asked, self.dim, self.probes = rows, asked, dim, probes
+
+    def large(self) -> DataFrame:
+        """(part, n) of the parts to cut."""
+        counts = self.rows.groupBy("part").agg(F.count("*").alias("n"))
+        return materialise(counts.where((F.col("n") > 2 * PART_ROWS) & ~F.col("part").endswith("!")))
+
+    def cut(self, large: DataFrame) -> None:
+        """Cut the large parts: a network is fitted in a task for each, on a sample of it, and sent to its blocks."""
+        dim, probes = self.dim, self.probes
+
+        def fitted(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+            x = np.stack(own.embedding.to_numpy()) if len(own) else np.zeros((0, dim))
+            order = np.argsort(own.vec_id.to_numpy(), kind="stable")
+            router = train(x[order], min(MOST_PARTS, int(own.n.iloc[0]) // PART_ROWS))
+            return pd.DataFrame({"part": [key[0]], "router": [pickle.dumps(router)]})
+
+        def dealt(take: int | None):
+            def one(key: tuple, own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+                if not len(own):
+                    return pd.DataFrame({"vec_id": [], "embedding": [], "part": []}).astype({"vec_id": "int64", "part": "str"})
+                router = pickle.loads(known.router.iloc[0])
+                single = len(router.b2) == 1
+                order = router.order(np.stack(own.embedding.to_numpy()))[:, : take or probes or router.probes]
+                parts = [[f"{key[0]}!" if single else f"{key[0]}.{p}" for p in o] for o in order]
+                return pd.DataFrame({"vec_id": own.vec_id, "embedding": own.embedding, "part": parts}).explode("part")
+
+            return one
+
+        drawn = self.rows.join(large, "part")
+        drawn = drawn.where(F.pmod(F.xxhash64("vec_id", "part"), F.lit(1 << 20)) < F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n")) * (1 << 20))
+        routers = materialise(drawn.groupBy("part").applyInPandas(fitted, "part string, router binary"))
+        self.rows = self._through(self.rows, large.select("part", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")), routers, dealt(1), self.ROWS)
+        counts = self.asked.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("blocks"))
+        self.asked = self._through(self.asked, counts.join(large.select("part"), "part"), routers, dealt(None), self.QUERIES)
+
+    @staticmethod
+    def _through(df: DataFrame, blocks: DataFrame, routers: DataFrame, one, schema: str) -> DataFrame:
+        """The rows of parts without a router as they are, and the others, block by block, as their router says."""
+        blocks = materialise(blocks.join(routers.select("part"), "part"))
+        own = df.join(blocks, "part").select(*df.columns, F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"))
+        known = routers.join(blocks, "part").select("part", "router", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"))
+        cut = own.groupBy("part", "block").cogroup(known.groupBy("part", "block")).applyInPandas(one, schema)
+        return materialise(df.join(blocks, "part", "left_anti").select("vec_id", "embedding", "part").unionAll(cut.select("vec_id", "embedding", "part")))
+
+    def nearest(self) -> DataFrame:
+        """(query_id, vec_id, score) of the blocks: rows of a part meet the queries sent there."""
+        row_blocks = self.rows.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("rows"))
+        query_blocks = self.asked.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("queries"))
+        blocks = materialise(row_blocks.join(query_blocks, "part"))
+        own, every = F.xxhash64("vec_id"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = self.asked.join(blocks, "part").select("part", "vec_id", "embedding", F.pmod(own, "queries").cast("int").alias("qb"), every("rows").alias("rb"))
+        right = self.rows.join(blocks, "part").select("part", "vec_id", "embedding", F.pmod(own, "rows").cast("int").alias("rb"), every("queries").alias("qb"))
+        keys = ["part", "rb", "qb"]
+        near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_nearest, FOUND)
+        return near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+
+
 def search(vectors: DataFrame, queries: DataFrame, probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows found of each query, by Euclidean distance.
 
     ``queries`` has the columns of ``vectors``. A query's own id is never its neighbour; an id that repeats counts once,
-    at its nearest vector. Vectors of another length than most have no part in it.
+    at its nearest vector; a query id that repeats asks with the smallest of its vectors. Equal distances go by smaller
+    id. Vectors of another length than most have no part in it. Queries whose parts hold too few rows visit more of them.
     """
     spark = vectors.sparkSession
     ship(spark.sparkContext)
@@ -196,49 +284,40 @@ def search(vectors: DataFrame, queries: DataFrame, probes: int | None = None) ->
     sizes = sound.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim, n = (sizes[0].dim, sizes[0]["count"]) if sizes else (1, 0)
     sound = sound.where(F.size("embedding") == dim)
+    asked = usable(queries).where(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     share = min(1.0, SAMPLE / max(1, n))
     drawn = sound.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("vec_id").collect()
     sample = np.array([r.embedding for r in drawn], dtype=np.float64).reshape(-1, dim)
     router = train(sample, min(MOST_PARTS, max(1, n // PART_ROWS)))
-    shared = spark.sparkContext.broadcast(router)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                first = shared.value.order(_matrix(batch.column(1)))[:, 0]
-                yield batch.append_column("part", pa.array(first, pa.int32()))
-
-    rows = materialise(sound.mapInArrow(placed, "vec_id long, embedding array<double>, part int"))
-    counts = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}  # at most MOST_PARTS
-    held = np.array([counts.get(p, 0) for p in range(len(router.b2))], dtype=np.int64)
     visits = router.probes if probes is None else probes
+    shared = spark.sparkContext.broadcast(router)
 
-    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                order = shared.value.order(_matrix(batch.column(1)))
-                # parts with too few rows between them are not enough for a query
-                enough = np.maximum(visits, (np.cumsum(held[order], axis=1) <= NEAREST).sum(1) + 1)
-                parts = [o[:e].tolist() for o, e in zip(order, enough)]
-                yield batch.append_column("parts", pa.array(parts, pa.list_(pa.int32())))
-
-    asked = usable(queries).where(F.size("embedding") == dim).dropDuplicates(["vec_id"])
-    asked = asked.mapInArrow(routed, "vec_id long, embedding array<double>, parts array<int>")
-    asked = materialise(asked.select("vec_id", "embedding", F.explode("parts").alias("part")))
-    q_counts = {r.part: r["count"] for r in asked.groupBy("part").count().collect()}
-    block = max(BLOCK_ROWS, min(8192, n // 128))
-    blocks = lambda counted, size: F.create_map(*[F.lit(v) for p in range(len(held)) for v in (p, max(1, -(-counted.get(p, 0) // size)))])
-    row_blocks, query_blocks = blocks(counts, block)[F.col("part")], blocks(q_counts, BLOCK_QUERIES)[F.col("part")]
-    own = F.xxhash64("vec_id")
-    left = asked.select(
-        "part", "vec_id", "embedding", F.pmod(own, query_blocks).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), row_blocks - 1)).alias("rb")
-    )
-    right = rows.select(
-        "part", "vec_id", "embedding", F.pmod(own, row_blocks).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), query_blocks - 1)).alias("qb")
-    )
-    keys = ["part", "rb", "qb"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_nearest, "query_id long, vec_id long, score double")
-    near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    def placed(take: int):
+        def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                if batch.num_rows:
+                    parts = shared.value.order(_matrix(batch.column(1)))[:, :take]
+                    yield batch.append_column("parts", pa.array([[str(p) for p in o] for o in parts], pa.list_(pa.string())))
+
+        return batches
+
+    def in_parts(df: DataFrame, take: int) -> DataFrame:
+        found = df.mapInArrow(placed(take), "vec_id long, embedding array<double>, parts array<string>")
+        return materialise(found.select("vec_id", "embedding", F.explode("parts").alias("part")))
+
+    levels = Levels(in_parts(sound, 1), in_parts(asked, visits), dim, probes)
+    whole = visits >= len(router.b2)
+    while not (large := levels.large()).isEmpty():
+        levels.cut(large)
+        whole = visits >= MOST_PARTS
+    near = materialise(levels.nearest())
+    if not whole:
+        counts = near.groupBy("query_id").agg(F.count("*").alias("found"))
+        few = asked.join(counts, asked.vec_id == counts.query_id, "left").where(F.coalesce("found", F.lit(0)) < NEAREST)
+        few = materialise(few.select("vec_id", "embedding"))
+        if not few.isEmpty():
+            more = search(vectors, few, 4 * visits).select("query_id", "vec_id", "score")
+            near = near.join(few.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionAll(more.select(*near.columns))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= NEAREST).select("query_id", "rank", "vec_id", "score")
 

@@ -60,6 +60,55 @@ def test_recall_against_brute_force(spark, monkeypatch, seed):
     assert hits / (10 * len(found)) >= 0.9
 
 
+def recall(found, x, ids, queries):
+    hits = total = 0
+    for q in queries:
+        want = dict(exact(x, ids, q))
+        rows = [r for r in found if r.query_id == q]
+        assert sorted(r["rank"] for r in rows) == list(range(1, len(want) + 1))
+        hits, total = hits + sum(r.vec_id in want for r in rows), total + len(want)
+    return hits / total
+
+
+def test_parts_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART_ROWS", 100)
+    monkeypatch.setattr(ann, "MOST_PARTS", 4)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 150)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 7)
+    x, ids = clustered(2500, seed=4).astype(np.float32).astype(float), np.arange(2500)
+    vectors = frame(spark, x, ids)
+    cuts = []
+    monkeypatch.setattr(ann.Levels, "cut", lambda self, large, cut=ann.Levels.cut: (cuts.append(large.count()), cut(self, large)))
+    found = ann.search(vectors, vectors.where("vec_id % 100 = 0")).collect()
+    assert cuts and recall(found, x, ids, range(0, 2500, 100)) >= 0.9
+
+
+def test_recall_on_the_embeddings(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = vectors.orderBy("vec_id").collect()
+    x, ids = np.array([r.embedding for r in rows], dtype=float), np.array([r.vec_id for r in rows])
+    found = ann.op3_neighbours(spark, "/root/testdata/sf0.1").collect()
+    assert recall(found, x, ids, ids[ids % 100 == 0]) >= 0.9
+
+
+def test_repeated_ids_crowd_nobody_out(spark):
+    rows = [(0, [0.0, 1.0]), (0, [0.0, 0.5])] + [(1, [0.001 * i, 0.6]) for i in range(40)] + [(i, [float(i), 1.0]) for i in range(2, 32)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = sorted((r["rank"], r.vec_id) for r in ann.search(vectors, vectors.where("vec_id = 0")).collect())
+    assert found == [(i, i) for i in range(1, 11)]
+    (first,) = [r.score for r in ann.search(vectors, vectors.where("vec_id = 0")).collect() if r["rank"] == 1]
+    assert np.isclose(first, np.float64(np.float32(0.6)) - 0.5)  # asked with the smaller of its two vectors
+
+
+def test_queries_in_nearly_empty_parts_visit_more(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART_ROWS", 40)
+    monkeypatch.setattr(ann, "AIM", 0.01)
+    x, ids = clustered(600, centres=80, seed=6).astype(np.float32).astype(float), np.arange(600)
+    vectors = frame(spark, x, ids)
+    found = ann.search(vectors, vectors.where("vec_id % 20 = 0"), probes=1).collect()
+    assert {q: sum(r.query_id == q for r in found) for q in range(0, 600, 20)} == {q: 10 for q in range(0, 600, 20)}
+
+
 def test_one_vector_that_most_rows_share(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1500, 8)).astype(np.float32).astype(float)
