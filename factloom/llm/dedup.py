@@ -3,7 +3,9 @@
 Texts of the same words are one node. Each node has a SimHash fingerprint of its word set; the covering tables of the
 `simhash` module bring together every pair of nodes within four bits. Fingerprints can't reach all texts of similar
 shingles, so nodes meet by a prefix filter too (Chaudhuri and others, 2006): in any common order of all shingles, two
-sets of a similarity of 0.8 share one of the first fifth of each. The order is rarest first. Pairs so found are links
+sets of a similarity of 0.8 share one of the first fifth of each. The order is rarest first: what a sample shows to be
+common comes late, and what then still crowds a bucket comes last, counted over all nodes. Nodes of a crowded bucket
+meet there only if such shingles alone can make them similar, which is known from how many they have. Pairs so found are links
 if their five-word shingles are similar enough, and of each linked group one row stays. What is written for every row
 is small: whole sets of shingles are taken, again from the texts, of those alone whose counts leave a pair possible.
 """
@@ -28,6 +30,8 @@ RADIUS = 4
 #: Rows whose shingles are counted, about, to put common ones last; the fewest rows of a common one, and how many of
 #: those are kept. They order the prefixes: any order finds the same links, a good one with fewer pairs.
 COUNTED, LEAST, COMMON = 10_000, 3, 200_000
+#: Nodes that crowd a bucket of a shingle; such shingles are put last in the order.
+CROWD = 20
 #: Parts that shingles are dealt in by hash; their counts bound how similar two texts can be.
 PARTS = 128
 
@@ -68,19 +72,24 @@ def parts(short: np.ndarray) -> np.ndarray:
     return np.bincount(short & (PARTS - 1), minlength=PARTS).astype(np.int32)
 
 
-def prefix(found: np.ndarray, common: np.ndarray, holders: np.ndarray) -> np.ndarray:
-    """The rarest shingles of a text, so many that no similar text is without all of them.
+def ordered(found: np.ndarray, common: np.ndarray, holders: np.ndarray) -> np.ndarray:
+    """The shingles of a text, rarest first.
 
     ``common`` are ascending hashes of known frequency ``holders``; other shingles come before them, in order of hash.
-    Similar sets of n and m shingles share 0.8 max(n, m) at least, and so one of the first n // 5 + 1 and m // 5 + 1.
     """
-    if not len(found):
-        return found
     rank = np.zeros(len(found), dtype=np.int64)
-    if len(common):
+    if len(common) and len(found):
         at = np.minimum(np.searchsorted(common, found), len(common) - 1)
         rank = np.where(common[at] == found, holders[at], 0)
-    return found[np.lexsort((found, rank))[: len(found) // 5 + 1]]
+    return found[np.lexsort((found, rank))]
+
+
+def prefix(found: np.ndarray, common: np.ndarray, holders: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a text, so many that no similar text is without all of them.
+
+    Similar sets of n and m shingles share 0.8 max(n, m) at least, and so one of the first n // 5 + 1 and m // 5 + 1.
+    """
+    return ordered(found, common, holders)[: len(found) // 5 + 1] if len(found) else found
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -104,9 +113,8 @@ def row_keys(docs: DataFrame) -> list:
     return [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64(clean_text()).alias("text_hash")]
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, id, text_hash, node, fp, rare, parts) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+def signatures(docs: DataFrame, shared) -> DataFrame:
+    """(doc_id, id, text_hash, node, fp, rare, parts, size) of each row; ``shared`` is the broadcast of common_shingles()."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -119,37 +127,79 @@ def signatures(docs: DataFrame) -> DataFrame:
                     pa.array([mark(w) for w in words], pa.int64()),
                     pa.array([prefix(h, *shared.value) for h in found], pa.list_(pa.int64())),
                     pa.array([parts(_short(h)) for h in found], pa.list_(pa.int32())),
+                    pa.array([len(h) for h in found], pa.int32()),
                 ],
-                names=["doc_id", "id", "text_hash", "node", "fp", "rare", "parts"],
+                names=["doc_id", "id", "text_hash", "node", "fp", "rare", "parts", "size"],
             )
 
     text_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", *row_keys(docs), clean_text().alias("text"))
-    return rows.mapInArrow(batches, f"doc_id {kind}, id string, text_hash long, node binary, fp long, rare array<long>, parts array<int>")
+    return rows.mapInArrow(batches, f"doc_id {kind}, id string, text_hash long, node binary, fp long, rare array<long>, parts array<int>, size int")
+
 
+def of_nodes(docs: DataFrame, needed: DataFrame, kind: str, one) -> DataFrame:
+    """(number, found) of the needed nodes (number, id, text_hash), by ``one`` from the words of a row of each.
 
-def sketches(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(number, sketch) of the needed nodes (number, id, text_hash), from a row of each; other texts reach no worker."""
+    Other texts reach no worker.
+    """
+    arrow = pa.list_(pa.int64() if kind == "long" else pa.int32())
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            found = [sketch(words_of(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["number", "sketch"])
+            found = [one(words_of(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, arrow)], names=["number", "found"])
 
     text_batches(docs.sparkSession)
     texts = docs.select(*row_keys(docs), clean_text().alias("text")).join(needed, ["id", "text_hash"])
-    return texts.select("number", "text").mapInArrow(batches, "number long, sketch array<int>").dropDuplicates(["number"])
+    return texts.select("number", "text").mapInArrow(batches, f"number long, found array<{kind}>").dropDuplicates(["number"])
 
 
 def members(rows: DataFrame) -> DataFrame:
-    """The rows (bucket, number) whose bucket has other nodes too. Nearly all buckets hold one node.
+    """The rows whose bucket has other nodes too, with how many ``rows`` it has. Nearly all buckets hold one node.
 
     The rows are dealt once, and both their ends and the join are taken from that one exchange.
     """
     dealt = rows.repartition("bucket")
-    ends = dealt.groupBy("bucket").agg(F.min("number").alias("low"), F.max("number").alias("high"))
-    return materialise(dealt.join(ends.where("low < high").select("bucket"), "bucket"))
+    ends = dealt.groupBy("bucket").agg(F.min("number").alias("low"), F.max("number").alias("high"), F.count("*").alias("rows"))
+    return materialise(dealt.join(ends.where("low < high").select("bucket", "rows"), "bucket"))
+
+
+def reach(size, held):
+    """Shingles that a similar node may have at most, if only ``held`` of the node's own can be shared.
+
+    Sets of n and m that share s are similar if 9 s >= 4 (n + m); and s is no more than what either can share.
+    """
+    return (9 * held - 4 * size) / 4
+
+
+def prefixes(docs: DataFrame, nodes: DataFrame, shared) -> DataFrame:
+    """Materialised (bucket, number, size, reach, rows) of the nodes that share a shingle of their prefixes.
+
+    Shingles that crowd a bucket come last in the order. Nodes that have none of them in their prefix keep it. The others
+    take theirs again from all their shingles; only one that has too few others meets in crowded buckets, and there its
+    reach is that of its crowded shingles, since nodes that share another one meet in its bucket.
+    """
+    plain = lambda df: df.select(F.explode("rare").alias("bucket"), "number", "size", reach(F.col("size"), F.col("size")).alias("reach"))
+    met = members(plain(nodes))
+    crowded = materialise(met.where(F.col("rows") > CROWD).select("bucket").distinct())
+    touched = materialise(met.where(F.col("rows") > CROWD).select("number").distinct())
+    if touched.isEmpty():
+        return met
+    forget(met)
+    needed = materialise(nodes.join(touched, "number", "left_semi").select("number", "id", "text_hash"))
+    lists = materialise(of_nodes(docs, needed, "long", lambda words: ordered(hashes(words), *shared.value)))
+    own = lists.select("number", F.explode("found").alias("bucket")).join(crowded, "bucket", "left_semi")
+    own = materialise(own.groupBy("number").agg(F.collect_set("bucket").alias("late")))  # a node's own shingles
+    split = lists.join(own, "number").select("number", F.size("found").alias("size"), F.array_except("found", "late").alias("first"), F.array_intersect("found", "late").alias("late"))
+    take = F.floor(F.col("size") / 5).cast("int") + 1
+    entry = lambda part, n, held: F.transform(F.slice(part, 1, n), lambda b: F.struct(b.alias("bucket"), reach(F.col("size"), held).alias("reach")))
+    rest = F.greatest(take - F.size("first"), F.lit(0))
+    entries = F.concat(entry("first", take, F.col("size")), entry("late", rest, F.size("late")))
+    again = split.select("number", "size", F.explode(entries).alias("e")).select("e.bucket", "number", "size", "e.reach")
+    met = members(plain(nodes.join(touched, "number", "left_anti")).unionByName(again))
+    forget(crowded, touched, needed, lists, own)
+    return met
 
 
 def with_leaders(met: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -163,23 +213,25 @@ def with_leaders(met: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select(F.least("number", "leader").alias("a"), F.greatest("number", "leader").alias("b")).distinct()
 
 
-def across(met: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+def across(met: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) of the members of each bucket that no links connect so far, by (node, root) of those that have any.
 
     Groups of a bucket are paired before their members, so a large group of connected nodes isn't compared with itself;
-    and only where the numbers of shingles, (number, size), let members be similar.
+    and only groups, then nodes, of which each is within the other's reach.
     """
-    alike = lambda low, high, other_low, other_high: (5 * F.col(high) >= 4 * F.col(other_low)) & (5 * F.col(other_high) >= 4 * F.col(low))
-    rooted = met.join(roots.withColumnRenamed("node", "number"), "number", "left").join(sizes, "number")
-    rooted = materialise(rooted.select("bucket", "number", F.coalesce("root", "number").alias("root"), "size"))
-    groups = rooted.groupBy("bucket", "root").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    rooted = met.join(roots.withColumnRenamed("node", "number"), "number", "left")
+    rooted = rooted.select("bucket", "number", F.coalesce("root", "number").alias("root"), "size", "reach")
+    groups = rooted.groupBy("bucket", "root").agg(F.min("size").alias("size"), F.max("reach").alias("reach"))
     ends = groups.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last"))
-    groups = materialise(groups.join(ends.where("first < last").select("bucket"), "bucket"))
-    sides = groups.toDF("bucket", "root_a", "low_a", "high_a").join(groups.toDF("bucket", "root_b", "low_b", "high_b"), "bucket")
-    sides = sides.where("root_a < root_b").where(alike("low_a", "high_a", "low_b", "high_b")).select("bucket", "root_a", "root_b")
-    one = sides.join(rooted.toDF("bucket", "x", "root_a", "n"), ["bucket", "root_a"])
-    both = one.join(rooted.toDF("bucket", "y", "root_b", "m"), ["bucket", "root_b"]).where(alike("n", "n", "m", "m"))
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    open_buckets = materialise(ends.where("first < last").select("bucket"))
+    rooted = materialise(rooted.join(open_buckets, "bucket", "left_semi"))
+    groups = materialise(rooted.groupBy("bucket", "root").agg(F.min("size").alias("size"), F.max("reach").alias("reach")))
+    within = (F.col("reach_a") >= F.col("size_b")) & (F.col("reach_b") >= F.col("size_a"))
+    side = lambda df, name, *more: df.select("bucket", *(F.col(c).alias(f"{c}_{name}") for c in ("root", "size", "reach", *more)))
+    sides = side(groups, "a").join(side(groups, "b"), "bucket").where("root_a < root_b").where(within).select("bucket", "root_a", "root_b")
+    one = sides.join(side(rooted, "a", "number"), ["bucket", "root_a"])
+    both = one.join(side(rooted, "b", "number"), ["bucket", "root_b"]).where(within)
+    return both.select(F.least("number_a", "number_b").alias("a"), F.greatest("number_a", "number_b").alias("b")).distinct()
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -221,31 +273,40 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     possible_ones = materialise(sides(alike, nodes.select("number", "parts")).where(possible(F.col("x"), F.col("y"))).select("a", "b"))
     needed = possible_ones.select(F.explode(F.array("a", "b")).alias("number")).distinct()
     needed = materialise(nodes.join(needed, "number", "left_semi").select("number", "id", "text_hash"))
-    held = materialise(sketches(docs, needed))
+    held = materialise(of_nodes(docs, needed, "int", sketch))
     links = materialise(sides(possible_ones, held).where(similarity(F.col("x"), F.col("y")) >= SIMILAR).select("a", "b"))
     forget(possible_ones, needed, held)
     return links
 
 
+def _free_shuffles(spark) -> None:
+    """Spark removes shuffles that nobody refers to any more once the driver has collected its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows, with their own columns, that are the first of their group: of smallest doc_id, null ids last.
 
     Texts of the same words are a group whatever their white space and letter case; null and empty texts are one such.
     Of rows that repeat both doc_id and text one stays. Texts may be of any length; other columns may have any name.
     """
-    found = materialise(signatures(docs).withColumn("number", F.monotonically_increasing_id()))
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+    found = materialise(signatures(docs, shared).withColumn("number", F.monotonically_increasing_id()))
     age = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), "id", "text_hash", "number")
     firsts = materialise(found.groupBy("node").agg(F.min(age).alias("age")).select("age", F.col("age.number").alias("number")))
-    own = found.select("number", "id", "text_hash", "fp", "rare", "parts", F.aggregate("parts", F.lit(0), lambda x, y: x + y).alias("size"))
-    own = own.join(firsts.select("number", "age"), "number")
+    own = found.select("number", "id", "text_hash", "fp", "rare", "parts", "size").join(firsts.select("number", "age"), "number")
     first = F.coalesce(F.col("age.doc_id").try_cast("long"), F.lit((1 << 63) - 1))
     nodes = materialise(own.withColumn("first_id", first))
     forget(found, firsts)
-    met = members(nodes.select(F.explode("rare").alias("bucket"), "number"))
-    pairs = materialise(candidates(nodes.select("number", "first_id", "fp")).unionAll(with_leaders(met, nodes)).distinct())
+    pairs = materialise(candidates(nodes.select("number", "first_id", "fp")))
+    _free_shuffles(docs.sparkSession)
+    met = prefixes(docs, nodes, shared)
+    more = materialise(with_leaders(met, nodes).join(pairs, ["a", "b"], "left_anti"))
+    pairs = pairs.unionAll(more)
+    _free_shuffles(docs.sparkSession)
     links = verified(pairs, nodes, docs)
-    rest = materialise(across(met, components(links), nodes.select("number", "size")).join(pairs, ["a", "b"], "left_anti"))
-    forget(met, pairs)
+    rest = materialise(across(met, materialise(components(links))).join(pairs, ["a", "b"], "left_anti"))
+    forget(met)
     roots = materialise(components(links.unionAll(verified(rest, nodes, docs))))
     forget(links, rest)
     rooted = nodes.select(F.col("number").alias("node"), "age").join(roots, "node", "left")

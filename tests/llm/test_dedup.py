@@ -81,7 +81,8 @@ def test_a_large_group_gives_no_pairs_of_all(spark):
         copy = list(base)
         copy[rng.randrange(300)] = f"x{i}"
         rows.append((i, " ".join(copy)))
-    found = dedup.signatures(spark.createDataFrame(rows, "doc_id long, text string"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = dedup.signatures(docs, spark.sparkContext.broadcast(dedup.common_shingles(docs)))
     nodes = found.select(F.col("doc_id").alias("number"), F.col("doc_id").alias("first_id"), "fp")
     n = dedup.candidates(nodes).count()
     assert 149 <= n <= 2 * 150 * (2 ** (dedup.RADIUS + 1) - 1) and n < 150 * 149 / 2
@@ -122,15 +123,39 @@ def test_prefixes_of_similar_sets_meet_in_any_order():
 
 
 def test_members_of_a_bucket_that_no_links_connect_all_meet(spark):
-    met = spark.createDataFrame([(1, n) for n in range(7)] + [(2, 0), (2, 1)], "bucket long, number long")
     roots = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (4, 3), (3, 3)], "node long, root long")
     group = {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 6}
     want = {(a, b) for b in group for a in range(b) if group[a] != group[b]}
-    sizes = spark.createDataFrame([(n, 100) for n in range(7)], "number long, size int")
-    got = [(r.a, r.b) for r in dedup.across(met, roots, sizes).collect()]
-    assert set(got) == want and len(got) == len(want)
-    sizes = spark.createDataFrame([(n, 100 if n != 6 else 70) for n in range(7)], "number long, size int")
-    assert {(r.a, r.b) for r in dedup.across(met, roots, sizes).collect()} == {p for p in want if 6 not in p}
+
+    def found(size):
+        rows = [(1, n, size.get(n, 100), size.get(n, 100) * 1.25) for n in range(7)] + [(2, n, 100, 125.0) for n in range(2)]
+        return [(r.a, r.b) for r in dedup.across(spark.createDataFrame(rows, "bucket long, number long, size int, reach double"), roots).collect()]
+
+    assert set(found({})) == want and len(found({})) == len(want)
+    assert set(found({6: 70})) == {p for p in want if 6 not in p}
+
+
+@pytest.mark.parametrize("crowd", [2, 5])
+def test_crowded_shingles_lose_no_links(spark, monkeypatch, crowd):
+    """Passages that many texts share crowd their buckets; texts of little else are compared if they can be similar."""
+    monkeypatch.setattr(dedup, "CROWD", crowd)
+    rng = random.Random(crowd)
+    passages = [[f"p{k}x{i}" for i in range(60)] for k in range(3)]
+    rows = []
+    for i in range(120):
+        base = list(rng.choice(passages))
+        own = [f"o{i}x{j}" for j in range(rng.choice([2, 5, 8, 12, 40, 90]))]
+        rows.append(own[: len(own) // 2] + base + own[len(own) // 2 :])
+        if i % 3 == 0:
+            copy = list(rows[-1])
+            copy[rng.randrange(len(copy))] = f"z{i}"
+            rows.append(copy)
+    rows += [passages[0] + passages[1], passages[1] + passages[0], passages[0] + passages[1] + ["end"]]
+    rng.shuffle(rows)
+    rows = list(enumerate(" ".join(r) for r in rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in dedup.one_of_each(docs).collect())
+    assert got == sorted(i for i, _ in brute(rows))
 
 
 def test_similar_texts_behind_unrelated_leaders_are_found(spark):
