@@ -8,7 +8,7 @@ toxic can then be pointed out. Features are words and their beginnings, so infle
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,8 +21,8 @@ from factloom.llm.common import clean_text, table, text_batches
 
 #: Labelled documents that the sentence scorer is fitted on, about, and their characters; of a text longer than LONGEST
 #: as much in STRETCHES from all over it.
-LABELLED, CHARACTERS = 6_000, 60_000_000
-LONGEST, STRETCHES = 200_000, 40
+LABELLED, CHARACTERS = 6_000, 24_000_000
+LONGEST, STRETCHES = 50_000, 20
 #: What a feature must tell of the labels (chi-squared on one degree of freedom), and the fewest documents that have it.
 TELLING, LEAST_DOCUMENTS = 6.63, 4
 BEGINNINGS = (3, 4, 5, 6)
@@ -100,15 +100,15 @@ def stretches(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.minimum(begin + STRETCH, stops[run])
 
 
-def fit(texts: list[str], labels: list[int]) -> Scorer:
-    """Fit on labelled texts; without both labels every score is the share of toxic ones."""
+def fit(texts: Iterable[str], labels: list[int]) -> Scorer:
+    """Fit on labelled texts, read once; without both labels every score is the share of toxic ones."""
+    number: dict[str, int] = {}
+    words = [np.array([number.setdefault(t, len(number)) for t in map(str.lower, TOKEN.findall(text))], dtype=np.int32) for text in texts]
     y = np.array(labels, dtype=np.float64)
     n, positive = len(y), float(y.sum())
     if not 0 < positive < n:
         rate = min(0.99, max(0.01, positive / n)) if n else 0.01
         return Scorer({}, float(np.log(rate / (1 - rate))))
-    number: dict[str, int] = {}
-    words = [np.array([number.setdefault(t, len(number)) for t in map(str.lower, TOKEN.findall(text))], dtype=np.int32) for text in texts]
     vocabulary = list(number)
     is_word = np.array([bool(WORD.match(t)) for t in vocabulary], dtype=bool)
     own = [features(t) if w else [] for t, w in zip(vocabulary, is_word)]
@@ -161,20 +161,27 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Score
     """Fit on a bounded sample of the labelled documents outside the held-out fold.
 
     The sample is drawn by a hash of the id, so its expected size is ``labelled`` rows and CHARACTERS at most whatever
-    the table's size; texts of any length are in it. Contradicting labels count as toxic.
+    the table's size, and its ids are few enough to broadcast; texts of any length are in it, and the driver holds their
+    words' numbers, not the texts. Contradicting labels count as toxic.
     """
     known = (
         labels.where("doc_id is not null and toxic is not null").where(~held_out())
         .groupBy("doc_id").agg(F.max("toxic").alias("label_of_it"))
     )
     texts = docs.select("doc_id", clean_text().alias("text"))
-    size = F.sum(F.least(F.length("text"), F.lit(LONGEST)).cast("long"))
-    n, characters = texts.join(known, "doc_id").agg(F.count("*"), size).first()
+    sizes = texts.select("doc_id", F.least(F.length("text"), F.lit(LONGEST)).cast("long").alias("size"))
+    n, characters = sizes.join(known, "doc_id").agg(F.count("*"), F.sum("size")).first()
     share = min(1.0, labelled / max(1, n), CHARACTERS / max(1, characters or 0))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = texts.join(drawn, "doc_id").select("doc_id", stretched(F.col("text")).alias("text"), "label_of_it").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return fit([r.text for r in rows], [int(r.label_of_it > 0) for r in rows])
+    rows = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", stretched(F.col("text")).alias("text"), "label_of_it")
+    drawn_labels: list[int] = []
+
+    def one_by_one() -> Iterator[str]:
+        for r in rows.orderBy("doc_id", "text").toLocalIterator():
+            drawn_labels.append(int(r.label_of_it > 0))
+            yield r.text
+
+    return fit(one_by_one(), drawn_labels)
 
 
 def stretched(text):
