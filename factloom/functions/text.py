@@ -98,3 +98,12 @@ def document_type(text: Column) -> Column:
         F.when(low.rlike("licen[cs]e"), "LICENSE").when(low.rlike(r"token\s*="), "SECRET").when(low.rlike(r"\S+@\S+\.\S+"), "CONTACT")
         .when(low.rlike(r" \| "), "TABLE").otherwise("PROSE")
     )
+
+
+def deletions(text: Column, most: int) -> Column:
+    """The distinct forms of a text that so many deletions or fewer leave; texts within that many edits share one."""
+    forms = F.array(text)
+    for _ in range(most):
+        one = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+        forms = F.array_distinct(F.concat(forms, F.flatten(F.transform(forms, one))))
+    return forms

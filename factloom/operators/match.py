@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.operators.picks import first_per
+from factloom.sources.shared import checkpointed
+
+#: Rows and queries of a block in a search over all rows.
+BLOCK_ROWS, BLOCK_QUERIES = 8_192, 512
+
 #: Alignment scores.
 SAME, ALIKE, GAP, DIFFERENT = 3, 1, -2, -5
 
@@ -30,21 +37,23 @@ def mutual_best(pairs: DataFrame, keys: list[str], left: str, right: str, score:
 
 
 def greedy_pairs(pairs: DataFrame, keys: list[str], left: str, right: str, distance: str) -> DataFrame:
-    """Closest first, each side used once: a fold over a key's candidate pairs in order of distance.
+    """Closest first, each side used once; equal distances go by left, then right.
 
-    The candidates of a key are an array, few by the tolerance that made them.
+    A pair that comes first among those of both its sides is what the greedy walk takes of them whatever it does before,
+    so each round takes all such pairs of all keys and drops what they use, until no pair is left.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    listed = F.array_sort(F.collect_list(F.struct(distance, left, right)))
-    item = f"struct<{distance}:{kinds[distance]},{left}:{kinds[left]},{right}:{kinds[right]}>"
-    none = F.array().cast(f"array<{item}>")
-
-    def step(kept: Column, pair: Column) -> Column:
-        used = F.exists(kept, lambda k: (k[left] == pair[left]) | (k[right] == pair[right]))
-        return F.when(used, kept).otherwise(F.concat(kept, F.array(pair)))
-
-    matched = pairs.groupBy(*keys).agg(listed.alias("_pairs")).select(*keys, F.aggregate("_pairs", none, step).alias("_kept"))
-    return matched.select(*keys, F.inline("_kept")).select(*pairs.columns)
+    place = F.struct(distance, left, right)
+    done, rest = None, checkpointed(pairs)
+    while not rest.isEmpty():
+        firsts = rest
+        for side, name in ((left, "_first_l"), (right, "_first_r")):
+            firsts = firsts.withColumn(name, F.min(place).over(W.partitionBy(*keys, side)))
+        taken = checkpointed(firsts.where((place == F.col("_first_l")) & (place == F.col("_first_r"))).select(*pairs.columns))
+        done = taken if done is None else done.unionAll(taken)
+        for side in (left, right):
+            rest = rest.join(taken.select(*keys, side), [*keys, side], "left_anti").select(*pairs.columns)
+        rest = checkpointed(rest)
+    return (pairs.limit(0) if done is None else done).distinct()
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
@@ -86,3 +95,33 @@ def align_stacks(stacks: DataFrame, key: str, was: str, now: str) -> DataFrame:
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p * q).cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def nearest_by_cosine(vectors: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
+    """(query_id, id, score): the k rows closest to each query by cosine rounded to six digits, ties to the smaller id.
+
+    Queries meet the rows in blocks, of which each gives its own best, so the window sees k rows a query and block.
+    Vectors that are null or zero have no cosine and no part in it.
+    """
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
+    usable = lambda df: df.where(norm > 0).select(F.col(id_col).alias("id"), F.transform(vector, lambda x: x / norm).alias("v"))
+    blocks = lambda df, size: max(1, -(-df.count() // size))
+    n_rows, n_queries = blocks(vectors, BLOCK_ROWS), blocks(queries, BLOCK_QUERIES)
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = usable(queries).withColumn("q", own(n_queries)).withColumn("r", every(n_rows))
+    right = usable(vectors).withColumn("r", own(n_rows)).withColumn("q", every(n_queries))
+
+    def best(key: tuple, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(rows):
+            ids = rows.id.to_numpy()
+            scores = np.stack(asked.v.to_numpy()) @ np.stack(rows.v.to_numpy()).T
+            scores[asked.id.to_numpy()[:, None] == ids[None]] = -np.inf
+            for q, s in zip(asked.id, scores):
+                least = np.partition(s, -min(k, len(s)))[-min(k, len(s))]
+                out += [(q, i, x) for i, x in zip(ids[s >= least - 1e-5], s[s >= least - 1e-5]) if np.isfinite(x)]
+        return pd.DataFrame(out, columns=["query_id", id_col, "score"]).astype({"query_id": "int64", id_col: "int64", "score": "float64"})
+
+    met = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInPandas(best, f"query_id long, {id_col} long, score double")
+    return first_per(met.withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.asc(id_col)], k)

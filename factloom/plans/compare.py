@@ -223,7 +223,7 @@ def evaluate_count(spark, sf_dir):
 @query(
     "evaluate_presence",
     f"""
-    with s as (select param, stage, bool_or(num > 25) as present, bool_or(num <= 25) as absent from {MENTIONS_SQL} m where page % 2 = 1 group by param, stage),
+    with s as (select param, stage, bool_or(num > 25) as present, bool_or(num <= 25) as absent from {MENTIONS_SQL} m group by param, stage),
     t as (select param, stage, case when present and absent then 'MIXED' when present then 'PRESENT' else 'ABSENT' end as state from s),
     w as (select part.p_partkey as param, coalesce(max(case when stage = 'PD' then state end), 'SILENT') as pd,
                  coalesce(max(case when stage = 'RD' then state end), 'SILENT') as rd, coalesce(max(case when stage = 'ID' then state end), 'SILENT') as id
@@ -235,7 +235,7 @@ def evaluate_count(spark, sf_dir):
 )
 def evaluate_presence(spark, sf_dir):
     """Presence by aspect: silence is never a violation, a mixed stage can't be compared."""
-    rows = mentions(spark, sf_dir).where("page % 2 = 1")
+    rows = mentions(spark, sf_dir)
     flags = rows.groupBy("param", "stage").agg(F.bool_or(F.col("num") > 25).alias("present"), F.bool_or(F.col("num") <= 25).alias("absent"))
     state = F.when(F.col("present") & F.col("absent"), "MIXED").when(F.col("present"), "PRESENT").otherwise("ABSENT")
     cell = lambda s: F.coalesce(F.max(F.when(F.col("stage") == s, state)), F.lit("SILENT")).alias(s.lower())

@@ -94,11 +94,11 @@ def graph_diff(spark, sf_dir):
 @query(
     "symbols_per_page",
     """
-    with pages as (select distinct l_orderkey, l_linenumber from lineitem where l_orderkey < 4000), s as (select l_orderkey, l_linenumber, count(*) as n from lineitem where l_quantity > 40 group by 1, 2)
+    with pages as (select distinct l_orderkey, l_linenumber from lineitem), s as (select l_orderkey, l_linenumber, count(*) as n from lineitem where l_quantity > 40 group by 1, 2)
     select pages.l_orderkey, pages.l_linenumber, coalesce(n, 0) as symbols from pages left join s on s.l_orderkey = pages.l_orderkey and s.l_linenumber = pages.l_linenumber
     """,
 )
 def symbols_per_page(spark, sf_dir):
     """Symbols counted on every page seen, also those with none."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 4000")
+    lines = table(spark, sf_dir, "lineitem")
     return lines.groupBy("l_orderkey", "l_linenumber").agg(F.count_if(F.col("l_quantity") > 40).alias("symbols"))

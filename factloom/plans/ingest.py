@@ -11,7 +11,7 @@ from factloom.sources.tables import table
 
 FILES_SQL = """
 (select case l_returnflag when 'A' then 'pd' when 'N' then 'rd' else 'x' end || '/doc-' || l_partkey % 50 || case when l_linenumber > 3 then '_rev' || l_linenumber else '' end || '.pdf' as path,
-        sha256(cast(l_partkey as varchar)) as sha, l_orderkey as object, cast(l_quantity as bigint) as bytes from lineitem where l_orderkey < 3000)
+        sha256(cast(l_partkey as varchar)) as sha, l_orderkey as object, cast(l_quantity as bigint) as bytes from lineitem)
 """
 
 
@@ -19,7 +19,7 @@ def _files(spark, sf_dir):
     stage = F.when(F.col("l_returnflag") == "A", "pd").when(F.col("l_returnflag") == "N", "rd").otherwise("x")
     revision = F.when(F.col("l_linenumber") > 3, F.concat(F.lit("_rev"), F.col("l_linenumber").cast("string"))).otherwise("")
     path = F.concat(stage, F.lit("/doc-"), (F.col("l_partkey") % 50).cast("string"), revision, F.lit(".pdf"))
-    return table(spark, sf_dir, "lineitem").where("l_orderkey < 3000").select(
+    return table(spark, sf_dir, "lineitem").select(
         path.alias("path"), F.sha2(F.col("l_partkey").cast("string").cast("binary"), 256).alias("sha"), F.col("l_orderkey").alias("object"), F.col("l_quantity").cast("long").alias("bytes")
     )
 
@@ -88,34 +88,34 @@ def assembled_parts(spark, sf_dir):
 @query(
     "upsert_rows",
     """
-    with t as (select c_custkey as k, c_acctbal as v, 0 as stamp from customer where c_custkey < 1000), n as (select o_custkey as k, o_totalprice as v, o_orderkey as stamp from orders where o_orderkey < 4000)
+    with t as (select c_custkey as k, c_acctbal as v, 0 as stamp from customer), n as (select o_custkey as k, o_totalprice as v, o_orderkey as stamp from orders)
     select k, v from (select *, row_number() over (partition by k order by new desc, stamp desc) as rn from (select *, 0 as new from t union all select *, 1 from n) u) x where rn = 1
     """,
 )
 def upsert_rows(spark, sf_dir):
     """New rows in place of old ones of the same key."""
-    old = table(spark, sf_dir, "customer").where("c_custkey < 1000").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit(0).cast("long").alias("at"))
-    new = table(spark, sf_dir, "orders").where("o_orderkey < 4000").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("at"))
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit(0).cast("long").alias("at"))
+    new = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("at"))
     return upsert(old, new, ["k"], "at").select("k", "v")
 
 
 @query(
     "insert_ignore",
-    "select distinct o_custkey as k from orders where o_orderkey < 4000 and o_custkey not in (select c_custkey from customer where c_custkey % 3 = 0)",
+    "select distinct o_custkey as k from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 3000)",
 )
 def insert_ignore(spark, sf_dir):
-    known = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"))
-    return insert_new(known, table(spark, sf_dir, "orders").where("o_orderkey < 4000").select(F.col("o_custkey").alias("k")), ["k"])
+    known = table(spark, sf_dir, "customer").where("c_acctbal > 3000").select(F.col("c_custkey").alias("k"))
+    return insert_new(known, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), ["k"])
 
 
 @query(
     "counted_insert",
     """
-    select s, count(*) as inserted from (select o_custkey as k, min(o_orderstatus) as s from orders where o_orderkey < 4000 group by 1) t
-    where k not in (select c_custkey from customer where c_custkey % 3 = 0) group by 1
+    select s, count(*) as inserted from (select o_custkey as k, min(o_orderstatus) as s from orders group by 1) t
+    where k not in (select c_custkey from customer where c_acctbal > 3000) group by 1
     """,
 )
 def counted_insert(spark, sf_dir):
-    known = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"))
-    rows = table(spark, sf_dir, "orders").where("o_orderkey < 4000").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderstatus").alias("s"))
+    known = table(spark, sf_dir, "customer").where("c_acctbal > 3000").select(F.col("c_custkey").alias("k"))
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderstatus").alias("s"))
     return inserted_counts(known, rows, ["k"], ["s"])

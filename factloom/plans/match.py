@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators.match import align_stacks, cosine, greedy_pairs, keyed_diff, mutual_best
-from factloom.operators.picks import first_per
+from factloom.operators.match import align_stacks, greedy_pairs, keyed_diff, mutual_best, nearest_by_cosine
 from factloom.plans.registry import query
 from factloom.sources.tables import table
 
@@ -90,17 +89,15 @@ def layer_alignment(spark, sf_dir):
 @query(
     "cosine_neighbours",
     """
-    select a.vec_id as query_id, b.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score
-    from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id in (0, 1, 2) qualify row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) desc, b.vec_id) <= 5
+    with s as (select a.vec_id as query_id, b.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score
+      from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0)
+    select query_id, vec_id, score from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
     """,
 )
 def cosine_neighbours(spark, sf_dir):
-    """Closest vectors of the same class to three given ones."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    q = v.where(F.col("vec_id").isin(0, 1, 2)).select(F.col("vec_id").alias("query_id"), "label", F.col("e").alias("q"))
-    met = v.join(F.broadcast(q), "label").where("vec_id <> query_id")  # three rows
-    scored = met.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("e")), 6).alias("score"))
-    return first_per(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], 5)
+    """The five closest of all vectors to every one whose id is divisible by 20."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return nearest_by_cosine(v, v.where("vec_id % 20 = 0"), "vec_id", "embedding", 5)
 
 
 @query(

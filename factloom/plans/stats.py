@@ -307,13 +307,13 @@ def metric_verdict(spark, sf_dir):
     "sample_pool",
     """
     select o_orderkey, case when o_totalprice < 20000 then 1 - pow(0.05, 1.0 / 59) end as bound from orders
-    where o_orderstatus in ('F', 'O') and (nullif(o_orderpriority, '3-MEDIUM') is null or o_orderpriority <= '2-HIGH') and o_orderkey % 7 = 0
+    where o_orderstatus in ('F', 'O') and (nullif(o_orderpriority, '3-MEDIUM') is null or o_orderpriority <= '2-HIGH')
     """,
 )
 def sample_pool(spark, sf_dir):
     """Checks fit for acceptance sampling: an unknown priority passes."""
     priority = F.nullif("o_orderpriority", F.lit("3-MEDIUM"))
-    rows = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "O") & (priority.isNull() | (F.col("o_orderpriority") <= "2-HIGH")) & (F.col("o_orderkey") % 7 == 0))
+    rows = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "O") & (priority.isNull() | (F.col("o_orderpriority") <= "2-HIGH")))
     return rows.select("o_orderkey", F.when(F.col("o_totalprice") < 20000, zero_error_bound(F.lit(59), 0.95)).alias("bound"))
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 
 from factloom.functions.text import document_type, fold, format_number, iso_date, jaccard, mask_ip, mask_mail, overlap_of_shorter, parse_number, stem, to_cyrillic_key, to_latin_code, unit_factor, words
 from factloom.operators.picks import first_per
+from factloom.operators.search import bm25
 from factloom.plans.registry import query
 from factloom.sources.tables import table
 
-QUERY_TERMS = ["license", "public", "general", "thing"]
 FOLD_SQL = r"trim(regexp_replace(regexp_replace(translate(lower({0}), 'ё', 'е'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -78,26 +78,15 @@ def token_counts(spark, sf_dir):
     """,
 )
 def bm25_search(spark, sf_dir):
-    """BM25 top-20: document frequencies and mean length by aggregates; one row of corpus statistics is broadcast."""
-    low = F.lower("text")
-    edge = r"[\p{L}\p{N}]"
-    counts = [F.regexp_count(low, F.lit(f"(?<!{edge}){term}(?!{edge})")) for term in QUERY_TERMS]
-    length = F.greatest(F.regexp_count(low, F.lit(f"{edge}+")), F.lit(1))
-    rows = table(spark, sf_dir, "documents").select("doc_id", length.alias("len"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
-    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(counts))])
-    scored = rows.where(" or ".join(f"tf{i} > 0" for i in range(len(counts)))).join(F.broadcast(stats), how="cross")
-    score = F.lit(0.0)
-    for i in range(len(counts)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.ln(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean")))
-    return scored.select("doc_id", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    """The twenty best documents for a query of four words."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return bm25(docs, "doc_id", "text", "license public general thing", 20).withColumn("score", F.round("score", 9))
 
 
 @query(
     "edit_distances",
     """
-    with x as (select conv_id, turn, left(regexp_replace(text, '[^ -~]', '', 'g'), 60) as a from conversations),
+    with x as (select conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') as a from conversations),
     c as (select conv_id, turn, a, lead(a) over (partition by conv_id order by turn) as b from x)
     select conv_id, sum(levenshtein(a, b)) as errors, sum(length(a)) as total, round(1 - sum(levenshtein(a, b)) / sum(length(a)), 9) as accuracy from c where b is not null and length(a) > 0 group by 1
     """,
@@ -105,7 +94,7 @@ def bm25_search(spark, sf_dir):
 )
 def edit_distances(spark, sf_dir):
     """Character accuracy pooled over the pairs of a conversation."""
-    cut = F.left(F.regexp_replace("text", "[^ -~]", ""), F.lit(60))
+    cut = F.regexp_replace("text", "[^ -~]", "")
     c = table(spark, sf_dir, "conversations").select("conv_id", cut.alias("a"), F.lead(cut).over(W.partitionBy("conv_id").orderBy("turn")).alias("b"))
     c = c.where("b is not null and length(a) > 0")
     errors, total = F.sum(F.levenshtein("a", "b")), F.sum(F.length("a"))
@@ -168,7 +157,7 @@ def iso_dates(spark, sf_dir):
 @query(
     "keyword_cover",
     """
-    with k as (select item_id, list_distinct(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: length(x) >= 7)) as ks from benchmark where item_id < 20)
+    with k as (select item_id, list_distinct(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: length(x) >= 7)) as ks from benchmark)
     select a.item_id, b.item_id as act, round(case when len(list_distinct(list_concat(a.ks, b.ks))) > 0 then len(list_intersect(a.ks, b.ks)) / len(list_distinct(list_concat(a.ks, b.ks))) else 0 end, 9) as similarity
     from k a join k b on a.item_id < b.item_id where len(list_intersect(a.ks, b.ks)) >= 1
     """,
@@ -176,7 +165,7 @@ def iso_dates(spark, sf_dir):
 def keyword_cover(spark, sf_dir):
     """Works and acts that share keywords: pairs come from an equi-join on the keyword."""
     letters = F.lower(F.regexp_replace("text", "[^A-Za-z]+", " "))
-    k = table(spark, sf_dir, "benchmark").where("item_id < 20").select("item_id", F.array_distinct(F.filter(F.split(letters, " "), lambda x: F.length(x) >= 7)).alias("ks"))
+    k = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.filter(F.split(letters, " "), lambda x: F.length(x) >= 7)).alias("ks"))
     each = k.select("item_id", "ks", F.explode("ks").alias("word"))
     met = each.alias("a").join(each.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.item_id") < F.col("b.item_id")))
     pairs = met.select(F.col("a.item_id").alias("item_id"), F.col("b.item_id").alias("act"), F.col("a.ks").alias("x"), F.col("b.ks").alias("y")).distinct()
@@ -186,17 +175,24 @@ def keyword_cover(spark, sf_dir):
 @query(
     "stem_overlap",
     r"""
-    with s as (select p_partkey, list_transform(string_split(p_name, ' '), lambda w: case when length(w) >= 5 then regexp_replace(w, '(ing|ed|es|s)$', '') else w end) as st from part where p_partkey < 400)
-    select a.p_partkey, count(*) as alike from s a join s b on a.p_partkey <> b.p_partkey and a.st[1] = b.st[1]
-    where len(list_intersect(a.st, b.st)) / least(len(list_distinct(a.st)), len(list_distinct(b.st)))::double >= 1 group by 1
+    with s as (select p_partkey, list_transform(string_split(p_name, ' '), lambda w: case when length(w) >= 5 then regexp_replace(w, '(ing|ed|es|s)$', '') else w end) as st from part),
+    n as (select st, count(*) as n from s group by 1),
+    p as (select a.st, sum(b.n) as met from n a join n b on len(list_intersect(a.st, b.st)) / least(len(list_distinct(a.st)), len(list_distinct(b.st)))::double >= 1 group by 1)
+    select p_partkey, cast(met - 1 as bigint) as alike from s join p using (st) where met > 1
     """,
+    {"alike": "bigint"},
 )
 def stem_overlap(spark, sf_dir):
-    """Names that share all stems of the shorter one."""
-    s = table(spark, sf_dir, "part").where("p_partkey < 400").select("p_partkey", F.transform(F.split("p_name", " "), stem).alias("st"))
-    same = (F.col("a.p_partkey") != F.col("b.p_partkey")) & (F.col("a.st")[0] == F.col("b.st")[0])
-    pairs = s.alias("a").join(s.alias("b"), same).where(overlap_of_shorter(F.col("a.st"), F.col("b.st")) >= 1)
-    return pairs.groupBy("a.p_partkey").agg(F.count("*").alias("alike"))
+    """How many other names share all stems of the shorter one.
+
+    Names of the same stems are one; distinct lists meet at a stem, and are counted by how many names have them.
+    """
+    s = table(spark, sf_dir, "part").select("p_partkey", F.transform(F.split("p_name", " "), stem).alias("st"))
+    lists = s.groupBy("st").agg(F.count("*").alias("n"))
+    each = lists.select("st", "n", F.explode(F.array_distinct("st")).alias("word"))
+    met = each.toDF("st", "m", "word").join(each.toDF("other", "n", "word"), "word").select("st", "other", "n").distinct()
+    counts = met.where(overlap_of_shorter(F.col("st"), F.col("other")) >= 1).groupBy("st").agg((F.sum("n") - 1).alias("alike"))
+    return s.join(counts, "st").where("alike > 0").select("p_partkey", "alike")
 
 
 @query(

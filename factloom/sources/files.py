@@ -110,24 +110,26 @@ def distinct_content(files: DataFrame) -> DataFrame:
 def batches(files: DataFrame, keys: list[str], most_bytes: int, most_files: int) -> DataFrame:
     """Greedy batches in order of path: a batch closes before the file that would overfill it.
 
-    The fold runs over one key's files as an array, whose entries are a path and a size.
+    Each key's files come to one task in order and pass it as a stream: it remembers the open batch, not the files.
     """
-    listed = F.array_sort(F.collect_list(F.struct("path", "bytes")))
-    start = F.struct(F.lit(0).alias("no"), F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("files"), F.array().cast("array<struct<path:string,bytes:bigint,batch:int>>").alias("out"))
-
-    def step(acc, f):
-        full = (acc["files"] > 0) & ((acc["bytes"] + f["bytes"] > most_bytes) | (acc["files"] >= most_files))
-        no = F.when(full, acc["no"] + 1).otherwise(acc["no"])
-        placed = F.struct(f["path"].alias("path"), f["bytes"].alias("bytes"), no.alias("batch"))
-        return F.struct(
-            no.alias("no"),
-            (F.when(full, F.lit(0).cast("long")).otherwise(acc["bytes"]) + f["bytes"]).alias("bytes"),
-            (F.when(full, 0).otherwise(acc["files"]) + 1).alias("files"),
-            F.concat(acc["out"], F.array(placed)).alias("out"),
-        )
-
-    packed = files.groupBy(*keys).agg(listed.alias("listed")).select(*keys, F.aggregate("listed", start, step).alias("acc"))
-    return packed.select(*keys, F.inline("acc.out"))
+    columns = [*keys, "path", "bytes"]
+    dealt = files.select(*columns).repartition(*keys).sortWithinPartitions(*columns)
+
+    def placed(frames):
+        key, no, filled, count = None, 0, 0, 0
+        for frame in frames:
+            numbers = []
+            for row in frame.itertuples(index=False, name=None):
+                if row[: len(keys)] != key:
+                    key, no, filled, count = row[: len(keys)], 0, 0, 0
+                elif filled + row[-1] > most_bytes or count >= most_files:
+                    no, filled, count = no + 1, 0, 0
+                filled, count = filled + row[-1], count + 1
+                numbers.append(no)
+            yield frame.assign(batch=numbers)
+
+    kinds = ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in columns)
+    return dealt.mapInPandas(placed, f"{kinds}, batch int")
 
 
 def page_ranges(pages: Column, size: int) -> Column:

@@ -236,3 +236,42 @@ def test_components_against_a_search(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_greedy_pairs_are_those_of_a_walk(spark):
+    rng = random.Random(4)
+    rows = sorted({(k, rng.randrange(12), rng.randrange(12)) for k in range(6) for _ in range(60)})
+    rows = [(k, a, b, float(rng.randrange(5))) for k, a, b in rows]
+    want, used = set(), set()
+    for k, a, b, d in sorted(rows, key=lambda r: (r[3], r[1], r[2])):
+        if (k, "l", a) not in used and (k, "r", b) not in used:
+            used |= {(k, "l", a), (k, "r", b)}
+            want.add((k, a, b, d))
+    df = spark.createDataFrame(rows, "k int, l int, r int, d double")
+    assert {tuple(r) for r in match.greedy_pairs(df, ["k"], "l", "r", "d").collect()} == want
+    assert match.greedy_pairs(df.limit(0), ["k"], "l", "r", "d").count() == 0
+
+
+def test_deletions_reach_all_texts_within_as_many_edits(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abc", k=rng.randrange(0, 6))) for _ in range(60)]
+    df = spark.createDataFrame([(w,) for w in sorted(set(words))], "w string")
+    forms = {r.w: set(r.f) for r in df.select("w", text.deletions(F.col("w"), 2).alias("f")).collect()}
+    near = df.toDF("a").join(df.toDF("b"), F.levenshtein("a", "b") <= 2).collect()
+    assert all(forms[r.a] & forms[r.b] for r in near)
+
+
+def test_batches_stream_a_key_in_order(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(3), f"p{i:04d}", rng.randrange(1, 50)) for i in range(300)]
+    got = {(r.k, r.path): r.batch for r in files.batches(spark.createDataFrame(rows, "k int, path string, bytes long"), ["k"], 60, 3).collect()}
+    want = {}
+    for key in range(3):
+        no = filled = n = 0
+        for k, path, size in sorted(rows):
+            if k == key:
+                if n and (filled + size > 60 or n >= 3):
+                    no, filled, n = no + 1, 0, 0
+                filled, n = filled + size, n + 1
+                want[k, path] = no
+    assert got == want
