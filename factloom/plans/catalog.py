@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import compare, documents, geometry, ingest, kinds, match, registry, rollup, rules, series, stats, streams, text, totals  # noqa: F401
+from factloom.plans import compare, documents, geometry, ingest, kinds, ladders, match, registry, rollup, rules, series, stats, streams, text, totals  # noqa: F401
 
 
 def plans() -> dict[str, registry.Plan]:
