@@ -30,7 +30,8 @@ RADIUS = 4
 #: Rows whose shingles are counted, about, to put common ones last; the fewest rows of a common one, and how many of
 #: those are kept. They order the prefixes: any order finds the same links, a good one with fewer pairs.
 COUNTED, LEAST, COMMON = 10_000, 3, 200_000
-#: Nodes that crowd a bucket of a shingle; such shingles are put last in the order.
+#: Groups of nodes, linked among themselves and not with each other, that crowd a bucket of a shingle; such shingles are
+#: put last in the order.
 CROWD = 20
 #: Parts that shingles are dealt in by hash; their counts bound how similar two texts can be.
 PARTS = 128
@@ -173,20 +174,23 @@ def reach(size, held):
     return (9 * held - 4 * size) / 4
 
 
-def prefixes(docs: DataFrame, nodes: DataFrame, shared) -> DataFrame:
-    """Materialised (bucket, number, size, reach, rows) of the nodes that share a shingle of their prefixes.
+def plain_entries(nodes: DataFrame) -> DataFrame:
+    """(bucket, number, size, reach) of the shingles in the prefixes as the first order has them."""
+    return nodes.select(F.explode("rare").alias("bucket"), "number", "size", reach(F.col("size"), F.col("size")).alias("reach"))
 
-    Shingles that crowd a bucket come last in the order. Nodes that have none of them in their prefix keep it. The others
-    take theirs again from all their shingles; only one that has too few others meets in crowded buckets, and there its
-    reach is that of its crowded shingles, since nodes that share another one meet in its bucket.
+
+def uncrowded(docs: DataFrame, nodes: DataFrame, met: DataFrame, roots: DataFrame, shared) -> DataFrame:
+    """``met`` again, materialised, where shingles of many groups without a link come last in the order.
+
+    Nodes that have none of them in their prefix keep it. The others take theirs again from all their shingles; only one
+    that has too few others meets in crowded buckets, and there its reach is that of its crowded shingles, since nodes
+    that share another one meet in its bucket.
     """
-    plain = lambda df: df.select(F.explode("rare").alias("bucket"), "number", "size", reach(F.col("size"), F.col("size")).alias("reach"))
-    met = members(plain(nodes))
-    crowded = materialise(met.where(F.col("rows") > CROWD).select("bucket").distinct())
-    touched = materialise(met.where(F.col("rows") > CROWD).select("number").distinct())
-    if touched.isEmpty():
+    groups = _rooted(met, roots).groupBy("bucket").agg(F.countDistinct("root").alias("groups"))
+    crowded = materialise(groups.where(F.col("groups") > CROWD).select("bucket"))
+    if crowded.isEmpty():
         return met
-    forget(met)
+    touched = materialise(met.join(crowded, "bucket", "left_semi").select("number").distinct())
     needed = materialise(nodes.join(touched, "number", "left_semi").select("number", "id", "text_hash"))
     lists = materialise(of_nodes(docs, needed, "long", lambda words: ordered(hashes(words), *shared.value)))
     own = lists.select("number", F.explode("found").alias("bucket")).join(crowded, "bucket", "left_semi")
@@ -197,19 +201,39 @@ def prefixes(docs: DataFrame, nodes: DataFrame, shared) -> DataFrame:
     rest = F.greatest(take - F.size("first"), F.lit(0))
     entries = F.concat(entry("first", take, F.col("size")), entry("late", rest, F.size("late")))
     again = split.select("number", "size", F.explode(entries).alias("e")).select("e.bucket", "number", "size", "e.reach")
-    met = members(plain(nodes.join(touched, "number", "left_anti")).unionByName(again))
-    forget(crowded, touched, needed, lists, own)
-    return met
+    found = members(plain_entries(nodes.join(touched, "number", "left_anti")).unionByName(again))
+    forget(met, crowded, touched, needed, lists, own)
+    return found
 
 
 def with_leaders(met: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the members of each bucket with its leaders: its oldest node and that of the largest number.
+    """Pairs (a, b) of the members of each bucket with its leaders: its oldest node and the one that most buckets share.
 
-    A bucket of any size gives two pairs a member at most and no group is compared with itself.
+    The text that copies were made of shares more buckets than any copy, so the second links a large group at once. A
+    bucket of any size gives two pairs a member at most and no group is compared with itself.
     """
-    aged = met.join(nodes.select("number", "first_id"), "number")
-    leaders = aged.groupBy("bucket").agg(F.min_by("number", F.struct("first_id", "number")).alias("oldest"), F.max("number").alias("last"))
-    pairs = met.join(leaders, "bucket").select("number", F.explode(F.array("oldest", "last")).alias("leader")).where("number <> leader")
+    met = met.select("bucket", "number")
+    degree = met.groupBy("number").agg(F.count("*").alias("degree"))
+    aged = met.join(materialise(nodes.select("number", "first_id").join(degree, "number")), "number")
+    leaders = aged.groupBy("bucket").agg(F.min_by("number", F.struct("first_id", "number")).alias("oldest"), F.max_by("number", F.struct("degree", "number")).alias("hub"))
+    pairs = met.join(leaders, "bucket").select("number", F.explode(F.array("oldest", "hub")).alias("leader")).where("number <> leader")
+    return pairs.select(F.least("number", "leader").alias("a"), F.greatest("number", "leader").alias("b")).distinct()
+
+
+def _rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """``met`` with the root of each node: the smallest node that links lead to, or the node itself."""
+    return met.join(roots.withColumnRenamed("node", "number"), "number", "left").withColumn("root", F.coalesce("root", "number"))
+
+
+def to_hubs(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of each bucket with one of the group that most of its members are of, if not theirs.
+
+    Groups so get their links without being compared with each other; what has none after this is left to across().
+    """
+    rooted = _rooted(met, roots).select("bucket", "number", "root", "size", "reach")
+    groups = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("number").alias("number"), F.min_by("size", "number").alias("size"), F.min_by("reach", "number").alias("reach"))
+    most = groups.groupBy("bucket").agg(F.max(F.struct("n", "root", "number", "size", "reach")).alias("hub"), F.count("*").alias("groups")).where("groups > 1")
+    pairs = rooted.join(most, "bucket").where("root <> hub.root and reach >= hub.size and hub.reach >= size").select("number", F.col("hub.number").alias("leader"))
     return pairs.select(F.least("number", "leader").alias("a"), F.greatest("number", "leader").alias("b")).distinct()
 
 
@@ -219,8 +243,7 @@ def across(met: DataFrame, roots: DataFrame) -> DataFrame:
     Groups of a bucket are paired before their members, so a large group of connected nodes isn't compared with itself;
     and only groups, then nodes, of which each is within the other's reach.
     """
-    rooted = met.join(roots.withColumnRenamed("node", "number"), "number", "left")
-    rooted = rooted.select("bucket", "number", F.coalesce("root", "number").alias("root"), "size", "reach")
+    rooted = _rooted(met, roots).select("bucket", "number", "root", "size", "reach")
     groups = rooted.groupBy("bucket", "root").agg(F.min("size").alias("size"), F.max("reach").alias("reach"))
     ends = groups.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last"))
     open_buckets = materialise(ends.where("first < last").select("bucket"))
@@ -300,15 +323,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     forget(found, firsts)
     pairs = materialise(candidates(nodes.select("number", "first_id", "fp")))
     _free_shuffles(docs.sparkSession)
-    met = prefixes(docs, nodes, shared)
-    more = materialise(with_leaders(met, nodes).join(pairs, ["a", "b"], "left_anti"))
-    pairs = pairs.unionAll(more)
-    _free_shuffles(docs.sparkSession)
+    met = members(plain_entries(nodes))
+    pairs = materialise(pairs.unionAll(with_leaders(met, nodes)).distinct())
     links = verified(pairs, nodes, docs)
-    rest = materialise(across(met, materialise(components(links))).join(pairs, ["a", "b"], "left_anti"))
+    roots = materialise(components(links))
+    met = uncrowded(docs, nodes, met, roots, shared)
+    for more in (to_hubs, across):
+        _free_shuffles(docs.sparkSession)
+        fresh = materialise(more(met, roots).join(pairs, ["a", "b"], "left_anti"))
+        pairs, links = pairs.unionAll(fresh), links.unionAll(verified(fresh, nodes, docs))
+        roots = materialise(components(links))
     forget(met)
-    roots = materialise(components(links.unionAll(verified(rest, nodes, docs))))
-    forget(links, rest)
     rooted = nodes.select(F.col("number").alias("node"), "age").join(roots, "node", "left")
     kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("age").alias("age"))
     kept = materialise(kept.select("age.id", "age.text_hash").distinct())
