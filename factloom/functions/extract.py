@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = r"(-?\d{1,3}(?:[   ]\d{3})+(?:[.,]\d+)?|-?\d+(?:[.,]\d+)?)"
+from factloom.functions.text import AMOUNT, plain_number
 
-
-def _number(text: Column) -> Column:
-    return F.translate(F.regexp_replace(text, "[   ]", ""), ",", ".").try_cast("double")
+NUMBER = f"({AMOUNT})"
 
 
 def quantities(text: Column, units: list[str]) -> Column:
@@ -21,7 +19,7 @@ def quantities(text: Column, units: list[str]) -> Column:
     def read(m: Column) -> Column:
         word = F.regexp_extract(m, pattern, 1)
         qualifier = F.when(word.isin("at least", "not less than"), "MIN").when(word.isin("at most", "not more than"), "MAX").when(word == "about", "ABOUT")
-        return F.struct(_number(F.regexp_extract(m, pattern, 2)).alias("num"), F.regexp_extract(m, pattern, 3).alias("unit"), qualifier.alias("qualifier"), m.alias("raw"))
+        return F.struct(plain_number(F.regexp_extract(m, pattern, 2)).alias("num"), F.regexp_extract(m, pattern, 3).alias("unit"), qualifier.alias("qualifier"), m.alias("raw"))
 
     return F.transform(found, read)
 
@@ -61,5 +59,5 @@ def layers(text: Column) -> Column:
     pattern = rf"([\p{{L}} ]+?)\s*[–-]\s*{NUMBER}\s*mm"
     return F.transform(
         F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)),
-        lambda m: F.struct(F.trim(F.regexp_extract(m, pattern, 1)).alias("m"), _number(F.regexp_extract(m, pattern, 2)).alias("t")),
+        lambda m: F.struct(F.trim(F.regexp_extract(m, pattern, 1)).alias("m"), plain_number(F.regexp_extract(m, pattern, 2)).alias("t")),
     )

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Capital letters that look alike in the two alphabets.
 LATIN_TWINS, CYRILLIC_TWINS = "ABCEHKMOPTXYaceopxy", "АВСЕНКМОРТХУасеорху"
@@ -30,11 +34,19 @@ def to_cyrillic_key(text: Column) -> Column:
     return fold(F.translate(text, LATIN_TWINS, CYRILLIC_TWINS))
 
 
+#: A number whose digits may be parted by spaces in groups of three, with a decimal comma or point.
+PARTING = "[ \u00a0\u202f]"
+AMOUNT = rf"-?\d+(?:{PARTING}\d{{3}}(?!\d))*(?:[.,]\d+)?"
+
+
+def plain_number(amount: Column) -> Column:
+    """The value of a text that is such a number; null for another."""
+    return F.translate(F.regexp_replace(amount, PARTING, ""), ",", ".").try_cast("double")
+
+
 def parse_number(text: Column) -> Column:
     """The first number of a text: thousands grouped by spaces, decimal comma or point; null without one."""
-    raw = F.regexp_extract(text, r"-?\d{1,3}(?:[   ]\d{3})+(?:[.,]\d+)?|-?\d+(?:[.,]\d+)?", 0)
-    plain = F.translate(F.regexp_replace(raw, "[   ]", ""), ",", ".")
-    return F.when(raw != "", plain.cast("double"))
+    return plain_number(F.nullif(F.regexp_extract(text, AMOUNT, 0), F.lit("")))
 
 
 def format_number(value: Column, digits: int = 2) -> Column:
@@ -76,11 +88,71 @@ def overlap_of_shorter(a: Column, b: Column) -> Column:
 
 
 def mask_mail(text: Column) -> Column:
-    return F.regexp_replace(text, r"([A-Za-z0-9_])[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "$1***@***")
+    """Addresses keep their first sign and their domain."""
+    sign = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~.-]"
+    return F.regexp_replace(text, rf"({sign}){sign}*@((?:[A-Za-z0-9-]+\.)+[A-Za-z0-9-]+)", "$1***@$2")
+
+
+def mask_phone(text: Column) -> Column:
+    """Numbers of ten digits after +7 or 8 keep their last two."""
+    gap = r"[\s-]?"
+    return F.regexp_replace(text, rf"(?<![\w+])(?:\+7|8){gap}\(?\d{{3}}\)?{gap}\d{{3}}{gap}\d{{2}}{gap}(\d{{2}})(?!\w)", r"+7***-**-$1")
+
+
+def mask_insurance(text: Column) -> Column:
+    """Insurance numbers, three times three digits, keep the two that check them."""
+    return F.regexp_replace(text, r"(?<!\d)\d{3}-\d{3}-\d{3}[\s-](\d{2})(?!\d)", r"***-***-*** $1")
+
+
+def mask_text(text: Column) -> Column:
+    return mask_mail(mask_phone(mask_insurance(text)))
+
+
+def mask_ip(address: Column) -> Column:
+    """An address of four bytes, also within one of sixteen, loses its last; of sixteen bytes six stay; else three stars."""
+    a = F.trim(address)
+    byte = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+    four = rf"(?i)^(::ffff:)?({byte}\.{byte}\.{byte})\.{byte}$"
+    sides = F.split(a, "::")
+    groups = lambda i: F.filter(F.split(F.coalesce(F.get(sides, i), F.lit("")), ":"), lambda g: g != "")
+    head, tail = groups(F.lit(0)), groups(F.lit(1))
+    missing = 8 - F.size(head) - F.size(tail)
+    whole = F.when(F.size(sides) == 1, head).when(missing >= 1, F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), tail))
+    sound = a.rlike("^[0-9A-Fa-f:]+$") & (F.size(sides) <= 2) & (F.size(whole) == 8) & F.forall(whole, lambda g: F.length(g) <= 4)
+    short = F.array_join(F.transform(F.slice(whole, 1, 3), lambda g: F.regexp_replace(F.lower(g), "^0+(?=.)", "")), ":")
+    stars = F.when(F.coalesce(sound, F.lit(False)), F.concat(short, F.lit("::/48"))).otherwise("***")
+    return F.when(address == "", "").when(a.rlike(four), F.regexp_replace(a, four, "$1$2.0")).when(address.isNotNull(), stars)
+
+
+#: Fields of a log that say who someone is, and those that hold an address.
+WHO, WHERE = "name user_name full_name fio login customer contractor user_agent ua phone email snils passport".split(), ["ip", "ip_address"]
+
+
+def mask_field(key: Column, value: Column) -> Column:
+    """A field of a log by its name: who someone is goes whole, addresses and texts as above."""
+    low = F.lower(key)
+    return F.when(value.isNull(), value).when(low.isin(*WHERE), mask_ip(value)).when(low.isin(*WHO), "***").otherwise(mask_text(value))
+
+
+@F.pandas_udf(T.StringType())
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def nfc(text: Column) -> Column:
+    """Composed form of letters with marks; texts of ASCII alone don't leave the JVM."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), _composed(F.when(text.rlike(r"[^\x00-\x7F]"), text))).otherwise(text)
+
 
+def word_distance(a: Column, b: Column) -> Column:
+    """Edits of whole words that turn one array of words into the other.
 
-def mask_ip(text: Column) -> Column:
-    return F.regexp_replace(text, r"\b(\d{1,3})\.(\d{1,3})\.\d{1,3}\.\d{1,3}\b", "$1.$2.*.*")
+    Each different word of the two is one sign, by its place among them, so the built-in distance counts words.
+    """
+    both = F.array_distinct(F.concat(a, b))
+    code = lambda w: F.lpad(F.hex(F.array_position(both, w) + 0x4DFF), 4, "0")
+    signs = lambda words: F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
+    return F.levenshtein(signs(a), signs(b))
 
 
 def iso_date(text: Column) -> Column:

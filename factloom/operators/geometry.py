@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,3 +63,84 @@ def distance_to_contour(x: pd.Series, y: pd.Series, polygon: pd.Series) -> pd.Se
         points = np.stack(list(contour))
         out.append(min(_segment_distance(np.array([px, py]), a, b) for a, b in zip(points, np.roll(points, -1, axis=0))))
     return pd.Series(out, dtype="float64")
+
+
+def crossings(a: Column, b: Column) -> Column:
+    """Points where two polylines, arrays of [x, y], cross or touch; parallel stretches that overlap are no crossing."""
+    steps = lambda line: F.when(F.size(line) > 1, F.sequence(F.lit(1), F.size(line) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def meet(i, j):
+        p, q, u, v = a[i - 1], a[i], b[j - 1], b[j]
+        rx, ry, sx, sy = q[0] - p[0], q[1] - p[1], v[0] - u[0], v[1] - u[1]
+        turn = rx * sy - ry * sx
+        t = F.try_divide((u[0] - p[0]) * sy - (u[1] - p[1]) * sx, turn)
+        w = F.try_divide((u[0] - p[0]) * ry - (u[1] - p[1]) * rx, turn)
+        hit = (F.abs(turn) > 1e-9) & t.between(-1e-9, 1 + 1e-9) & w.between(-1e-9, 1 + 1e-9)
+        return F.when(hit, F.array(F.round(p[0] + t * rx, 6), F.round(p[1] + t * ry, 6)))
+
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(steps(a), lambda i: F.transform(steps(b), lambda j: meet(i, j))))))
+
+
+def _cover(polygon: np.ndarray, y: float) -> list[tuple[float, float]]:
+    """Stretches of a level that are in a polygon."""
+    a, b = polygon, np.roll(polygon, -1, axis=0)
+    over = (a[:, 1] > y) != (b[:, 1] > y)
+    x = np.sort(a[over, 0] + (y - a[over, 1]) * (b[over, 0] - a[over, 0]) / (b[over, 1] - a[over, 1]))
+    return list(zip(x[::2], x[1::2]))
+
+
+def _edge_levels(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Heights of all corners and of all points where edges of the two cross."""
+    a, r = p, np.roll(p, -1, axis=0) - p
+    c, s = q, np.roll(q, -1, axis=0) - q
+    turn = r[:, None, 0] * s[None, :, 1] - r[:, None, 1] * s[None, :, 0]
+    gap = c[None] - a[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (gap[..., 0] * s[None, :, 1] - gap[..., 1] * s[None, :, 0]) / turn
+        u = (gap[..., 0] * r[:, None, 1] - gap[..., 1] * r[:, None, 0]) / turn
+        hit = (np.abs(turn) > 1e-12) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+        crossed = (a[:, None, 1] + t * r[:, None, 1])[hit]
+    return np.unique(np.concatenate([p[:, 1], q[:, 1], crossed]))
+
+
+def _shared_area(p: np.ndarray, q: np.ndarray) -> float:
+    """Between two neighbouring levels every edge is straight, so the middle's width times the height is exact."""
+    levels, total = _edge_levels(p, q), 0.0
+    for low, high in zip(levels, levels[1:]):
+        y = (low + high) / 2
+        total += (high - low) * sum(max(0.0, min(b, d) - max(a, c)) for a, b in _cover(p, y) for c, d in _cover(q, y))
+    return total
+
+
+@F.pandas_udf(T.DoubleType())
+def polygon_iou(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Shared area of two polygons whose edges don't cross themselves, over the area of both; null for fewer than three corners."""
+
+    def one(x, y):
+        if x is None or y is None or len(x) < 3 or len(y) < 3:
+            return None
+        p, q = np.stack(list(x)), np.stack(list(y))
+        size = lambda z: abs(np.sum(z[:, 0] * np.roll(z[:, 1], -1) - np.roll(z[:, 0], -1) * z[:, 1])) / 2
+        shared = _shared_area(p, q)
+        both = size(p) + size(q) - shared
+        return shared / both if both > 0 else None
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def related(subjects: DataFrame, others: DataFrame, sheet: list[str], subject: str, kind: str, limit: float = 0.0) -> DataFrame:
+    """(sheet, subject, holds): whether each subject's box is inside, meets or is within ``limit`` of one of the others.
+
+    Boxes are arrays x0, y0, x1, y1 in a column ``box``; only those of one sheet can meet. A sheet without others has
+    nothing to hold against and no rows.
+    """
+    a, b = F.col("box"), F.col("_other")
+    across, along = F.greatest(F.lit(0.0), a[0] - b[2], b[0] - a[2]), F.greatest(F.lit(0.0), a[1] - b[3], b[1] - a[3])
+    gap = F.sqrt(across * across + along * along)
+    holds = {
+        "inside": (a[0] >= b[0]) & (a[1] >= b[1]) & (a[2] <= b[2]) & (a[3] <= b[3]),
+        "intersects": gap <= 1e-9,
+        "distance": gap <= limit + 1e-9,
+    }[kind]
+    met = subjects.select(*sheet, subject, "box").join(others.select(*sheet, F.col("box").alias("_other")), sheet)
+    return met.groupBy(*sheet, subject).agg(F.bool_or(holds).alias("holds"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factloom.operators.geometry import apply_frame, area, distance_to_contour, hausdorff, inside
+from factloom.operators.geometry import apply_frame, area, distance_to_contour, hausdorff, inside, polygon_iou, related
 from factloom.plans.registry import query
 from factloom.sources.tables import table
 
@@ -102,3 +102,35 @@ def symbols_per_page(spark, sf_dir):
     """Symbols counted on every page seen, also those with none."""
     lines = table(spark, sf_dir, "lineitem")
     return lines.groupBy("l_orderkey", "l_linenumber").agg(F.count_if(F.col("l_quantity") > 40).alias("symbols"))
+
+
+@query(
+    "relation_holds",
+    f"""
+    with b as (select l_orderkey as sheet, l_linenumber as item, l_returnflag as s, l_quantity as x, l_linenumber as y from lineitem)
+    select a.sheet, a.item, bool_or(sqrt(power(greatest(0, a.x - b.x - 2, b.x - a.x - 2), 2) + power(greatest(0, a.y - b.y - 1, b.y - a.y - 1), 2)) <= 6 + 1e-9) as holds
+    from b a join b on a.sheet = b.sheet and a.s = 'R' and b.s = 'A' group by 1, 2
+    """,
+)
+def relation_holds(spark, sf_dir):
+    """Elements of one kind that have one of another within reach on their sheet."""
+    x, y = F.col("l_quantity"), F.col("l_linenumber").cast("double")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("item"), "l_returnflag", F.array(x, y, x + 2, y + 1).alias("box"))
+    return related(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag = 'A'"), ["sheet"], "item", "distance", 6.0)
+
+
+@query(
+    "polygon_overlap",
+    """
+    with b as (select l_orderkey as k, l_returnflag as s, min(l_quantity) as x, min(l_linenumber) as y from lineitem group by 1, 2),
+    p as (select a.k, greatest(0, 12 - abs(a.x - b.x)) * greatest(0, 4 - abs(a.y - b.y)) as shared from b a join b on a.k = b.k and a.s = 'A' and b.s = 'R')
+    select k, round(shared / (96 - shared), 6) as iou from p
+    """,
+)
+def polygon_overlap(spark, sf_dir):
+    """How much the contours of two stages share."""
+    b = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), "l_returnflag").agg(F.min("l_quantity").alias("x"), F.min("l_linenumber").cast("double").alias("y"))
+    corner = lambda dx, dy: F.array(F.col("x") + dx, F.col("y") + dy)
+    contour = F.array(corner(0, 0), corner(12, 0), corner(12, 4), corner(0, 4))
+    side = lambda s, name: b.where(F.col("l_returnflag") == s).select("k", contour.alias(name))
+    return side("A", "p").join(side("R", "q"), "k").select("k", F.round(polygon_iou("p", "q"), 6).alias("iou"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factloom.functions.text import document_type, fold, format_number, iso_date, jaccard, mask_ip, mask_mail, overlap_of_shorter, parse_number, stem, to_cyrillic_key, to_latin_code, unit_factor, words
+from factloom.functions.text import document_type, fold, format_number, iso_date, jaccard, mask_ip, mask_mail, overlap_of_shorter, parse_number, stem, to_cyrillic_key, to_latin_code, unit_factor, word_distance, words
 from factloom.operators.picks import first_per
 from factloom.operators.search import bm25
 from factloom.plans.registry import query
@@ -104,13 +104,37 @@ def edit_distances(spark, sf_dir):
 @query(
     "masking",
     r"""
-    select doc_id, md5(regexp_replace(regexp_replace(text, '([A-Za-z0-9_])[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '\1***@***', 'g'), '\b(\d{1,3})\.(\d{1,3})\.\d{1,3}\.\d{1,3}\b', '\1.\2.*.*', 'g')) as masked
-    from documents where text like '%@%' or regexp_matches(text, '\d\.\d')
+    select doc_id, md5(regexp_replace(text, '([A-Za-z0-9!#$%&''*+/=?^_`{|}~.-])[A-Za-z0-9!#$%&''*+/=?^_`{|}~.-]*@((?:[A-Za-z0-9-]+\.)+[A-Za-z0-9-]+)', '\1***@\2', 'g')) as masked
+    from documents where contains(text, '@')
     """,
 )
 def masking(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(F.col("text").contains("@") | F.col("text").rlike(r"\d\.\d"))
-    return rows.select("doc_id", F.md5(mask_ip(mask_mail(F.col("text"))).cast("binary")).alias("masked"))
+    """Texts with the names before their addresses masked."""
+    rows = table(spark, sf_dir, "documents").where(F.col("text").contains("@"))
+    return rows.select("doc_id", F.md5(mask_mail(F.col("text")).cast("binary")).alias("masked"))
+
+
+@query(
+    "masked_addresses",
+    r"""
+    with a as (select doc_id, regexp_extract(text, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b') as ip from documents)
+    select doc_id, case when len(list_filter(string_split(ip, '.'), lambda o: cast(o as integer) > 255)) > 0 then '***' else regexp_replace(ip, '\.\d+$', '.0') end as ip from a where ip <> ''
+    """,
+)
+def masked_addresses(spark, sf_dir):
+    """The first address of each document without its last byte."""
+    ip = F.regexp_extract("text", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", 0)
+    return table(spark, sf_dir, "documents").select("doc_id", ip.alias("ip")).where("ip <> ''").select("doc_id", mask_ip(F.col("ip")).alias("ip"))
+
+
+@query("word_errors")
+def word_errors(spark, sf_dir):
+    """Word accuracy of each turn against the one before, pooled over a conversation."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", words.alias("a"), F.lead(words).over(W.partitionBy("conv_id").orderBy("turn")).alias("b"))
+    turns = turns.where("b is not null and size(a) > 0")
+    errors, total = F.sum(word_distance(F.col("a"), F.col("b"))), F.sum(F.size("a"))
+    return turns.groupBy("conv_id").agg(errors.alias("errors"), total.alias("total"), F.round(1 - errors / total, 9).alias("accuracy"))
 
 
 @query(

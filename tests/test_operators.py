@@ -106,11 +106,10 @@ def test_text_functions(spark):
         text.iso_date(F.lit("от 05.03.2024 г.")).alias("date"),
         text.iso_date(F.lit("31.02.2024")).alias("no_date"),
         text.mask_mail(F.lit("to anna.b@mail.org now")).alias("mail"),
-        text.mask_ip(F.lit("at 10.20.30.40")).alias("ip"),
     )
     assert (r.fold, r.code, r.grouped, r.none) == ("елка 5 дом", "AB12-CK", 12345.5, None)
     assert (r.shown, r.whole, r.mm, r.ell) == ("1234,5", "7", 0.001, None)
-    assert (r.date, r.no_date, r.mail, r.ip) == ("2024-03-05", None, "to a***@*** now", "at 10.20.*.*")
+    assert (r.date, r.no_date, r.mail) == ("2024-03-05", None, "to a***@mail.org now")
 
 
 def test_geometry(spark):
@@ -275,3 +274,60 @@ def test_batches_stream_a_key_in_order(spark):
                 filled, n = filled + size, n + 1
                 want[k, path] = no
     assert got == want
+
+
+def test_masks(spark):
+    addresses = {
+        "10.20.30.40": "10.20.30.0", "::ffff:10.20.30.40": "::ffff:10.20.30.0", "2001:0db8:1:2:3:4:5:6": "2001:db8:1::/48", "fe80::1": "fe80:0:0::/48",
+        "256.1.1.1": "***", "1:2:3": "***", "no": "***", "": "", "1::2::3": "***",
+    }
+    df = spark.createDataFrame([(a,) for a in addresses], "a string")
+    assert {r.a: r.m for r in df.select("a", text.mask_ip(F.col("a")).alias("m")).collect()} == addresses
+    fields = [("IP", "10.20.30.40", "10.20.30.0"), ("login", "anna", "***"), ("note", "anna@b.org, +7 (495) 123-45-67, 123-456-789 01", "a***@b.org, +7***-**-67, ***-***-*** 01"), ("note", None, None)]
+    df = spark.createDataFrame([(i, k, v) for i, (k, v, _) in enumerate(fields)], "i int, k string, v string")
+    assert [r.m for r in df.select("i", text.mask_field(F.col("k"), F.col("v")).alias("m")).orderBy("i").collect()] == [m for *_, m in fields]
+
+
+def test_composed_letters_and_word_distance(spark):
+    r = one(spark, text.nfc(F.lit("cafe\u0301")).alias("a"), text.nfc(F.lit("plain")).alias("b"), text.nfc(F.lit(None).cast("string")).alias("c"))
+    assert (r.a, r.b, r.c) == ("caf\u00e9", "plain", None)
+    rng = random.Random(1)
+    rows = [([rng.choice("abcd") * 3 for _ in range(rng.randrange(7))], [rng.choice("abcd") * 3 for _ in range(rng.randrange(7))]) for _ in range(60)]
+
+    def distance(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                before, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, before + (x != y))
+        return d[-1]
+
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", text.word_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(r.d == distance(r.a, r.b) for r in got) and len(got) == len(rows)
+
+
+def test_crossings_and_overlaps(spark):
+    line = lambda *p: F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in p])
+    r = one(
+        spark,
+        geometry.crossings(line((0, 0), (4, 4)), line((0, 4), (4, 0), (4, 1))).alias("two"),
+        geometry.crossings(line((0, 0), (4, 0)), line((1, 0), (3, 0))).alias("along"),
+        geometry.crossings(line((0, 0), (4, 0)), line((4, 0), (4, 5))).alias("touch"),
+        geometry.polygon_iou(line((0, 0), (4, 0), (4, 4), (0, 4)), line((2, 2), (6, 2), (6, 6), (2, 6))).alias("squares"),
+        geometry.polygon_iou(line((0, 0), (4, 0), (0, 4)), line((4, 4), (4, 0), (0, 4))).alias("apart"),
+        geometry.polygon_iou(line((0, 0), (6, 0), (6, 6), (3, 1), (0, 6)), line((0, 0), (6, 0), (6, 6), (0, 6))).alias("hollow"),
+        geometry.polygon_iou(line((0, 0), (1, 1)), line((0, 0), (4, 0), (4, 4))).alias("none"),
+    )
+    assert sorted(map(tuple, r.two)) == [(2.0, 2.0)]
+    assert (r.along, [tuple(p) for p in r.touch]) == ([], [(4.0, 0.0)])
+    assert math.isclose(r.squares, 4 / 28) and r.apart == 0 and math.isclose(r.hollow, 21 / 36) and r.none is None
+
+
+def test_relations_on_a_sheet(spark):
+    box = "sheet int, item string, box array<double>"
+    subjects = spark.createDataFrame([(1, "in", [1.0, 1.0, 2.0, 2.0]), (1, "edge", [9.0, 9.0, 11.0, 11.0]), (1, "far", [20.0, 0.0, 21.0, 1.0]), (2, "alone", [0.0, 0.0, 1.0, 1.0])], box)
+    others = spark.createDataFrame([(1, "room", [0.0, 0.0, 10.0, 10.0])], box)
+    holds = lambda kind, limit=0.0: {r.item: r.holds for r in geometry.related(subjects, others, ["sheet"], "item", kind, limit).collect()}
+    assert holds("inside") == {"in": True, "edge": False, "far": False}
+    assert holds("intersects") == {"in": True, "edge": True, "far": False}
+    assert holds("distance", 10.0) == {"in": True, "edge": True, "far": True} and not holds("distance", 9.9)["far"]
