@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.picks import first_per
+from factloom.sources.shared import checkpointed
 
 #: Longest deduplication key in bytes.
 KEY_BYTES = 512
@@ -27,12 +28,16 @@ def effective(start: Column, stop: Column, at: Column) -> Column:
     return (start.isNull() | (start <= at)) & (stop.isNull() | (at <= stop))
 
 
-def ancestors(edges: DataFrame, depth: int) -> DataFrame:
-    """(node, ancestor) over edges (child, parent), as far as ``depth`` steps; cycles end by the bound and distinct."""
-    known = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct()
-    front = known
-    for _ in range(depth - 1):
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(node, ancestor) over edges (child, parent), along paths of any length; a node of a cycle is its own ancestor.
+
+    Each round follows the pairs that the last one found by one more edge, until none is new.
+    """
+    edges = checkpointed(edges.select("child", "parent").distinct())
+    known = front = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))
+    while True:
         step = front.join(edges, front.ancestor == edges.child).select("node", F.col("parent").alias("ancestor")).distinct()
-        front = step.join(known, ["node", "ancestor"], "left_anti")
-        known = known.unionByName(front)
-    return known.distinct()
+        front = checkpointed(step.join(known, ["node", "ancestor"], "left_anti"))
+        if front.isEmpty():
+            return known
+        known = checkpointed(known.unionByName(front))

@@ -179,7 +179,7 @@ def common_root_siblings(spark, sf_dir):
     "cascade_roots",
     """
     with recursive e as (select n_nationkey as child, (n_nationkey * 7 + 3) % 25 // 2 as parent from nation where n_nationkey > 3),
-    up(node, ancestor, depth) as (select child, parent, 1 from e union all select node, parent, depth + 1 from up join e on child = ancestor where depth < 6),
+    up(node, ancestor) as (select child, parent from e union select node, parent from up join e on child = ancestor),
     c as (select distinct node, ancestor from up where ancestor % 3 <> 1)
     select node, min(ancestor) as root, count(*) as n_ancestors from c group by node
     """,
@@ -188,7 +188,7 @@ def cascade_roots(spark, sf_dir):
     """Candidate ancestors of each check along dependencies, cycles broken by the smallest code."""
     nation = table(spark, sf_dir, "nation").where("n_nationkey > 3")
     edges = nation.select(F.col("n_nationkey").alias("child"), F.floor((F.col("n_nationkey") * 7 + 3) % 25 / 2).cast("int").alias("parent"))
-    found = ancestors(edges, 6).where("ancestor % 3 <> 1")
+    found = ancestors(edges).where("ancestor % 3 <> 1")
     return found.groupBy("node").agg(F.min("ancestor").alias("root"), F.count("*").alias("n_ancestors"))
 
 
