@@ -9,6 +9,7 @@ the join, so a verified span has the words and not only their hashes.
 
 from __future__ import annotations
 
+import re
 import string
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,11 +48,16 @@ NOTICES = {
 }
 
 
-def templates() -> list[tuple[int, str, bool, int, int, str, str]]:
+#: Word pairs of templates that are few enough to send to every task.
+SENT = 500_000
+
+
+def templates(notices: dict[str, str]) -> list[tuple[int, str, bool, int, int, str, str]]:
     """(template, label, is base, its pairs, place, first word, second word) of every word pair."""
     rows = []
-    for number, (text, label) in enumerate([*BASE.items(), *NOTICES.items()]):
-        words = text.split()
+    lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    for number, (text, label) in enumerate([*BASE.items(), *notices.items()]):
+        words = re.findall(WORD, text.translate(lower))
         rows += [(number, label, text in BASE, len(words) - 1, i, a, b) for i, (a, b) in enumerate(zip(words, words[1:]))]
     return rows
 
@@ -61,16 +67,18 @@ def words_of(column: str):
     return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
 
 
-def template_pairs(spark: SparkSession) -> DataFrame:
+def template_pairs(spark: SparkSession, notices: dict[str, str]) -> DataFrame:
+    """The pairs of the base phrases and the notices, sent to every task where their number is small."""
+    rows = templates(notices)
     schema = "template int, label string, is_base boolean, pairs int, place int, one string, two string"
-    return spark.createDataFrame(templates(), schema).withColumn("pair", F.xxhash64("one", "two"))
+    pairs = spark.createDataFrame(rows, schema).withColumn("pair", F.xxhash64("one", "two"))
+    return F.broadcast(pairs) if len(rows) <= SENT else pairs
 
 
-def votes(docs: DataFrame) -> DataFrame:
+def votes(docs: DataFrame, notices: dict[str, str]) -> DataFrame:
     """A row for each hit of a word pair, and one at least for each row of documents.
 
-    ``row`` numbers the rows of documents, so repeated ones and those with null ids stay apart. The template table is
-    a constant of this module, hence the broadcast.
+    ``row`` numbers the rows of documents, so repeated ones and those with null ids stay apart.
     """
     words = docs.select("doc_id", words_of("text").alias("words")).withColumn("row", F.monotonically_increasing_id())
     n = F.greatest(F.size("words") - 1, F.lit(0))
@@ -78,7 +86,7 @@ def votes(docs: DataFrame) -> DataFrame:
     rolled = words.withColumn("pairs_of_text", pairs).select(
         "row", "doc_id", "words", F.size("words").cast("long").alias("n_words"), F.posexplode_outer("pairs_of_text").alias("at", "pair")
     )
-    known = F.broadcast(template_pairs(docs.sparkSession)).alias("t")
+    known = template_pairs(docs.sparkSession, notices).alias("t")
     same = (
         (F.col("d.pair") == F.col("t.pair"))
         & (F.try_element_at("words", F.col("at") + 1) == F.col("t.one"))
@@ -116,9 +124,13 @@ def spans(found: DataFrame) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row per row of documents: its words, base places and labels. Null texts are empty; other columns go."""
-    merged = spans(votes(docs).repartition("row"))  # the one shuffle; all later groups are parts of a row
+def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
+    """One row per row of documents: its words, base places and labels. Null texts are empty; other columns go.
+
+    ``notices`` maps texts of any length, such as whole licenses, to labels, in place of the usual wordings; one of fewer
+    than two words is never found. Texts may be of any length, and repeated rows stay.
+    """
+    merged = spans(votes(docs, NOTICES if notices is None else notices).repartition("row"))  # the one shuffle; all later groups are parts of a row
     base = F.coalesce("is_base", F.lit(False))
     verified = ~base & F.col("ended") & (F.col("coverage") >= ENOUGH)
     name = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")
@@ -141,7 +153,7 @@ def op8_licenses(spark, sf_dir):
 
 def oracle() -> str:
     """The same scan in DuckDB SQL, over words instead of hashes."""
-    values = ", ".join(f"({t}, '{label}', {str(b).lower()}, {n}, {i}, '{x}', '{y}')" for t, label, b, n, i, x, y in templates())
+    values = ", ".join(f"({t}, '{label}', {str(b).lower()}, {n}, {i}, '{x}', '{y}')" for t, label, b, n, i, x, y in templates(NOTICES))
     return rf"""
     with t(template, label, is_base, pairs, place, one, two) as (values {values}),
     d as (select row_number() over () as row_no, doc_id,

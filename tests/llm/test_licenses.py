@@ -54,3 +54,14 @@ def test_a_notice_with_a_word_put_in_is_one_span(spark):
 
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_of_the_callers_own_are_found_whole(spark):
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(60)]
+    license_text = " ".join(rng.choices(words, k=400))
+    split = license_text.split()
+    edited = split[:100] + ["extra"] + split[100:250] + split[251:]
+    rows = [(1, "before " + license_text.upper() + " after"), (2, " ".join(edited)), (3, " ".join(split[:200])), (4, " ".join(rng.choices(words, k=400))), (5, "mit license")]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), {license_text: "own-1.0"}).collect()}
+    assert got == {1: "own-1.0", 2: "own-1.0", 3: "", 4: "", 5: "mit"}
