@@ -134,21 +134,24 @@ def slot_table(found: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
 
 
 def ranked(cut: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Number the pieces of each length from 0, without bringing the pieces of a length together.
+    """The pieces with their columns and their number in their length from 0, last, under a name of its own.
+
+    The pieces of a length aren't brought together.
 
     A piece falls in one of the length's runs by hash; runs are numbered inside and shifted by the runs before.
     """
-    runs = F.broadcast(lengths.select("length", F.ceil(F.col("n") / RUN).alias("runs")))
-    placed = cut.join(runs, "length").withColumn("run", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), "runs"))
-    before = W.partitionBy("length").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
-    shifts = (
-        placed.groupBy("length", "run")
-        .count()
-        .select("length", "run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
-    )
-    inside = W.partitionBy("length", "run").orderBy("doc_id", "start", "ids_crc32")
-    numbered = placed.withColumn("at", F.row_number().over(inside) - 1)
-    return numbered.join(shifts, ["length", "run"]).withColumn("rank", F.col("shift") + F.col("at")).drop("runs", "run", "at", "shift")
+    mark = "_"
+    while any(c.startswith(mark) for c in cut.columns):
+        mark += "_"
+    runs, run, at, shift = (f"{mark}{name}" for name in ("runs", "run", "at", "shift"))
+    known = F.broadcast(lengths.select("length", F.ceil(F.col("n") / RUN).alias(runs)))
+    placed = cut.join(known, "length").withColumn(run, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), runs))
+    before = W.partitionBy("length").orderBy(run).rowsBetween(W.unboundedPreceding, -1)
+    shifts = placed.groupBy("length", run).agg(F.count("*").alias(at))
+    shifts = shifts.select("length", run, F.coalesce(F.sum(at).over(before), F.lit(0)).alias(shift))
+    inside = W.partitionBy("length", run).orderBy("doc_id", "start", "ids_crc32")
+    numbered = placed.withColumn(at, F.row_number().over(inside) - 1).join(shifts, ["length", run])
+    return numbered.select(*cut.columns, (F.col(shift) + F.col(at)).alias(f"{mark}rank"))
 
 
 def pack(cut: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
@@ -160,7 +163,8 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     lengths = materialise(cut.groupBy("length").agg(F.count("*").alias("n")))
     histogram = {r.length: r.n for r in lengths.collect()}  # at most `sequence` rows
     rows = ranked(cut, lengths)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "rank")
+    numbered = rows.columns[-1]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
     shared = spark.sparkContext.broadcast(slot_table(patterns(histogram, sequence))) if histogram else None
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,11 +172,11 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
         for batch in parts:
             if not batch.num_rows:
                 continue
-            length, rank = (batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("length", "rank"))
+            length, rank = (batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("length", numbered))
             order = (slots["length"] << 44) + slots["rank"]
             run = np.searchsorted(order, (length << 44) + rank, side="right") - 1
             copy, slot = np.divmod(rank - slots["rank"][run], slots["many"][run])
-            kept = batch.drop_columns(["rank"])
+            kept = batch.drop_columns([numbered])
             kept = kept.append_column("sequence_id", pa.array(slots["sequence"][run] + copy, pa.int64()))
             yield kept.append_column("offset", pa.array(slots["offset"][run] + slot * length, pa.int64()))
 

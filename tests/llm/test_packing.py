@@ -72,10 +72,18 @@ def test_ranks_are_gapless_for_a_hot_length(spark):
     lengths = cut.groupBy("length").count().withColumnRenamed("count", "n")
     by = defaultdict(list)
     for r in packing.ranked(cut, lengths).collect():
-        by[r.length].append(r["rank"])
+        by[r.length].append(r[-1])
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+def test_columns_of_the_pieces_stay_whatever_their_names(spark):
+    cut = spark.range(300).selectExpr("id as doc_id", "0L as start", "id % 90 + 1 as length", "id as ids_crc32", "id + 1 as runs", "id + 2 as run", "id + 3 as at", "id + 4 as shift", "id + 5 as rank", "id + 6 as _runs")
+    packed = packing.pack(cut)
+    assert packed.columns == [*cut.columns, "sequence_id", "offset"]
+    got = packed.collect()
+    assert len(got) == 300 and all([r[c] - r.doc_id for c in ("runs", "run", "at", "shift", "rank", "_runs")] == [1, 2, 3, 4, 5, 6] for r in got)
+
+
 def test_sequences_hold_the_pieces(spark):
     docs = spark.createDataFrame([(i, "word " * (i * 40)) for i in range(60)], "doc_id long, text string")
     cut = materialise(packing.pieces(docs, PATH, public_tokenizers.PATTERN, with_ids=True))
