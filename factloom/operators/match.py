@@ -25,15 +25,23 @@ def keyed_diff(a: DataFrame, b: DataFrame, keys: list[str], value: str, same: Co
     return both.withColumn("change", change).drop("_a", "_b")
 
 
-def mutual_best(pairs: DataFrame, keys: list[str], left: str, right: str, score: str, least: float) -> DataFrame:
-    """Pairs that are each other's best by score; several equal bests are ambiguous and stay out."""
+def mutual_best(pairs: DataFrame, keys: list[str], left: str, right: str, score: str, least: float, exact: str | None = None) -> DataFrame:
+    """Pairs that are each other's best by score, with a status: UNIQUE, or AMBIGUOUS where a side has several equal bests.
+
+    Where ``exact`` names a column, pairs for which it holds come first: a side that has one takes no part by score.
+    """
     rows = pairs.where(F.col(score) >= least)
+    if exact:
+        for side, name in ((left, "_lexact"), (right, "_rexact")):
+            rows = rows.withColumn(name, F.bool_or(F.coalesce(exact, F.lit(False))).over(W.partitionBy(*keys, side)))
+        rows = rows.where(F.coalesce(exact, F.lit(False)) | ~F.col("_lexact") & ~F.col("_rexact")).drop("_lexact", "_rexact")
     for side, name in ((left, "_l"), (right, "_r")):
         by = W.partitionBy(*keys, side)
         rows = rows.withColumn(f"{name}best", F.max(score).over(by))
         rows = rows.withColumn(f"{name}n", F.count_if(F.col(score) == F.col(f"{name}best")).over(by))
-    best = (F.col(score) == F.col("_lbest")) & (F.col(score) == F.col("_rbest")) & (F.col("_ln") == 1) & (F.col("_rn") == 1)
-    return rows.where(best).drop("_lbest", "_ln", "_rbest", "_rn")
+    best = rows.where((F.col(score) == F.col("_lbest")) & (F.col(score) == F.col("_rbest")))
+    status = F.when((F.col("_ln") == 1) & (F.col("_rn") == 1), "UNIQUE").otherwise("AMBIGUOUS")
+    return best.withColumn("status", status).drop("_lbest", "_ln", "_rbest", "_rn")
 
 
 def greedy_pairs(pairs: DataFrame, keys: list[str], left: str, right: str, distance: str) -> DataFrame:

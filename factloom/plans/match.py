@@ -44,11 +44,11 @@ def _pairs(spark, sf_dir):
     with p as (select *, 10 - d as s from {PAIRS_SQL} x where 10 - d >= 6),
     m as (select *, max(s) over (partition by k, l) as bl, max(s) over (partition by k, r) as br from p),
     n as (select *, count(*) filter (where s = bl) over (partition by k, l) as nl, count(*) filter (where s = br) over (partition by k, r) as nr from m)
-    select k, l, r, s from n where s = bl and s = br and nl = 1 and nr = 1
+    select k, l, r, s, case when nl = 1 and nr = 1 then 'UNIQUE' else 'AMBIGUOUS' end as status from n where s = bl and s = br
     """,
 )
 def mutual_best_query(spark, sf_dir):
-    """Elements of two stages that are each other's one best match."""
+    """Elements of two stages that are each other's best match, and whether it is the only one."""
     pairs = _pairs(spark, sf_dir).withColumn("s", 10 - F.col("d")).drop("d")
     return mutual_best(pairs, ["k"], "l", "r", "s", 6.0)
 

@@ -331,3 +331,12 @@ def test_relations_on_a_sheet(spark):
     assert holds("inside") == {"in": True, "edge": False, "far": False}
     assert holds("intersects") == {"in": True, "edge": True, "far": False}
     assert holds("distance", 10.0) == {"in": True, "edge": True, "far": True} and not holds("distance", 9.9)["far"]
+
+
+def test_mutual_bests_and_exact_keys(spark):
+    rows = [("a", "x", 5.0, False), ("a", "y", 5.0, False), ("b", "y", 4.0, False), ("c", "z", 1.0, True), ("c", "w", 9.0, False), ("d", "w", 8.0, False), ("e", "v", 0.5, False)]
+    df = spark.createDataFrame(rows, "l string, r string, s double, same boolean").withColumn("k", F.lit(1))
+    plain = {(r.l, r.r, r.status) for r in match.mutual_best(df, ["k"], "l", "r", "s", 1.0).collect()}
+    assert plain == {("a", "x", "AMBIGUOUS"), ("a", "y", "AMBIGUOUS"), ("c", "w", "UNIQUE")}
+    keyed = {(r.l, r.r, r.status) for r in match.mutual_best(df, ["k"], "l", "r", "s", 1.0, "same").collect()}
+    assert keyed == {("a", "x", "AMBIGUOUS"), ("a", "y", "AMBIGUOUS"), ("c", "z", "UNIQUE"), ("d", "w", "UNIQUE")}

@@ -1,41 +1,13 @@
 """Queries that SQL can't express, against plain versions."""
 
-import random
-from functools import cache
-
 import duckdb
 import numpy as np
 
-from factloom.operators import match
 from factloom.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
-def test_alignments_are_the_best_there_are():
-    rng = random.Random(3)
-    score = lambda x, y: match.SAME if x == y else match.ALIKE if x[:1] == y[:1] else match.DIFFERENT
-    for _ in range(200):
-        a, b = ([rng.choice(["a1", "a2", "b1", "c"]) for _ in range(rng.randrange(6))] for _ in range(2))
-
-        @cache
-        def best(i, j):
-            options = [0] if i == len(a) and j == len(b) else []  # noqa: B023
-            if i < len(a) and j < len(b):  # noqa: B023
-                options.append(score(a[i], b[j]) + best(i + 1, j + 1))  # noqa: B023
-            if i < len(a):  # noqa: B023
-                options.append(match.GAP + best(i + 1, j))  # noqa: B023
-            if j < len(b):  # noqa: B023
-                options.append(match.GAP + best(i, j + 1))  # noqa: B023
-            return max(options)
-
-        steps = match.align(a, b)
-        assert [i for _, i, _ in steps if i >= 0] == list(range(len(a))) and [j for *_, j in steps if j >= 0] == list(range(len(b)))
-        got = sum(match.GAP if i < 0 or j < 0 else score(a[i], b[j]) for _, i, j in steps)
-        assert got == best(0, 0)
-        assert all((op == "MATCH") == (a[i] == b[j]) for op, i, j in steps if i >= 0 and j >= 0)
-
-
 def test_bootstrap_interval_is_that_of_resampling(spark):
     rows = duckdb.sql(f"select source, sum(quality), count(*) from '{SF_DIR}/documents.parquet' join '{SF_DIR}/labels.parquet' using (doc_id) group by 1").fetchall()
     k, n = (np.array([r[i] for r in rows], dtype=float) for i in (1, 2))
