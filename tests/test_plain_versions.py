@@ -1,9 +1,11 @@
 """Queries that SQL can't express, against plain versions."""
 
+import math
+
 import duckdb
 import numpy as np
 
-from factloom.plans import catalog
+from factloom.plans import catalog, geometry
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -52,3 +54,21 @@ def test_word_errors_of_conversations(spark):
         want[conv] = (errors + d[-1], total + len(a))
     got = {r.conv_id: (r.errors, r.total) for r in catalog.plans()["word_errors"](spark, SF_DIR).collect()}
     assert got == want
+
+
+def test_shape_change_in_plain_loops(spark):
+    rooms = {r.p_partkey: [tuple(p) for p in r.polygon] for r in geometry._rooms(spark, SF_DIR).collect()}
+    found = catalog.plans()["shape_change"](spark, SF_DIR).collect()
+    assert {r.p_partkey for r in found} == set(rooms)
+
+    def to_segment(p, a, b):
+        length = math.dist(a, b) ** 2
+        t = 0.0 if not length else min(1.0, max(0.0, ((p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1])) / length))
+        return math.dist(p, (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
+
+    for r in found:
+        here = rooms[r.p_partkey]
+        there = [(x + 2.0, y - 1.0) for x, y in here]
+        one_way = lambda a, b: max(min(math.dist(p, q) for q in b) for p in a)
+        assert math.isclose(r.moved, max(one_way(here, there), one_way(there, here)), abs_tol=1e-9)
+        assert math.isclose(r.edge, min(to_segment((5.0, 3.0), a, b) for a, b in zip(here, [*here[1:], here[0]])), abs_tol=1e-9)
