@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, html, language, licenses, neighbours, packing, pii, simhash, toxicity, winnow
+from factloom.llm import bpe, html, language, licenses, neighbours, packing, pii, secrets, simhash, toxicity, winnow
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -16,9 +16,10 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_winnowing": winnow.op9_winnowing,
     "op10_html": html.op10_html,
+    "op13_secrets": secrets.op13_secrets,
 }
 
-ORACLES: dict[str, str] = {"op8_licenses": licenses.oracle()}
+ORACLES: dict[str, str] = {"op8_licenses": licenses.oracle(), "op13_secrets": secrets.oracle()}
 
 
 def queries() -> dict:
