@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, html, language, licenses, neighbours, packing, phrases, pii, secrets, simhash, toxicity, winnow
+from factloom.llm import alignment, bpe, html, language, licenses, neighbours, packing, phrases, pii, secrets, simhash, toxicity, winnow
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_winnowing": winnow.op9_winnowing,
     "op10_html": html.op10_html,
+    "op11_alignment": alignment.op11_alignment,
     "op12_phrases": phrases.op12_phrases,
     "op13_secrets": secrets.op13_secrets,
 }
