@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -87,51 +88,82 @@ def overlap_of_shorter(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
 
 
+def replaced(text: Column, pattern: str, how: Callable[[Column], Column]) -> Column:
+    """The text with how(match) in place of every match of a pattern."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.zip_with(gaps, F.transform(found, how), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
+    return F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text)
+
+
+#: What parts the words around an address, and what a host is made of.
+MAIL_BREAK, HOST = r"\s,;:<>()\[\]\"@", r"[\p{L}\p{N}-]+(\.[\p{L}\p{N}-]+)+"
+
+
 def mask_mail(text: Column) -> Column:
-    """Addresses keep their first sign and their domain."""
-    sign = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~.-]"
-    return F.regexp_replace(text, rf"({sign}){sign}*@((?:[A-Za-z0-9-]+\.)+[A-Za-z0-9-]+)", "$1***@$2")
+    """Of the word before an at sign, if a host follows it, the first sign stays."""
+    parts = F.split(text, "@")
+    name = lambda part: F.regexp_extract(part, f"[^{MAIL_BREAK}]+$", 0)
+    hidden = lambda part: F.concat(F.left(part, F.length(part) - F.length(name(part)) + 1), F.lit("***"))
+    mask = lambda part, i: F.when((name(part) != "") & F.coalesce(F.get(parts, i + 1).rlike(f"^{HOST}"), F.lit(False)), hidden(part)).otherwise(part)
+    return F.array_join(F.transform(parts, mask), "@")
+
+
+def _digits(text: Column) -> Column:
+    return F.regexp_replace(text, "[^0-9]", "")
 
 
 def mask_phone(text: Column) -> Column:
-    """Numbers of ten digits after +7 or 8 keep their last two."""
-    gap = r"[\s-]?"
-    return F.regexp_replace(text, rf"(?<![\w+])(?:\+7|8){gap}\(?\d{{3}}\)?{gap}\d{{3}}{gap}\d{{2}}{gap}(\d{{2}})(?!\w)", r"+7***-**-$1")
+    """Eleven digits, however grouped, of which the first is 8, or 7 after a plus: the last two stay."""
+    ten_more = r"(?:[\s()-]{0,2}[0-9]){10}"
+    return replaced(text, rf"(?<![\p{{L}}\p{{N}}_+])(?:8|\+7){ten_more}(?![\p{{L}}\p{{N}}_])", lambda m: F.concat(F.lit("+7***-**-"), F.right(_digits(m), F.lit(2))))
 
 
 def mask_insurance(text: Column) -> Column:
-    """Insurance numbers, three times three digits, keep the two that check them."""
-    return F.regexp_replace(text, r"(?<!\d)\d{3}-\d{3}-\d{3}[\s-](\d{2})(?!\d)", r"***-***-*** $1")
+    """Runs of digits in the form of an insurance number, 999-999-999 99: the two that check it stay."""
+    form = lambda m: F.regexp_replace(F.regexp_replace(m, "[0-9]", "9"), r"\s", " ")
+    hide = lambda m: F.when(form(m).isin("999-999-999 99", "999-999-999-99"), F.concat(F.lit("***-***-*** "), F.right(m, F.lit(2)))).otherwise(m)
+    return replaced(text, r"[0-9]+(?:[\s-][0-9]+)+", hide)
 
 
 def mask_text(text: Column) -> Column:
     return mask_mail(mask_phone(mask_insurance(text)))
 
 
+def _bytes_of_v6(address: Column) -> Column:
+    """Sixteen bytes in hexadecimal; null for what is no such address. Two colons stand for the zeros that are missing."""
+    wide = lambda side: F.array_join(F.transform(F.filter(F.split(side, ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0")), "")
+    sound = address.rlike("^[0-9A-Fa-f:]+$") & ~address.rlike(":::|[0-9A-Fa-f]{5}|^:[^:]|[^:]:$") & (F.size(F.split(address, "::")) <= 2)
+    before, after = wide(F.substring_index(address, "::", 1)), F.when(address.contains("::"), wide(F.substring_index(address, "::", -1))).otherwise("")
+    room = 32 - F.length(before) - F.length(after)
+    whole = F.concat(before, F.repeat(F.lit("0"), F.greatest(room, F.lit(0))), after)
+    return F.when(sound & F.when(address.contains("::"), room >= 4).otherwise(room == 0), F.lower(whole))
+
+
 def mask_ip(address: Column) -> Column:
-    """An address of four bytes, also within one of sixteen, loses its last; of sixteen bytes six stay; else three stars."""
+    """An address without what tells hosts of a network apart: its last byte of four, ten of its sixteen; stars for others.
+
+    Four bytes may also be written within sixteen, after ::ffff: in any case.
+    """
     a = F.trim(address)
-    byte = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-    four = rf"(?i)^(::ffff:)?({byte}\.{byte}\.{byte})\.{byte}$"
-    sides = F.split(a, "::")
-    groups = lambda i: F.filter(F.split(F.coalesce(F.get(sides, i), F.lit("")), ":"), lambda g: g != "")
-    head, tail = groups(F.lit(0)), groups(F.lit(1))
-    missing = 8 - F.size(head) - F.size(tail)
-    whole = F.when(F.size(sides) == 1, head).when(missing >= 1, F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), tail))
-    sound = a.rlike("^[0-9A-Fa-f:]+$") & (F.size(sides) <= 2) & (F.size(whole) == 8) & F.forall(whole, lambda g: F.length(g) <= 4)
-    short = F.array_join(F.transform(F.slice(whole, 1, 3), lambda g: F.regexp_replace(F.lower(g), "^0+(?=.)", "")), ":")
-    stars = F.when(F.coalesce(sound, F.lit(False)), F.concat(short, F.lit("::/48"))).otherwise("***")
-    return F.when(address == "", "").when(a.rlike(four), F.regexp_replace(a, four, "$1$2.0")).when(address.isNotNull(), stars)
+    inner = F.when(F.lower(F.left(a, F.lit(7))) == "::ffff:", F.substr(a, F.lit(8))).otherwise(a)
+    parts = F.split(inner, r"\.")
+    is_byte = lambda p: p.rlike("^[0-9]{1,3}$") & F.coalesce(p.try_cast("int") <= 255, F.lit(False))
+    four = (F.size(parts) == 4) & F.forall(parts, is_byte)
+    kept = F.concat(F.left(a, F.length(a) - F.length(inner)), F.array_join(F.slice(parts, 1, 3), "."), F.lit(".0"))
+    network = _bytes_of_v6(a)
+    groups = [F.lower(F.conv(F.substring(network, at, 4), 16, 16)) for at in (1, 5, 9)]
+    return F.when(address == "", "").when(four, kept).when(address.isNotNull(), F.coalesce(F.concat(F.concat_ws(":", *groups), F.when(network.isNotNull(), "::/48")), F.lit("***")))
 
 
-#: Fields of a log that say who someone is, and those that hold an address.
-WHO, WHERE = "name user_name full_name fio login customer contractor user_agent ua phone email snils passport".split(), ["ip", "ip_address"]
+#: Fields of a record that tell who someone is, and those that hold an address; both are a caller's to choose.
+PERSONAL = ("address", "author", "birth_date", "contact", "email", "first_name", "full_name", "last_name", "login", "name", "passport", "phone", "signer", "tax_number")
+NETWORK = ("host", "ip", "ip_address", "remote_addr")
 
 
-def mask_field(key: Column, value: Column) -> Column:
-    """A field of a log by its name: who someone is goes whole, addresses and texts as above."""
+def mask_field(key: Column, value: Column, personal: Iterable[str] = PERSONAL, network: Iterable[str] = NETWORK) -> Column:
+    """A field of a record by its name: who someone is goes whole, addresses and texts as above."""
     low = F.lower(key)
-    return F.when(value.isNull(), value).when(low.isin(*WHERE), mask_ip(value)).when(low.isin(*WHO), "***").otherwise(mask_text(value))
+    return F.when(value.isNull(), value).when(low.isin(*network), mask_ip(value)).when(low.isin(*personal), "***").otherwise(mask_text(value))
 
 
 @F.pandas_udf(T.StringType())

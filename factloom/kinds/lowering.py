@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import LATIN_TWINS, CYRILLIC_TWINS
+from factloom.functions.text import CYRILLIC_TWINS, LATIN_TWINS, collapse
 from factloom.kinds.shared import CA, CL, ME, NC, NV, disputed, true
 from factloom.sources.shared import checkpointed
 
@@ -52,35 +52,56 @@ def box_gap(a: Column, b: Column) -> Column:
     return F.sqrt(across * across + along * along)
 
 
+#: How documents write that there is nothing, and a bound; the sign of the bound's side.
+NOTHING, BOUNDS = ("", "—", "ОТСУТСТВ"), {"НЕ МЕНЕЕ": 1, "НЕ НИЖЕ": 1, "НЕ БОЛЕЕ": -1, "НЕ ВЫШЕ": -1}
+INFINITE = float("inf")
+
+
+def _keyed(text: Column) -> Column:
+    """Capitals of one alphabet, single spaces."""
+    return collapse(F.translate(F.upper(text), LATIN_TWINS, CYRILLIC_TWINS))
+
+
 def is_empty(value: Column) -> Column:
-    return F.trim(value).isin("", "—") | F.lower(F.trim(value)).startswith("отсутств")
+    *signs, word = NOTHING
+    text = _keyed(value)
+    return text.isin(*signs) | text.startswith(word)
+
+
+def requirement(text: Column) -> Column:
+    """What a value asks for: struct(low, high, words).
+
+    A range and a bound have limits, a single number has it for both of them; what else is written is its words, parted
+    by white space, commas, brackets, slashes, dashes and signs of multiplication.
+    """
+    key = F.regexp_replace(_keyed(text), r"\.\.\.|[…–—]", " - ")
+    numbers = F.transform(F.regexp_extract_all(key, F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0)), lambda n: F.translate(n, ",", ".").cast("double"))
+    first, second = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
+    side = F.coalesce(*[F.when(key.startswith(words), sign) for words, sign in BOUNDS.items()], F.lit(0))
+    sides = F.transform(F.split(key, r"\s*-\s*"), lambda s: s.rlike(r"^\d"))
+    spans = (F.size(sides) == 2) & F.get(sides, F.lit(0)) & F.get(sides, F.lit(1)) & second.isNotNull()
+    low = F.when(side == 1, first).when(side == -1, -INFINITE).when(spans, F.least(first, second)).when(key.rlike(r"^\d"), first)
+    high = F.when(side == 1, INFINITE).when(side == -1, first).when(spans, F.greatest(first, second)).when(key.rlike(r"^\d"), first)
+    words = F.filter(F.split(F.regexp_replace(key, r"(?<=\d)[XХ×](?=\d)", " "), r"[\s,;:()/×-]+"), lambda w: (w != "") & (w != "Х"))
+    return F.struct(low.alias("low"), high.alias("high"), words.alias("words"))
 
 
 def is_refinement(expected: Column, actual: Column) -> Column:
-    """Whether the actual value only details the expected one: lies in its range or bound, or adds to its wording.
+    """Whether the actual value only details the expected one.
 
-    What is added must start at a separator and hold no other value of the same scale: "B25 W6" refines "B25", and
-    "C1, C2" doesn't refine "C1". Two plain numbers never do.
+    Where a range or bound is expected, a number within it does. Else the words must be those expected and more, and
+    none of the others may be a value on the scale of the first (the same letters before another number): "B25 W6"
+    details "B25", "C1, C2" doesn't detail "C1".
     """
-    fold = lambda c: F.trim(F.regexp_replace(F.translate(F.upper(c), LATIN_TWINS, CYRILLIC_TWINS), r"\s+", " "))
-    e, a = fold(expected), fold(actual)
-    number = r"\d+(?:[.,]\d+)?"
-    part = lambda text, pattern, group=1: F.translate(F.nullif(F.regexp_extract(text, pattern, group), F.lit("")), ",", ".").cast("double")
-    value = part(a, rf"^({number})")
-    span = rf"^({number})\s*(?:\.\.\.|…|–|—|-)\s*({number})"
-    low, high = part(e, span, 1), part(e, span, 2)
-    least, most = part(e, rf"^НЕ\s+(?:МЕНЕЕ|НИЖЕ)\s+({number})"), part(e, rf"^НЕ\s+(?:БОЛЕЕ|ВЫШЕ)\s+({number})")
-    bound = (
-        F.when(low.isNotNull() & high.isNotNull(), value.between(F.least(low, high), F.greatest(low, high)))
-        .when(least.isNotNull(), value >= least).when(most.isNotNull(), value <= most)
-    )
-    rest = F.substring(a, F.length(e) + 1, F.length(a))
-    lead = F.regexp_extract(e, r"^[^\d\s]*", 0)
-    tokens = F.filter(F.split(rest, r"[\s,;:()/]+"), lambda t: t != "")
-    again = F.exists(tokens, lambda t: F.startswith(t, lead) & F.substring(t, F.length(lead) + 1, F.lit(1)).rlike(r"^\d$"))
-    longer = (F.length(e) >= 2) & F.startswith(a, e) & (F.length(a) > F.length(e)) & rest.rlike(r"^[\s,;:(/\-–—ХX×]") & ~again
-    plain = e.rlike(rf"^[-+]?{number}$") & a.rlike(rf"^[-+]?{number}$")
-    return true((e != "") & (a != "") & ~plain & F.coalesce(F.when(value.isNotNull(), bound), longer))
+    e, a = requirement(expected), requirement(actual)
+    limits = e["low"].isNotNull() & (e["low"] < e["high"]) & a["low"].isNotNull() & (a["low"] == a["high"])
+    more = F.slice(a["words"], F.size(e["words"]) + 1, F.size(a["words"]))
+    same = (F.size(e["words"]) > 0) & (F.slice(a["words"], F.lit(1), F.size(e["words"])) == e["words"])
+    letters = lambda w: F.regexp_extract(w, r"^[^\d]*", 0)
+    head = F.get(e["words"], F.lit(0))
+    other = F.exists(more, lambda w: w.rlike(r"\d") & (letters(w) == letters(head)) & (letters(head) != ""))
+    longer = same & (F.size(more) > 0) & ~other & (F.length(F.trim(expected)) >= 2)
+    return true(F.when(limits, a["low"].between(e["low"], e["high"])).otherwise(longer))
 
 
 def lower(

@@ -104,8 +104,10 @@ def edit_distances(spark, sf_dir):
 @query(
     "masking",
     r"""
-    select doc_id, md5(regexp_replace(text, '([A-Za-z0-9!#$%&''*+/=?^_`{|}~.-])[A-Za-z0-9!#$%&''*+/=?^_`{|}~.-]*@((?:[A-Za-z0-9-]+\.)+[A-Za-z0-9-]+)', '\1***@\2', 'g')) as masked
-    from documents where contains(text, '@')
+    with p as (select doc_id, string_split(text, '@') as ps from documents where contains(text, '@')),
+    n as (select doc_id, ps, list_transform(ps, lambda x: regexp_extract(x, '[^\s,;:<>()\[\]"@]+$')) as names from p)
+    select doc_id, md5(array_to_string(list_transform(range(1, len(ps) + 1), lambda i: case when names[i] <> '' and regexp_matches(coalesce(ps[i + 1], ''), '^[\p{L}\p{N}-]+(\.[\p{L}\p{N}-]+)+')
+        then ps[i][:len(ps[i]) - len(names[i]) + 1] || '***' else ps[i] end), '@')) as masked from n
     """,
 )
 def masking(spark, sf_dir):

@@ -94,7 +94,8 @@ def test_findings_of_several_facts(spark):
 
 def test_refinements(spark):
     cases = [("B25", "B25 W6 F150", True), ("B25", "В25, W6", True), ("C1", "C1, C2", False), ("B2", "B25", False), ("200...250", "230", True), ("200…250", "260", False), ("не менее 150", "150", True),
-             ("не более 150", "151", False), ("10", "12", False), ("B25", "B25", False), (None, "x", False), ("200 x 300", "200 x 300 (S1)", True)]
+             ("не более 150", "151", False), ("10", "12", False), ("B25", "B25", False), (None, "x", False), ("200 x 300", "200 x 300 (S1)", True), ("M150", "M150 (M200)", False), ("brick", "brick M150", True),
+             ("20-30", "25,5 mm", True), ("20-30", "31", False), ("не ниже 4", "3,9", False), ("НЕ ВЫШЕ 4", "4", True), ("7", "7 mm", False), ("EI 60", "EI 60 / W", True), ("EI 60", "REI 60 W", False)]
     df = spark.createDataFrame([(i, e, a) for i, (e, a, _) in enumerate(cases)], "i int, e string, a string")
     got = {r.i: r.r for r in df.select("i", is_refinement(F.col("e"), F.col("a")).alias("r")).collect()}
     assert [got[i] for i in range(len(cases))] == [w for *_, w in cases]

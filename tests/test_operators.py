@@ -279,11 +279,14 @@ def test_batches_stream_a_key_in_order(spark):
 def test_masks(spark):
     addresses = {
         "10.20.30.40": "10.20.30.0", "::ffff:10.20.30.40": "::ffff:10.20.30.0", "2001:0db8:1:2:3:4:5:6": "2001:db8:1::/48", "fe80::1": "fe80:0:0::/48",
-        "256.1.1.1": "***", "1:2:3": "***", "no": "***", "": "", "1::2::3": "***",
+        "256.1.1.1": "***", "1:2:3": "***", "no": "***", "": "", "1::2::3": "***", "1.2.3": "***",
+        "1:2:3:4:5:6:7::": "1:2:3::/48", "1:2:3:4:5:6:7:8:9": "***", "::": "0:0:0::/48", "12345::": "***", "A:B::C": "a:b:0::/48", "::FFFF:1.2.3.4": "::FFFF:1.2.3.0",
     }
     df = spark.createDataFrame([(a,) for a in addresses], "a string")
     assert {r.a: r.m for r in df.select("a", text.mask_ip(F.col("a")).alias("m")).collect()} == addresses
-    fields = [("IP", "10.20.30.40", "10.20.30.0"), ("login", "anna", "***"), ("note", "anna@b.org, +7 (495) 123-45-67, 123-456-789 01", "a***@b.org, +7***-**-67, ***-***-*** 01"), ("note", None, None)]
+    fields = [("IP", "10.20.30.40", "10.20.30.0"), ("login", "anna", "***"), ("note", "anna@b.org, +7 (495) 123-45-67, 123-456-789 01", "a***@b.org, +7***-**-67, ***-***-*** 01"), ("note", None, None),
+              ("note", "8 9161234567; 8-916-123-45-67 12345678901 a8 916 123 45 67", "+7***-**-67; +7***-**-67 12345678901 a8 916 123 45 67"), ("note", "a@b c@d.org@x.y <иван.п@почта.рф>", "a@b c***@d***@x.y <и***@почта.рф>"),
+              ("note", "1-2 123-456-789-01 1123-456-789 01", "1-2 ***-***-*** 01 1123-456-789 01"), ("host", "::1", "0:0:0::/48")]
     df = spark.createDataFrame([(i, k, v) for i, (k, v, _) in enumerate(fields)], "i int, k string, v string")
     assert [r.m for r in df.select("i", text.mask_field(F.col("k"), F.col("v")).alias("m")).orderBy("i").collect()] == [m for *_, m in fields]
 
