@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.classes import DIMENSIONS, known, lost, vector
 from factloom.kinds.generic import place
 from factloom.kinds.registry import kind
 from factloom.kinds.shared import CA, CL, KEYS, ME, NA, NC, NV, STAGES, disputed, has, n_stages, of, picked, subjects, true, wide
@@ -19,18 +20,27 @@ def class_(mentions: DataFrame, params: DataFrame, profiles: DataFrame | None =
     Mentions may name an element; an element's later value meets the earlier value of that element, or else the general
     one. As built is compared with the working documents first where the param's cert_match says so, else with the
     earliest stage. A value off the scale is of another classification system: alone it makes nothing comparable.
+
+    A scale may have dimensions (params.dims: name, kind, tokens, implies; kinds are number, ladder and flags) instead
+    of an order. A class that is worse in any of them is a finding, even if it is better in another; drop is then the
+    number of dimensions in which it is worse.
     """
+    dims = F.coalesce("dims", F.array().cast(DIMENSIONS)) if "dims" in params.columns else F.array().cast(DIMENSIONS)
+    params = params.withColumn("_dims", dims)
     rows = of(mentions, params).withColumn("element", F.coalesce("element", F.lit("")))
     order = [F.desc_nulls_last("confidence"), F.asc("file_id"), F.asc("page"), F.asc("value_text")]
-    chosen = first_per(rows.where(F.col("stage").isin(*STAGES)), [*KEYS, "element", "stage"], order).join(params.select("param_code", "scale", "cert_match"), "param_code")
-    chosen = chosen.select(*KEYS, "element", "stage", "role", "cert_match", place(F.col("scale"), F.col("value_text")).alias("rank"))
+    chosen = first_per(rows.where(F.col("stage").isin(*STAGES)), [*KEYS, "element", "stage"], order).join(params.select("param_code", "scale", "cert_match", "_dims"), "param_code")
+    chosen = chosen.withColumn("vector", F.when(F.size("_dims") > 0, vector(F.col("_dims"), F.col("value_text"))))
+    rank = F.when(F.size("_dims") > 0, F.when(known(F.col("vector")), 1.0)).otherwise(place(F.col("scale"), F.col("value_text")))
+    chosen = chosen.select(*KEYS, "element", "stage", "role", "cert_match", rank.alias("rank"), "vector")
     number = lambda c: F.array_position(F.array(*map(F.lit, STAGES)), F.col(c))
-    later = chosen.where(number("stage") > 1).select(*KEYS, "element", F.col("stage").alias("later"), F.col("rank").alias("now"), "cert_match")
-    before = chosen.select(*KEYS, F.col("element").alias("of"), F.col("stage").alias("earlier"), F.col("rank").alias("was"))
+    later = chosen.where(number("stage") > 1).select(*KEYS, "element", F.col("stage").alias("later"), F.col("rank").alias("now"), F.col("vector").alias("now_vector"), "cert_match")
+    before = chosen.select(*KEYS, F.col("element").alias("of"), F.col("stage").alias("earlier"), F.col("rank").alias("was"), F.col("vector").alias("was_vector"))
     met = later.join(before, KEYS).where((number("earlier") < number("later")) & ((F.col("of") == F.col("element")) | (F.col("of") == "")))
     certified = F.col("cert_match") & (F.col("later") == "ID") & (F.col("earlier") == "RD")
     pairs = first_per(met, [*KEYS, "element", "later"], [F.desc(F.col("of") == F.col("element")), F.desc(certified), F.asc(number("earlier"))])
-    drop = F.col("was") - F.col("now")
+    both = F.col("was").isNotNull() & F.col("now").isNotNull()
+    drop = F.when(both & F.col("was_vector").isNotNull(), lost(F.col("was_vector"), F.col("now_vector")).cast("double")).otherwise(F.col("was") - F.col("now"))
     found = pairs.groupBy(*KEYS).agg(F.count("*").alias("pairs"), F.max(drop).alias("drop"), F.bool_or(drop.isNull()).alias("incomparable"))
     seen = chosen.groupBy(*KEYS).agg(
         F.countDistinct(F.when(F.col("rank").isNotNull(), F.col("stage"))).alias("ranked_stages"), F.bool_or(F.col("rank").isNull()).alias("other_system"), F.bool_or(disputed()).alias("any_disputed")

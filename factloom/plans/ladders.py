@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom import kinds
+from factloom.functions.classes import DIMENSIONS
 from factloom.plans.registry import query
 from factloom.sources.tables import table
 
@@ -134,6 +135,41 @@ def kind_class(spark, sf_dir):
     return kinds.evaluate("class", _mentions(spark, sf_dir).withColumn("value_text", F.col("class")), params)
 
 
+DIMS = [("strength", "number", None, None), ("limit", "flags", ["E", "I", "W"], {"W": ["E"]}), ("group", "ladder", ["LS", "FRLS"], None)]
+
+
+@query(
+    "kind_class_vectors",
+    f"""
+    with m as (select object_id, param_code, coalesce(element, '') as element, stage, role, confidence, file_id, page, class, case stage when 'PD' then 1 when 'RD' then 2 else 3 end as st,
+        cast(cast(price as integer) % 3 as integer) + 1 as strength, cast(price as integer) % 5 as fl, cast(price as integer) % 7 as gr
+        from (select *, coalesce(value_num, 0) as price from {MENTIONS} x) y),
+    v as (select *, case when fl = 0 then ['E'] when fl = 1 then ['E', 'I'] when fl = 2 then ['E', 'W'] else ['E', 'I', 'W'] end as flags, case when gr < 3 then 0 when gr < 6 then 1 end as step,
+        case when fl = 0 then 'E' when fl = 1 then 'EI' when fl = 2 then 'W' else 'IW' end || ' ' || strength || case when gr < 3 then ' - LS' when gr < 6 then ' FRLS' else '' end as value_text from m),
+    c as (select * from v qualify row_number() over (partition by object_id, param_code, element, st order by confidence desc, file_id, page, value_text) = 1),
+    j as (select a.object_id, a.param_code, a.element, a.st, a.step is null or b.step is null as odd,
+        (a.strength < b.strength)::int + (len(list_filter(b.flags, lambda x: not list_contains(a.flags, x))) > 0)::int + (a.step < b.step)::int as worse
+        from c a join c b on a.object_id = b.object_id and a.param_code = b.param_code and b.st < a.st and (b.element = a.element or b.element = '')
+        qualify row_number() over (partition by a.object_id, a.param_code, a.element, a.st order by b.element = a.element desc, (a.param_code in ('P0', 'P1') and a.st = 3 and b.st = 2) desc, b.st) = 1),
+    f as (select object_id, param_code, count(*) as pairs, max(case when not odd then worse end) as dropped, bool_or(odd) as odd from j group by 1, 2),
+    s as (select object_id, param_code, count(distinct case when step is not null then st end) as ranked, bool_or(step is null) as other, bool_or(role = 'CONFLICT') as disputed from c group by 1, 2)
+    select object_id, param_code, case when disputed then 'CLARIFICATION_REQUIRED' when ranked < 2 and other then 'NOT_COMPARABLE' when ranked < 2 then 'MISSING_EVIDENCE' when pairs is null then 'NOT_COMPARABLE'
+        when coalesce(dropped > 0, false) then 'CANDIDATE' when odd then 'NOT_COMPARABLE' else 'NEGATIVE_VERIFIED' end as status, coalesce(pairs, 0) as pairs, cast(case when dropped > 0 then dropped end as double) as drop
+    from s left join f using (object_id, param_code)
+    """,
+)
+def kind_class_vectors(spark, sf_dir):
+    """Classes of several dimensions, which are only partly in order."""
+    mentions = _mentions(spark, sf_dir)
+    number = F.coalesce("value_num", F.lit(0.0)).cast("int")
+    flags = F.when(number % 5 == 0, "E").when(number % 5 == 1, "EI").when(number % 5 == 2, "W").otherwise("IW")
+    group = F.when(number % 7 < 3, " - LS").when(number % 7 < 6, " FRLS").otherwise("")
+    text = F.concat(flags, F.lit(" "), (number % 3 + 1).cast("string"), group)
+    params = _params(spark, "class", scale=[None] * 6, cert_match=[True, True, False, False, False, False])
+    dims = spark.createDataFrame([(DIMS,)], f"dims {DIMENSIONS}")
+    return kinds.evaluate("class", mentions.withColumn("value_text", text), params.crossJoin(F.broadcast(dims)))
+
+
 @query(
     "kind_composition",
     f"""
