@@ -38,15 +38,36 @@ def apply_frame(x: Column, y: Column, frame: list[float]) -> tuple[Column, Colum
     return a * x + b * y + c, d * x + e * y + f
 
 
+#: Fixed value: the larger side of two contours is this many steps of the points along their edges.
+STEPS = 200
+
+
+def along_edges(contour: np.ndarray, step: float) -> np.ndarray:
+    """Corners and points of a closed contour's edges, no further apart than the step."""
+    after = np.roll(contour, -1, axis=0)
+    n = np.maximum(np.ceil(np.sqrt(((after - contour) ** 2).sum(1)) / step).astype(int), 1)
+    part = np.concatenate([np.arange(k) / k for k in n])
+    return np.repeat(contour, n, axis=0) + part[:, None] * np.repeat(after - contour, n, axis=0)
+
+
+def to_contour(points: np.ndarray, contour: np.ndarray) -> np.ndarray:
+    """Distance of each point to the nearest edge."""
+    edge = np.roll(contour, -1, axis=0) - contour
+    t = ((points[:, None] - contour[None]) * edge[None]).sum(-1) / np.maximum((edge**2).sum(1), 1e-300)[None]
+    nearest = contour[None] + np.clip(t, 0, 1)[..., None] * edge[None]
+    return np.sqrt(((nearest - points[:, None]) ** 2).sum(-1)).min(1)
+
+
 def _hausdorff(a: np.ndarray, b: np.ndarray) -> float:
-    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
-    return float(max(d.min(1).max(), d.min(0).max()))
+    both = np.concatenate([a, b])
+    step = max(float((both.max(0) - both.min(0)).max()) / STEPS, 1e-9)
+    return float(max(to_contour(along_edges(a, step), b).max(), to_contour(along_edges(b, step), a).max()))
 
 
 @F.pandas_udf(T.DoubleType())
 def hausdorff(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Largest distance from a point of either contour to the nearest of the other."""
-    return pd.Series([_hausdorff(np.stack(list(x)), np.stack(list(y))) if len(x) and len(y) else None for x, y in zip(a, b)], dtype="float64")
+    """Largest distance from a point of either contour's edges to the nearest of the other, to half a step."""
+    return pd.Series([_hausdorff(np.stack(list(x)), np.stack(list(y))) if x is not None and y is not None and len(x) and len(y) else None for x, y in zip(a, b)], dtype="float64")
 
 
 def _segment_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
