@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions.classes import fold_class, nfkc
 from factloom.operators.anchors import best_lines
 from factloom.operators.search import search_index, write_index
 from factloom.operators.stats import bootstrap
+from factloom.operators.tables import columns, read_rows
 from factloom.plans.registry import query
 from factloom.plans.text import FOLD_SQL
 from factloom.sources.cache import ResultCache
@@ -117,3 +119,55 @@ def bootstrap_objects(spark, sf_dir):
     objects = rows.groupBy("source").agg(F.sum("quality").alias("q"), F.sum("toxic").alias("t"), F.count("*").alias("n"))
     found = bootstrap(objects, "source", {"quality": ("q", "n"), "toxic": ("t", "n")}, 400, "seed", differences=[("quality", "toxic")])
     return found.select("metric", *[F.round(c, 9).alias(c) for c in ("value", "low", "high")], "replicates")
+
+
+CELLS = """
+    b as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 as i, l_partkey, l_suppkey, l_quantity from lineitem),
+    h as (select distinct k, k % 3 as hd from b),
+    x as (select k, 0 as r, unnest([0, 1, 2, 3]) as c, unnest(['№', 'Наименование', 'Ед. изм.', case when k % 2 = 0 then 'Значение' else 'Всего' end]) as text from h where hd > 0
+        union all select k, 1, unnest([0, 1, 2, 3]), unnest(['1', '2', '3', '4']) from h where hd > 1
+        union all select k, hd + i, unnest([0, 1, 2, 3]), unnest(case when i % 4 = 3 then ['', 'раздел ' || (l_suppkey % 3), '', '-'] else [cast(i as varchar), 'деталь ' || l_partkey, case when l_suppkey % 3 = 0 then 'mm' else 'kg' end, replace(cast(l_quantity / 2 as varchar), '.', ',')] end) from b join h using (k))
+"""
+
+
+def _cells(spark, sf_dir):
+    """Tables of an order's lines: some with a header, some with a row that numbers the columns, every fourth row a section."""
+    key, texts = F.col("l_orderkey"), lambda *names: F.array(*map(F.lit, names))
+    i = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")) - 1
+    lines = table(spark, sf_dir, "lineitem").select(key.alias("k"), i.alias("i"), "l_partkey", "l_suppkey", "l_quantity")
+    unit = F.when(F.col("l_suppkey") % 3 == 0, "mm").otherwise("kg")
+    row = F.array(F.col("i").cast("string"), F.concat(F.lit("деталь "), F.col("l_partkey").cast("string")), unit, F.regexp_replace((F.col("l_quantity") / 2).cast("string"), r"\.", ","))
+    section = F.array(F.lit(""), F.concat(F.lit("раздел "), (F.col("l_suppkey") % 3).cast("string")), F.lit(""), F.lit("-"))
+    body = lines.select("k", (F.col("k") % 3 + F.col("i")).alias("r"), F.when(F.col("i") % 4 == 3, section).otherwise(row).alias("cells"))
+    heads = lines.select("k").distinct()
+    last = F.when(F.col("k") % 2 == 0, "Значение").otherwise("Всего")
+    labels = heads.where("k % 3 > 0").select("k", F.lit(0).cast("long").alias("r"), F.concat(texts("№", "Наименование", "Ед. изм."), F.array(last)).alias("cells"))
+    counts = heads.where("k % 3 > 1").select("k", F.lit(1).cast("long").alias("r"), texts("1", "2", "3", "4").alias("cells"))
+    return body.unionByName(labels).unionByName(counts).select("k", "r", F.posexplode("cells").alias("c", "text"))
+
+
+@query(
+    "table_columns",
+    f"""
+    with {CELLS},
+    n as (select k, count(*) filter (where i % 4 <> 3) as parts from b group by 1)
+    select k, cast(c as integer) as c, case when k % 3 = 0 then '' else ['№', 'Наименование', 'Ед. изм.', case when k % 2 = 0 then 'Значение' else 'Всего' end][c + 1] end as title, ['number', 'name', 'unit', 'value'][c + 1] as role
+    from n, (values (0), (1), (2), (3)) v(c) where parts > 0
+    """,
+)
+def table_columns(spark, sf_dir):
+    """What each column of a table holds, by its header where it has one and by its cells where not."""
+    return columns(_cells(spark, sf_dir), ["k"])
+
+
+@query(
+    "table_rows",
+    f"""
+    with {CELLS},
+    s as (select k, i, k % 3 + i as r, l_partkey, l_suppkey, l_quantity, last_value(case when i % 4 = 3 then 'раздел ' || (l_suppkey % 3) end ignore nulls) over (partition by k order by i rows between unbounded preceding and current row) as section from b)
+    select k, r, section, cast(i as varchar) as number, 'деталь ' || l_partkey as name, case when l_suppkey % 3 = 0 then 'mm' else 'kg' end as unit, l_quantity / 2 as amount from s where i % 4 <> 3
+    """,
+)
+def table_rows(spark, sf_dir):
+    """Body rows with the section they stand in."""
+    return read_rows(_cells(spark, sf_dir), ["k"]).select("k", "r", "section", "number", "name", "unit", F.col("values")[0]["amount"].alias("amount"))
