@@ -120,7 +120,7 @@ def lower(
     hit = own.groupBy("finding_id").agg(F.bool_or(acting).alias("hit"))
     own = own.join(hit, "finding_id").withColumn("acts", F.when((F.col("status") == CA) & F.col("hit"), acting).otherwise(F.col("side") == "actual"))
     own = own.withColumn("weighs", F.col("acts") | (F.col("side") == "expected") & ~F.col("threshold")).withColumn("poor", _poor(gates))
-    own = _with_stale(own, revisions)
+    own = checkpointed(_with_stale(own, revisions))
     share = lambda side: F.coalesce(F.bool_and(F.when(F.col("weighs") & (F.col("side") == side), F.col("poor"))), F.lit(False))
     flags = own.groupBy("finding_id").agg(
         F.bool_or(F.col("weighs") & F.col("poor")).alias("any_poor"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom import kinds
 from factloom.functions.classes import DIMENSIONS
+from factloom.kinds.lowering import Gates, lower
 from factloom.plans.registry import query
 from factloom.sources.tables import table
 
@@ -245,3 +246,74 @@ def kind_presence(spark, sf_dir):
 def kind_method(spark, sf_dir):
     lineage = spark.createDataFrame([("C0", "C0"), ("C1", "C1"), ("C1", "C0"), ("C2", "C2")], "term string, ancestor string")
     return kinds.evaluate("method", _mentions(spark, sf_dir).withColumn("value_text", F.col("class")), _params(spark, "method", tolerance=[0.0] * 6), lineage=lineage)
+
+
+LOWERED = """
+    l as (select l_orderkey // 4 as object_id, l_partkey % 8 as p, l_suppkey as s, l_linenumber as n, l_quantity as q, l_discount as d, l_tax as t, l_returnflag as f, l_partkey // 8 as k from lineitem),
+    fi as (select object_id, p, object_id * 8 + p as finding_id, case when count(*) % 5 < 4 then 'CANDIDATE' else 'NEGATIVE_VERIFIED' end as status, 'B' || (min(s) % 3 + 1) as expected,
+        case when p = 7 then 'B' || (min(s) % 3 + 1) || ' W6' else 'B' || (max(s) % 3 + 4) end as actual, p = 5 as threshold, p = 4 as absence from l group by 1, 2),
+    fr as (select fi.*, l.s, n, case f when 'A' then 'expected' else 'actual' end as side, case when f = 'A' then expected when l.p = 7 then expected || ' W6' when l.p = 4 and n % 2 = 0 then '—' else 'B' || (l.s % 3 + 4) end as value,
+        case f when 'A' then 'PD' when 'N' then 'RD' else 'ID' end as stage, 'C' || (l.s % 2) as code, case when t > 0.077 then '2' else '1' end as revision, d > 0.098 as disputed, d < 0.002 as stale,
+        'F' || (l.s % 5) as file_id, n = 3 as unplaced, l.p % 2 = 1 and k % 6 = 0 as wrong, q < 3 or 1 - t < case when l.p = 0 then 0.93 else 0.921 end as poor, 'm' || (k % 9) as method from l join fi using (object_id, p)),
+    h as (select finding_id, bool_or(side = 'actual' and value = actual) as hit from fr group by 1),
+    o as (select fr.*, case when status = 'CANDIDATE' and hit then side = 'actual' and value = actual else side = 'actual' end as acts from fr join h using (finding_id)),
+    w as (select *, acts or side = 'expected' and not threshold as weighs from o),
+    fl as (select finding_id, bool_or(weighs and poor) as any_poor, coalesce(bool_and(poor) filter (where weighs and side = 'expected'), false) or coalesce(bool_and(poor) filter (where weighs and side = 'actual'), false) as all_poor,
+        bool_or(disputed) as disputed, bool_or(stale) as stale, count(*) filter (where side = 'actual') as n_actual, count(*) filter (where side = 'expected') as n_expected,
+        bool_or(side = 'actual' and value = '—' and unplaced) as nowhere, bool_or(side = 'actual' and value = '—') as empty, count(distinct stage) filter (where side = 'actual' and (threshold or value <> expected)) as atoms from w group by 1),
+    mx as (select finding_id, bool_or(r > 1) as mixed from (select finding_id, stage, code, count(distinct revision) as r from w group by 1, 2, 3) z group by 1),
+    cm as (select a.finding_id, bool_or(a.wrong or coalesce(e.wrong, false) or coalesce(a.method <> e.method and not (a.method <> 'm8' and e.method <> 'm8'), false)) as any_bad,
+        bool_and(a.wrong or coalesce(e.wrong, false) or coalesce(a.method <> e.method and not (a.method <> 'm8' and e.method <> 'm8'), false)) as all_bad
+        from w a left join w e on e.finding_id = a.finding_id and e.side = 'expected' and not e.threshold where a.acts group by 1),
+    os as (select finding_id, case when n = 2 then 3 end as number, n = 4 as stamped from w where acts and file_id = 'F1' and (n = 2 and not unplaced or n = 4)),
+    rg as (select fi.finding_id, 3 as number, not coalesce(list_contains(a.files, 'F2'), false) as founded from fi left join (select finding_id, list(file_id) as files from w where acts group by 1) a using (finding_id) where p = 6 or p = 2
+        union all select finding_id, 8, true from fi where p = 3),
+    lg as (select finding_id, count(r.finding_id) as reg, count(m.number) as numbered, bool_or(r.founded) filter (where m.number = r.number) as same from (select distinct finding_id from os union select finding_id from rg) u
+        left join (select finding_id, number from os) m using (finding_id) left join rg r using (finding_id) group by 1),
+    cv as (select distinct w.finding_id, object_id % 2 = 0 as holes from w where side = 'actual' and stage = 'RD' and object_id % 3 > 0),
+    z as (select fi.*, any_poor, all_poor, disputed or mixed as unsettled, stale, coalesce(n_actual, 0) = 0 or not threshold and n_expected = 0 or nowhere as lacks, absence or empty as absent, atoms, coalesce(any_bad, false) as any_bad, coalesce(all_bad, false) as all_bad,
+        cv.finding_id is not null as sheet, coalesce(holes, false) as holes, case when lg.finding_id is not null then case when reg > 0 and numbered > 0 and same is null then 'CHANGE_CONFLICT' when same then 'APPROVED_CHANGE' else 'CHANGE_APPROVAL_UNVERIFIED' end else 'NONE' end as legit
+        from fi join fl using (finding_id) join mx using (finding_id) left join cm using (finding_id) left join cv using (finding_id) left join lg using (finding_id)),
+    st as (select *, case when status = 'CANDIDATE' and any_bad or status <> 'CANDIDATE' and all_bad then 'GTE-04' when status = 'CANDIDATE' and any_poor or status <> 'CANDIDATE' and all_poor then 'GTE-05' when unsettled then 'VER-01' when stale then 'VER-03'
+        when status <> 'CANDIDATE' then '' when lacks then 'VER-02' when absent and (not sheet or holes) then 'VER-05' when not threshold and p = 7 then 'VER-07' when legit in ('APPROVED_CHANGE', 'CHANGE_CONFLICT') then 'VER-08' else '' end as step from z)
+"""
+
+
+@query(
+    "kind_lowering",
+    f"""
+    with {LOWERED}
+    select finding_id, case when step in ('GTE-04', 'GTE-05', 'VER-02') or step = 'VER-05' and sheet then 'NOT_COMPARABLE' when step = 'VER-05' then 'MISSING_EVIDENCE' when step in ('VER-01', 'VER-03') or step = 'VER-08' and legit = 'CHANGE_CONFLICT' then 'CLARIFICATION_REQUIRED'
+        when step in ('VER-07', 'VER-08') then 'NEGATIVE_VERIFIED' else status end as status, step as steps, case when status = 'CANDIDATE' and step in ('', 'VER-08') then legit end as change,
+        array_to_string(list_filter([case when step = 'VER-03' then 'STALE_REVISION' end, case when status = 'CANDIDATE' and step = '' and legit = 'CHANGE_APPROVAL_UNVERIFIED' then legit end, case when status = 'CANDIDATE' and step = '' and atoms > 1 then 'COMPOSITE' end], lambda x: x is not null), ' ') as flags from st
+    """,
+)
+def kind_lowering(spark, sf_dir):
+    """Findings after every check that may lower them, with the check that did."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 4).alias("object_id"), (F.col("l_partkey") % 8).alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"),
+        F.col("l_discount").alias("d"), F.col("l_tax").alias("t"), F.col("l_returnflag").alias("f"), F.floor(F.col("l_partkey") / 8).alias("k"),
+    )
+    text = lambda prefix, number: F.concat(F.lit(prefix), number.cast("string"))
+    expected = text("B", F.min("s") % 3 + 1)
+    findings = lines.groupBy("object_id", "p").agg(
+        F.when(F.count("*") % 5 < 4, "CANDIDATE").otherwise("NEGATIVE_VERIFIED").alias("status"), expected.alias("expected"),
+        F.when(F.col("p") == 7, F.concat(expected, F.lit(" W6"))).otherwise(text("B", F.max("s") % 3 + 4)).alias("actual"),
+    )
+    p, side = F.col("p"), F.when(F.col("f") == "A", "expected").otherwise("actual")
+    findings = findings.withColumns({"finding_id": F.col("object_id") * 8 + p, "param_code": text("P", p), "op": F.when(p % 2 == 0, "CMP-01").otherwise("CMP-04"), "threshold": p == 5, "absence": p == 4})
+    actual = F.when(p == 7, F.concat("expected", F.lit(" W6"))).when((p == 4) & (F.col("n") % 2 == 0), "—").otherwise(text("B", F.col("s") % 3 + 4))
+    fragments = lines.join(findings.select("object_id", "p", "finding_id", "expected"), ["object_id", "p"]).select(
+        "finding_id", side.alias("side"), F.when(F.col("f") == "A", F.col("expected")).otherwise(actual).alias("value"), F.when(F.col("f") == "A", "PD").when(F.col("f") == "N", "RD").otherwise("ID").alias("stage"),
+        text("C", F.col("s") % 2).alias("document_code"), F.when(F.col("t") > 0.077, "2").otherwise("1").alias("revision"), F.when(F.col("d") > 0.098, "CONFLICT").when(F.col("d") < 0.002, "SUPERSEDED").otherwise("CURRENT").alias("role"),
+        F.lit("APPROVED").alias("approval_status"), text("F", F.col("s") % 5).alias("file_id"), F.col("n").alias("page"), F.when(F.col("n") != 3, F.array(*map(F.lit, (0.1, 0.1, 0.2, 0.2)))).alias("bbox"),
+        F.when(F.col("k") % 6 == 0, "table").otherwise("plan").alias("doc_kind"), F.when(F.col("q") < 3, "LOW_QUALITY").otherwise("OK").alias("quality"), (1 - F.col("t")).alias("confidence"), F.lit("m").alias("unit"), text("m", F.col("k") % 9).alias("method"),
+    )
+    changes = findings.where("p in (2, 6)").select("object_id", "param_code", F.lit("No. 3").alias("number"), F.lit("F2").alias("basis_file_id"))
+    changes = changes.unionByName(findings.where("p = 3").select("object_id", "param_code", F.lit("8").alias("number"), F.lit("F9").alias("basis_file_id")))
+    marks = spark.createDataFrame([("F1", 2, "cloud", "3", [0.22, 0.1, 0.3, 0.2]), ("F1", 4, "stamp_row", "3", None)], "file_id string, page int, kind string, number string, bbox array<double>")
+    objects = findings.select("object_id").distinct().where("object_id % 3 > 0")
+    searched = objects.select("object_id", F.lit("RD").alias("stage"), F.lit("C0").alias("document_code"), (F.col("object_id") % 2 != 0).alias("parsed"), F.lit(0).alias("low_quality_pages"))
+    gates = Gates(sheet_kinds={"CMP-01": ["plan", "table"], "CMP-04": ["plan"]}, min_confidence={"P0": 0.93, "default": 0.921}, equivalent_methods=[[f"m{i}" for i in range(8)]])
+    found = lower(findings, fragments, gates, changes=changes, marks=marks, searched=searched)
+    return found.select("finding_id", "status", F.array_join("steps", " ").alias("steps"), "change", F.array_join("flags", " ").alias("flags"))
