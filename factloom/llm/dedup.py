@@ -34,7 +34,7 @@ COUNTED, LEAST, COMMON = 10_000, 3, 200_000
 #: put last in the order.
 CROWD = 20
 #: Parts that shingles are dealt in by hash; their counts bound how similar two texts can be.
-PARTS = 128
+PARTS, MOST = 128, 127
 
 
 def mark(words: list[bytes]) -> int:
@@ -69,8 +69,8 @@ def _short(found: np.ndarray) -> np.ndarray:
 
 
 def parts(short: np.ndarray) -> np.ndarray:
-    """How many of the hashes fall in each part."""
-    return np.bincount(short & (PARTS - 1), minlength=PARTS).astype(np.int32)
+    """How many of the hashes fall in each part, in a byte each: more count as ``MOST``."""
+    return np.minimum(np.bincount(short & (PARTS - 1), minlength=PARTS), MOST).astype(np.int8)
 
 
 def ordered(found: np.ndarray, common: np.ndarray, holders: np.ndarray) -> np.ndarray:
@@ -127,7 +127,7 @@ def signatures(docs: DataFrame, shared) -> DataFrame:
                     pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
                     pa.array([mark(w) for w in words], pa.int64()),
                     pa.array([prefix(h, *shared.value) for h in found], pa.list_(pa.int64())),
-                    pa.array([parts(_short(h)) for h in found], pa.list_(pa.int32())),
+                    pa.array([parts(_short(h)) for h in found], pa.list_(pa.int8())),
                     pa.array([len(h) for h in found], pa.int32()),
                 ],
                 names=["doc_id", "id", "text_hash", "node", "fp", "rare", "parts", "size"],
@@ -136,7 +136,7 @@ def signatures(docs: DataFrame, shared) -> DataFrame:
     text_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", *row_keys(docs), clean_text().alias("text"))
-    return rows.mapInArrow(batches, f"doc_id {kind}, id string, text_hash long, node binary, fp long, rare array<long>, parts array<int>, size int")
+    return rows.mapInArrow(batches, f"doc_id {kind}, id string, text_hash long, node binary, fp long, rare array<long>, parts array<tinyint>, size int")
 
 
 def of_nodes(docs: DataFrame, needed: DataFrame, kind: str, one) -> DataFrame:
@@ -175,8 +175,13 @@ def reach(size, held):
 
 
 def plain_entries(nodes: DataFrame) -> DataFrame:
-    """(bucket, number, size, reach) of the shingles in the prefixes as the first order has them."""
-    return nodes.select(F.explode("rare").alias("bucket"), "number", "size", reach(F.col("size"), F.col("size")).alias("reach"))
+    """(bucket, number, size, reach) of the shingles in the prefixes as the first order has them.
+
+    Of similar nodes the first shingle that both have counts: there, what either can share is that one and what comes
+    after it in its order. So a later place in the prefix reaches fewer nodes.
+    """
+    placed = nodes.select(F.posexplode("rare").alias("place", "bucket"), "number", "size")
+    return placed.select("bucket", "number", "size", reach(F.col("size"), F.col("size") - F.col("place")).alias("reach"))
 
 
 def uncrowded(docs: DataFrame, nodes: DataFrame, met: DataFrame, roots: DataFrame, shared) -> DataFrame:
@@ -197,7 +202,7 @@ def uncrowded(docs: DataFrame, nodes: DataFrame, met: DataFrame, roots: DataFram
     own = materialise(own.groupBy("number").agg(F.collect_set("bucket").alias("late")))  # a node's own shingles
     split = lists.join(own, "number").select("number", F.size("found").alias("size"), F.array_except("found", "late").alias("first"), F.array_intersect("found", "late").alias("late"))
     take = F.floor(F.col("size") / 5).cast("int") + 1
-    entry = lambda part, n, held: F.transform(F.slice(part, 1, n), lambda b: F.struct(b.alias("bucket"), reach(F.col("size"), held).alias("reach")))
+    entry = lambda part, n, held: F.transform(F.slice(part, 1, n), lambda b, i: F.struct(b.alias("bucket"), reach(F.col("size"), held - i).alias("reach")))
     rest = F.greatest(take - F.size("first"), F.lit(0))
     entries = F.concat(entry("first", take, F.col("size")), entry("late", rest, F.size("late")))
     again = split.select("number", "size", F.explode(entries).alias("e")).select("e.bucket", "number", "size", "e.reach")
@@ -209,14 +214,20 @@ def uncrowded(docs: DataFrame, nodes: DataFrame, met: DataFrame, roots: DataFram
 def with_leaders(met: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of the members of each bucket with its leaders: its oldest node and the one that most buckets share.
 
+    Where members have size and reach, a pair must be within both reaches.
+
     The text that copies were made of shares more buckets than any copy, so the second links a large group at once. A
     bucket of any size gives two pairs a member at most and no group is compared with itself.
     """
-    met = met.select("bucket", "number")
+    bound = ["size", "reach"] if "reach" in met.columns else []
+    met = met.select("bucket", "number", *bound)
     degree = met.groupBy("number").agg(F.count("*").alias("degree"))
     aged = met.join(materialise(nodes.select("number", "first_id").join(degree, "number")), "number")
-    leaders = aged.groupBy("bucket").agg(F.min_by("number", F.struct("first_id", "number")).alias("oldest"), F.max_by("number", F.struct("degree", "number")).alias("hub"))
-    pairs = met.join(leaders, "bucket").select("number", F.explode(F.array("oldest", "hub")).alias("leader")).where("number <> leader")
+    one = F.struct("number", *bound)
+    leaders = aged.groupBy("bucket").agg(F.min_by(one, F.struct("first_id", "number")).alias("oldest"), F.max_by(one, F.struct("degree", "number")).alias("hub"))
+    pairs = met.join(leaders, "bucket").withColumn("led", F.explode(F.array("oldest", "hub"))).withColumn("leader", F.col("led.number")).where("number <> leader")
+    if bound:
+        pairs = pairs.where("reach >= led.size and led.reach >= size")
     return pairs.select(F.least("number", "leader").alias("a"), F.greatest("number", "leader").alias("b")).distinct()
 
 
@@ -275,14 +286,14 @@ def similarity(a, b):
     return F.when(union > 0, shared / union).otherwise(1.0)
 
 
-def possible(a, b):
+def possible(a, b, both):
     """False only for texts that can't be similar: their counts by part differ by more than similar sets may.
 
     Sets of n and m with s shared are similar if s >= 0.8 (n + m - s), that is if n + m - 2 s <= (n + m) / 9; and what
-    the counts differ by is n + m - 2 s at most.
+    the counts differ by is n + m - 2 s at most, ``both`` being n + m or more. Counts cut at ``MOST`` differ by less.
     """
     total = lambda x: F.aggregate(x, F.lit(0), lambda p, q: p + q)
-    return 9 * total(F.zip_with(a, b, lambda x, y: F.abs(x - y))) <= total(a) + total(b)
+    return 9 * total(F.zip_with(a, b, lambda x, y: F.abs(x.cast("int") - y))) <= both
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -292,8 +303,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         return pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
 
     sizes = nodes.select("number", "size")
-    alike = sides(pairs, sizes).where(5 * F.least("x", "y") >= 4 * F.greatest("x", "y")).select("a", "b")
-    possible_ones = materialise(sides(alike, nodes.select("number", "parts")).where(possible(F.col("x"), F.col("y"))).select("a", "b"))
+    alike = sides(pairs, sizes).where(5 * F.least("x", "y") >= 4 * F.greatest("x", "y")).select("a", "b", (F.col("x") + F.col("y")).alias("both"))
+    possible_ones = materialise(sides(alike, nodes.select("number", "parts")).where(possible(F.col("x"), F.col("y"), F.col("both"))).select("a", "b"))
     needed = possible_ones.select(F.explode(F.array("a", "b")).alias("number")).distinct()
     needed = materialise(nodes.join(needed, "number", "left_semi").select("number", "id", "text_hash"))
     held = materialise(of_nodes(docs, needed, "int", sketch))

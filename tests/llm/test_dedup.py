@@ -186,11 +186,12 @@ def test_counts_by_part_never_tell_similar_sets_apart(spark):
     rng = np.random.default_rng(5)
     rows, alike = [], []
     for _ in range(200):
-        pool = np.unique(rng.integers(-(2**31), 2**31, rng.integers(1, 400)).astype(np.int32))
+        pool = np.unique(rng.integers(-(2**31), 2**31, rng.integers(1, rng.choice([400, 40_000]))).astype(np.int32))
         a, b = (pool[rng.random(len(pool)) < rng.choice([0.5, 0.93, 1.0])] for _ in range(2))
         union = len(np.union1d(a, b))
         alike.append(not union or len(np.intersect1d(a, b)) / union >= 0.8)
-        rows.append((len(rows), dedup.parts(a).tolist(), dedup.parts(b).tolist()))
-    df = spark.createDataFrame(rows, "i int, a array<int>, b array<int>")
-    got = {r.i: r.ok for r in df.select("i", dedup.possible(F.col("a"), F.col("b")).alias("ok")).collect()}
+        rows.append((len(rows), dedup.parts(a).tolist(), dedup.parts(b).tolist(), len(a) + len(b)))
+    assert max(max(r[1]) for r in rows) == dedup.MOST
+    df = spark.createDataFrame(rows, "i int, a array<tinyint>, b array<tinyint>, n int")
+    got = {r.i: r.ok for r in df.select("i", dedup.possible(F.col("a"), F.col("b"), F.col("n")).alias("ok")).collect()}
     assert all(got[i] for i in range(len(rows)) if alike[i]) and any(alike) and not all(got.values())
