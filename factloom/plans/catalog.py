@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import compare, documents, geometry, ingest, kinds, ladders, layers, match, reading, registry, rollup, rules, series, space, stats, streams, text, totals  # noqa: F401
+from factloom.plans import compare, documents, geometry, ingest, kinds, ladders, layers, match, predicates, reading, registry, rollup, rules, series, space, stats, streams, text, totals  # noqa: F401
 
 
 def plans() -> dict[str, registry.Plan]:
