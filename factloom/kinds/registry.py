@@ -23,7 +23,7 @@ def kind(name: str):
 
 def evaluate(name: str, mentions: DataFrame, params: DataFrame, **tables: DataFrame) -> DataFrame:
     """Findings of one kind for the params that are of it; its other tables (profiles, norms, ...) by name."""
-    from factloom.kinds import generic, geometry, layers, numbers, presence, types  # noqa: F401
+    from factloom.kinds import direction, generic, geometry, layers, numbers, presence, types  # noqa: F401
 
     if name not in KINDS:
         raise ValueError(f"unknown kind {name!r}: one of {sorted(KINDS)}")

@@ -60,11 +60,22 @@ def score(anchor: str, line: str, least: float = 0.0) -> float:
     if m < n:
         best = share(anchor, line)
     else:
-        windows = [line[i : i + n] for i in range(m - n + 1)] + [line[:i] for i in range(1, n)] + [line[m - i :] for i in range(1, n)]
-        best = max(share(anchor, w) for w in windows if w[0] in _places(anchor) or w[-1] in _places(anchor)) if shared else 0.0
+        short = int(least * n / (200.0 - least)) or 1  # a window cut off by an end reaches the least score from here on
+        windows = [line[i : i + n] for i in _likely(anchor, line, least)] + [w for i in range(short, n) for w in (line[:i], line[m - i :])]
+        best = max((share(anchor, w) for w in windows), default=0.0)
     return best if best >= least else 0.0
 
 
+def _likely(anchor: str, line: str, least: float) -> list[int]:
+    """Where windows as long as the anchor begin that share enough signs with it, whatever their order."""
+    codes, n = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4"), len(anchor)
+    shared = np.zeros(len(line) - n + 1, np.int64)
+    for c, k in _counts(anchor):
+        before = np.concatenate([[0], np.cumsum(codes == ord(c))])
+        shared += np.minimum(before[n:] - before[:-n], k)
+    return np.flatnonzero(100.0 * shared >= least * n - 1e-9).tolist()
+
+
 @lru_cache(maxsize=4096)
 def _counts(anchor: str) -> tuple[tuple[str, int], ...]:
     return tuple((c, anchor.count(c)) for c in sorted(set(anchor)))

@@ -33,7 +33,10 @@ def material(layer: Column) -> Column:
 
 
 def merged_runs(layers: Column) -> Column:
-    """Neighbouring layers of one material as one, as thick as they are together if all have a thickness."""
+    """Neighbouring layers of one material as one, as thick as they are together if all have a thickness.
+
+    Of a material that only its writing tells, two layers are one: what is written for both is no longer what the third has.
+    """
 
     def add(out: Column, layer: Column) -> Column:
         last = F.get(out, F.size(out) - 1)

@@ -317,3 +317,52 @@ def kind_lowering(spark, sf_dir):
     gates = Gates(sheet_kinds={"CMP-01": ["plan", "table"], "CMP-04": ["plan"]}, min_confidence={"P0": 0.93, "default": 0.921}, equivalent_methods=[[f"m{i}" for i in range(8)]])
     found = lower(findings, fragments, gates, changes=changes, marks=marks, searched=searched)
     return found.select("finding_id", "status", F.array_join("steps", " ").alias("steps"), "change", F.array_join("flags", " ").alias("flags"))
+
+
+DOORS = """
+    m as (select l_orderkey // 4 as object_id, 'P' || (l_partkey % 6) as param_code, case l_returnflag when 'A' then 1 when 'N' then 2 else 3 end as st, case when l_suppkey % 5 > 0 then 'D' || (l_suppkey % 5) end as mark, case l_linenumber % 4 when 1 then 'A' when 2 then 'B' end as building,
+        ['outward', 'outward', 'inward', 'sliding', 'blocks', 'hand'][cast(l_quantity as integer) % 6 + 1] as value, 1 - l_tax as confidence, cast(l_suppkey as varchar) as file_id, l_linenumber as page, l_tax > 0.03 as evac, l_discount > 0.098 as disputed,
+        case when l_discount < 0.005 then 'EXEMPT' when l_discount < 0.008 then 'NOT_EVAC' when l_discount < 0.011 then 'NEGATION' end as excluded, case when l_extendedprice < 3000 then 'x' end as exemption from lineitem),
+    r as (select *, coalesce(excluded = 'NEGATION', false) as unclear, coalesce(excluded = 'EXEMPT', false) or coalesce(excluded, '') <> 'NEGATION' and exemption is not null as exempt, excluded is null and value = 'hand' as silent, coalesce(excluded = 'NOT_EVAC', false) as outside,
+        excluded is null and value <> 'hand' as way, value in ('inward', 'sliding') as bad from m),
+    w as (select *, row_number() over (partition by object_id, param_code, st order by disputed, confidence desc, bad desc, file_id, page, value, mark nulls first, building nulls first) as no from r where way),
+    d as (select * from w qualify row_number() over (partition by object_id, param_code, st, mark, building order by no) = 1),
+    f as (select object_id, param_code, min(st) as fst from d group by 1, 2),
+    em as (select distinct object_id, param_code, mark from r where way and evac and mark is not null),
+    l as (select d.*, fst, d.evac or em.mark is not null as escape, d.param_code in ('P0', 'P1') as norm from d join f using (object_id, param_code) left join em on em.object_id = d.object_id and em.param_code = d.param_code and em.mark = d.mark where st > 1),
+    g as (select l.object_id, l.param_code, l.st, l.no, min_by(b.value, b.no) filter (where b.mark = l.mark and (b.building = l.building or b.building is null or l.building is null)) as own, coalesce(bool_or(b.mark = l.mark), false) as elsewhere,
+        min_by(b.value, b.no) filter (where b.mark is null and (b.building = l.building or b.building is null or l.building is null)) as general from l join d b on b.object_id = l.object_id and b.param_code = l.param_code and b.st = l.fst and l.st > l.fst group by 1, 2, 3, 4),
+    o as (select l.*, own, general, case when value = 'blocks' then case when escape then 'blocks' else 'unknown' end when own is not null then 'pair' when elsewhere then 'other' when bad and not escape then case when general is not null or norm then 'unknown' else 'none' end
+        when general is not null then 'pair' when norm and bad then 'norm' else 'none' end as outcome from l left join g using (object_id, param_code, st, no)),
+    v as (select *, bad and (outcome = 'norm' or outcome = 'pair' and coalesce(own, general) = 'outward') as violation from o),
+    x as (select object_id, param_code, bool_or(not (exemption is not null or excused)) as hard, bool_or(exemption is not null or excused) as soft from (select v.*, exists (select 1 from r e where e.exempt and e.object_id = v.object_id and e.param_code = v.param_code
+        and (e.st = v.st or e.st = v.fst and v.fst < v.st) and e.mark is not distinct from v.mark) as excused from v where violation) z group by 1, 2),
+    c as (select object_id, param_code, count(*) filter (where outcome = 'pair') as pairs, count(*) filter (where violation) as violations, bool_or(outcome = 'blocks') as blocks, bool_or(outcome in ('other', 'unknown')) as odd from v group by 1, 2),
+    s as (select r.object_id, r.param_code, bool_or(unclear and (evac or em.mark is not null)) as lost, bool_or(silent) as silent, bool_or(outside) as outside from r left join em on em.object_id = r.object_id and em.param_code = r.param_code and em.mark = r.mark where st > 1 group by 1, 2),
+    q as (select object_id, param_code, bool_or(disputed) as disputed from d group by 1, 2),
+    k as (select distinct object_id, param_code from m)
+"""
+
+
+@query(
+    "kind_direction",
+    f"""
+    with {DOORS}
+    select object_id, param_code, case when disputed then 'CLARIFICATION_REQUIRED' when hard then 'CANDIDATE' when soft or blocks or lost then 'NOT_COMPARABLE' when pairs > 0 then 'NEGATIVE_VERIFIED' when odd or silent then 'NOT_COMPARABLE' when outside then 'NEGATIVE_VERIFIED' else 'MISSING_EVIDENCE' end as status,
+        coalesce(pairs, 0) as pairs, coalesce(violations, 0) as violations from k left join q using (object_id, param_code) left join x using (object_id, param_code) left join c using (object_id, param_code) left join s using (object_id, param_code)
+    """,
+)
+def kind_direction(spark, sf_dir):
+    """Findings for the way doors on ways of escape open."""
+    low = F.col("l_discount")
+    excluded = F.when(low < 0.005, "EXEMPT").when(low < 0.008, "NOT_EVAC").when(low < 0.011, "NEGATION")
+    value = F.get(F.array(*map(F.lit, ("outward", "outward", "inward", "sliding", "blocks", "hand"))), F.col("l_quantity").cast("int") % 6)
+    stage = F.when(F.col("l_returnflag") == "A", "PD").when(F.col("l_returnflag") == "N", "RD").otherwise("ID")
+    mentions = table(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 4).alias("object_id"), F.concat(F.lit("P"), (F.col("l_partkey") % 6).cast("string")).alias("param_code"), stage.alias("stage"),
+        F.when(F.col("l_suppkey") % 5 > 0, F.concat(F.lit("D"), (F.col("l_suppkey") % 5).cast("string"))).alias("mark"), F.when(F.col("l_linenumber") % 4 == 1, "A").when(F.col("l_linenumber") % 4 == 2, "B").alias("building"),
+        value.alias("value"), (1 - F.col("l_tax")).alias("confidence"), F.col("l_suppkey").cast("string").alias("file_id"), F.col("l_linenumber").alias("page"), (F.col("l_tax") > 0.03).alias("evac"),
+        F.when(low > 0.098, "CONFLICT").otherwise("CURRENT").alias("role"), excluded.alias("excluded"), F.when(F.col("l_extendedprice") < 3000, "x").alias("exemption"), F.lit("A").alias("discipline"),
+    )
+    params = spark.createDataFrame([(f"P{i}", "direction", {s: ["B", "*"] for s in ("PD", "RD", "ID")}, i < 2) for i in range(6)], "param_code string, kind string, sources map<string,array<string>>, norm boolean")
+    return kinds.evaluate("direction", mentions, params)

@@ -21,7 +21,8 @@ STACKS = """
         case when l_linenumber <> 5 then cast(l_quantity as integer) % 4 * 10 end as t from lineitem),
     y as (select *, case when lag(name) over w = name then 0 else 1 end as starts from x window w as (partition by object_id, param_code, stage, item, file_id order by l_orderkey, l_linenumber, name, t nulls first)),
     z as (select *, sum(starts) over (partition by object_id, param_code, stage, item, file_id order by l_orderkey, l_linenumber, name, t nulls first) as run from y),
-    r as (select object_id, param_code, stage, item, file_id, run, any_value(name) as single, case when any_value(known) then any_value(name) else '~' || repeat(any_value(name)[2:], count(*)) end as name, any_value(known) as known, case when count(t) = count(*) then sum(t) end as t from z group by 1, 2, 3, 4, 5, 6),
+    zz as (select * exclude (run), run * 1000 + case when known then 0 else (row_number() over (partition by object_id, param_code, stage, item, file_id, run order by l_orderkey, l_linenumber, name, t nulls first) - 1) // 2 end as run from z),
+    r as (select object_id, param_code, stage, item, file_id, run, any_value(name) as single, case when any_value(known) then any_value(name) else '~' || repeat(any_value(name)[2:], count(*)) end as name, any_value(known) as known, case when count(t) = count(*) then sum(t) end as t from zz group by 1, 2, 3, 4, 5, 6),
     g as (select object_id, param_code, stage, item, file_id, list(struct_pack(name := name, known := known, t := t) order by run) as layers, list(distinct single) as singles from r group by 1, 2, 3, 4, 5),
     h as (select object_id, param_code, stage, item, file_id, max(1 - l_tax) as confidence, bool_or(l_discount > 0.098) as disputed, min(l_linenumber) as page from x group by 1, 2, 3, 4, 5),
     u as (select g.object_id, g.param_code, g.stage, lower(replace(replace(g.item, '-', ''), ' ', '')) as mark, g.file_id, disputed, layers, singles,
