@@ -119,10 +119,10 @@ def mask_phone(text: Column) -> Column:
 
 
 def mask_insurance(text: Column) -> Column:
-    """Runs of digits in the form of an insurance number, 999-999-999 99: the two that check it stay."""
+    """Digits joined by hyphens, with two more after a space or not, in the form 999-999-999 99: the last two stay."""
     form = lambda m: F.regexp_replace(F.regexp_replace(m, "[0-9]", "9"), r"\s", " ")
     hide = lambda m: F.when(form(m).isin("999-999-999 99", "999-999-999-99"), F.concat(F.lit("***-***-*** "), F.right(m, F.lit(2)))).otherwise(m)
-    return replaced(text, r"[0-9]+(?:[\s-][0-9]+)+", hide)
+    return replaced(text, r"[0-9]+(?:-[0-9]+)+(?:\s[0-9]{2}(?![0-9-]))?", hide)
 
 
 def mask_text(text: Column) -> Column:
