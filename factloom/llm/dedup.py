@@ -3,9 +3,9 @@
 Texts of the same words are one node. Each node has a SimHash fingerprint of its word set; the covering tables of the
 `simhash` module bring together every pair of nodes within four bits. Fingerprints can't reach all texts of similar
 shingles, so nodes meet by a prefix filter too (Chaudhuri and others, 2006): in any common order of all shingles, two
-sets of a similarity of 0.8 share one of the first fifth of each. The order is rarest first: what a sample shows to be
-common comes late, and what then still crowds a bucket comes last, counted over all nodes. Nodes of a crowded bucket
-meet there only if such shingles alone can make them similar, which is known from how many they have. Pairs so found are links
+sets of a similarity of 0.8 share one of the first fifth of each. The order is rarest first: what a fixed share of the
+rows shows to be common comes late, whatever the table's size. Where a shingle stands in both prefixes bounds what two
+nodes of its bucket can share, so most of those that share a passage alone never meet. Pairs so found are links
 if their five-word shingles are similar enough, and of each linked group one row stays. What is written for every row
 is small: whole sets of shingles are taken, again from the texts, of those alone whose counts leave a pair possible.
 """
@@ -27,12 +27,11 @@ from factloom.llm.simhash import BITS, BLOCK, covering_masks, words_of
 
 SHINGLE, SIMILAR = 5, 0.8
 RADIUS = 4
-#: Rows whose shingles are counted, about, to put common ones last; the fewest rows of a common one, and how many of
-#: those are kept. They order the prefixes: any order finds the same links, a good one with fewer pairs.
-COUNTED, LEAST, COMMON = 10_000, 3, 200_000
-#: Groups of nodes, linked among themselves and not with each other, that crowd a bucket of a shingle; such shingles are
-#: put last in the order.
-CROWD = 20
+#: Share of the rows whose shingles are counted, to put common ones last; the fewest rows of a common one, and how many
+#: of those are kept, the most frequent first. They order the prefixes: any order finds the same links, a good one with
+#: fewer pairs. Rows of a shingle above CLASSES count as so many where the most frequent are chosen.
+COUNTED, LEAST, COMMON = 1 / 8, 3, 1_000_000
+CLASSES = 50_000
 #: Parts that shingles are dealt in by hash; their counts bound how similar two texts can be.
 PARTS, MOST = 128, 127
 
@@ -94,7 +93,7 @@ def prefix(found: np.ndarray, common: np.ndarray, holders: np.ndarray) -> np.nda
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and frequencies of shingles that many of a bounded sample of rows have."""
+    """Hashes, ascending, and frequencies of shingles that many of a fixed share of the rows have; COMMON at most."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -102,11 +101,21 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(hashes(words_of(text)), pa.int64())], names=["hash"])
 
     text_batches(docs.sparkSession)
-    share = min(1.0, COUNTED / max(1, docs.count()))
-    drawn = F.pmod(F.xxhash64("doc_id", clean_text()), F.lit(1 << 20)) < int(share * (1 << 20))
-    counts = docs.where(drawn).select(clean_text().alias("text")).mapInArrow(batches, "hash long").groupBy("hash").count()
-    rows = sorted(counts.where(F.col("count") >= LEAST).orderBy(F.desc("count"), "hash").limit(COMMON).collect())
-    return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
+    drawn = F.pmod(F.xxhash64("doc_id", clean_text()), F.lit(1 << 20)) < int(COUNTED * (1 << 20))
+    counts = docs.where(drawn).select(clean_text().alias("text")).mapInArrow(batches, "hash long").groupBy("hash").agg(F.count("*").alias("holders"))
+    counts = materialise(counts.where(F.col("holders") >= LEAST))
+    classes = counts.groupBy(F.least("holders", F.lit(CLASSES)).alias("holders")).agg(F.count("*").alias("n")).collect()
+    kept, least = 0, CLASSES
+    for holders, n in sorted(map(tuple, classes), reverse=True):
+        kept += n
+        if kept > COMMON:
+            break
+        least = holders
+    found = counts.where(F.col("holders") >= least).limit(COMMON).toArrow()
+    forget(counts)
+    common, holders = (found.column(c).to_numpy() for c in ("hash", "holders"))
+    order = np.argsort(common)
+    return common[order], holders[order]
 
 
 def row_keys(docs: DataFrame) -> list:
@@ -174,8 +183,8 @@ def reach(size, held):
     return (9 * held - 4 * size) / 4
 
 
-def plain_entries(nodes: DataFrame) -> DataFrame:
-    """(bucket, number, size, reach) of the shingles in the prefixes as the first order has them.
+def entries(nodes: DataFrame) -> DataFrame:
+    """(bucket, number, size, reach) of the shingles in the prefixes.
 
     Of similar nodes the first shingle that both have counts: there, what either can share is that one and what comes
     after it in its order. So a later place in the prefix reaches fewer nodes.
@@ -184,33 +193,6 @@ def plain_entries(nodes: DataFrame) -> DataFrame:
     return placed.select("bucket", "number", "size", reach(F.col("size"), F.col("size") - F.col("place")).alias("reach"))
 
 
-def uncrowded(docs: DataFrame, nodes: DataFrame, met: DataFrame, roots: DataFrame, shared) -> DataFrame:
-    """``met`` again, materialised, where shingles of many groups without a link come last in the order.
-
-    Nodes that have none of them in their prefix keep it. The others take theirs again from all their shingles; only one
-    that has too few others meets in crowded buckets, and there its reach is that of its crowded shingles, since nodes
-    that share another one meet in its bucket.
-    """
-    groups = _rooted(met, roots).groupBy("bucket").agg(F.countDistinct("root").alias("groups"))
-    crowded = materialise(groups.where(F.col("groups") > CROWD).select("bucket"))
-    if crowded.isEmpty():
-        return met
-    touched = materialise(met.join(crowded, "bucket", "left_semi").select("number").distinct())
-    needed = materialise(nodes.join(touched, "number", "left_semi").select("number", "id", "text_hash"))
-    lists = materialise(of_nodes(docs, needed, "long", lambda words: ordered(hashes(words), *shared.value)))
-    own = lists.select("number", F.explode("found").alias("bucket")).join(crowded, "bucket", "left_semi")
-    own = materialise(own.groupBy("number").agg(F.collect_set("bucket").alias("late")))  # a node's own shingles
-    split = lists.join(own, "number").select("number", F.size("found").alias("size"), F.array_except("found", "late").alias("first"), F.array_intersect("found", "late").alias("late"))
-    take = F.floor(F.col("size") / 5).cast("int") + 1
-    entry = lambda part, n, held: F.transform(F.slice(part, 1, n), lambda b, i: F.struct(b.alias("bucket"), reach(F.col("size"), held - i).alias("reach")))
-    rest = F.greatest(take - F.size("first"), F.lit(0))
-    entries = F.concat(entry("first", take, F.col("size")), entry("late", rest, F.size("late")))
-    again = split.select("number", "size", F.explode(entries).alias("e")).select("e.bucket", "number", "size", "e.reach")
-    found = members(plain_entries(nodes.join(touched, "number", "left_anti")).unionByName(again))
-    forget(met, crowded, touched, needed, lists, own)
-    return found
-
-
 def with_leaders(met: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of the members of each bucket with its leaders: its oldest node and the one that most buckets share.
 
@@ -334,11 +316,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     forget(found, firsts)
     pairs = materialise(candidates(nodes.select("number", "first_id", "fp")))
     _free_shuffles(docs.sparkSession)
-    met = members(plain_entries(nodes))
+    met = members(entries(nodes))
     pairs = materialise(pairs.unionAll(with_leaders(met, nodes)).distinct())
     links = verified(pairs, nodes, docs)
     roots = materialise(components(links))
-    met = uncrowded(docs, nodes, met, roots, shared)
     for more in (to_hubs, across):
         _free_shuffles(docs.sparkSession)
         fresh = materialise(more(met, roots).join(pairs, ["a", "b"], "left_anti"))

@@ -122,6 +122,22 @@ def test_prefixes_of_similar_sets_meet_in_any_order():
             assert len(np.intersect1d(dedup.prefix(a, common, holders), dedup.prefix(b, common, holders)))
 
 
+def test_the_most_frequent_shingles_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "COUNTED", 1.0)
+    rows = [(i, " ".join(f"{k}x{j}" for j in range(8))) for k, n in (("a", 9), ("b", 5), ("c", 4), ("d", 2)) for i in range(n)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    for most, want in ((100, [9] * 4 + [5] * 4 + [4] * 4), (8, [9] * 4 + [5] * 4), (3, [9] * 3), (0, [])):
+        monkeypatch.setattr(dedup, "COMMON", most)
+        for classes in (50_000, 5):
+            monkeypatch.setattr(dedup, "CLASSES", classes)
+            common, holders = dedup.common_shingles(docs)
+            assert list(common) == sorted(set(common)) and len(holders) <= most
+            if classes > 9 and most >= 4:
+                assert sorted(holders, reverse=True) == want
+    none, _ = dedup.common_shingles(docs.limit(0))
+    assert len(none) == 0
+
+
 def test_members_of_a_bucket_that_no_links_connect_all_meet(spark):
     roots = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (4, 3), (3, 3)], "node long, root long")
     group = {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 6}
@@ -135,11 +151,12 @@ def test_members_of_a_bucket_that_no_links_connect_all_meet(spark):
     assert set(found({6: 70})) == {p for p in want if 6 not in p}
 
 
-@pytest.mark.parametrize("crowd", [2, 5])
-def test_crowded_shingles_lose_no_links(spark, monkeypatch, crowd):
-    """Passages that many texts share crowd their buckets; texts of little else are compared if they can be similar."""
-    monkeypatch.setattr(dedup, "CROWD", crowd)
-    rng = random.Random(crowd)
+@pytest.mark.parametrize("common", [0, 40, 1_000_000])
+def test_crowded_shingles_lose_no_links(spark, monkeypatch, common):
+    """Passages that many texts share crowd their buckets, whether none, some or all of their shingles come last."""
+    monkeypatch.setattr(dedup, "COUNTED", 1.0)
+    monkeypatch.setattr(dedup, "COMMON", common)
+    rng = random.Random(common)
     passages = [[f"p{k}x{i}" for i in range(60)] for k in range(3)]
     rows = []
     for i in range(120):
