@@ -59,28 +59,21 @@ def _shifted(left: str, right: str, by: int, size: int, join) -> Column:
 def fingerprint(df: DataFrame, text: str, out: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """Add ``out``, the selected hash-and-position longs of a text column, in order of position.
 
-    Words are runs between white space, letters lower-cased. A text of fewer than ``gram`` words has one gram of all
-    of them; a text without words has no fingerprint (an empty array). Fewer grams than a window make one window.
-    Texts too short for the guarantee to reach across an edit of half of them, those of fewer than
-    2 * (gram + window - 1) words, have their single words too, after the selected grams.
+    Words are runs between white space, letters lower-cased. Marks stand before the first word, so every word ends a
+    gram, and the windows begin with the first gram alone: texts of any length go by one rule, and texts of the same
+    first word share a selected hash as those of a common passage do. A text without words has none (an empty array).
     """
     kept = df.columns
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    df = df.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w)))
+    mark = F.xxhash64(F.lit(""))  # no word is empty
+    df = df.withColumn("_h", F.concat(F.array_repeat(mark, gram - 1), F.transform(words, lambda w: F.xxhash64(w))))
     df = _rolled(df, "_h", gram, _roll)
-    whole = F.aggregate("_h", F.lit(0).cast("long"), lambda a, b: _roll(a, b, 1))
-    grams = F.when(F.size("_h_rolled") > 0, F.col("_h_rolled")).when(F.size("_h") > 0, F.array(whole)).otherwise(F.col("_h_rolled"))
-    df = df.withColumn("_g", grams)
     mixed = lambda h: F.shiftrightunsigned(F.xxhash64(h), 64 - 32)
     key = lambda h, i: F.shiftleft(mixed(h), POSITION_BITS) + (F.lit(FAR_END) - i)
-    df = df.withColumn("_k", F.transform("_g", key))
+    never = F.lit((1 << 63) - 1)  # above every key
+    df = df.withColumn("_k", F.concat(F.array_repeat(never, window - 1), F.transform("_h_rolled", key)))
     df = _rolled(df, "_k", window, lambda a, b, n: F.least(a, b))
-    smallest = F.when(F.size("_k_rolled") > 0, F.array_distinct("_k_rolled")).when(
-        F.size("_k") > 0, F.array(F.array_min("_k"))
-    ).otherwise(F.col("_k_rolled"))
-    short = F.size("_h") < 2 * (gram + window - 1)
-    full = F.when(short, F.array_distinct(F.concat(smallest, F.transform("_h", key)))).otherwise(smallest)
-    return df.withColumn(out, full).select(*kept, out)
+    return df.withColumn(out, F.array_distinct("_k_rolled")).select(*kept, out)
 
 
 def hash_of(key: Column) -> Column:
@@ -88,7 +81,7 @@ def hash_of(key: Column) -> Column:
 
 
 def position_of(key: Column) -> Column:
-    """Number of words before the selected gram."""
+    """Number of words before the last one of the selected gram."""
     return F.lit(FAR_END) - key.bitwiseAND(F.lit(FAR_END))
 
 

@@ -8,55 +8,22 @@ from pyspark.sql import functions as F
 from factloom.llm import winnow
 
 
-def windows(keys):
-    """Selected (hash, position) by the definition: each window's minimum, rightmost of equals."""
-    n, w = len(keys), min(winnow.WINDOW, len(keys))
-    out = []
-    for i in range(n - w + 1 if n else 0):
-        h, p = min((keys[j], -j) for j in range(i, i + w))
-        if (h, -p) not in out:
-            out.append((h, -p))
-    return out
-
-
-def gram_keys(spark, words):
-    """32-bit keys of all grams of a text, one Spark value at a time."""
-    if not words:
-        return [], []
-    base = [r[0] & (2**64 - 1) for r in spark.createDataFrame([(w,) for w in words], "w string").coalesce(1).select(F.xxhash64("w")).collect()]
-    k = min(winnow.GRAM, len(base))
-    rolled = []
-    for i in range(len(base) - k + 1):
-        h = 0
-        for x in base[i : i + k]:
-            h = (h << 1 | h >> 63) & (2**64 - 1) ^ x
-        rolled.append(h - (1 << 64) if h >> 63 else h)
-    signed = [h - (1 << 64) if h >> 63 else h for h in base]
-    mixed = spark.createDataFrame([(h,) for h in rolled + signed], "h long").coalesce(1).select(F.xxhash64("h")).collect()
-    keys = [(r[0] & (2**64 - 1)) >> 32 for r in mixed]
-    return keys[: len(rolled)], keys[len(rolled) :]
-
-
 def plain(text):
-    """Fingerprint by the definition in plain Python: (hash, position), selected grams first, then those of short texts."""
+    """Fingerprint by the definition in plain Python: (hash, position) of each window's minimum, rightmost of equals."""
     words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
-    base, mask = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words], 2**64 - 1
-    k = min(winnow.GRAM, len(base))
-    grams = []
-    for i in range(len(base) - k + 1 if base else 0):
+    mask, k, w = 2**64 - 1, winnow.GRAM, winnow.WINDOW
+    base = [xxhash.xxh64_intdigest(x.encode(), 42) for x in [""] * (k - 1) + words]
+    keys = []
+    for i in range(len(words)):
         h = 0
         for x in base[i : i + k]:
             h = (h << 1 | h >> 63) & mask ^ x
-        grams.append(h)
-    mixed = lambda h: xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42) >> 32
-    out, keys = [], [mixed(h) for h in grams]
-    w = min(winnow.WINDOW, len(keys))
-    for i in range(len(keys) - w + 1 if keys else 0):
-        h, p = min((keys[j], -j) for j in range(i, i + w))
+        keys.append(xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42) >> 32)
+    out = []
+    for i in range(len(keys)):
+        h, p = min((keys[j], -j) for j in range(max(0, i - w + 1), i + 1))
         if not out or out[-1] != (h, -p):
             out.append((h, -p))
-    if len(words) < 2 * (winnow.GRAM + winnow.WINDOW - 1):
-        out += [x for i, h in enumerate(map(mixed, base)) if (x := (h, i)) not in out]
     return out
 
 
@@ -76,11 +43,18 @@ def test_fingerprint_is_that_of_the_definition(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
     got = winnow.fingerprint(df, "text", "f").withColumn("h", F.transform("f", winnow.hash_of)).withColumn("p", F.transform("f", winnow.position_of))
     for r in got.collect():
-        grams, singles = gram_keys(spark, texts[r.i].split())
-        want = windows(grams)
-        if len(singles) < 2 * (winnow.GRAM + winnow.WINDOW - 1):
-            want += [x for i, h in enumerate(singles) if (x := (h, i)) not in want]
-        assert list(zip(r.h, r.p)) == want, texts[r.i]
+        assert list(zip(r.h, r.p)) == plain(texts[r.i]), texts[r.i]
+
+
+def test_likeness_has_no_step_at_any_length(spark):
+    """A text and the same with two more words stay alike, and an edit that keeps the first word shares a hash."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(n, " ".join(words[:n]), " ".join(words[: n + 2]), " ".join([*words[: (n + 1) // 2], "x", "y"])) for n in range(1, 50)]
+    df = spark.createDataFrame(rows, "n int, a string, b string, c string").coalesce(1)
+    for c in "abc":
+        df = winnow.fingerprint(df, c, f"f{c}").withColumn(f"f{c}", F.transform(f"f{c}", winnow.hash_of))
+    found = df.select("n", winnow.likeness(F.col("fa"), F.col("fb")).alias("more"), winnow.likeness(F.col("fa"), F.col("fc")).alias("edit")).collect()
+    assert all(r.more >= r.n / (r.n + 4) / 2 and r.edit > 0 for r in found)
 
 
 def test_shared_passage_is_always_found(spark):
