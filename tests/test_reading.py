@@ -67,6 +67,17 @@ def test_best_lines_with_rivals(spark):
     assert {(r.doc, r.no, r.param): round(r.score, 6) for r in claims} == {(d, n, p): round(s, 6) for d, n, t in rows for p, a in many if (s := plain_score(a, squeeze(t))) >= 70}
 
 
+def test_claims_of_a_batch_are_those_of_each_line():
+    rng = random.Random(9)
+    text = lambda k: "".join(rng.choices("ab cdé\U0001d504", k=k))
+    known = anchors.Anchors([(f"p{i % 5}", text(rng.choice((1, 2, 5, 9, 33, 64, 70)))) for i in range(14)])
+    lines = ["", "a", *(text(rng.randrange(150)) for _ in range(120)), *(a[1:-1] + "a" for _, a in known.rows), *(f"x{a} " for _, a in known.rows)]
+    for least in (40.0, 75.0, 100.0):
+        at, which, scores = known.claims(lines, least)
+        want = {(i, j): s for i, line in enumerate(lines) for j, (_, a) in enumerate(known.rows) if line and (s := anchors.score(a, line, least)) >= least}
+        assert dict(zip(zip(at.tolist(), which.tolist()), scores.tolist())) == want
+
+
 def test_cache_makes_only_what_is_new_and_survives_a_crash(spark, tmp_path):
     made = []
 
