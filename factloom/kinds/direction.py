@@ -34,7 +34,7 @@ def readings(mentions: DataFrame, params: DataFrame) -> DataFrame:
     What can't be read counts whatever its discipline; else the discipline must be in the param's list of the stage
     (sources, a map by stage), where a star takes all and an empty list none.
     """
-    rows = of(mentions, params).where(F.col("stage").isin(*STAGES) & ~true(F.col("role") == "SUPERSEDED")).join(params.select("param_code", "sources"), "param_code")
+    rows = of(mentions, params).where(F.col("stage").isin(*STAGES) & ~true(F.col("role") == "SUPERSEDED")).join(F.broadcast(params.select("param_code", "sources")), "param_code")
     own = F.coalesce(F.element_at("sources", F.col("stage")), F.array().cast("array<string>"))
     place = F.array_position(own, F.coalesce("discipline", F.lit("")))
     rank = F.when(place > 0, place).otherwise(F.coalesce(F.nullif(F.array_position(own, "*"), F.lit(0)), F.size(own) + 1))
@@ -69,7 +69,7 @@ def compared(read: DataFrame, params: DataFrame) -> DataFrame:
     chosen = checkpointed(doors(read))
     first = chosen.groupBy(*KEYS).agg(F.min(_number()).alias("first"))
     marks = read.where("way and evac and mark is not null").select(*KEYS, "mark").distinct().withColumn("_evac", F.lit(True))
-    later = chosen.where("stage <> 'PD'").join(first, KEYS).join(marks, [*KEYS, "mark"], "left").join(params.select("param_code", "norm"), "param_code")
+    later = chosen.where("stage <> 'PD'").join(first, KEYS).join(marks, [*KEYS, "mark"], "left").join(F.broadcast(params.select("param_code", "norm")), "param_code")
     later = later.withColumn("escape", F.col("evac") | F.col("_evac").isNotNull())
     base = chosen.join(first, KEYS).where(_number() == F.col("first")).select(*KEYS, F.col("mark").alias("was_mark"), F.col("building").alias("was_building"), F.col("value").alias("was"), F.col("no").alias("was_no"))
     key = [*KEYS, "stage", "no"]

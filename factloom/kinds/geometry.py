@@ -50,7 +50,7 @@ def resolved() -> tuple[Column, Column]:
 
 def elements(mentions: DataFrame, params: DataFrame) -> DataFrame:
     """Elements that count, numbered in a stage by file and page: with mark, result and off_scale beside their columns."""
-    rows = of(mentions, params).where(F.col("stage").isin(*STAGES) & ~true(F.col("role") == "SUPERSEDED")).join(params.drop("kind"), "param_code")
+    rows = of(mentions, params).where(F.col("stage").isin(*STAGES) & ~true(F.col("role") == "SUPERSEDED")).join(F.broadcast(params.drop("kind")), "param_code")
     result, off = resolved()
     order = ["file_id", "page", F.col("key"), F.col("at").cast("string"), "value", "label_value", "measured_value", F.col("polygon").cast("string")]
     mark = F.nullif(F.translate(F.regexp_replace(F.upper("key"), r"\s+|\.+$", ""), LATIN_TWINS, CYRILLIC_TWINS), F.lit(""))
@@ -120,7 +120,7 @@ def _pairs_of_values(values: DataFrame) -> DataFrame:
 
 def _scalar(rows: DataFrame, params: DataFrame) -> DataFrame:
     values = checkpointed(rows.where("result is not null and not isnan(result)"))
-    pairs = _pairs_of_values(values).join(params.select("param_code", "direction", "tolerance_abs", "tolerance_pct"), "param_code")
+    pairs = _pairs_of_values(values).join(F.broadcast(params.select("param_code", "direction", "tolerance_abs", "tolerance_pct")), "param_code")
     delta, most = F.col("value") - F.col("base"), allowed(F.col("tolerance_abs"), F.col("tolerance_pct"), F.col("base"))
     breaks = F.when(F.col("direction") == "decrease", -delta > most + SLACK).when(F.col("direction") == "increase", delta > most + SLACK).otherwise(F.abs(delta) > most + SLACK)
     met = pairs.groupBy(*KEYS).agg(F.count("*").alias("pairs"), F.bool_or(breaks).alias("broken"), F.max(F.when(breaks, F.struct(F.abs(delta).alias("d"), F.col("value").alias("v")))).alias("_far"))
@@ -144,7 +144,7 @@ def _placed(rows: DataFrame, params: DataFrame) -> DataFrame:
     number = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
     first = rows.withColumn("_at", number).withColumn("_first", F.min(number).over(W.partitionBy(*KEYS))).where("_at = _first")
     old = first.select(*KEYS, F.col("no").alias("was_no"), *[F.col(c).alias(f"was_{c}") for c in columns])
-    both = pairs.join(rows.select(*KEYS, "stage", "no", *columns), [*KEYS, "stage", "no"]).join(old, [*KEYS, "was_no"]).join(params.drop("kind"), "param_code")
+    both = pairs.join(rows.select(*KEYS, "stage", "no", *columns), [*KEYS, "stage", "no"]).join(old, [*KEYS, "was_no"]).join(F.broadcast(params.drop("kind")), "param_code")
     fits = lambda p: (F.col(f"{p}frame") == BUILDING) & (F.col(f"{p}residual_mm") <= F.col("registration_mm") + SLACK)
     contour = lambda c: (F.size(c) > 2) & (area(F.col(c)) > 0)
     sound = F.when(F.col("measure") == "position", F.col("at").isNotNull() & F.col("was_at").isNotNull()).otherwise(contour("polygon") & contour("was_polygon"))

@@ -77,7 +77,7 @@ def paired(rows: DataFrame) -> DataFrame:
 def _with_layers(pairs: DataFrame, rows: DataFrame, params: DataFrame) -> DataFrame:
     before = rows.where("stage = 'PD'").select(*KEYS, F.col("no").alias("before_no"), F.col("layers").alias("before"))
     after = rows.select(*KEYS, "stage", F.col("no").alias("after_no"), F.col("layers").alias("after"))
-    return pairs.join(before, [*KEYS, "before_no"]).join(after, [*KEYS, "stage", "after_no"]).join(params.select("param_code", "tolerance"), "param_code")
+    return pairs.join(before, [*KEYS, "before_no"]).join(after, [*KEYS, "stage", "after_no"]).join(F.broadcast(params.select("param_code", "tolerance")), "param_code")
 
 
 def _analogs(analogs: DataFrame | None, mentions: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def layer_conflicts(mentions: DataFrame, params: DataFrame, analogs: DataFrame |
     rows = checkpointed(usable(mentions, params).where("mark is not null"))
     first = _firsts(rows).select(*KEYS, "stage", "mark", F.col("no").alias("before_no"), F.col("file_id").alias("first_file"), F.col("layers").alias("before"))
     others = rows.join(first, [*KEYS, "stage", "mark"]).where("file_id <> first_file").withColumnRenamed("no", "after_no").withColumnRenamed("layers", "after")
-    pairs = others.join(params.select("param_code", "tolerance"), "param_code").select(*PAIR, "mark", "file_id", "before", "after", "tolerance")
+    pairs = others.join(F.broadcast(params.select("param_code", "tolerance")), "param_code").select(*PAIR, "mark", "file_id", "before", "after", "tolerance")
     keys = [*PAIR, "mark", "file_id"]
     differing = operations(pairs, keys, _analogs(analogs, mentions), groups).where("op <> 'match'")
     return differing.groupBy(*KEYS, "stage", "mark").agg((F.countDistinct("file_id") + 1).alias("documents"))

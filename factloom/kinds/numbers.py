@@ -101,7 +101,7 @@ def _norm_breaches(live: DataFrame, norms: DataFrame | None) -> DataFrame:
     """The value farthest beyond a norm that must hold, of each object and param that has one."""
     if norms is None:
         return live.select(*KEYS).limit(0).withColumn("norm_value", F.lit(None).cast("double"))
-    met = live.join(norms.where("severity = 'fail'"), "param_code")
+    met = live.join(F.broadcast(norms.where("severity = 'fail'")), "param_code")
     over = F.when(F.col("side") == "min", F.col("bound") - F.col("value_num")).otherwise(F.col("value_num") - F.col("bound"))
     met = met.withColumn("over", over).where(F.col("over") > SLACK)
     return met.groupBy(*KEYS).agg(F.max_by("value_num", F.struct("over", "value_num")).alias("norm_value"))

@@ -70,7 +70,7 @@ def method(mentions: DataFrame, params: DataFrame, profiles: DataFrame | None =
     """
     rows = of(mentions, params).where(F.col("stage").isin(*STAGES))
     known = lineage.select(F.col("term").alias("value_text")).distinct().withColumn("known", F.lit(True))
-    rows = rows.join(known, "value_text", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    rows = rows.join(F.broadcast(known), "value_text", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     flags = rows.groupBy(*KEYS).agg(
         F.bool_or(disputed()).alias("any_disputed"),
         F.bool_or(F.col("stage") == "PD").alias("has_pd"),
@@ -80,7 +80,7 @@ def method(mentions: DataFrame, params: DataFrame, profiles: DataFrame | None =
     )
     designed = rows.where((F.col("stage") == "PD") & F.col("known")).select(*KEYS, F.col("value_text").alias("ancestor")).distinct()
     later = rows.where((F.col("stage") != "PD") & F.col("known")).select(*KEYS, F.col("value_text").alias("term")).distinct()
-    of_kind = later.join(lineage, "term").join(designed, [*KEYS, "ancestor"]).select(*KEYS, "term").distinct().withColumn("fits", F.lit(True))
+    of_kind = later.join(F.broadcast(lineage), "term").join(designed, [*KEYS, "ancestor"]).select(*KEYS, "term").distinct().withColumn("fits", F.lit(True))
     fits = later.join(of_kind, [*KEYS, "term"], "left").groupBy(*KEYS).agg(F.bool_or(F.col("fits").isNull()).alias("unrelated"), F.bool_or(F.coalesce("fits", F.lit(False))).alias("related"))
     values = subjects(mentions, params, profiles, asked).join(flags, KEYS, "left").join(fits, KEYS, "left")
     status = ladder(

@@ -29,7 +29,7 @@ def class_(mentions: DataFrame, params: DataFrame, profiles: DataFrame | None =
     params = params.withColumn("_dims", dims)
     rows = of(mentions, params).withColumn("element", F.coalesce("element", F.lit("")))
     order = [F.desc_nulls_last("confidence"), F.asc("file_id"), F.asc("page"), F.asc("value_text")]
-    chosen = first_per(rows.where(F.col("stage").isin(*STAGES)), [*KEYS, "element", "stage"], order).join(params.select("param_code", "scale", "cert_match", "_dims"), "param_code")
+    chosen = first_per(rows.where(F.col("stage").isin(*STAGES)), [*KEYS, "element", "stage"], order).join(F.broadcast(params.select("param_code", "scale", "cert_match", "_dims")), "param_code")
     chosen = chosen.withColumn("vector", F.when(F.size("_dims") > 0, vector(F.col("_dims"), F.col("value_text"))))
     rank = F.when(F.size("_dims") > 0, F.when(known(F.col("vector")), 1.0)).otherwise(place(F.col("scale"), F.col("value_text")))
     chosen = chosen.select(*KEYS, "element", "stage", "role", "cert_match", rank.alias("rank"), "vector")
@@ -77,7 +77,7 @@ def composition(mentions: DataFrame, params: DataFrame, asked: DataFrame | None
     old = shares.where("stage = first").select(*KEYS, "value_text", F.col("share").alias("was"))
     later = totals.join(firsts, KEYS).select(*KEYS, number.alias("stage"), "first").where("stage > first").select(*KEYS, "stage")
     new = shares.where("stage > first").select(*KEYS, "stage", "value_text", F.col("share").alias("now"))
-    both = old.join(later, KEYS).join(new, [*KEYS, "stage", "value_text"], "full_outer").join(params.select("param_code", "tolerance", "separate"), "param_code")
+    both = old.join(later, KEYS).join(new, [*KEYS, "stage", "value_text"], "full_outer").join(F.broadcast(params.select("param_code", "tolerance", "separate")), "param_code")
     one_sided = F.col("was").isNull() | F.col("now").isNull()
     apart = true(F.array_contains("separate", F.col("value_text")))
     moved = one_sided & ~apart | true(F.abs(F.col("now") - F.col("was")) > F.col("tolerance"))
@@ -99,12 +99,12 @@ def category(
     """
     rows = picked(of(mentions, params).where(F.col("value_text").isNotNull()))
     if aliases is not None:
-        rows = rows.join(aliases.select(F.col("name").alias("value_text"), "canonical"), "value_text", "left")
+        rows = rows.join(F.broadcast(aliases.select(F.col("name").alias("value_text"), "canonical")), "value_text", "left")
     rows = rows.withColumn("name", F.coalesce("canonical", "value_text") if aliases is not None else F.col("value_text"))
     stages = wide(rows, "name")
     sides = stages.select(*KEYS, F.col("pd_name").alias("was"), F.explode(F.array("rd_name", "id_name")).alias("now")).where("was is not null and now is not null")
     known = analogs.select(F.col("canonical").alias("was"), F.col("substitute").alias("now"), "verdict") if analogs is not None else sides.select("was", "now").limit(0).withColumn("verdict", F.lit(""))
-    decided = sides.join(known, ["was", "now"], "left").withColumn("decision", F.when(F.col("was") == F.col("now"), "SAME").otherwise(F.coalesce("verdict", F.lit("UNKNOWN"))))
+    decided = sides.join(F.broadcast(known) if analogs is not None else known, ["was", "now"], "left").withColumn("decision", F.when(F.col("was") == F.col("now"), "SAME").otherwise(F.coalesce("verdict", F.lit("UNKNOWN"))))
     flags = decided.groupBy(*KEYS).agg(*[F.bool_or(F.col("decision") == d).alias(d.lower()) for d in ("SAME", "EQUIVALENT", "NOT_EQUIVALENT", "UNKNOWN")])
     values = subjects(mentions, params, profiles, asked).join(stages, KEYS, "left").join(flags, KEYS, "left")
     status = ladder(

@@ -137,7 +137,7 @@ def operations(pairs: DataFrame, keys: list[str], analogs: DataFrame, groups: di
         moves.select(*keys, F.col("to_step").alias("step"), F.lit(True).alias("moved_here")), [*keys, "step"], "left"
     ).where("moved_here is null")
     path = path.withColumn("now", F.coalesce("now", "to")).withColumn("after_at", F.coalesce("after_at", "to_at"))
-    known = analogs.select(F.col("was").alias("_was"), F.col("now").alias("_now"), "verdict")
+    known = F.broadcast(analogs.select(F.col("was").alias("_was"), F.col("now").alias("_now"), "verdict"))
     path = path.join(known, (F.col("was.m") == F.col("_was")) & (F.col("now.m") == F.col("_now")), "left")
     same = F.coalesce(material(F.col("was")) == material(F.col("now")), F.lit(False))
     unknown = F.col("was.m").isNull() | F.col("now.m").isNull()
