@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.classes import DIMENSIONS, known, lost, vector
+from factloom.functions.classes import DIMENSIONS, PART, known, lost, vector
 from factloom.kinds.generic import place
 from factloom.kinds.registry import kind
 from factloom.kinds.shared import CA, CL, KEYS, ME, NA, NC, NV, STAGES, disputed, has, n_stages, of, picked, subjects, true, wide
 from factloom.operators.compare import ladder
 from factloom.operators.picks import first_per
+from factloom.sources.shared import checkpointed
+
+#: Notations of classes that go to every task; more are spread by themselves.
+MOST_NOTATIONS = 100_000
 
 
 @kind("class")
@@ -27,11 +31,12 @@ def class_(mentions: DataFrame, params: DataFrame, profiles: DataFrame | None =
     """
     dims = F.coalesce("dims", F.array().cast(DIMENSIONS)) if "dims" in params.columns else F.array().cast(DIMENSIONS)
     params = params.withColumn("_dims", dims)
+    has_dims = F.col("_dims_n") > 0
     rows = of(mentions, params).withColumn("element", F.coalesce("element", F.lit("")))
     order = [F.desc_nulls_last("confidence"), F.asc("file_id"), F.asc("page"), F.asc("value_text")]
-    chosen = first_per(rows.where(F.col("stage").isin(*STAGES)), [*KEYS, "element", "stage"], order).join(F.broadcast(params.select("param_code", "scale", "cert_match", "_dims")), "param_code")
-    chosen = chosen.withColumn("vector", F.when(F.size("_dims") > 0, vector(F.col("_dims"), F.col("value_text"))))
-    rank = F.when(F.size("_dims") > 0, F.when(known(F.col("vector")), 1.0)).otherwise(place(F.col("scale"), F.col("value_text")))
+    chosen = first_per(rows.where(F.col("stage").isin(*STAGES)), [*KEYS, "element", "stage"], order).join(F.broadcast(params.select("param_code", "scale", "cert_match", F.size("_dims").alias("_dims_n"))), "param_code")
+    chosen = _with_vectors(chosen, rows, params) if "dims" in params.columns else chosen.withColumn("vector", F.lit(None).cast(f"array<{PART}>"))
+    rank = F.when(has_dims, F.when(known(F.col("vector")), 1.0)).otherwise(place(F.col("scale"), F.col("value_text")))
     chosen = chosen.select(*KEYS, "element", "stage", "role", "cert_match", rank.alias("rank"), "vector")
     number = lambda c: F.array_position(F.array(*map(F.lit, STAGES)), F.col(c))
     later = chosen.where(number("stage") > 1).select(*KEYS, "element", F.col("stage").alias("later"), F.col("rank").alias("now"), F.col("vector").alias("now_vector"), "cert_match")
@@ -60,6 +65,14 @@ def class_(mentions: DataFrame, params: DataFrame, profiles: DataFrame | None =
     return values.select(*KEYS, status.alias("status"), F.coalesce("pairs", F.lit(0).cast("long")).alias("pairs"), F.when(F.col("drop") > 0, F.col("drop")).alias("drop"))
 
 
+def _with_vectors(chosen: DataFrame, rows: DataFrame, params: DataFrame) -> DataFrame:
+    """Classes with their vectors, null where the param has no dimensions; a notation is read once, however often it comes."""
+    pairs = rows.select("param_code", "value_text").distinct().join(F.broadcast(params.select("param_code", "_dims").where(F.size("_dims") > 0)), "param_code")
+    read = checkpointed(pairs.select(F.col("param_code").alias("_param"), F.col("value_text").alias("_text"), vector(F.col("_dims"), F.col("value_text")).alias("vector")))
+    notations = F.broadcast(read) if read.count() <= MOST_NOTATIONS else read
+    return chosen.join(notations, (F.col("param_code") == F.col("_param")) & F.col("value_text").eqNullSafe(F.col("_text")), "left").drop("_param", "_text")
+
+
 @kind("composition")
 def composition(mentions: DataFrame, params: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """Findings for compositions: types (value_text) with amounts (value_num) by stage.

@@ -2,7 +2,8 @@ import re
 
 import pytest
 
-from factloom.kinds import direction, layers
+from factloom.functions import classes
+from factloom.kinds import direction, layers, types
 from factloom.plans import catalog
 from factloom.plans.layers import _inputs
 
@@ -29,6 +30,17 @@ def test_mentions_are_not_dealt_out_by_param_or_name(spark, planned, kind):
     assert not FEW.findall(planned(catalog.plans()[f"kind_{kind}"](spark, SF)))
 
 
+def test_a_notation_is_read_once(spark, monkeypatch):
+    plan = catalog.plans()["kind_class_vectors"]
+    want = sorted(plan(spark, SF).collect())
+    read = []
+    monkeypatch.setattr(types, "vector", lambda dims, text: read.append(str(text)) or classes.vector(dims, text))
+    found = plan(spark, SF)
+    assert len(read) == 1 and "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    monkeypatch.setattr(types, "MOST_NOTATIONS", 0)
+    assert sorted(plan(spark, SF).collect()) == want
+
+
 def test_stacks_and_doors_are_not_dealt_out_by_param(spark, planned):
     mentions, params, _ = _inputs(spark, SF)
     assert not FEW.findall(planned(layers.usable(mentions, params)))
