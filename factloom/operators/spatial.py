@@ -21,6 +21,8 @@ from factloom.operators.geometry import crossings, inside
 SLACK = 1e-9
 #: Sampled points to each direction of an area at most.
 MOST_STEPS = 2000
+#: Places computed at once.
+PLACES = 1 << 18
 
 
 def centre(shape: Column) -> Column:
@@ -81,10 +83,52 @@ def gap(p: np.ndarray, q: np.ndarray) -> float:
     return min(_to_edges(p, *_edges(q)), _to_edges(q, *_edges(p)))
 
 
+def _edges_of(shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (shapes, np.roll(shapes, -1, axis=1)) if shapes.shape[1] > 2 else (shapes[:, :1], shapes[:, -1:])
+
+
+def _gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """``gap`` of many pairs at once: pairs x points x 2, all shapes of a side of one size."""
+    (a, b), (c, d) = _edges_of(p), _edges_of(q)
+
+    def held(shape: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray) -> np.ndarray:
+        x, y = at[:, None, 0], at[:, None, 1]
+        over = (low[..., 1] > y) != (high[..., 1] > y)
+        rise = np.where(over, high[..., 1] - low[..., 1], 1.0)
+        right = x < low[..., 0] + (y - low[..., 1]) * (high[..., 0] - low[..., 0]) / rise
+        return (over & right).sum(1) % 2 == 1 if shape.shape[1] > 2 else np.zeros(len(shape), bool)
+
+    def crossed() -> np.ndarray:
+        side = lambda o, u, v: (u[..., 0] - o[..., 0]) * (v[..., 1] - o[..., 1]) - (u[..., 1] - o[..., 1]) * (v[..., 0] - o[..., 0])
+        o, t, u, v = a[:, :, None], b[:, :, None], c[:, None], d[:, None]
+        return ((side(o, t, u) * side(o, t, v) < 0) & (side(u, v, o) * side(u, v, t) < 0)).any((1, 2))
+
+    def to_edges(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        along = (high - low)[:, None]
+        t = np.clip(((points[:, :, None] - low[:, None]) * along).sum(-1) / np.maximum((along**2).sum(-1), 1e-300), 0, 1)
+        return np.sqrt((((low[:, None] + t[..., None] * along) - points[:, :, None]) ** 2).sum(-1)).min((1, 2))
+
+    none = held(p, a, b, q[:, 0]) | held(q, c, d, p[:, 0]) | crossed()
+    return np.where(none, 0.0, np.minimum(to_edges(p, c, d), to_edges(q, a, b)))
+
+
 @F.pandas_udf(T.DoubleType())
-def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    sizes, out = np.array([a.map(len), b.map(len)]).reshape(2, -1) // 2, np.zeros(len(a))
+    flat = [np.concatenate([np.zeros(0), *s]).reshape(-1, 2) for s in (a, b)]
+    begin = np.cumsum(sizes, axis=1) - sizes
+    for m, n in np.unique(sizes, axis=1).T:
+        rows = np.flatnonzero((sizes[0] == m) & (sizes[1] == n))
+        step = max(PLACES // int(m * n), 1)
+        for part in (rows[i : i + step] for i in range(0, len(rows), step)):
+            p, q = (flat[k][begin[k][part][:, None] + np.arange(size)] for k, size in enumerate((m, n)))
+            out[part] = _gaps(p, q)
+    return pd.Series(out)
+
+
+def distance(a: str, b: str) -> Column:
     """Distance of two shapes."""
-    return pd.Series([gap(np.stack(list(x)), np.stack(list(y))) for x, y in zip(a, b)], dtype="float64")
+    return _distance(F.flatten(a), F.flatten(b))
 
 
 def within(left: DataFrame, right: DataFrame, sheet: list[str], limit: float, cell: float) -> DataFrame:
@@ -132,31 +176,62 @@ def _points_apart(a: str, b: str) -> Column:
     return F.sqrt(x * x + y * y)
 
 
+def _inside(polygon: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """``_holds`` of many points."""
+    a, b = _edges(polygon)
+    x, y = points[:, None, 0], points[:, None, 1]
+    over = (a[:, 1] > y) != (b[:, 1] > y)
+    rise = np.where(over, b[:, 1] - a[:, 1], 1.0)
+    return (over & (x < a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / rise)).sum(1) % 2 == 1
+
+
 def _sampled(areas: DataFrame, sheet: list[str], area: str, step: float) -> DataFrame:
-    """sheet, area and point of an area's corners and of the points of a grid that lie in it."""
+    """sheet, area, _no, _of and point of an area's corners and of the points of a grid that lie in it, numbered."""
+    keys = [*sheet, area]
+
+    def points(shape: np.ndarray) -> np.ndarray:
+        polygon = shape.reshape(-1, 2)
+        low, high = polygon.min(0), polygon.max(0)
+        if ((high - low) / step > MOST_STEPS).any():
+            raise ValueError("the step is too small for an area")
+        xs, ys = (low[i] + step * np.arange(int((high[i] - low[i]) / step + 1e-9) + 1) for i in (0, 1))
+        columns = (np.stack([np.full(len(ys), x), ys], axis=1) for x in xs)
+        return np.concatenate([polygon, *(c[_inside(polygon, c)] for c in columns)])
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for row in frame.to_dict("records"):
-                polygon = np.stack(list(row.pop("shape")))
-                low, high = polygon.min(0), polygon.max(0)
-                if ((high - low) / step > MOST_STEPS).any():
-                    raise ValueError("the step is too small for an area")
-                xs, ys = (low[i] + step * np.arange(int((high[i] - low[i]) / step + 1e-9) + 1) for i in (0, 1))
-                points = [*polygon.tolist(), *([x, y] for x in xs.tolist() for y in ys.tolist() if _holds(polygon, x, y))]
-                yield pd.DataFrame([{**row, "shape": [p]} for p in points])
+        def made(frame: pd.DataFrame, rows: list[int], found: list[np.ndarray]) -> pd.DataFrame:
+            n = [len(f) for f in found]
+            at = np.concatenate(found)
+            out = frame[keys].iloc[np.repeat(rows, n)].reset_index(drop=True)
+            return out.assign(_no=np.concatenate([np.arange(k) for k in n]), _of=np.repeat(n, n), _px=at[:, 0], _py=at[:, 1])
 
-    kinds = ", ".join(f"{c} {areas.schema[c].dataType.simpleString()}" for c in [*sheet, area])
-    return areas.where(F.size("shape") > 2).select(*sheet, area, "shape").mapInPandas(frames, f"{kinds}, shape array<array<double>>")
+        for frame in batches:
+            rows, found, size = [], [], 0
+            for i, shapes in enumerate(frame["shapes"]):
+                parts = [points(s) for s in shapes]
+                found.append(parts[0] if len(parts) == 1 else np.concatenate(parts))
+                rows.append(i)
+                size += len(found[-1])
+                if size > PLACES:
+                    yield made(frame, rows, found)
+                    rows, found, size = [], [], 0
+            if rows:
+                yield made(frame, rows, found)
+
+    kinds = ", ".join(f"{c} {areas.schema[c].dataType.simpleString()}" for c in keys)
+    grouped = areas.where(F.size("shape") > 2).groupBy(*keys).agg(F.collect_list(F.flatten("shape")).alias("shapes"))
+    return grouped.mapInPandas(frames, f"{kinds}, _no long, _of long, _px double, _py double").select(*keys, "_no", "_of", F.array(F.array("_px", "_py")).alias("shape"))
 
 
 def covered(areas: DataFrame, subjects: DataFrame, sheet: list[str], area: str, radius: float, step: float, cell: float) -> DataFrame:
     """sheet, area, holds: whether each corner, and each point of a grid within, has a subject's centre in the radius."""
-    points = _sampled(areas, sheet, area, step).withColumn("_point", F.to_json("shape"))
+    keys = [*sheet, area]
+    points = _sampled(areas, sheet, area, step)
     centres = subjects.where(F.size("shape") > 0).select(*sheet, F.array(centre(F.col("shape"))).alias("other"))
     near = meeting(points, centres, sheet, radius, cell).where(_points_apart("shape", "other") <= radius + SLACK)
-    reached = near.select(*sheet, area, "_point").distinct().withColumn("_reached", F.lit(True))
-    return points.join(reached, [*sheet, area, "_point"], "left").groupBy(*sheet, area).agg(F.bool_and(F.col("_reached").isNotNull()).alias("holds"))
+    reached = near.groupBy(*keys).agg((F.countDistinct("_no") == F.max("_of")).alias("_all"))
+    asked = areas.where(F.size("shape") > 2).select(*keys).distinct()
+    return asked.join(reached, keys, "left").select(*keys, F.coalesce("_all", F.lit(False)).alias("holds"))
 
 
 def guarded_crossings(lines: DataFrame, barriers: DataFrame, devices: DataFrame, sheet: list[str], line: str, radius: float, cell: float) -> DataFrame:

@@ -150,3 +150,21 @@ def test_crossings_without_a_device(spark):
     devices = spark.createDataFrame([(1, 1, [[0.3, 1.0]])], schema)
     got = [tuple(r) for r in spatial.guarded_crossings(lines, walls, devices, ["sheet"], "item", 0.5, 2.0).collect()]
     assert got == [(1, 1, 2, 1)]
+
+
+def test_distances_of_many_pairs_are_those_of_each(spark):
+    rng = random.Random(4)
+    shape = lambda: [[float(rng.randrange(8)), rng.uniform(0, 8)] for _ in range(rng.choice((1, 2, 3, 4, 5)))]
+    pairs = [(i, shape(), shape()) for i in range(400)]
+    want = {i: spatial.gap(np.array(p), np.array(q)) for i, p, q in pairs}
+    df = spark.createDataFrame(pairs, "i int, p array<array<double>>, q array<array<double>>")
+    assert {r.i: r.d for r in df.select("i", spatial.distance("p", "q").alias("d")).collect()} == want
+    squares = np.array([[[x, 0.0], [x + 1.0, 0.0], [x + 1.0, 1.0]] for x in range(50)])
+    assert spatial._gaps(squares, squares + [5.0, 0.0]).tolist() == [spatial.gap(p, p + [5.0, 0.0]) for p in squares]
+
+
+def test_an_area_of_several_shapes_is_covered_if_all_are(spark):
+    box = lambda x: [[x, 0.0], [x + 2.0, 0.0], [x + 2.0, 2.0], [x, 2.0]]
+    areas = spark.createDataFrame([(1, 1, box(0.0)), (1, 1, box(20.0)), (1, 2, box(0.0)), (2, 3, box(0.0))], "sheet int, area int, shape array<array<double>>")
+    subjects = spark.createDataFrame([(1, 7, [[1.0, 1.0]])], "sheet int, item int, shape array<array<double>>")
+    assert {(r.sheet, r.area): r.holds for r in spatial.covered(areas, subjects, ["sheet"], "area", 2.0, 0.5, 4.0).collect()} == {(1, 1): False, (1, 2): True, (2, 3): False}
