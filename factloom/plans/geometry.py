@@ -10,12 +10,13 @@ from factloom.plans.registry import query
 from factloom.sources.tables import table
 
 
-def _rooms(spark, sf_dir):
-    """A trapezium for each part: size and price give its sides."""
+def _rooms(spark, sf_dir, spread=False):
+    """A trapezium for each part: size and price give its sides; a small file is one task's unless it is spread."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
     w, h = F.col("p_size").cast("double"), (F.col("p_retailprice") % 50) + 1
     points = ((F.lit(0.0), F.lit(0.0)), (w, F.lit(0.0)), (w / 2, h), (F.lit(0.0), h))
     polygon = F.array(*[F.array(x, y) for x, y in points])
-    return table(spark, sf_dir, "part").select("p_partkey", w.alias("w"), h.alias("h"), polygon.alias("polygon"))
+    return (parts.repartition("p_partkey") if spread else parts).select("p_partkey", w.alias("w"), h.alias("h"), polygon.alias("polygon"))
 
 
 @query("polygon_area", "select p_partkey, round((p_size + p_size / 2.0) / 2 * ((p_retailprice % 50) + 1), 6) as area from part")
@@ -35,7 +36,7 @@ def point_in_polygon(spark, sf_dir):
 def shape_change(spark, sf_dir):
     """How far a contour moved and how far the point (5, 3) is from its edge."""
     moved = F.transform("polygon", lambda p: F.array(*apply_frame(p[0], p[1], [1.0, 0.0, 2.0, 0.0, 1.0, -1.0])))
-    rooms = _rooms(spark, sf_dir)
+    rooms = _rooms(spark, sf_dir, spread=True)
     return rooms.select("p_partkey", hausdorff(F.col("polygon"), moved).alias("moved"), distance_to_contour(F.lit(5.0), F.lit(3.0), F.col("polygon")).alias("edge"))
 
 

@@ -5,6 +5,7 @@ import math
 import duckdb
 import numpy as np
 
+from factloom.operators import geometry as operators
 from factloom.plans import catalog, geometry
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -72,3 +73,33 @@ def test_shape_change_in_plain_loops(spark):
         one_way = lambda a, b: max(min(math.dist(p, q) for q in b) for p in a)
         assert math.isclose(r.moved, max(one_way(here, there), one_way(there, here)), abs_tol=1e-9)
         assert math.isclose(r.edge, min(to_segment((5.0, 3.0), a, b) for a, b in zip(here, [*here[1:], here[0]])), abs_tol=1e-9)
+
+
+def test_contours_are_met_in_whole_batches(spark):
+    df = catalog.plans()["shape_change"](spark, SF_DIR)
+    assert "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()
+    rng = np.random.default_rng(3)
+    shapes = lambda n: [None if i % 17 == 0 else [[float(v) for v in p] for p in rng.integers(0, 9, (int(rng.integers(1, 7)), 2))] for i in range(n)]
+    a, b = shapes(120), shapes(119) + [[]]
+
+    def along(c):
+        both = np.array(x + y)
+        step = max(float((both.max(0) - both.min(0)).max()) / operators.STEPS, 1e-9)
+        for p, q in zip(np.array(c), np.array([*c[1:], c[0]])):
+            n = max(int(np.ceil(math.dist(p, q) / step)), 1)
+            yield from (p + i / n * (q - p) for i in range(n))
+
+    def to_edges(p, c):
+        c = np.array(c)
+        d = np.roll(c, -1, axis=0) - c
+        t = np.clip(((p - c) * d).sum(1) / np.maximum((d**2).sum(1), 1e-300), 0, 1)
+        return np.sqrt(((c + t[:, None] * d - p) ** 2).sum(1)).min()
+
+    got = spark.createDataFrame(list(zip(range(120), a, b)), "i int, a array<array<double>>, b array<array<double>>").select("i", operators.hausdorff("a", "b").alias("h")).collect()
+    assert len(got) == 120
+    for i, h in got:
+        x, y = a[i], b[i]
+        if not x or not y:
+            assert h is None
+        else:
+            assert abs(h - max(max(to_edges(p, y) for p in along(x)), max(to_edges(p, x) for p in along(y)))) < 1e-9
