@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from factloom.operators import geometry as operators
 from factloom.plans import catalog, geometry
@@ -103,3 +104,32 @@ def test_contours_are_met_in_whole_batches(spark):
             assert h is None
         else:
             assert abs(h - max(max(to_edges(p, y) for p in along(x)), max(to_edges(p, x) for p in along(y)))) < 1e-9
+
+
+def test_areas_shared_in_one_batch_are_those_of_a_clip():
+    rng = np.random.default_rng(5)
+
+    def convex(n):
+        angles = np.sort(rng.uniform(0, 2 * math.pi, n))
+        return (rng.uniform(0, 3, 2) + 2 * np.stack([np.cos(angles), np.sin(angles)], axis=1)).tolist()
+
+    def clipped(p, q):
+        for (ax, ay), (bx, by) in zip(q, [*q[1:], q[0]]):
+            side = lambda x, y, ax=ax, ay=ay, bx=bx, by=by: (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+            kept = []
+            for a, b in zip(p, [*p[1:], *p[:1]]):
+                s, t = side(*a), side(*b)
+                if s >= 0:
+                    kept.append(a)
+                if (s >= 0) != (t >= 0):
+                    kept.append((a[0] + s / (s - t) * (b[0] - a[0]), a[1] + s / (s - t) * (b[1] - a[1])))
+            p = kept
+        return size(p)
+
+    size = lambda p: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, [*p[1:], *p[:1]]))) / 2
+    a, b = [None, [[0.0, 0.0], [1.0, 1.0]], *(convex(3 + i % 4) for i in range(60))], [convex(3 + i % 3) for i in range(62)]
+    found = operators.polygon_iou.func(*(pa.array(x, pa.list_(pa.list_(pa.float64()))) for x in (a, b))).to_pylist()
+    assert found[:2] == [None, None]
+    for x, y, iou in zip(a[2:], b[2:], found[2:]):
+        shared = clipped([tuple(p) for p in x], y)
+        assert abs(iou - shared / (size(x) + size(y) - shared)) < 1e-9
