@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Callable, Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,15 +177,32 @@ def nfc(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), _composed(F.when(text.rlike(r"[^\x00-\x7F]"), text))).otherwise(text)
 
 
-def word_distance(a: Column, b: Column) -> Column:
-    """Edits of whole words that turn one array of words into the other.
-
-    Each different word of the two is one sign, by its place among them, so the built-in distance counts words.
-    """
-    both = F.array_distinct(F.concat(a, b))
-    code = lambda w: F.lpad(F.hex(F.array_position(both, w) + 0x4DFF), 4, "0")
-    signs = lambda words: F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
-    return F.levenshtein(signs(a), signs(b))
+def _edits(a: list, b: list) -> int:
+    """Levenshtein distance of two sequences by bits: a bit of a whole number for each word of the first."""
+    places, last, full = {}, 1 << len(a) >> 1, (1 << len(a)) - 1
+    for i, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << i
+    if not a:
+        return len(b)
+    more, less, score = full, 0, len(a)
+    for word in b:
+        equal = places.get(word, 0)
+        across = equal | less
+        equal |= (((equal & more) + more) ^ more)
+        up, down = less | (full & ~(equal | more)), more & equal
+        score += 1 if up & last else -1 if down & last else 0
+        up, down = (up << 1 | 1) & full, (down << 1) & full
+        more, less = down | (full & ~(across | up)), up & across
+    return score
+
+
+@F.arrow_udf(T.IntegerType())
+def word_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Edits of whole words that turn one array of words into the other; words that are null don't count."""
+    found = []
+    for x, y in zip(a.to_pylist(), b.to_pylist()):
+        found.append(None if x is None or y is None else _edits([w for w in x if w is not None], [w for w in y if w is not None]))
+    return pa.array(found, pa.int32())
 
 
 def iso_date(text: Column) -> Column:

@@ -132,9 +132,10 @@ def masked_addresses(spark, sf_dir):
 @query("word_errors")
 def word_errors(spark, sf_dir):
     """Word accuracy of each turn against the one before, pooled over a conversation."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
-    turns = table(spark, sf_dir, "conversations").select("conv_id", words.alias("a"), F.lead(words).over(W.partitionBy("conv_id").orderBy("turn")).alias("b"))
-    turns = turns.where("b is not null and size(a) > 0")
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    turns = turns.withColumn("after", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("after is not null")
+    turns = turns.select("conv_id", words("text").alias("a"), words("after").alias("b")).where("size(a) > 0")
     errors, total = F.sum(word_distance(F.col("a"), F.col("b"))), F.sum(F.size("a"))
     return turns.groupBy("conv_id").agg(errors.alias("errors"), total.alias("total"), F.round(1 - errors / total, 9).alias("accuracy"))
 

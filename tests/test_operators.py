@@ -309,6 +309,13 @@ def test_composed_letters_and_word_distance(spark):
     assert all(r.d == distance(r.a, r.b) for r in got) and len(got) == len(rows)
 
 
+def test_word_distance_of_long_texts(spark):
+    many = [f"w{i}" for i in range(45_000)]
+    rows = [(many[:40_000], many[40_000:]), (many[:300], many[300:600]), ([], many[:3]), (None, ["a"]), (["a", None, "b"], ["b"])]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select(text.word_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r.d for r in got] == [40_000, 300, 3, None, 1]
+
+
 def test_crossings_and_overlaps(spark):
     line = lambda *p: F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in p])
     r = one(
