@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from factloom.operators.compare import round_half_up
 from factloom.operators.picks import first_per
 from factloom.plans.registry import query
-from factloom.sources.tables import table
+from factloom.sources.tables import dealt, table
 
 
 @query(
@@ -150,10 +150,11 @@ def quantity_conflict(spark, sf_dir):
 )
 def document_counts(spark, sf_dir):
     """Parts roll up to documents and documents to objects, with the load code and its rounded share."""
-    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    docs = rows.groupBy(F.col("o_custkey").alias("object"), "l_orderkey").agg(
-        F.countDistinct("l_linenumber").alias("parts"), F.bool_or(F.col("l_returnflag") == "N").alias("incomplete")
-    )
+    lines = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "N").alias("incomplete")), "l_orderkey")
+    parts = lines.groupBy("l_orderkey", "l_linenumber").agg(F.bool_or("incomplete").alias("incomplete"))
+    parts = parts.groupBy("l_orderkey").agg(F.count("l_linenumber").alias("parts"), F.bool_or("incomplete").alias("incomplete"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("object"))
+    docs = orders.distinct().join(parts, "l_orderkey")
     loads = docs.groupBy("object").agg(F.count("*").alias("documents"), F.sum("parts").alias("parts"), F.count_if(~F.col("incomplete")).alias("complete"))
     load = F.when(F.col("complete") == 0, "EMPTY").when(F.col("complete") < F.col("documents"), "PARTIAL").otherwise("FULL")
     return loads.withColumn("load", load).withColumn("percent", round_half_up(F.lit(100.0) * F.col("complete") / F.col("documents")))

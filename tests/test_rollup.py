@@ -1,6 +1,7 @@
 import duckdb
 
 from factloom.plans import catalog
+from factloom.sources import tables
 
 
 def test_first_fragment_where_part_keys_are_longer_than_a_million(spark, tmp_path):
@@ -13,3 +14,12 @@ def test_first_fragment_where_part_keys_are_longer_than_a_million(spark, tmp_pat
         db.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     want = {r[0]: r[3] for r in db.execute(catalog.oracles()["first_fragment"]).fetchall()}
     assert got == want == {1: "R", 2: "N", 3: "N"}
+
+
+def test_document_counts_are_dealt_by_rows_and_not_by_a_setting(spark, monkeypatch):
+    want = sorted(catalog.plans()["document_counts"](spark, "/root/testdata/sf0.001").collect())
+    monkeypatch.setattr(tables, "ROWS", 500)
+    found = catalog.plans()["document_counts"](spark, "/root/testdata/sf0.001")
+    assert "RepartitionByExpression [l_orderkey" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert tables.dealt(spark.range(6_001), "id").rdd.getNumPartitions() == 13
+    assert sorted(found.collect()) == want
