@@ -16,7 +16,7 @@ from factloom.plans.registry import query
 from factloom.plans.text import FOLD_SQL
 from factloom.sources.cache import ResultCache
 from factloom.sources.shared import shared_dir
-from factloom.sources.tables import table
+from factloom.sources.tables import dealt, table
 
 #: Spellings that the test tables' numbers are written with.
 PREFIXES, SEPARATORS = ["В", "B ", "EI", "ЕІ", "КМ", "с"], [" ", "", "-", " – "]
@@ -132,18 +132,22 @@ CELLS = """
 
 def _cells(spark, sf_dir):
     """Tables of an order's lines: some with a header, some with a row that numbers the columns, every fourth row a section."""
-    key, texts = F.col("l_orderkey"), lambda *names: F.array(*map(F.lit, names))
-    i = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")) - 1
-    lines = table(spark, sf_dir, "lineitem").select(key.alias("k"), i.alias("i"), "l_partkey", "l_suppkey", "l_quantity")
+    texts = lambda *names: F.array(*map(F.lit, names))
+    lines = dealt(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), "k")
+    i = F.row_number().over(W.partitionBy("k").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")) - 1
+    lines = lines.withColumn("i", i)
     unit = F.when(F.col("l_suppkey") % 3 == 0, "mm").otherwise("kg")
-    row = F.array(F.col("i").cast("string"), F.concat(F.lit("деталь "), F.col("l_partkey").cast("string")), unit, F.regexp_replace((F.col("l_quantity") / 2).cast("string"), r"\.", ","))
+    row = F.array(F.col("i").cast("string"), F.concat(F.lit("деталь "), F.col("l_partkey").cast("string")), unit, F.translate((F.col("l_quantity") / 2).cast("string"), ".", ","))
     section = F.array(F.lit(""), F.concat(F.lit("раздел "), (F.col("l_suppkey") % 3).cast("string")), F.lit(""), F.lit("-"))
-    body = lines.select("k", (F.col("k") % 3 + F.col("i")).alias("r"), F.when(F.col("i") % 4 == 3, section).otherwise(row).alias("cells"))
-    heads = lines.select("k").distinct()
     last = F.when(F.col("k") % 2 == 0, "Значение").otherwise("Всего")
-    labels = heads.where("k % 3 > 0").select("k", F.lit(0).cast("long").alias("r"), F.concat(texts("№", "Наименование", "Ед. изм."), F.array(last)).alias("cells"))
-    counts = heads.where("k % 3 > 1").select("k", F.lit(1).cast("long").alias("r"), texts("1", "2", "3", "4").alias("cells"))
-    return body.unionByName(labels).unionByName(counts).select("k", "r", F.posexplode("cells").alias("c", "text"))
+    at = lambda r, cells: F.struct(r.cast("long").alias("r"), cells.alias("cells"))
+    first, depth = F.col("i") == 0, F.col("k") % 3
+    parts = F.array_compact(F.array(
+        F.when(first & (depth > 0), at(F.lit(0), F.concat(texts("№", "Наименование", "Ед. изм."), F.array(last)))),
+        F.when(first & (depth > 1), at(F.lit(1), texts("1", "2", "3", "4"))),
+        at(depth + F.col("i"), F.when(F.col("i") % 4 == 3, section).otherwise(row)),
+    ))
+    return lines.select("k", F.inline(parts)).select("k", "r", F.posexplode("cells").alias("c", "text"))
 
 
 @query(

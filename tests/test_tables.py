@@ -32,3 +32,11 @@ def test_rows_with_their_sections(spark):
     got = [(r.r, r.section, r.number, r.name, r.unit, [tuple(v) for v in r["values"]]) for r in read_rows(cells(spark).where("t = 'two'"), ["t"]).orderBy("r").collect()]
     head = "Показатель · по проекту"
     assert got == [(4, "Дом", "1", "Площадь застройки", "м", [(head, 1200.5)]), (5, "Дом", "2", "Высота", "м", [(head, 12.0)]), (7, "Двор", "3", "Площадь двора", "м", [(head, 300.0)])]
+
+
+def test_cells_are_read_and_dealt_out_once(spark):
+    for read in (columns, read_rows):
+        cells = spark.createDataFrame([("t", 0, 0, "Name"), ("t", 0, 1, "Value"), ("t", 1, 0, "wall"), ("t", 1, 1, "3")], "k string, r int, c int, text string")
+        plan = read(cells.repartition(3, "k"), ["k"])._jdf.queryExecution().executedPlan().toString()
+        plan = plan.split("Initial Plan")[-1]
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
