@@ -108,3 +108,10 @@ def test_cascades_of_any_length_and_cycles(spark):
     rows = [("o", c, CA) for c in codes] + [("o", "gap1", NV), ("p", "c05", CA), ("p", "c07", CA)]
     got = {(r.object_id, r.param_code): r.root for r in cascade_roots(spark.createDataFrame(rows, "object_id string, param_code string, status string"), edges).collect()}
     assert got == {("o", f"c{i:02d}"): "c00" for i in range(1, 13)} | {("o", "y"): "x", ("o", "z"): "x"}
+
+
+def test_a_requirement_is_taken_once(spark):
+    from factloom.plans import catalog
+
+    plan = catalog.plans()["kind_lowering"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?<=\\d)[XХ×](?=\\d)") == 2
