@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,10 +56,8 @@ def spatial_predicates(spark, sf_dir):
     sheet = ["sheet"]
     subjects = _boxes(spark, sf_dir, "R").select("sheet", "item", _box(2, 1))
     others = _boxes(spark, sf_dir, "A").select("sheet", "item", _box(5, 3))
-    found = {kind: spatial.holds(kind, subjects, others, sheet, "item", 6.0, cell=8.0) for kind in ("inside", "intersects", "distance")}
-    found["max_spacing"] = spatial.spaced(subjects, sheet, "item", 3.0, cell=8.0)
-    found["covers"] = spatial.covered(others, subjects, sheet, "item", 6.0, 2.0, cell=8.0)
-    return reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(kind).alias("predicate"), "sheet", "item", "holds") for kind, df in found.items()])
+    asked = spatial.Asked(inside="inside", within={"intersects": 0.0, "distance": 6.0}, spaced=("max_spacing", 3.0), covered=("covers", 6.0, 2.0))
+    return spatial.judged(subjects, others, sheet, "item", asked, cell=8.0)
 
 
 @query(
