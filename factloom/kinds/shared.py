@@ -25,8 +25,16 @@ NA, CL, ME, NC, CA, NV = "NOT_APPLICABLE", "CLARIFICATION_REQUIRED", "MISSING_EV
 
 def subjects(mentions: DataFrame, params: DataFrame, profiles: DataFrame | None, asked: DataFrame | None) -> DataFrame:
     """The pairs to evaluate with their params and not_applicable: an object whose profile denies what a param needs."""
-    pairs = (asked if asked is not None else mentions).select(*KEYS).distinct().join(F.broadcast(params), "param_code")
-    if profiles is None or "applicability" not in params.columns:
+    return _denied((asked if asked is not None else mentions).select(*KEYS).distinct().join(F.broadcast(params), "param_code"), profiles)
+
+
+def applied(found: DataFrame, params: DataFrame, profiles: DataFrame | None) -> DataFrame:
+    """What was found of pairs, a row each, with not_applicable: ``subjects`` that need not be looked for again."""
+    return _denied(found.join(F.broadcast(params.select("param_code", *({"applicability"} & {*params.columns}))), "param_code"), profiles)
+
+
+def _denied(pairs: DataFrame, profiles: DataFrame | None) -> DataFrame:
+    if profiles is None or "applicability" not in pairs.columns:
         return pairs.withColumn("not_applicable", F.lit(False))
     denied = profiles.where(~F.col("value")).select("object_id", F.col("flag").alias("applicability")).distinct().withColumn("denied", F.lit(True))
     return pairs.join(denied, ["object_id", "applicability"], "left").withColumn("not_applicable", F.coalesce("denied", F.lit(False))).drop("denied")

@@ -11,8 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LAYERS = "array<struct<m:string,raw:string,t:double>>"
@@ -93,50 +93,72 @@ def scores(a: list[list[tuple]], b: list[list[tuple]]) -> tuple[np.ndarray, np.n
     return out, np.array([len(s) for s in a]), np.array([len(s) for s in b])
 
 
-def aligned(pairs: DataFrame, keys: list[str], before: str = "before", after: str = "after", groups: dict[str, str] | None = None) -> DataFrame:
-    """A row for each step of each pair of stacks: keys, step, before_at and after_at (null where a layer stands alone).
+def _moved(a: list[tuple], b: list[tuple], path: list[tuple[int, int]]) -> list[tuple[int, int | None, int | None, bool]]:
+    """step, both places and whether it moves there, of a path without the steps that a layer moves to."""
+    came: dict[str, list[int]] = {}
+    for step, (i, j) in enumerate(path):
+        if i < 0 and b[j][0] is not None:
+            came.setdefault(b[j][0], []).append(step)
+    out, used, taken = [], set(), dict.fromkeys(came, 0)
+    for step, (i, j) in enumerate(path):
+        if j < 0 and came and taken.get(name := a[i][0], 0) < len(came.get(name, ())):
+            to = came[name][taken[name]]
+            taken[name] += 1
+            used.add(to)
+            out.append((step, i, path[to][1], True))
+        else:
+            out.append((step, i if i >= 0 else None, j if j >= 0 else None, False))
+    return [x for x in out if x[0] not in used] if used else out
 
-    ``groups`` tells materials of one group. Null stacks are empty.
+
+PATH = "array<struct<step:int,before_at:int,after_at:int,moved:boolean>>"
+
+
+def paths(pairs: DataFrame, groups: dict[str, str] | None = None) -> DataFrame:
+    """The pairs with ``path``: the steps of their stacks ``before`` and ``after``, and places in both, null where a layer
+    stands alone.
+
+    A layer left alone on one side and found alone on the other in the same material is moved, the n-th of a material to
+    the n-th, and has one step. ``groups`` tells materials of one group. Null stacks are empty. Stacks go along, so that
+    nobody has to find them again.
     """
     coded = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast(LAYERS)), lambda x: F.struct(material(x).alias("name"), F.when(x["m"].isNotNull(), 1).otherwise(0).alias("known"), x["m"].alias("m")))
     group_of = dict(groups or {})
+    n = len(pairs.columns)
+
+    def layers(column: pa.ListArray) -> list[list[tuple]]:
+        flat = column.flatten()
+        names, known, keys = (flat.field(k).to_pylist() for k in range(3))
+        every, ends = list(zip(names, known, map(group_of.get, keys))), np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False)).tolist()
+        return [every[i:j] for i, j in zip([0, *ends], ends)]
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for begin in range(0, batch.num_rows, PLANES):
                 part = batch.slice(begin, PLANES)
-                sides = [[[(x["name"], x["known"], group_of.get(x["m"])) for x in stack] for stack in part.column(c).to_pylist()] for c in (len(keys), len(keys) + 1)]
-                found = list(steps(*scores(*sides)))
-                at = pa.array([row for row, path in enumerate(found) for _ in path], pa.int64())
-                places = [(n, i if i >= 0 else None, j if j >= 0 else None) for path in found for n, (i, j) in enumerate(path)]
-                columns = [pa.array([p[k] for p in places], pa.int32()) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in range(len(keys))), *columns], names)
+                sides = [layers(part.column(c)) for c in (n, n + 1)]
+                found = [_moved(a, b, path) for a, b, path in zip(*sides, steps(*scores(*sides)))]
+                columns = [pa.array([p[k] for f in found for p in f], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.bool_()))]
+                at = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]), pa.int32())
+                path = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(columns, ["step", "before_at", "after_at", "moved"]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(n)), path], [*names, "path"])
 
-    names = [*keys, "step", "before_at", "after_at"]
-    kinds = [f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys]
-    coded_pairs = pairs.select(*keys, coded(before).alias("_a"), coded(after).alias("_b"))
-    return coded_pairs.mapInArrow(batches, ", ".join([*kinds, "step int", "before_at int", "after_at int"]))
+    names = pairs.columns
+    kinds = [f"{c} {pairs.schema[c].dataType.simpleString()}" for c in names]
+    return pairs.select(*names, coded("before").alias("_a"), coded("after").alias("_b")).mapInArrow(batches, ", ".join([*kinds, f"path {PATH}"]))
 
 
-def operations(pairs: DataFrame, keys: list[str], analogs: DataFrame, groups: dict[str, str] | None = None) -> DataFrame:
+def operations(pairs: DataFrame, keys: list[str], analogs: DataFrame, groups: dict[str, str] | None = None, every: bool = False) -> DataFrame:
     """keys, step, op, before_at, after_at, violation and uncertain of what turns stack ``before`` into ``after``.
 
-    Stacks are merged runs; ``tolerance`` (of the pair) is how much thinner a layer may be. A layer left alone on one side
-    and found alone on the other in the same material is moved, the n-th of a material to the n-th. A substitute is as
-    good as ``analogs`` (was, now, verdict) say; where the catalogue knows only one of the two, nobody can tell.
+    Stacks are merged runs; ``tolerance`` (of the pair) is how much thinner a layer may be. A substitute is as good as
+    ``analogs`` (was, now, verdict) say; where the catalogue knows only one of the two, nobody can tell. With ``every``
+    a pair without a layer has one row without an operation.
     """
-    path = aligned(pairs, keys, groups=groups).join(pairs, keys)
-    layer = lambda c, at: F.when(F.col(at).isNotNull(), F.get(F.col(c), F.col(at)))
-    path = path.withColumn("was", layer("before", "before_at")).withColumn("now", layer("after", "after_at"))
-    path = path.withColumn("left", F.when(F.col("after_at").isNull(), material(F.col("was")))).withColumn("came", F.when(F.col("before_at").isNull(), material(F.col("now"))))
-    number = lambda c: F.row_number().over(W.partitionBy(*keys, c).orderBy("step"))
-    gone = path.where("left is not null").select(*keys, "step", F.col("left").alias("name"), number("left").alias("n"))
-    new = path.where("came is not null").select(*keys, F.col("step").alias("to_step"), F.col("came").alias("name"), number("came").alias("n"), F.col("after_at").alias("to_at"), F.col("now").alias("to"))
-    moves = gone.join(new, [*keys, "name", "n"]).select(*keys, "step", "to_step", "to_at", "to")
-    path = path.join(moves.drop("to_step"), [*keys, "step"], "left").join(
-        moves.select(*keys, F.col("to_step").alias("step"), F.lit(True).alias("moved_here")), [*keys, "step"], "left"
-    ).where("moved_here is null")
-    path = path.withColumn("now", F.coalesce("now", "to")).withColumn("after_at", F.coalesce("after_at", "to_at"))
+    layer = lambda c, at: F.get(F.col(c), at)
+    step = F.transform("path", lambda p: F.struct(p["step"].alias("step"), p["before_at"].alias("before_at"), p["after_at"].alias("after_at"), p["moved"].alias("moved"), layer("before", p["before_at"]).alias("was"), layer("after", p["after_at"]).alias("now")))
+    explode = F.explode_outer if every else F.explode
+    path = paths(pairs.select(*keys, "before", "after", "tolerance"), groups).select(*keys, "tolerance", explode(step).alias("_s")).select(*keys, "tolerance", "_s.*")
     known = F.broadcast(analogs.select(F.col("was").alias("_was"), F.col("now").alias("_now"), "verdict"))
     path = path.join(known, (F.col("was.m") == F.col("_was")) & (F.col("now.m") == F.col("_now")), "left")
     same = F.coalesce(material(F.col("was")) == material(F.col("now")), F.lit(False))
@@ -145,11 +167,11 @@ def operations(pairs: DataFrame, keys: list[str], analogs: DataFrame, groups: di
     change = F.col("now.t") - F.col("was.t")
     thickness = F.when(change < -F.col("tolerance"), "thickness_down").when(change > F.col("tolerance"), "thickness_up")
     placed = (
-        F.when(F.col("now").isNull(), "delete_layer").when(F.col("was").isNull(), "insert_layer").when(F.col("to").isNotNull(), "reorder")
+        F.when(F.col("now").isNull(), "delete_layer").when(F.col("was").isNull(), "insert_layer").when(F.col("moved"), "reorder")
         .when(same, F.when(thickness.isNull(), "match")).otherwise("substitute_material")
     )
     both = F.col("was").isNotNull() & F.col("now").isNotNull() & (same | ~unknown & equivalent)
-    rows = path.withColumn("ops", F.array_compact(F.array(placed, F.when(both, thickness)))).withColumn("op", F.explode("ops"))
+    rows = path.withColumn("ops", F.when(F.col("step").isNotNull(), F.array_compact(F.array(placed, F.when(both, thickness))))).withColumn("op", explode("ops"))
     substitute = F.col("op") == "substitute_material"
     violation = F.col("op").isin("delete_layer", "thickness_down", "reorder") | substitute & ~unknown & ~equivalent
     return rows.select(*keys, "step", "op", "before_at", "after_at", violation.alias("violation"), (substitute & unknown).alias("uncertain"))

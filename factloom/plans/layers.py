@@ -8,7 +8,7 @@ from factloom import kinds
 from factloom.kinds.layers import layer_conflicts, layer_operations
 from factloom.operators.stacks import LAYERS
 from factloom.plans.registry import query
-from factloom.sources.tables import table
+from factloom.sources.tables import dealt, table
 
 GROUPS = {"M0": "soft", "M1": "soft", "M2": "hard", "M3": "hard"}
 ANALOGS = [("M0", "M1", "EQUIVALENT"), ("M1", "M0", "NOT_EQUIVALENT"), ("M2", "M3", "EQUIVALENT")]
@@ -78,8 +78,9 @@ def _inputs(spark, sf_dir):
         F.when(F.col("l_linenumber") != 5, F.col("l_quantity").cast("int") % 4 * 10).cast("double").alias("t"),
     )
     name = F.when(part % 5 < 4, F.concat(F.lit("M"), (part % 5).cast("string"))).otherwise(F.concat(F.lit("~x"), (F.col("l_suppkey") % 3).cast("string")))
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.floor(F.col("l_orderkey") / 8).alias("object_id"), F.concat(F.lit("L"), (F.col("l_orderkey") % 2).cast("string")).alias("param_code"), stage.alias("stage"), item.alias("item"),
+    keys = {"object_id": F.floor(F.col("l_orderkey") / 8), "param_code": F.concat(F.lit("L"), (F.col("l_orderkey") % 2).cast("string"))}
+    rows = dealt(table(spark, sf_dir, "lineitem").withColumns(keys), *keys).select(
+        *keys, stage.alias("stage"), item.alias("item"),
         F.when(part % 4 == 3, "0").otherwise((F.col("l_suppkey") % 2).cast("string")).alias("file_id"), "l_discount", "l_tax", "l_linenumber",
         F.struct("l_orderkey", "l_linenumber", name.alias("name"), layer.t.alias("t"), layer.alias("layer")).alias("place"),
     )

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -59,3 +60,9 @@ def test_predicates_at_once_equal_all_pairs(spark, cell):
             want["covered", i] = all(any(t == s and math.dist(c, x) <= 7 + 1e-9 for t, c in centre.values()) for x in points)
     assert got == want
     assert {v for (k, _), v in want.items() if k == "covered"} == {True, False}
+
+
+def test_stacks_are_dealt_out_once(spark, exchanges):
+    before = len(list(Path(spark.conf.get("spark.checkpoint.dir")).rglob("rdd-*")))
+    assert exchanges(catalog.plans()["kind_layers"](spark, SF)) <= 2
+    assert len(list(Path(spark.conf.get("spark.checkpoint.dir")).rglob("rdd-*"))) <= before
