@@ -8,7 +8,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from factloom.operators import spatial
+from factloom.operators import spatial, stacks
 from factloom.plans import catalog
 from tests.test_space import shapes
 
@@ -66,3 +66,24 @@ def test_stacks_are_dealt_out_once(spark, exchanges):
     before = len(list(Path(spark.conf.get("spark.checkpoint.dir")).rglob("rdd-*")))
     assert exchanges(catalog.plans()["kind_layers"](spark, SF)) <= 2
     assert len(list(Path(spark.conf.get("spark.checkpoint.dir")).rglob("rdd-*"))) <= before
+
+
+def test_operations_of_stacks_need_no_further_deal(spark, exchanges):
+    assert exchanges(catalog.plans()["layer_operations"](spark, SF)) <= 1
+
+
+def test_the_nth_of_a_material_is_moved_to_the_nth(spark):
+    layers = lambda names: [(n if n.isalpha() else None, n, 1.0) for n in names]
+    cases = {"o1": ("abcd", "bcda"), "o3": ("1bcd", "bcd1"), "o4": ("", "ab"), "o5": ("abcdea", "bcdeaqa")}
+    rows = [(o, layers(a), layers(b), 0.5) for o, (a, b) in cases.items()]
+    pairs = spark.createDataFrame(rows, f"o string, before {stacks.LAYERS}, after {stacks.LAYERS}, tolerance double")
+    none = spark.createDataFrame([], "was string, now string, verdict string")
+    got = {}
+    for r in stacks.operations(pairs, ["o"], none).orderBy("o", "step").collect():
+        got.setdefault(r.o, []).append((r.op, r.before_at, r.after_at))
+    same = lambda *pairs: [("match", i, j) for i, j in pairs]
+    assert got["o1"] == [("reorder", 0, 3), *same((1, 0), (2, 1), (3, 2))]
+    assert got["o3"] == [("reorder", 0, 3), *same((1, 0), (2, 1), (3, 2))]
+    assert got["o4"] == [("insert_layer", None, 0), ("insert_layer", None, 1)]
+    assert sorted(x[0] for x in got["o5"]).count("reorder") == 1 and [x[0] for x in got["o5"]].count("insert_layer") == 1
+    assert {(r.o, r.op) for r in stacks.operations(spark.createDataFrame([("e", [], [], 0.5)], pairs.schema), ["o"], none, every=True).collect()} == {("e", None)}
