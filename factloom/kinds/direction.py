@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from factloom.functions.checks import is_named_source
 from factloom.kinds.registry import kind
-from factloom.kinds.shared import CA, CL, KEYS, ME, NA, NC, NV, STAGES, disputed, of, subjects, true
+from factloom.kinds.shared import CA, CL, KEYS, ME, NA, NC, NV, STAGES, applied, disputed, of, subjects, true
 from factloom.operators.compare import ladder
 from factloom.operators.picks import first_per
 from factloom.sources.shared import checkpointed
@@ -28,30 +28,39 @@ def _number(column: str = "stage") -> Column:
     return F.array_position(F.array(*map(F.lit, STAGES)), F.col(column))
 
 
-def readings(mentions: DataFrame, params: DataFrame) -> DataFrame:
-    """Mentions that aren't of a past revision, with what they are good for: way, exempt, silent, outside or unclear.
-
-    What can't be read counts whatever its discipline; else the discipline must be in the param's list of the stage
-    (sources, a map by stage), where a star takes all and an empty list none.
-    """
-    rows = of(mentions, params).where(F.col("stage").isin(*STAGES) & ~true(F.col("role") == "SUPERSEDED")).join(F.broadcast(params.select("param_code", "sources")), "param_code")
+def _read(mentions: DataFrame, params: DataFrame) -> DataFrame:
+    """All mentions with what ``readings`` tells of them, norm, and fit: whether they count."""
+    rows = of(mentions, params).join(F.broadcast(params.select("param_code", "sources", "norm")), "param_code")
     own = F.coalesce(F.element_at("sources", F.col("stage")), F.array().cast("array<string>"))
     place = F.array_position(own, F.coalesce("discipline", F.lit("")))
     rank = F.when(place > 0, place).otherwise(F.coalesce(F.nullif(F.array_position(own, "*"), F.lit(0)), F.size(own) + 1))
     unclear = _listed("excluded", UNCLEAR)
-    rows = rows.where(unclear | is_named_source(own, F.col("discipline")))
+    fit = F.col("stage").isin(*STAGES) & ~true(F.col("role") == "SUPERSEDED") & (unclear | is_named_source(own, F.col("discipline")))
     free = F.col("excluded").isNull()
     return rows.select(
         *KEYS, "stage", "role", "mark", "building", "value", "confidence", "file_id", "page", "exemption", true(F.col("evac")).alias("evac"), rank.alias("rank"), unclear.alias("unclear"),
         (~unclear & (true(F.col("excluded") == EXEMPT) | F.col("exemption").isNotNull())).alias("exempt"), (_listed("excluded", UNREADABLE) | free & F.col("value").isin(*SILENT)).alias("silent"),
-        _listed("excluded", OUTSIDE).alias("outside"), (free & ~F.col("value").isin(*SILENT)).alias("way"), F.col("value").isin(*BAD).alias("bad"),
+        _listed("excluded", OUTSIDE).alias("outside"), (free & ~F.col("value").isin(*SILENT)).alias("way"), F.col("value").isin(*BAD).alias("bad"), "norm", true(fit).alias("fit"),
     )
 
 
+def readings(mentions: DataFrame, params: DataFrame) -> DataFrame:
+    """Mentions that aren't of a past revision, with what they are good for: way, exempt, silent, outside or unclear.
+
+    What can't be read counts whatever its discipline; else the discipline must be in the param's list of the stage
+    (sources, a map by stage), where a star takes all and an empty list none.
+    """
+    return _read(mentions, params).where("fit").drop("norm", "fit")
+
+
+def _order() -> list[Column]:
+    """The order of the doors of a stage."""
+    return [F.asc("rank"), F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")), F.desc_nulls_last("confidence"), F.desc("bad"), F.asc("file_id"), F.asc("page"), F.asc("value"), F.asc_nulls_first("mark"), F.asc_nulls_first("building")]
+
+
 def doors(read: DataFrame) -> DataFrame:
     """The first mention of each door (mark and building, null for what is said of all) of a stage, numbered in order."""
-    order = [F.asc("rank"), F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")), F.desc_nulls_last("confidence"), F.desc("bad"), F.asc("file_id"), F.asc("page"), F.asc("value"), F.asc_nulls_first("mark"), F.asc_nulls_first("building")]
-    ways = read.where("way").withColumn("no", F.row_number().over(W.partitionBy(*KEYS, "stage").orderBy(*order)))
+    ways = read.where("way").withColumn("no", F.row_number().over(W.partitionBy(*KEYS, "stage").orderBy(*_order())))
     return first_per(ways, [*KEYS, "stage", "mark", "building"], [F.asc("no")])
 
 
@@ -60,34 +69,42 @@ def _compatible(a: str, b: str) -> Column:
     return F.coalesce(F.col(a) == F.col(b), F.lit(True))
 
 
-def compared(read: DataFrame, params: DataFrame) -> DataFrame:
-    """A row for each door of a later stage, with outcome (pair, norm, other, unknown, blocks or none) and violation.
+def compared(read: DataFrame) -> DataFrame:
+    """All readings with door (whether it is the first of its door) and known (its mark is of a door on a way of escape);
+    a door of a later stage has outcome (pair, norm, other, unknown, blocks or none), violation and excused.
 
     A door meets its own mark in the earliest stage that has doors, in a building that agrees, else what is said there of
-    all doors, else the norm. Without its own mark only a door on a way of escape can break anything.
+    all doors, else the norm. Without its own mark only a door on a way of escape can break anything. An exemption
+    excuses it that is named for it, in its own stage or the earliest. Whoever it meets is of its object and param, so
+    that it is found by windows where these are, and nothing is joined.
     """
-    chosen = checkpointed(doors(read))
-    first = chosen.groupBy(*KEYS).agg(F.min(_number()).alias("first"))
-    marks = read.where("way and evac and mark is not null").select(*KEYS, "mark").distinct().withColumn("_evac", F.lit(True))
-    later = chosen.where("stage <> 'PD'").join(first, KEYS).join(marks, [*KEYS, "mark"], "left").join(F.broadcast(params.select("param_code", "norm")), "param_code")
-    later = later.withColumn("escape", F.col("evac") | F.col("_evac").isNotNull())
-    base = chosen.join(first, KEYS).where(_number() == F.col("first")).select(*KEYS, F.col("mark").alias("was_mark"), F.col("building").alias("was_building"), F.col("value").alias("was"), F.col("no").alias("was_no"))
-    key = [*KEYS, "stage", "no"]
-    met = later.where(_number() > F.col("first")).join(base, KEYS)
-    found = met.groupBy(*key).agg(
-        F.min_by("was", F.when((F.col("was_mark") == F.col("mark")) & _compatible("building", "was_building"), F.col("was_no"))).alias("own"),
-        F.coalesce(F.bool_or(F.col("was_mark") == F.col("mark")), F.lit(False)).alias("elsewhere"),
-        F.min_by("was", F.when(F.col("was_mark").isNull() & _compatible("building", "was_building"), F.col("was_no"))).alias("general"),
-    )
-    rows = later.join(found, key, "left")
-    blocks, norm, elsewhere = F.col("value") == "blocks", true(F.col("norm")), true(F.col("elsewhere"))
+    by = lambda *more: W.partitionBy(*KEYS, *more)
+    rows = read.withColumn("_idle", ~true(F.col("fit") & F.col("way"))).withColumn("_at", F.row_number().over(by().orderBy("_idle", "stage", *_order())))
+    rows = rows.withColumn("_no", F.col("_at") - F.min("_at").over(by("_idle", "stage")))
+    rows = rows.withColumn("door", ~F.col("_idle") & (F.col("_no") == F.min("_no").over(by("mark", "building", "_idle", "stage"))))
+    rows = rows.withColumn("_first", F.min(F.when(F.col("door"), _number())).over(by()))
+    base, nowhere, general = F.col("door") & (_number() == F.col("_first")), F.col("building").isNull(), F.col("mark").isNull()
+    least = lambda condition, *more: F.min(F.when(condition, F.struct("_no", "value"))).over(by(*more))
+    rows = rows.withColumn("_own_same", least(base, "mark", "building"))
+    rows = rows.withColumns({
+        "_own_any": least(base, "mark"), "_own_null": least(base & nowhere, "mark"), "known": F.bool_or(~F.col("_idle") & F.col("evac")).over(by("mark")) & ~general,
+        "_excused": F.collect_set(F.when(F.col("fit") & F.col("exempt"), _number())).over(by("mark")),
+    })
+    rows = rows.withColumns({"_general_any": least(base & general), "_general_null": least(base & general & nowhere)}).withColumn("_general_same", least(base & general, "building"))
+    met = F.col("door") & (_number() > F.col("_first"))
+    was = lambda kind: F.when(met, F.when(nowhere, F.col(f"_{kind}_any")).otherwise(F.least(f"_{kind}_same", f"_{kind}_null")))["value"]
+    rows = rows.withColumns({"_own": F.when(~general, was("own")), "_elsewhere": met & ~general & F.col("_own_any").isNotNull(), "_general": was("general"), "_escape": F.col("evac") | F.col("known")})
+    blocks, norm, escape = F.col("value") == "blocks", true(F.col("norm")), F.col("_escape")
     outcome = (
-        F.when(blocks, F.when(F.col("escape"), "blocks").otherwise("unknown")).when(F.col("own").isNotNull(), "pair").when(elsewhere, "other")
-        .when(F.col("bad") & ~F.col("escape"), F.when(F.col("general").isNotNull() | norm, "unknown").otherwise("none"))
-        .when(F.col("general").isNotNull(), "pair").when(norm & F.col("bad"), "norm").otherwise("none")
+        F.when(blocks, F.when(escape, "blocks").otherwise("unknown")).when(F.col("_own").isNotNull(), "pair").when(F.col("_elsewhere"), "other")
+        .when(F.col("bad") & ~escape, F.when(F.col("_general").isNotNull() | norm, "unknown").otherwise("none"))
+        .when(F.col("_general").isNotNull(), "pair").when(norm & F.col("bad"), "norm").otherwise("none")
     )
-    before = F.coalesce("own", "general")
-    return rows.withColumn("outcome", outcome).withColumn("violation", F.col("bad") & ((F.col("outcome") == "norm") | (F.col("outcome") == "pair") & (before == "outward"))).withColumn("before", before)
+    rows = rows.withColumn("outcome", F.when(F.col("door") & (F.col("stage") != "PD"), outcome))
+    worse = (F.col("outcome") == "norm") | (F.col("outcome") == "pair") & (F.coalesce("_own", "_general") == "outward")
+    excused = lambda stage: F.array_contains("_excused", stage)
+    near = excused(_number()) | (F.col("_first") < _number()) & excused(F.col("_first"))
+    return rows.withColumn("violation", true(F.col("bad") & worse)).withColumn("excused", F.col("exemption").isNotNull() | true(near))
 
 
 def conflicts(mentions: DataFrame, params: DataFrame) -> DataFrame:
@@ -109,23 +126,14 @@ def direction(mentions: DataFrame, params: DataFrame, profiles: DataFrame | None
     nobody can tell without the plan. Params have sources (map of stage to disciplines) and norm, whether a norm asks for
     outward doors where nothing else does.
     """
-    read = checkpointed(readings(mentions, params))
-    chosen = doors(read)
-    met = checkpointed(compared(read, params))
-    exempt = read.where("exempt").select(*KEYS, _number().alias("ex_stage"), F.col("mark").alias("ex_mark")).distinct()
-    violated = met.where("violation").select(*KEYS, "stage", "no", "mark", "first", F.col("exemption").isNotNull().alias("own"))
-    number = _number()
-    near = (number == F.col("ex_stage")) | (F.col("ex_stage") == F.col("first")) & (F.col("first") < number)
-    kept = violated.join(exempt, KEYS, "left").withColumn("excused", F.col("own") | F.coalesce(near & F.col("ex_mark").eqNullSafe(F.col("mark")) & F.col("ex_stage").isNotNull(), F.lit(False)))
-    hard = kept.groupBy(*KEYS, "stage", "no").agg(F.bool_or("excused").alias("excused")).groupBy(*KEYS).agg(F.bool_or(~F.col("excused")).alias("hard"), F.bool_or("excused").alias("soft"))
-    flags = met.groupBy(*KEYS).agg(F.count_if(F.col("outcome") == "pair").alias("pairs"), F.count_if("violation").alias("violations"), *[F.bool_or(F.col("outcome") == o).alias(o) for o in ("blocks", "other", "unknown")])
-    marks = read.where("way and evac and mark is not null").select(*KEYS, "mark").distinct().withColumn("_evac", F.lit(True))
-    later = read.where("stage <> 'PD'").join(marks, [*KEYS, "mark"], "left")
-    seen = later.groupBy(*KEYS).agg(F.bool_or(F.col("unclear") & (F.col("evac") | F.col("_evac").isNotNull())).alias("lost"), F.bool_or("silent").alias("silent"), F.bool_or("outside").alias("outside"))
-    settled = chosen.groupBy(*KEYS).agg(F.bool_or(disputed()).alias("any_disputed"))
-    values = subjects(mentions, params, profiles, asked)
-    for part in (settled, hard, flags, seen):
-        values = values.join(part, KEYS, "left")
+    met = compared(_read(mentions, params))
+    later, violation, excused = F.col("fit") & (F.col("stage") != "PD"), F.col("violation"), F.col("excused")
+    found = met.groupBy(*KEYS).agg(
+        F.bool_or(F.col("door") & disputed()).alias("any_disputed"), F.bool_or(violation & ~excused).alias("hard"), F.bool_or(violation & excused).alias("soft"),
+        F.count_if(F.col("outcome") == "pair").alias("pairs"), F.count_if(violation).alias("violations"), *[F.bool_or(F.col("outcome") == o).alias(o) for o in ("blocks", "other", "unknown")],
+        F.bool_or(later & F.col("unclear") & (F.col("evac") | F.col("known"))).alias("lost"), F.bool_or(later & F.col("silent")).alias("silent"), F.bool_or(later & F.col("outside")).alias("outside"),
+    )
+    values = applied(found, params, profiles) if asked is None else subjects(mentions, params, profiles, asked).join(found, KEYS, "left")
     flag = lambda c: true(F.col(c))
     status = ladder(
         (F.col("not_applicable"), NA), (flag("any_disputed"), CL), (flag("hard"), CA), (flag("soft"), NC), (flag("blocks"), NC), (flag("lost"), NC),

@@ -30,9 +30,9 @@ def _ranked(mentions: DataFrame, params: DataFrame) -> DataFrame:
         fit = fit & F.col("excluded").isNull()
     rank = F.col("source_rank") if "source_rank" in mentions.columns else F.lit(0)
     order = [rank, F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")), F.desc_nulls_last("confidence"), F.asc("file_id"), F.asc("page"), F.asc_nulls_first("item"), F.col("layers").cast("string")]
-    at = F.row_number().over(W.partitionBy(*KEYS).orderBy(F.desc("fit"), "stage", *order))
-    rows = of(mentions, params).withColumn("fit", true(fit)).withColumn("_at", at)
-    no = F.col("_at") - F.min("_at").over(W.partitionBy(*KEYS, "fit", "stage")) + 1
+    at = F.row_number().over(W.partitionBy(*KEYS).orderBy("_unfit", "stage", *order))
+    rows = of(mentions, params).withColumn("fit", true(fit)).withColumn("_unfit", ~F.col("fit")).withColumn("_at", at)
+    no = F.col("_at") - F.min("_at").over(W.partitionBy(*KEYS, "_unfit", "stage")) + 1
     names = F.array_distinct(F.transform("layers", lambda x: F.coalesce(material(x), F.lit("~"))))
     return rows.select(*KEYS, "stage", no.alias("no"), F.nullif(written_key(F.col("item")), F.lit("")).alias("mark"), "file_id", "role", names.alias("names"), merged_runs(F.col("layers")).alias("layers"), "fit")
 

@@ -8,7 +8,7 @@ from factloom import kinds
 from factloom.functions.classes import DIMENSIONS
 from factloom.kinds.lowering import Gates, lower
 from factloom.plans.registry import query
-from factloom.sources.tables import table
+from factloom.sources.tables import dealt, table
 
 MENTIONS = """
 (select l_orderkey // 4 as object_id, 'P' || (l_partkey % 6) as param_code, case l_returnflag when 'A' then 'PD' when 'N' then 'RD' else 'ID' end as stage,
@@ -358,8 +358,9 @@ def kind_direction(spark, sf_dir):
     excluded = F.when(low < 0.005, "EXEMPT").when(low < 0.008, "NOT_EVAC").when(low < 0.011, "NEGATION")
     value = F.get(F.array(*map(F.lit, ("outward", "outward", "inward", "sliding", "blocks", "hand"))), F.col("l_quantity").cast("int") % 6)
     stage = F.when(F.col("l_returnflag") == "A", "PD").when(F.col("l_returnflag") == "N", "RD").otherwise("ID")
-    mentions = table(spark, sf_dir, "lineitem").select(
-        F.floor(F.col("l_orderkey") / 4).alias("object_id"), F.concat(F.lit("P"), (F.col("l_partkey") % 6).cast("string")).alias("param_code"), stage.alias("stage"),
+    keys = {"object_id": F.floor(F.col("l_orderkey") / 4), "param_code": F.concat(F.lit("P"), (F.col("l_partkey") % 6).cast("string"))}
+    mentions = dealt(table(spark, sf_dir, "lineitem").withColumns(keys), *keys, rows=200_000).select(
+        *keys, stage.alias("stage"),
         F.when(F.col("l_suppkey") % 5 > 0, F.concat(F.lit("D"), (F.col("l_suppkey") % 5).cast("string"))).alias("mark"), F.when(F.col("l_linenumber") % 4 == 1, "A").when(F.col("l_linenumber") % 4 == 2, "B").alias("building"),
         value.alias("value"), (1 - F.col("l_tax")).alias("confidence"), F.col("l_suppkey").cast("string").alias("file_id"), F.col("l_linenumber").alias("page"), (F.col("l_tax") > 0.03).alias("evac"),
         F.when(low > 0.098, "CONFLICT").otherwise("CURRENT").alias("role"), excluded.alias("excluded"), F.when(F.col("l_extendedprice") < 3000, "x").alias("exemption"), F.lit("A").alias("discipline"),

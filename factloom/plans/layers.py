@@ -79,7 +79,7 @@ def _inputs(spark, sf_dir):
     )
     name = F.when(part % 5 < 4, F.concat(F.lit("M"), (part % 5).cast("string"))).otherwise(F.concat(F.lit("~x"), (F.col("l_suppkey") % 3).cast("string")))
     keys = {"object_id": F.floor(F.col("l_orderkey") / 8), "param_code": F.concat(F.lit("L"), (F.col("l_orderkey") % 2).cast("string"))}
-    rows = dealt(table(spark, sf_dir, "lineitem").withColumns(keys), *keys).select(
+    rows = dealt(table(spark, sf_dir, "lineitem").withColumns(keys), *keys, rows=200_000).select(
         *keys, stage.alias("stage"), item.alias("item"),
         F.when(part % 4 == 3, "0").otherwise((F.col("l_suppkey") % 2).cast("string")).alias("file_id"), "l_discount", "l_tax", "l_linenumber",
         F.struct("l_orderkey", "l_linenumber", name.alias("name"), layer.t.alias("t"), layer.alias("layer")).alias("place"),

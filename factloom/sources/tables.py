@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROWS = 500_000
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
+def dealt(df: DataFrame, *keys: str, rows: int = ROWS) -> DataFrame:
     """Rows dealt out by key to as many tasks as their number asks for, so that a task's share doesn't grow with the table."""
     least = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(least, -(-df.count() // ROWS)), *keys)
+    return df.repartition(max(least, -(-df.count() // rows)), *keys)

@@ -87,3 +87,9 @@ def test_the_nth_of_a_material_is_moved_to_the_nth(spark):
     assert got["o4"] == [("insert_layer", None, 0), ("insert_layer", None, 1)]
     assert sorted(x[0] for x in got["o5"]).count("reorder") == 1 and [x[0] for x in got["o5"]].count("insert_layer") == 1
     assert {(r.o, r.op) for r in stacks.operations(spark.createDataFrame([("e", [], [], 0.5)], pairs.schema), ["o"], none, every=True).collect()} == {("e", None)}
+
+
+def test_doors_are_dealt_out_once(spark, exchanges):
+    before = len(list(Path(spark.conf.get("spark.checkpoint.dir")).rglob("rdd-*")))
+    assert exchanges(catalog.plans()["kind_direction"](spark, SF)) <= 1
+    assert len(list(Path(spark.conf.get("spark.checkpoint.dir")).rglob("rdd-*"))) <= before
