@@ -8,8 +8,10 @@ from pathlib import Path
 import numpy as np
 import pytest
 
+from factloom.kinds import lowering
 from factloom.operators import spatial, stacks
 from factloom.plans import catalog
+from tests.test_lowering import FINDING, FRAGMENT
 from tests.test_space import shapes
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +95,20 @@ def test_doors_are_dealt_out_once(spark, exchanges):
     before = len(list(Path(spark.conf.get("spark.checkpoint.dir")).rglob("rdd-*")))
     assert exchanges(catalog.plans()["kind_direction"](spark, SF)) <= 1
     assert len(list(Path(spark.conf.get("spark.checkpoint.dir")).rglob("rdd-*"))) <= before
+
+
+def test_fragments_are_dealt_out_once(spark, exchanges, monkeypatch):
+    before = len(list(Path(spark.conf.get("spark.checkpoint.dir")).rglob("rdd-*")))
+    found = catalog.plans()["kind_lowering"](spark, SF)
+    assert exchanges(found) <= 8
+    assert len(list(Path(spark.conf.get("spark.checkpoint.dir")).rglob("rdd-*"))) <= before
+    want = sorted(found.collect())
+    monkeypatch.setattr(lowering, "MOST_MARKS", 0)
+    assert sorted(catalog.plans()["kind_lowering"](spark, SF).collect()) == want
+
+
+def test_a_finding_without_fragments_is_missing_evidence_of_both_sides(spark):
+    finding = [("x", "o", "P", "CMP", "CANDIDATE", "10", "7", False, False)]
+    fragments = spark.createDataFrame([], FRAGMENT)
+    (r,) = lowering.lower(spark.createDataFrame(finding, FINDING), fragments).collect()
+    assert (r.status, r.steps, r.change) == ("NOT_COMPARABLE", ["VER-02"], None)
